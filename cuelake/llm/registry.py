@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from cuelake.llm import mixing
+from cuelake.llm import chat_format, license_scan, mixing, quality_rules
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op4_mixing": mixing.op4_mixing,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_chat_format": chat_format.op6_chat_format,
 }
+#: None where SQL cannot express the query; tests/llm then holds it against a brute-force version.
 ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
+    "op6_chat_format": chat_format.OP6_SQL,
 }
