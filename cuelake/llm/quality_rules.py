@@ -5,7 +5,8 @@ use of a language's commonest words (the listed words, one bin each, and all
 other words together).  The reference of a language is the sum of the
 histograms of all its documents.  A document is rejected if the Jensen-Shannon
 distance (base 2, 0 to 1) of either histogram to its language's reference is
-above a bound; texts too short for a stable histogram skip that test.
+above a bound, which is wider for short texts, whose histograms are noisy;
+texts below a least size skip that test.
 
 Base rules (word count and repeated 8-word windows) come first.
 
@@ -40,11 +41,12 @@ MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
-#: Bounds on the distances and the least sizes at which they are tested.
-MAX_CHAR_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.35
+#: Bounds on the distances: (bound for an endless text, what sampling noise adds
+#: at one unit, falling with the square root of the size), and the least sizes.
+CHAR_BOUND = (0.22, 0.6)
+WORD_BOUND = (0.19, 0.9)
 MIN_CHARS = 100
-MIN_HISTOGRAM_WORDS = 50
+MIN_HISTOGRAM_WORDS = 30
 
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "beyond_ascii")
 _SENTENCE = b".,;:!?'\"()-"
@@ -175,8 +177,8 @@ RESULT = (
 def quality_rules(
     docs: DataFrame,
     common_words: dict[str, list[str]] = COMMON_WORDS,
-    max_char_distance: float = MAX_CHAR_DISTANCE,
-    max_word_distance: float = MAX_WORD_DISTANCE,
+    char_bound: tuple[float, float] = CHAR_BOUND,
+    word_bound: tuple[float, float] = WORD_BOUND,
     pass_columns: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """pass_columns of every document, its counts, distances and verdict.
@@ -208,8 +210,10 @@ def quality_rules(
                     by_char = _distance(classes, reference[(lang if (lang, "char") in reference else None, "char")])
                 if lang in listed and n >= MIN_HISTOGRAM_WORDS:
                     by_word = _distance(_word_bins(hashes, *listed[lang], len(common_words[lang])), reference[(lang, "word")])
-                kept = not failed and by_char <= max_char_distance and by_word <= max_word_distance
-                rows.append((n, word_chars, symbols, duplicate_lines(text), repeats, failed, by_char, by_word, kept))
+                far = by_char > char_bound[0] + char_bound[1] / max(1, classes.sum()) ** 0.5
+                far = far or by_word > word_bound[0] + word_bound[1] / max(1, n) ** 0.5
+                kept = not failed and not far
+                rows.append((n, word_chars, symbols, duplicate_lines(text), repeats, failed, by_char, by_word, bool(kept)))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
             made = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays(
