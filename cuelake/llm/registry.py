@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cuelake.llm import chat_format, license_scan, mixing, quality_rules, simhash_dedup
+from cuelake.llm import chat_format, license_scan, line_dedup, mixing, quality_rules, simhash_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
 }
 #: None where SQL cannot express the query; tests/llm then holds it against a brute-force version.

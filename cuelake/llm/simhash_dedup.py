@@ -35,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.bktree import Forest, Groups
@@ -47,6 +47,7 @@ SEED = 42
 RADIUS = 4
 BLOCKS = 6
 SHARD = 4096
+MASK_BITS = 6
 #: Hashes whose bits are unpacked at a time.
 _STEP = 1 << 15
 
@@ -94,33 +95,40 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _cell_number(mask_no, *parts) -> Column:
+    """A hash whose low MASK_BITS bits are the number of the mask."""
+    return F.shiftleft(F.xxhash64(mask_no, *parts), MASK_BITS).bitwiseOR(mask_no.cast("bigint"))
+
+
 def cells(items: DataFrame, radius: int, blocks: int, shard: int) -> DataFrame:
-    """Deal distinct prints to cells: (cell, part, print), part 0 for the tree and 1 for queries from a later slice."""
-    masks = F.array(*[F.lit(_signed(m)).cast("bigint") for m in block_masks(blocks, radius)])
-    dealt = items.select("print", F.posexplode(masks).alias("mask_no", "mask")).select(
-        "print", F.xxhash64("mask_no", F.col("print").bitwiseAND(F.col("mask"))).alias("shard")
+    """Deal distinct prints to cells: (cell, print), each pair within the radius together in some cell."""
+    masks = [F.lit(_signed(m)).cast("bigint") for m in block_masks(blocks, radius)]
+    if len(masks) >= 1 << MASK_BITS:
+        raise ValueError(f"{len(masks)} combinations of blocks are too many")
+    no = F.col("mask_no")
+    dealt = items.select("print", F.posexplode(F.array(*masks)).alias("mask_no", "mask")).select(
+        "print", no, _cell_number(no, F.col("print").bitwiseAND(F.col("mask"))).alias("shard")
     )
     large = (
         dealt.groupBy("shard")
         .agg(F.count("*").alias("members"))
         .filter(F.col("members") > shard)
-        .select("shard", F.ceil(F.col("members") / F.lit(shard // 2)).cast("int").alias("slices"))
+        .select("shard", F.ceil(F.col("members") / F.lit(max(1, shard // 2))).cast("int").alias("slices"))
     )
     marked = dealt.join(staged(large).hint("merge"), "shard", "left")
-    own = F.pmod(F.xxhash64(F.col("print"), F.lit(1)), F.col("slices")).cast("int")
+    own = F.coalesce(F.pmod(F.xxhash64(F.col("print"), F.lit(1)), F.col("slices")).cast("int"), F.lit(0))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("slices") - 1),
         lambda j: F.struct(F.least(j, F.col("slice")).alias("low"), F.greatest(j, F.col("slice")).alias("high")),
     )
     whole = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
-    return (
-        marked.withColumn("slice", F.coalesce(own, F.lit(0)))
-        .withColumn("pair", F.explode(F.when(F.col("slices").isNull(), whole).otherwise(pairs)))
-        .select(
-            F.when(F.col("slices").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", "pair.low", "pair.high")).alias("cell"),
-            "print",
-        )
+    sliced = marked.withColumn("slice", own).withColumn(
+        "pair", F.explode(F.when(F.col("slices").isNull(), whole).otherwise(pairs))
+    )
+    cell = F.when(F.col("slices").isNull(), F.col("shard")).otherwise(
+        _cell_number(no, F.col("shard"), F.col("pair.low"), F.col("pair.high"))
     )
+    return sliced.select(cell.alias("cell"), "print")
 
 
 def links(items: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
