@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cuelake.llm import chat_format, license_scan, line_dedup, mixing, quality_rules, simhash_dedup
+from cuelake.llm import chat_format, decontaminate, license_scan, line_dedup, mixing, quality_rules, simhash_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_chat_format": chat_format.op6_chat_format,
