@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from cuelake.llm import chat_format, decontaminate, license_scan, line_dedup, mixing, quality_rules, simhash_dedup
+from cuelake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, mixing, quality_fm, quality_rules, simhash_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_quality_fm": quality_fm.op3_quality_fm,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
+    "op9_language_id": language_id.op9_language_id,
 }
 #: None where SQL cannot express the query; tests/llm then holds it against a brute-force version.
 ORACLE_SQL = {
