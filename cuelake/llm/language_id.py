@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import crc_mod, sample_by_hash, table
 
 SAMPLE = 300
-DICTIONARY = 100_000
+DICTIONARY = 64_000
 PIECE = 2_000
-LEVEL = 3
+LEVEL = 9
 MARGIN = 0.02
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 

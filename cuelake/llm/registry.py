@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, mixing, quality_fm, quality_rules, simhash_dedup
+from cuelake.llm import chat_format, decontaminate, hmm_lm, language_id, license_scan, line_dedup, mixing, quality_fm, quality_rules, simhash_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     "op9_language_id": language_id.op9_language_id,
+    "op10_hmm_lm": hmm_lm.op10_hmm_lm,
 }
 #: None where SQL cannot express the query; tests/llm then holds it against a brute-force version.
 ORACLE_SQL = {
