@@ -71,9 +71,14 @@ def words(text: Column) -> Column:
 
 
 def _top_share(items: Column) -> Column:
-    """The share of the most frequent item of an array."""
-    top = F.array_max(F.transform(F.array_distinct(items), lambda x: F.size(F.filter(items, lambda y: y == x))))
-    return top / F.size(items)
+    """The share of the most frequent item of an array: the longest run of the sorted items."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+
+    def step(s, x):
+        run = F.when(s["last"].eqNullSafe(x), s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["top"], run).alias("top"))
+
+    return F.aggregate(F.array_sort(items), start, step)["top"] / F.size(items)
 
 
 def top_token_share(tokens: Column) -> Column:
@@ -81,7 +86,8 @@ def top_token_share(tokens: Column) -> Column:
 
 
 def top_pair_share(tokens: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda i: F.concat_ws(" ", F.get(tokens, i), F.get(tokens, i + 1)))
+    following = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    pairs = F.filter(F.zip_with(tokens, following, lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
     return F.when(F.size(tokens) >= LEAST_PAIR_TOKENS, _top_share(pairs)).otherwise(F.lit(0.0))
 
 
@@ -122,7 +128,7 @@ def compose_wide(word_array: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Runs up to sentence marks, trimmed, without blanks; without any, the whole text."""
     found = F.regexp_extract_all(text, F.lit(r"[^.!?。？！]+[.!?。？！]+|[^.!?。？！]+$"), F.lit(0))
-    kept = F.filter(F.transform(found, F.trim), lambda s: s != "")
+    kept = F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(text))
 
 

@@ -1,48 +1,27 @@
-"""Fixed schemas.  Times are BIGINT milliseconds; ord is the order in the source list."""
+"""Fixed schemas, as DDL.  Times are BIGINT milliseconds; ord is the order in the source list."""
 
-from pyspark.sql import types as T
-
-WORD = T.StructType(
-    [
-        T.StructField("word", T.StringType()),
-        T.StructField("start_ms", T.LongType()),
-        T.StructField("end_ms", T.LongType()),
-        T.StructField("probability", T.DoubleType()),
-    ]
-)
-WORDS = T.ArrayType(WORD)
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-MEDIA = _struct("media_id bigint, path string, kind string, duration_ms bigint")
-SEGMENTS = _struct(
-    "media_id bigint, ord bigint, start_ms bigint, end_ms bigint, type string, text string, language string, speaker string, speaker_label string"
+WORDS = "array<struct<word:string,start_ms:bigint,end_ms:bigint,probability:double>>"
+MEDIA = "media_id bigint, path string, kind string, duration_ms bigint"
+SEGMENTS = (
+    "media_id bigint, ord bigint, start_ms bigint, end_ms bigint, type string, text string, "
+    "language string, speaker string, speaker_label string"
 )
 #: As written by recognisers: seconds with fractions.
-SEGMENT_SECONDS = _struct(
-    "media_id bigint, ord bigint, start double, end double, type string, text string, language string, speaker string, speakerLabel string"
+SEGMENT_SECONDS = (
+    "media_id bigint, ord bigint, start double, end double, type string, text string, "
+    "language string, speaker string, speakerLabel string"
 )
-TRANSCRIPT_SECONDS = _struct(
-    "media_id bigint, ord bigint, start double, end double, text string, language string, no_speech_prob double, avg_logprob double, "
-    "words array<struct<word:string,start:double,end:double,probability:double>>"
+TRANSCRIPT_SECONDS = (
+    "media_id bigint, ord bigint, start double, end double, text string, language string, no_speech_prob double, "
+    "avg_logprob double, words array<struct<word:string,start:double,end:double,probability:double>>"
 )
-TURNS = _struct("media_id bigint, ord bigint, start_ms bigint, end_ms bigint, speaker string")
-SPEAKERS = _struct("media_id bigint, speaker string, pos int, label string")
-TRANSLATIONS = _struct("media_id bigint, seg_no bigint, lang string, text string")
-SAMPLES = _struct("media_id bigint, chunk_no bigint, sample_rate int, samples array<smallint>")
-FRAMES = _struct("session_id bigint, frame_no bigint, is_speech boolean, event_ts timestamp")
-HYPOTHESES = T.StructType(
-    [
-        T.StructField("session_id", T.LongType()),
-        T.StructField("cycle", T.LongType()),
-        T.StructField("buffer_start_ms", T.LongType()),
-        T.StructField("buffer_dur_ms", T.LongType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("words", WORDS),
-        T.StructField("event_ts", T.TimestampType()),
-    ]
+TURNS = "media_id bigint, ord bigint, start_ms bigint, end_ms bigint, speaker string"
+SPEAKERS = "media_id bigint, speaker string, pos int, label string"
+TRANSLATIONS = "media_id bigint, seg_no bigint, lang string, text string"
+SAMPLES = "media_id bigint, chunk_no bigint, sample_rate int, samples array<smallint>"
+FRAMES = "session_id bigint, frame_no bigint, is_speech boolean, event_ts timestamp"
+HYPOTHESES = (
+    "session_id bigint, cycle bigint, buffer_start_ms bigint, buffer_dur_ms bigint, kind string, "
+    f"words {WORDS}, event_ts timestamp"
 )
-CONTROL = _struct("action string, language string, offset_ms bigint, targets array<string>")
+CONTROL = "action string, language string, offset_ms bigint, targets array<string>"
