@@ -100,73 +100,135 @@ def _cell_number(mask_no, *parts) -> Column:
     return F.shiftleft(F.xxhash64(mask_no, *parts), MASK_BITS).bitwiseOR(mask_no.cast("bigint"))
 
 
-def cells(items: DataFrame, radius: int, blocks: int, shard: int) -> DataFrame:
-    """Deal distinct prints to cells: (cell, print), each pair within the radius together in some cell."""
+def deal(items: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Items (print and other columns) to (cell, print, others): each pair within the radius meets in some cell."""
     masks = [F.lit(_signed(m)).cast("bigint") for m in block_masks(blocks, radius)]
-    if len(masks) >= 1 << MASK_BITS:
+    if len(masks) >= (1 << MASK_BITS) - 1:
         raise ValueError(f"{len(masks)} combinations of blocks are too many")
-    no = F.col("mask_no")
-    dealt = items.select("print", F.posexplode(F.array(*masks)).alias("mask_no", "mask")).select(
-        "print", no, _cell_number(no, F.col("print").bitwiseAND(F.col("mask"))).alias("shard")
+    return items.select("*", F.posexplode(F.array(*masks)).alias("mask_no", "mask")).select(
+        _cell_number(F.col("mask_no"), F.col("print").bitwiseAND(F.col("mask"))).alias("cell"), *items.columns
     )
-    large = (
-        dealt.groupBy("shard")
-        .agg(F.count("*").alias("members"))
-        .filter(F.col("members") > shard)
-        .select("shard", F.ceil(F.col("members") / F.lit(max(1, shard // 2))).cast("int").alias("slices"))
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: int | None = None):
+    """Batches sorted by cell as (fits, columns): whole cells, cell first, several at a time.
+
+    Of a cell with more rows than ``most`` the rows come as they are read, in
+    parts, with fits False; no more than one batch and ``most`` rows are held.
+    """
+    held, large = None, None
+    for batch in batches:
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", *columns)]
+        now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        held = None
+        while len(now[0]):
+            cell = now[0]
+            begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            if large is not None and cell[0] == large:
+                end = begin[1] if len(begin) > 1 else len(cell)
+                yield False, [x[:end] for x in now]
+                now = [x[end:] for x in now]
+                continue
+            sizes = np.diff(np.r_[begin, len(cell)])
+            over = np.flatnonzero(sizes > most) if most is not None else []
+            end = begin[over[0]] if len(over) else begin[-1]
+            if end:
+                yield True, [x[:end] for x in now]
+            now = [x[end:] for x in now]
+            if not len(over):
+                held = now
+                break
+            large = now[0][0]
+    if held is not None and len(held[0]):
+        yield True, held
+
+
+def trees_of(cell: np.ndarray) -> np.ndarray:
+    """The number of each row's cell, from 0, of rows sorted by cell."""
+    return np.cumsum(np.r_[True, cell[1:] != cell[:-1]]) - 1
+
+
+def shared_cells(cell: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+    """The rows of cells with two or more rows."""
+    begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sizes = np.diff(np.r_[begin, len(cell)])
+    many = np.repeat(sizes > 1, sizes)
+    return [x[many] for x in (cell, *others)]
+
+
+def over_cells(dealt: DataFrame, work, schema: str, shard: int) -> DataFrame:
+    """Apply work(cell, *columns) to whole cells of (cell, print, ...), all bigint, with one shuffle of all rows.
+
+    work yields lists of arrow arrays by schema.  Rows of cells over ``shard``
+    come back unworked; those alone are counted, cut into slices, and each pair
+    of slices is dealt again as a cell of its own.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    columns = [c for c in dealt.columns if c != "cell"]
+    over_names = [f"over_{c}" for c in ("cell", *columns)]
+
+    def run(most):
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for fits, parts in whole_cells(batches, columns, most):
+                if not fits:
+                    nothing = [pa.nulls(len(parts[0]), pa.int64())] * len(names)
+                    yield pa.RecordBatch.from_arrays([*nothing, *map(pa.array, parts)], names=[*names, *over_names])
+                    continue
+                parts = shared_cells(*parts)
+                if len(parts[0]):
+                    for made in work(*parts):
+                        nothing = [pa.nulls(len(made[0]), pa.int64())] * len(over_names)
+                        yield pa.RecordBatch.from_arrays([*made, *nothing], names=[*names, *over_names])
+
+        return cells
+
+    whole = ", ".join([schema, *(f"{c} bigint" for c in over_names)])
+    sort = lambda df: df.repartition("cell").sortWithinPartitions("cell", *columns)
+    first = staged(sort(dealt).mapInArrow(run(shard), whole))
+    done = first.filter(F.col("over_cell").isNull()).select(*names)
+    over = first.filter(F.col("over_cell").isNotNull()).select(*[F.col(f"over_{c}").alias(c) for c in ("cell", *columns)])
+    if over.isEmpty():
+        return done
+    sizes = over.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(max(1, shard // 2))).cast("int").alias("slices"))
+    marked = over.join(sizes.hint("merge"), "cell").withColumn(
+        "slice", F.pmod(F.xxhash64(*columns), F.col("slices")).cast("int")
     )
-    marked = dealt.join(staged(large).hint("merge"), "shard", "left")
-    own = F.coalesce(F.pmod(F.xxhash64(F.col("print"), F.lit(1)), F.col("slices")).cast("int"), F.lit(0))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("slices") - 1),
         lambda j: F.struct(F.least(j, F.col("slice")).alias("low"), F.greatest(j, F.col("slice")).alias("high")),
     )
-    whole = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
-    sliced = marked.withColumn("slice", own).withColumn(
-        "pair", F.explode(F.when(F.col("slices").isNull(), whole).otherwise(pairs))
-    )
-    cell = F.when(F.col("slices").isNull(), F.col("shard")).otherwise(
-        _cell_number(no, F.col("shard"), F.col("pair.low"), F.col("pair.high"))
+    mask_no = F.col("cell").bitwiseAND(F.lit((1 << MASK_BITS) - 1))
+    again = marked.withColumn("pair", F.explode(pairs)).select(
+        _cell_number(mask_no, F.col("cell"), F.col("pair.low"), F.col("pair.high")).alias("cell"), *columns
     )
-    return sliced.select(cell.alias("cell"), "print")
+    return done.unionByName(sort(again).mapInArrow(run(None), whole).select(*names))
+
+
+def near_pairs(prints: np.ndarray, tree: np.ndarray, radius: int, step: int = 2_000_000):
+    """(earlier, later) rows of one tree within the radius, found with a BK-tree for each, some at a time."""
+    forest, rows = Forest(prints, tree), np.arange(len(prints))
+    at = np.cumsum(np.bincount(tree)[tree]) // step  # queries by what they can visit
+    for part in np.split(rows, np.flatnonzero(np.diff(at)) + 1):
+        for who, item in forest.within(prints[part], tree[part], radius):
+            who = part[who]
+            earlier = item < who
+            if earlier.any():
+                yield item[earlier], who[earlier]
 
 
 def links(items: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
     """Distinct prints to (a, b): links whose groups are those of all links within the radius."""
 
-    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def found(cell, prints):
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            sizes = np.diff(np.r_[starts, len(cell)])
-            many = np.repeat(sizes > 1, sizes)
-            cell, prints = cell[many], prints[many].view(np.uint64)
-            if not len(cell):
-                return
-            tree = np.cumsum(np.r_[True, cell[1:] != cell[:-1]]) - 1
-            forest, groups = Forest(prints, tree), Groups(len(prints))
-            sizes = np.bincount(tree)[tree]
-            step_at = np.cumsum(sizes) // 2_000_000  # queries at a time, by what they can visit
-            for part in np.split(np.arange(len(prints)), np.flatnonzero(np.diff(step_at)) + 1):
-                for who, item in forest.within(prints[part], tree[part], radius):
-                    groups.join(part[who], item)
-            root = groups.roots(np.arange(len(prints)))
-            linked = root != np.arange(len(prints))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prints[linked].view(np.int64)), pa.array(prints[root[linked]].view(np.int64))], names=["a", "b"]
-            )
+    def forests(cell, prints):
+        prints = prints.view(np.uint64)
+        tree, groups = trees_of(cell), Groups(len(prints))
+        for a, b in near_pairs(prints, tree, radius):
+            groups.join(a, b)
+        root = groups.roots(np.arange(len(prints)))
+        linked = root != np.arange(len(prints))
+        yield [pa.array(prints[linked].view(np.int64)), pa.array(prints[root[linked]].view(np.int64))]
 
-        for batch in batches:
-            cell = np.concatenate([held[0], batch.column("cell").to_numpy()])
-            prints = np.concatenate([held[1], batch.column("print").to_numpy()])
-            last = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on
-            yield from found(cell[:last], prints[:last])
-            held = cell[last:], prints[last:]
-        yield from found(*held)
-
-    dealt = cells(items, radius, blocks, shard).repartition("cell").sortWithinPartitions("cell", "print")
-    return dealt.mapInArrow(forests, "a bigint, b bigint")
+    return over_cells(deal(items, radius, blocks), forests, "a bigint, b bigint", shard)
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD, shingle: int = SHINGLE) -> DataFrame:
