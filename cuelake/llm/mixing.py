@@ -138,7 +138,8 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat
     for copy in range(max_repeats):
         at = F.col("start") + F.lit(copy) * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("wanted") - at)).cast("bigint")
-        time = demand_time(F.col("weight"), at.cast("double") / F.col("target"), schedules)
+        share = F.when(F.col("target") > 0, at.cast("double") / F.col("target"))
+        time = demand_time(F.col("weight"), share, schedules)
         copies.append(F.struct(F.lit(copy).alias("copy"), words.alias("words"), time.alias("position")))
     made = F.filter(F.array(*copies), lambda c: c["words"] > 0)
     taken = F.aggregate(F.col("copies"), F.lit(0).cast("bigint"), lambda s, c: s + c["words"])
