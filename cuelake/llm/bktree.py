@@ -73,6 +73,17 @@ class Groups:
                 return out
             out = up
 
+    def root(self, item: int) -> int:
+        while (up := int(self.parent[item])) != item:
+            item = up
+        return item
+
+    def join_one(self, a: int, b: int) -> bool:
+        """Join two items; False if they were together."""
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
             ra, rb = self.roots(a), self.roots(b)
