@@ -183,7 +183,7 @@ def over_cells(dealt: DataFrame, work, schema: str, shard: int) -> DataFrame:
         return cells
 
     whole = ", ".join([schema, *(f"{c} bigint" for c in over_names)])
-    sort = lambda df: df.repartition("cell").sortWithinPartitions("cell", *columns)
+    sort = lambda df: df.repartition("cell").sortWithinPartitions("cell")  # noqa: E731  one number: radix sort
     first = staged(sort(dealt).mapInArrow(run(shard), whole))
     done = first.filter(F.col("over_cell").isNull()).select(*names)
     over = first.filter(F.col("over_cell").isNotNull()).select(*[F.col(f"over_{c}").alias(c) for c in ("cell", *columns)])
