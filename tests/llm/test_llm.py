@@ -273,6 +273,36 @@ def test_edit_distance():
         assert got == row[-1] if row[-1] <= most else got > most
 
 
+def test_edits_by_words_is_an_upper_bound():
+    draw = np.random.default_rng(7)
+    words = ["a", "bb", "abc", "é", "dddd", "ab", "ñandú"]
+    for _ in range(1000):
+        x = list(draw.choice(words, draw.integers(1, 12)))
+        y = list(x)
+        for _ in range(draw.integers(0, 5)):
+            k = int(draw.integers(0, len(y) + 1))
+            y[k : k + int(draw.integers(0, 2))] = list(draw.choice(words, draw.integers(0, 2)))
+        a, b = " ".join(x), " ".join(y)
+        assert line_dedup.edits_by_words(a.encode(), b.encode(), 10**6) >= line_dedup.edit_distance(a, b, 10**6)
+
+
+def test_word_hashes_and_prints(monkeypatch):
+    draw = np.random.default_rng(8)
+    plain = lambda ws: [xxhash.xxh64_intdigest(w) for w in ws]
+    for step in (1 << 18, 50, 1):
+        monkeypatch.setattr(line_dedup, "_STEP_BYTES", step)
+        ws = [bytes(draw.integers(33, 256, n).astype(np.uint8)) for n in [*range(1, 70), 500]]
+        assert line_dedup.word_hashes(b" ".join(ws)).tolist() == plain(ws)
+    lines = [[b"%x" % x for x in draw.integers(0, 40, n)] for n in (1, 5, 254, 255, 256, 900)]
+    prints, kin = line_dedup.prints_of([b" ".join(x) for x in lines], [len(x) for x in lines])
+
+    def simhash(h):
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    assert prints.tolist() == [simhash(plain(x)) for x in lines]
+    assert kin.tolist() == [simhash(plain(set(x))) >> 16 for x in lines]
+
+
 def test_language_id(spark, sf_dir):
     where = sf_dir.replace("sf0.001", "sf0.01")
     r = language_id.op9_language_id(spark, where).toPandas().merge(table(spark, where, "documents").toPandas(), on="doc_id")
