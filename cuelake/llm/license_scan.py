@@ -3,8 +3,10 @@ r"""Licence scan with a positional rare-token index, in DataFrame expressions on
 Licence templates are short word sequences.  Their postings (word -> template,
 position) leave out function words.  For each document:
 
-1. the licence words it has are ranked by inverse document frequency, which is
-   counted over all documents, and the RARE highest are looked up;
+1. of each template the licence words it has are ranked by inverse document
+   frequency, which is counted over all documents, and the RARE highest of each
+   template are looked up; no template here has more, so none loses postings to
+   another licence of the same file;
 2. each place of such a word, less the word's position in a template, is a
    place where the template would start; starts that two or more different
    words agree on are candidates (an intersection of postings by relative
@@ -52,7 +54,8 @@ TEMPLATES = (
 )
 #: Words that are not indexed.
 FUNCTION_WORDS = frozenset("a an and any are as at by can following for form forms in is it may met not of on or that the this to under use with without work you".split())
-RARE = 8
+#: Words of each template to look up.
+RARE = 12
 NEAR = 4
 LEAST_SHARE = 0.6
 
@@ -100,7 +103,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base_phrases=BASE_PHRASES
         w: [(t, i) for t, (_, text, _) in enumerate(templates) for i, x in enumerate(text.split()) if x == w]
         for w in vocabulary
     }
-    idf_map = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])])
+    by_rarity = [sorted(set(text.split()) & set(vocabulary), key=lambda w: (-idf[w], w)) for _, text, _ in templates]
     postings_map = F.create_map(
         *[
             x
@@ -141,10 +144,10 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base_phrases=BASE_PHRASES
             F.transform(at, lambda i: F.transform(postings_map[word], lambda p: F.struct(p["template"].alias("template"), (i - p["at"]).alias("start"))))
         )
 
-    ranked = F.array_sort(F.transform("__present", lambda w: F.struct((-idf_map[w]).alias("r"), w.alias("w"))))
-    looked_up = F.transform(F.slice(ranked, 1, rare), lambda x: x["w"])
-    indexed = F.filter(looked_up, lambda w: F.array_contains(_texts([w for w in vocabulary if postings[w]]), w))
-    lists = F.transform(indexed, starts_of)
+    looked_up = F.array_distinct(
+        F.flatten(F.array(*[F.slice(F.array_intersect(_texts(own), F.col("__present")), 1, rare) for own in by_rarity if own]))
+    )
+    lists = F.transform(looked_up, starts_of)
     agreed = F.array_distinct(
         F.flatten(
             F.transform(

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, SQL and planted cases."""
 
+import itertools
 import re
 import string
 import zlib
@@ -96,6 +97,19 @@ def test_license_template_without_its_name(spark):
     assert (r.base_labels, r.labels, r.found[0].start) == ("", "mit", 50)
 
 
+def test_license_several_in_one_file(spark):
+    vocabulary = license_scan._vocabulary(license_scan.TEMPLATES, ())
+    assert max(len(set(t.split()) & set(vocabulary)) for _, t, _ in license_scan.TEMPLATES) <= license_scan.RARE
+    numbers = range(len(license_scan.TEMPLATES))
+    sets = [c for k in (1, 2, 3, 4, len(numbers)) for c in itertools.combinations(numbers, k)]
+    texts = [(i, "x " * 40 + " y z ".join(license_scan.TEMPLATES[t][1] for t in c) + " y" * 40) for i, c in enumerate(sets)]
+    got = license_scan.license_scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    for r in got:
+        want = sets[r.doc_id]
+        assert r.labels == ",".join(sorted({license_scan.TEMPLATES[t][0] for t in want}))
+        assert {f.template for f in r.found if f.share == 1} >= set(want)
+
+
 def test_decontaminate(spark, sf_dir, docs):
     got = {(r.doc_id, r.item_id) for r in decontaminate.op2_decontaminate(spark, sf_dir).collect()}
     items = table(spark, sf_dir, "benchmark").toPandas()
