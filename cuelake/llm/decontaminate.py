@@ -15,8 +15,10 @@ searched cursor by cursor within the range.
 
 An item found is verified on five-word shingles: at least OVERLAP of those of
 the question and of the answer must stand in the passage.  With no answer
-column, the last sentence of an item is its answer and the rest its question;
-parts too short for a shingle are compared as a whole word sequence.
+column, the last sentence of an item is its answer and the rest its question,
+and an item counts as well if at least OVERLAP of the shingles of its whole
+text stand there, whatever its last sentence.  Texts too short for a shingle
+are compared as a whole word sequence.
 
 The index goes to tasks in shards of at most SHARD_WORDS words, each read from
 the item table by its share of the hash range; a table of tests that fits one
@@ -73,13 +75,14 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
 class Index:
     """Postings of a shard of items, and their shingles."""
 
-    def __init__(self, items: list[tuple]):
-        """items: (item_id, question, answer) with a word in either."""
+    def __init__(self, items: list[tuple], whole: bool = False):
+        """items: (item_id, question, answer) with a word in either; whole: its whole text verifies an item too."""
         self.ids = [i for i, _, _ in items]
         parts = [(tokens(q.encode()), tokens(a.encode())) for _, q, a in items]
         words = [q + a for q, a in parts]
         self.longest = max((len(w) for w in words), default=1)
         self.parts = [[(len(p), shingles(p)) for p in pair if p] for pair in parts]
+        self.wholes = [(len(w), shingles(w)) for w in words] if whole else None
         mean = sum(map(len, words)) / max(1, len(words))
         counts: dict[bytes, list[tuple[int, int]]] = {}
         for n, w in enumerate(words):
@@ -196,16 +199,16 @@ class Index:
             for r in np.flatnonzero(self.range_most[terms].sum(axis=0) >= slack).tolist():
                 found += self.search(terms.tolist(), threshold, r * self.width, min(len(self.ids), (r + 1) * self.width))
             here = shingles(words[start:end]) if found else set()
+
+            def share(size, own, start=start, end=end, here=here):
+                if size >= SHINGLE:
+                    return len(own & here) / len(own)
+                run = next(iter(own))
+                return float(any(tuple(words[i : i + size]) == run for i in range(start, end - size + 1)))
+
             for item, score in found:
-                shares = []
-                for size, own in self.parts[item]:
-                    if size < SHINGLE:
-                        whole = next(iter(own))
-                        inside = any(tuple(words[i : i + size]) == whole for i in range(start, end - size + 1))
-                        shares.append(1.0 if inside else 0.0)
-                    else:
-                        shares.append(len(own & here) / len(own))
-                if min(shares) >= overlap:
+                shares = [share(*part) for part in self.parts[item]]
+                if min(shares) >= overlap or (self.wholes and share(*self.wholes[item]) >= overlap):
                     made = (score, shares[0], shares[-1])
                     out[item] = max(out.get(item, made), made)
         return out
@@ -240,7 +243,7 @@ def contaminated(
         held = spark.sparkContext.broadcast([p for p in pairs if tokens((p[1] + " " + p[2]).encode())])
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
+            index = Index(held.value, whole=not split)
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):

@@ -121,6 +121,21 @@ def test_decontaminate(spark, sf_dir, docs):
     assert want and want <= got and len(got - want) <= 1
 
 
+def test_decontaminate_by_whole_items(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").toPandas()
+    draw, rows, want = np.random.default_rng(2), [], set()
+    for i, text in zip(items.item_id, items.text):
+        words = decontaminate.tokens(text.encode())
+        whole = decontaminate.shingles(words)
+        for k in [*draw.integers(0, len(words), 5).tolist(), len(words) - 1]:
+            copy = [b"lorem"] * 30 + words[:k] + [b"changed"] + words[k + 1 :] + [b"ipsum"] * 30
+            if len(words) >= 5 and len(whole & decontaminate.shingles(copy)) / len(whole) >= 0.8:
+                want.add((len(rows), i))
+            rows.append((len(rows), b" ".join(copy).decode()))
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), table(spark, sf_dir, "benchmark"))
+    assert want and want <= {(r.doc_id, r.item_id) for r in found.collect()}
+
+
 def test_wand_finds_all_above_threshold():
     draw = np.random.default_rng(1)
     words = [f"w{i}" for i in range(60)]
