@@ -14,8 +14,10 @@ One pass sums the references (a few hundred counts for each language, combined
 in each task before the shuffle), one pass scores.  No row moves between tasks.
 
 Defined results: null and empty texts have no words and fail the word count;
-null or unseen languages use the reference over all languages, as do languages
-with no listed words for the word test's bins; equal rows get equal rows;
+null languages use the character reference over all languages; null languages
+and those with no word list are judged by the nearest of all lists, each against
+the reference of its language or, where the table has no text of any listed
+language, against the sum of its bins over all documents; equal rows get equal rows;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -155,8 +157,10 @@ def references(docs: DataFrame, common_words: dict[str, list[str]] = COMMON_WORD
                 classes, _, _, hashes = _text_counts(text)
                 for name in {lang, None}:
                     add((name, None, "char"), classes)
-                if lang in listed:
-                    add((lang, lang, "word"), _word_bins(hashes, *listed[lang], len(common_words[lang])))
+                for own in listed:
+                    bins = _word_bins(hashes, *listed[own], len(common_words[own]))
+                    for name in {lang, None} if lang == own else {None}:
+                        add((name, own, "word"), bins)
         rows = [(*key, i, int(n)) for key, counts in total.items() for i, n in enumerate(counts)]
         if rows:
             yield pa.RecordBatch.from_arrays(
@@ -190,7 +194,7 @@ def quality_rules(
     spark = docs.sparkSession
     found: dict[tuple, dict[int, int]] = {}
     for r in references(docs, common_words).collect():
-        found.setdefault((r.lang, r.kind), {})[r.bin] = r.n
+        found.setdefault((r.lang, r.words_of, r.kind), {})[r.bin] = r.n
     known = {k: np.array([v.get(i, 0) for i in range(max(v) + 1)], float) for k, v in found.items()}
     shared = spark.sparkContext.broadcast(known)
     n_pass = len(pass_columns)
@@ -199,6 +203,8 @@ def quality_rules(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, reference = _listed(common_words), shared.value
+        nearest = [(own, (own, own, "word")) for own in listed if reference.get((own, own, "word"), np.zeros(1)).sum()]
+        nearest = nearest or [(own, (None, own, "word")) for own in listed]
         for batch in batches:
             rows = []
             for lang, text in zip(batch.column("__lang").to_pylist(), as_bytes(batch.column("__text"))):
@@ -207,9 +213,10 @@ def quality_rules(
                 failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
                 by_char = by_word = 0.0
                 if classes.sum() >= MIN_CHARS:
-                    by_char = _distance(classes, reference[(lang if (lang, "char") in reference else None, "char")])
-                if lang in listed and n >= MIN_HISTOGRAM_WORDS:
-                    by_word = _distance(_word_bins(hashes, *listed[lang], len(common_words[lang])), reference[(lang, "word")])
+                    by_char = _distance(classes, reference[(lang if (lang, None, "char") in reference else None, None, "char")])
+                if listed and n >= MIN_HISTOGRAM_WORDS:
+                    lists = [(lang, (lang, lang, "word"))] if lang in listed else nearest
+                    by_word = min(_distance(_word_bins(hashes, *listed[own], len(common_words[own])), reference[of]) for own, of in lists)
                 far = by_char > char_bound[0] + char_bound[1] / max(1, classes.sum()) ** 0.5
                 far = far or by_word > word_bound[0] + word_bound[1] / max(1, n) ** 0.5
                 kept = not failed and not far

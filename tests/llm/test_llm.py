@@ -198,6 +198,22 @@ def test_quality_rules(spark, sf_dir, docs):
     assert kept[kept.quality == 0].kept.mean() < 0.1
 
 
+def test_quality_rules_without_language(spark, sf_dir):
+    base = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents").select("doc_id", "lang", "text")
+    labels = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "labels")
+    known = {r.doc_id: r for r in quality_rules.quality_rules(base).collect()}
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    listed = base.crossJoin(spark.createDataFrame([(0,), (1,)], "copy int"))
+    for other in (None, "xx"):
+        # a copy of each labelled text with its language, one without
+        mixed = listed.select((F.col("doc_id") * 2 + F.col("copy")).alias("doc_id"), F.when(F.col("copy") == 0, F.col("lang")).otherwise(F.lit(other)).alias("lang"), "text")
+        got = {r.doc_id // 2: r.kept for r in quality_rules.quality_rules(mixed).collect() if r.doc_id % 2}
+        junk = [i for i, q in quality.items() if q == 0 and not known[i].base_failed]
+        good = [i for i, q in quality.items() if q == 1 and not known[i].base_failed]
+        assert sum(got[i] for i in junk) <= sum(known[i].kept for i in junk) + 1
+        assert sum(got[i] for i in good) >= 0.98 * len(good)
+
+
 def test_chat_events(spark):
     events = [
         (1, 0, "message", 0, "user", "hi </s>"), (1, 1, "message", 1, "assistant", ""), (1, 2, "delta", 1, None, "one "), (1, 3, "delta", 1, None, "two"),
