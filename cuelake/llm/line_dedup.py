@@ -19,9 +19,10 @@ some other line lies within the radius, and only to the cell in which the pair
 is judged.  Inside a cell pairs that are connected already are not judged
 again, and a cell gives a spanning forest of its links.
 
-Defined results: null text stays null and has no lines; rows with equal doc_id
-count as one document for the place of a line, so equal rows keep the same
-lines; a null doc_id sorts first; an empty table gives an empty result; other
+Defined results: null text stays null and has no lines; rows are known by doc_id
+and text, so rows of null or equal doc_id and other texts are documents of their
+own, and equal rows keep the same lines; places are ordered by doc_id, a null
+one first, then line number, then a hash of the row; an empty table gives an empty result; other
 columns pass through unless they carry a result's name.
 """
 
@@ -219,20 +220,28 @@ def prints_of(lines: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndar
     return _simhashes(hashes, sizes), _simhashes(own & np.uint64((1 << KIN_BITS) - 1), once)
 
 
+def with_row(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """docs with a hash of doc_id and text, by which rows are known."""
+    own = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull())
+    return docs.withColumn(name, own)
+
+
 def line_prints(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, line_no, key, print, kin) of every line of min_words words or more."""
-    schema = "doc_id bigint, line_no int, key binary, print bigint, kin bigint"
+    """(doc_id, row, line_no, key, print, kin) of every line of min_words words or more."""
+    schema = "doc_id bigint, row bigint, line_no int, key binary, print bigint, kin bigint"
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest128 = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, numbers, keys, lengths, made = [], [], [], [], []
+            ids, rows, numbers, keys, lengths, made = [], [], [], [], [], []
             lines, sizes, held = [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
+            known = zip(batch.column("doc_id").to_pylist(), batch.column("__row").to_pylist(), as_bytes(batch.column("text")))
+            for doc, row, text in known:
                 for i, words in enumerate(normal_lines(text)):
                     if len(words) >= min_words:
                         line = b" ".join(words)
                         ids.append(doc)
+                        rows.append(row)
                         numbers.append(i)
                         keys.append(digest128(line))
                         lengths.append(min(LONGEST, len(line) if line.isascii() else len(line.decode())))
@@ -249,13 +258,14 @@ def line_prints(docs: DataFrame, min_words: int) -> DataFrame:
                 kins = distinct | np.array(lengths, np.uint64) << np.uint64(KIN_BITS)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()),
+                        pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()),
+                        pa.array(keys, pa.binary()),
                         pa.array(own.view(np.int64)), pa.array(kins.view(np.int64)),
                     ],
-                    names=["doc_id", "line_no", "key", "print", "kin"],
+                    names=["doc_id", "row", "line_no", "key", "print", "kin"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(prints, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "__row", "text").mapInArrow(prints, schema)
 
 
 class Judge:
@@ -314,13 +324,13 @@ def judged_links(lines: DataFrame, judge: Judge) -> DataFrame:
 
 
 def _beside(docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
-    """Join documents with a table of at most one row for each doc_id; ``small`` must be staged."""
+    """Join documents with a table of at most one row for each __row; ``small`` must be staged."""
     side = F.broadcast(small) if small.count() <= BROADCAST_ROWS else small.hint("merge")
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["__doc"]), how).drop("__doc")
+    return docs.join(side, "__row", how)
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, line_no, key) to (key, line), the normalised lines."""
+    """(row, line_no, key) to (key, line), the normalised lines."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,9 +343,9 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.binary())], names=["key", "line"])
 
     by_doc = staged(
-        wanted.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("line_no", "key")).alias("__wanted"))
+        wanted.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("line_no", "key")).alias("__wanted"))
     )
-    held = _beside(docs.select("doc_id", "text"), by_doc, "inner").select("text", "__wanted")
+    held = _beside(docs.select("__row", "text"), by_doc, "inner").select("text", "__wanted")
     return held.mapInArrow(pick, "key binary, line binary").dropDuplicates(["key"])
 
 
@@ -348,11 +358,13 @@ def repeated_lines(
     similarity: float = SIMILARITY,
     kin_radius: int = KIN_RADIUS,
 ) -> DataFrame:
-    """(__doc, __lines): the line numbers to take out of each document that loses lines."""
+    """(__row, __lines): the line numbers to take out of each document, known by ``with_row``, that loses lines."""
     judge = Judge(radius, blocks, similarity, kin_radius)
     lines = staged(line_prints(docs, min_words))
     items = staged(
-        lines.groupBy("key", "print", "kin").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+        lines.groupBy("key", "print", "kin").agg(
+            F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count("*").alias("n")
+        )
     )
     kinds = staged(items.groupBy("print", "kin").agg(F.count("*").alias("items")))
     paired = cells_with_pairs(kinds.select("print", "kin"), judge, blocks, shard)
@@ -361,7 +373,7 @@ def repeated_lines(
     )
     judged_in = staged(paired.unionByName(equal).distinct())
     candidates = staged(items.join(judged_in.hint("merge"), ["print", "kin"]).select("cell", "print", "kin", "key", "first"))
-    wanted = candidates.select("first.doc_id", "first.line_no", "key").distinct()
+    wanted = candidates.select("first.row", "first.line_no", "key").distinct()
     texts = staged(line_texts(docs, wanted))
     links = judged_links(candidates.drop("first").join(texts.hint("merge"), "key"), judge)
     roots = connected(links).withColumnRenamed("node", "key")
@@ -369,13 +381,13 @@ def repeated_lines(
     groups = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total"))
     repeated = groups.filter(F.col("total") > 1).select("root", "keep")
     keepers = staged(grouped.select("key", "root").join(repeated.hint("merge"), "root").select("key", "keep"))
-    gone = lines.join(keepers.hint("merge"), "key").filter(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keep")))
-    return gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__lines"))
+    gone = lines.join(keepers.hint("merge"), "key").filter(~F.struct("doc_id", "line_no", "row").eqNullSafe(F.col("keep")))
+    return gone.groupBy(F.col("row").alias("__row")).agg(F.collect_set("line_no").alias("__lines"))
 
 
 def line_dedup(docs: DataFrame, **parameters) -> DataFrame:
     """docs with repeated lines taken out of text, and n_lines and n_removed (lines before, lines gone)."""
-    docs = docs.drop("n_lines", "n_removed")
+    docs = with_row(docs.drop("n_lines", "n_removed"))
     gone = staged(repeated_lines(docs, **parameters))
     joined = _beside(docs, gone, "left")
     parts = F.split("text", "\n", -1)
@@ -384,7 +396,7 @@ def line_dedup(docs: DataFrame, **parameters) -> DataFrame:
         joined.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("bigint"))
         .withColumn("n_removed", F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint"))
         .withColumn("text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-        .drop("__lines")
+        .drop("__lines", "__row")
     )
 
 

@@ -304,6 +304,24 @@ def test_line_dedup(spark, sf_dir, docs, shard):
         assert got[i].text == "\n".join(left) and got[i].n_removed == len(gone.get(i, ()))
 
 
+def test_rows_of_null_and_equal_ids(spark):
+    """Rows of null or equal doc_id are documents of their own, in line dedup and in the pipeline's stages."""
+    line = "the lamp of the old house by the river was lit again at "
+    texts = [f"{line}{n}\nonly in {n} a boat came along the shore" for n in ("night", "noon")]
+    rows = [(None, texts[0]), (None, "short\n" * 2 + "one row of its own that stands here alone\n" + texts[1]), (None, None), (7, "alone"), (7, texts[1]), (7, texts[1])]
+    docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for whole in (False,):
+        got = line_dedup.line_dedup(docs).collect()
+        assert len(got) == len(rows) and sum(r.text is None for r in got) == 1
+        left = Counter(x for r in got if r.text for x in r.text.split("\n"))
+        assert left["one row of its own that stands here alone"] == left["only in night a boat came along the shore"] == left["alone"] == 1
+    words = [" ".join(f"{w}{k}" for k in range(40)) for w in ("ab", "cd", "ef")]
+    near = [(None, words[0]), (None, words[1]), (None, words[1]), (5, words[2]), (5, words[0] + " more"), (4, words[2])]
+    docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in near], docs.schema)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id", "text").collect()
+    assert (4, words[2]) in kept and (None, words[1]) in kept and len({r.text[:2] for r in kept}) == 3
+
+
 def test_edit_distance():
     draw = np.random.default_rng(5)
     for _ in range(500):
