@@ -5,6 +5,10 @@ lower case, digits to 0, other ASCII characters than letters and digits to
 spaces, words joined by one space).  Lines with fewer than MIN_WORDS words say
 too little to be called repeated and always stay.
 
+With ``whole`` (as op7 and the pipeline run it) repeats of every line with a word
+are taken out, and lines of MIN_CHARS code points or more are linked whatever
+their words; MIN_WORDS then holds for none.
+
 Equal normalised lines are one item (grouped first, combined in each task).
 Items get a SimHash of their words with repeats; pairs within RADIUS bits are
 found by pigeonhole blocks, which deal the SimHashes to bounded cells.  Lines
@@ -14,6 +18,12 @@ bits).  It is linked if its edit similarity (1 - edits / length of the longer)
 is at least SIMILARITY.  Of each connected group the first occurrence by (doc_id, line
 number) stays; all others are taken out of their documents.
 
+With ``whole`` lines also meet in cells of shared runs: the RUNS least hashes of
+a line's runs of 16 bytes (of 8 or 4 in short lines).  Every pair of such a cell
+is judged whatever its SimHashes, so neither the radius nor the screen is the
+last word; pairs are passed over only by bounds that edit similarity cannot
+break (length, counts of letter pairs).
+
 Only SimHashes are dealt to cells at first; the text of a line moves only if
 some other line lies within the radius, and only to the cell in which the pair
 is judged.  Inside a cell pairs that are connected already are not judged
@@ -47,6 +57,13 @@ BLOCKS = 6
 SHARD = 4096
 KIN_RADIUS = 14
 SIMILARITY = 0.8
+#: Code points from which lines are linked (the least that MIN_WORDS words have).
+MIN_CHARS = 9
+#: Hashes of runs for each length of run; (bytes of a run, least and most bytes of the lines); lines of 0.8 times the length share one.
+RUNS = 8
+RUN_SIZES = ((16, 64, None), (8, 20, 80), (4, 0, 25))
+#: The low bits of a cell of a shared run.
+RUN_CELL = (1 << MASK_BITS) - 2
 #: Rows up to which a table of line numbers by document goes to all tasks; beyond, both sides are sorted.
 BROADCAST_ROWS = 200_000
 #: The constants of XXH64 (fixed values).
@@ -226,9 +243,84 @@ def with_row(docs: DataFrame, name: str = "__row") -> DataFrame:
     return docs.withColumn(name, own)
 
 
+def run_hashes(line: bytes) -> set[int]:
+    """For each length of run that fits the line, the RUNS least hashes, cut to leave MASK_BITS low bits for RUN_CELL."""
+    padded, out = line + bytes(16), set()
+    at = np.ndarray(len(line) + 9, "<u8", padded, strides=(1,))
+    for size, least, most in RUN_SIZES:
+        if len(line) < least or (most is not None and len(line) >= most):
+            continue
+        n = max(1, len(line) - size + 1)
+        h = (at[:n] << np.uint64(32) if size == 4 else at[:n]) * _XXH64[0]
+        h ^= h >> np.uint64(29)
+        if size == 16:
+            h = (h ^ at[8 : 8 + n]) * _XXH64[1]
+            h ^= h >> np.uint64(29)
+        h = h * _XXH64[2]
+        h = (h ^ h >> np.uint64(32)) * _XXH64[0] + np.uint64(size)
+        if n > 4 * RUNS:
+            some = sorted(set(np.partition(h, 4 * RUNS)[: 4 * RUNS].tolist()))
+            if len(some) < RUNS:
+                some = np.unique(h).tolist()
+        else:
+            some = sorted(set(h.tolist()))
+        out.update(x & ~63 | RUN_CELL for x in some[:RUNS])
+    return out
+
+
+def run_cells(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(cell, print, kin) of each distinct line of a task; print is the line's id, kin its length."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            dealt, ids, lengths = [], [], []
+            for text in as_bytes(batch.column("text")):
+                for words in normal_lines(text):
+                    line = b" ".join(words)
+                    length = len(line) if line.isascii() else len(line.decode())
+                    if length < max(1, min_chars):
+                        continue
+                    own = line_id(xxhash.xxh3_128_digest(line))
+                    if own in seen:
+                        continue
+                    if len(seen) == 1_000_000:
+                        seen.clear()
+                    seen.add(own)
+                    runs = run_hashes(line)
+                    dealt.extend(runs)
+                    ids.extend([own] * len(runs))
+                    lengths.extend([min(LONGEST, length) << KIN_BITS] * len(runs))
+            made = [pa.array(np.array(dealt, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, names=["cell", "print", "kin"])
+
+    return docs.select("text").mapInArrow(cells, "cell bigint, print bigint, kin bigint")
+
+
+def line_id(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def pairs_of_cells(cell: np.ndarray):
+    """(earlier, later) rows of one cell, all pairs, by their distance; rows are sorted by cell."""
+    begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sizes = np.diff(np.r_[begin, len(cell)])
+    end, rows, apart = np.repeat(begin + sizes, sizes), np.arange(len(cell)), 1
+    while len(rows := rows[rows + apart < end[rows]]):
+        yield rows, rows + apart
+        apart += 1
+
+
+def letter_pairs(line: bytes) -> np.ndarray:
+    """Counts of a line's pairs of neighbouring code points, in 256 bins; an edit changes at most four of them by one."""
+    codes = np.frombuffer(line, np.uint8) if line.isascii() else np.frombuffer(line.decode().encode("utf-32-le"), np.uint32)
+    codes = codes.astype(np.int64)
+    return np.minimum(np.bincount((codes[:-1] * 37 + codes[1:]) & 255, minlength=256), LONGEST).astype(np.int32)
+
+
 def line_prints(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, row, line_no, key, print, kin) of every line of min_words words or more."""
-    schema = "doc_id bigint, row bigint, line_no int, key binary, print bigint, kin bigint"
+    """(doc_id, row, line_no, key, id, print, kin) of every line of min_words words or more."""
+    schema = "doc_id bigint, row bigint, line_no int, key binary, id bigint, print bigint, kin bigint"
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest128 = xxhash.xxh3_128_digest
@@ -259,10 +351,10 @@ def line_prints(docs: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()),
-                        pa.array(keys, pa.binary()),
+                        pa.array(keys, pa.binary()), pa.array([line_id(k) for k in keys], pa.int64()),
                         pa.array(own.view(np.int64)), pa.array(kins.view(np.int64)),
                     ],
-                    names=["doc_id", "row", "line_no", "key", "print", "kin"],
+                    names=["doc_id", "row", "line_no", "key", "id", "print", "kin"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint"), "__row", "text").mapInArrow(prints, schema)
@@ -275,6 +367,32 @@ class Judge:
         self.radius, self.similarity, self.kin_radius = radius, similarity, kin_radius
         self.masks = np.array(block_masks(blocks, radius), np.uint64)
 
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether two lengths allow the similarity."""
+        longer = np.maximum(a, b)
+        return (np.abs(a - b) <= (1 - self.similarity) * longer + 1e-9) | (longer == LONGEST)
+
+    def all_pairs(self, cell: np.ndarray, prints: np.ndarray, kin: np.ndarray, bags: list, step: int):
+        """pairs() of the cells of SimHashes, and of the cells of runs all pairs that length and letter pairs allow."""
+        runs = (cell & EQUAL_PRINTS) == RUN_CELL
+        rest, rows = np.flatnonzero(~runs), np.flatnonzero(runs)
+        if len(rest):
+            for a, b in self.pairs(cell[rest], prints[rest], kin[rest], step):
+                yield rest[a], rest[b]
+        if not len(rows):
+            return
+        length, bags = kin.view(np.uint64) >> np.uint64(KIN_BITS), np.stack(bags)
+        length = length.astype(np.int64)
+        for a, b in pairs_of_cells(cell[rows]):
+            a, b = rows[a], rows[b]
+            fits = self.fits(length[a], length[b])
+            a, b = a[fits], b[fits]
+            for k in range(0, len(a), 2000):
+                x, y = a[k : k + 2000], b[k : k + 2000]
+                longer = np.maximum(length[x], length[y])
+                near = (np.abs(bags[x] - bags[y]).sum(axis=1) <= 4 * ((1 - self.similarity) * longer + 1e-9)) | (longer == LONGEST)
+                yield x[near], y[near]
+
     def pairs(self, cell: np.ndarray, prints: np.ndarray, kin: np.ndarray, step: int):
         """Pairs that pass the screen, each in one cell only: that of the first mask that both agree on, or that of equals."""
         prints, kin = prints.view(np.uint64), kin.view(np.uint64)
@@ -304,13 +422,28 @@ def cells_with_pairs(items: DataFrame, judge: Judge, blocks: int, shard: int) ->
     return over_cells(deal(items, judge.radius, blocks), partners, "cell bigint, print bigint, kin bigint", shard)
 
 
+def runs_with_pairs(dealt: DataFrame, judge: Judge, shard: int) -> DataFrame:
+    """Cells of runs to (cell, id) of the lines that have a pair to judge there."""
+
+    def partners(cell, ids, kin):
+        used, length = np.zeros(len(cell), bool), kin >> KIN_BITS
+        for a, b in pairs_of_cells(cell):
+            fits = judge.fits(length[a], length[b]) & (ids[a] != ids[b])
+            used[a[fits]] = used[b[fits]] = True
+        if used.any():
+            yield [pa.array(x[used]) for x in (cell, ids)]
+
+    return over_cells(dealt, partners, "cell bigint, id bigint", shard).distinct()
+
+
 def judged_links(lines: DataFrame, judge: Judge) -> DataFrame:
     """(cell, print, kin, key, line) to (a, b): keys of a spanning forest of each cell's links."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (cell, prints, kin, keys, texts) in whole_cells(batches, ("print", "kin", "key", "line")):
             groups, out = Groups(len(prints)), []
-            for a, b in judge.pairs(cell, prints, kin, 20_000):
+            bags = [letter_pairs(x) for x in texts] if ((cell & EQUAL_PRINTS) == RUN_CELL).any() else []
+            for a, b in judge.all_pairs(cell, prints, kin, bags, 20_000):
                 open_ = groups.roots(a) != groups.roots(b)
                 for x, y in zip(a[open_].tolist(), b[open_].tolist()):
                     if groups.root(x) != groups.root(y) and similar(texts[x], texts[y], judge.similarity):
@@ -357,22 +490,30 @@ def repeated_lines(
     shard: int = SHARD,
     similarity: float = SIMILARITY,
     kin_radius: int = KIN_RADIUS,
+    whole: bool = False,
+    min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """(__row, __lines): the line numbers to take out of each document, known by ``with_row``, that loses lines."""
     judge = Judge(radius, blocks, similarity, kin_radius)
-    lines = staged(line_prints(docs, min_words))
+    lines = staged(line_prints(docs, 1 if whole else min_words))
     items = staged(
-        lines.groupBy("key", "print", "kin").agg(
+        lines.groupBy("key", "id", "print", "kin").agg(
             F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count("*").alias("n")
         )
     )
-    kinds = staged(items.groupBy("print", "kin").agg(F.count("*").alias("items")))
+    long = items.filter(F.shiftright("kin", KIN_BITS) >= min_chars) if whole else items
+    kinds = staged(long.groupBy("print", "kin").agg(F.count("*").alias("items")))
     paired = cells_with_pairs(kinds.select("print", "kin"), judge, blocks, shard)
     equal = kinds.filter(F.col("items") > 1).select(
         F.xxhash64("print", "kin").bitwiseOR(F.lit(EQUAL_PRINTS)).alias("cell"), "print", "kin"
     )
     judged_in = staged(paired.unionByName(equal).distinct())
-    candidates = staged(items.join(judged_in.hint("merge"), ["print", "kin"]).select("cell", "print", "kin", "key", "first"))
+    columns = ("cell", "print", "kin", "key", "first")
+    candidates = items.join(judged_in.hint("merge"), ["print", "kin"]).select(*columns)
+    if whole:
+        by_run = staged(runs_with_pairs(run_cells(docs, min_chars), judge, shard))
+        candidates = candidates.unionByName(items.join(by_run.hint("merge"), "id").select(*columns))
+    candidates = staged(candidates)
     wanted = candidates.select("first.row", "first.line_no", "key").distinct()
     texts = staged(line_texts(docs, wanted))
     links = judged_links(candidates.drop("first").join(texts.hint("merge"), "key"), judge)
@@ -401,4 +542,4 @@ def line_dedup(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)

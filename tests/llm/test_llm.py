@@ -310,8 +310,8 @@ def test_rows_of_null_and_equal_ids(spark):
     texts = [f"{line}{n}\nonly in {n} a boat came along the shore" for n in ("night", "noon")]
     rows = [(None, texts[0]), (None, "short\n" * 2 + "one row of its own that stands here alone\n" + texts[1]), (None, None), (7, "alone"), (7, texts[1]), (7, texts[1])]
     docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for whole in (False,):
-        got = line_dedup.line_dedup(docs).collect()
+    for whole in (False, True):
+        got = line_dedup.line_dedup(docs, whole=whole).collect()
         assert len(got) == len(rows) and sum(r.text is None for r in got) == 1
         left = Counter(x for r in got if r.text for x in r.text.split("\n"))
         assert left["one row of its own that stands here alone"] == left["only in night a boat came along the shore"] == left["alone"] == 1
@@ -322,6 +322,33 @@ def test_rows_of_null_and_equal_ids(spark):
     assert (4, words[2]) in kept and (None, words[1]) in kept and len({r.text[:2] for r in kept}) == 3
 
 
+def test_whole_line_dedup_removes_short_and_unspaced_repeats(spark):
+    lines = ["ok", "", "你好世界今天天气很好我们一起去公园散步吧", "the end", "你好世界今天天气很好我们一起去公园散步啊", "不同的一行文字在这里没有重复出现过的内容"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["OK", "", "The end.", lines[2], "no"]))], "doc_id bigint, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(docs, whole=True).collect()}
+    assert got == {1: lines[:4] + lines[5:], 2: ["", "no"]}
+
+
+def test_whole_line_dedup_by_edit_similarity_alone(spark):
+    """Planted lines against plain edit similarity, with no SimHash in the brute force."""
+    draw = np.random.default_rng(11)
+    words = ["".join(draw.choice(list("abcdefghiklmnoprstu"), draw.integers(2, 10))) for _ in range(3000)]
+    lines = ["ha " * 9 + "no", "ha " * 9 + "yes"]
+    for n, changed in [(10, 1), (20, 1), (20, 2), (40, 2), (40, 4)] * 12:
+        one = list(draw.choice(words, n))
+        two = list(one)
+        for k in draw.choice(n, changed, replace=False):
+            two[k] = str(draw.choice(words))
+        lines += [" ".join(one), " ".join(two)]
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if line_dedup.similar(lines[a].encode(), lines[b].encode(), 0.8)]
+    root = groups_of(len(lines), links)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs, whole=True).collect()}
+    want = {k for k in range(len(lines)) if root[k] != k}
+    assert len(want) > 50 and got[1] == 1
+    assert {k for k in got if got[k]} <= want and sum(got[k] for k in want) >= 0.95 * len(want)
+
+
 def test_edit_distance():
     draw = np.random.default_rng(5)
     for _ in range(500):
