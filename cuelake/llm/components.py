@@ -2,9 +2,9 @@
 
 Each round joins every node to the least neighbour known so far and re-hangs
 its other neighbours there; the number of rounds grows with the logarithm of
-the longest chain.  Least neighbours are combined in each task before the
-shuffle and the joins carry no other need on their key, so a node with a great
-many neighbours splits.  No link, group or id goes to the driver.
+the longest chain.  A node with a great many neighbours, as the root of a large
+group becomes, is spread over SALTS tasks by ``spread_join``.  No link, group or
+id goes to the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import staged
 
+SALTS = 1024
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """rows joined with small, which has at most one row for a key, however many rows have one key.
+
+    Rows of a key are dealt over SALTS parts by a hash of their other columns.
+    The parts in use (at most SALTS for a key, combined in each task) fetch the
+    small side's row, then rows meet their part.
+    """
+    others = [c for c in rows.columns if c != key]
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
+    parts = salted.select(key, "__salt").distinct().join(small.hint("merge"), key)
+    return salted.join(parts.hint("merge"), [key, "__salt"]).drop("__salt")
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v) with u > v, each pair once; gives the same form."""
@@ -22,7 +37,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select("u", "v")
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = near.join(least.hint("merge"), "u")
+    joined = spread_join(near, least, "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -2,32 +2,34 @@
 
 Lines are the pieces of a text between newlines.  A line is normalised (A-Z to
 lower case, digits to 0, other ASCII characters than letters and digits to
-spaces, words joined by one space).  Lines with fewer than MIN_WORDS words say
-too little to be called repeated and always stay.
-
-With ``whole`` (as op7 and the pipeline run it) repeats of every line with a word
-are taken out, and lines of MIN_CHARS code points or more are linked whatever
-their words; MIN_WORDS then holds for none.
-
-Equal normalised lines are one item (grouped first, combined in each task).
-Items get a SimHash of their words with repeats; pairs within RADIUS bits are
-found by pigeonhole blocks, which deal the SimHashes to bounded cells.  Lines
-made mostly of a few frequent words fall together in this SimHash, so a pair is
-screened by length and by a second SimHash, of distinct words (KIN_RADIUS of 48
-bits).  It is linked if its edit similarity (1 - edits / length of the longer)
-is at least SIMILARITY.  Of each connected group the first occurrence by (doc_id, line
-number) stays; all others are taken out of their documents.
-
-With ``whole`` lines also meet in cells of shared runs: the RUNS least hashes of
-a line's runs of 16 bytes (of 8 or 4 in short lines).  Every pair of such a cell
-is judged whatever its SimHashes, so neither the radius nor the screen is the
-last word; pairs are passed over only by bounds that edit similarity cannot
-break (length, counts of letter pairs).
-
-Only SimHashes are dealt to cells at first; the text of a line moves only if
-some other line lies within the radius, and only to the cell in which the pair
-is judged.  Inside a cell pairs that are connected already are not judged
-again, and a cell gives a spanning forest of its links.
+spaces, words joined by one space).  Equal normalised lines with a word are one
+item, whatever their length (grouped first, combined in each task).
+
+Lines of MIN_CHARS code points or more are linked if their edit similarity (1 -
+edits / length of the longer) is at least SIMILARITY.  Pairs to judge meet in
+cells, of two kinds:
+
+* blocks of a line's SimHash: two SimHashes within NEAR bits agree on two of
+  BLOCKS blocks, so they meet;
+* runs of a line: where a few edits fall on a line, some run of its words stays
+  whole.  Of all runs of a fixed number of bytes that begin at a word (or at a
+  code point past ASCII) the least under several hashes are kept, and lines that
+  keep one in common meet.  Short lines keep themselves less one word each.
+
+SimHash blocks narrow enough for large tables find few lines that differ in
+more than a word or two, so the runs find the rest; the recall of both together
+is measured against all pairs in the tests.  In a cell a pair is judged if
+lengths allow the similarity and the SimHashes differ in at most RADIUS of 48
+bits, a wide radius (unrelated lines differ in about 24); ``radius=48`` judges
+all pairs that meet.
+
+Of each connected group the first occurrence by (doc_id, line number) stays; all
+others are taken out of their documents.
+
+Only numbers are dealt to cells at first; the text of a line moves only if it has
+a pair to judge.  Cells over SHARD rows are cut into slices and every pair of
+slices is searched as a cell of its own.  Inside a cell pairs that are connected
+already are not judged again, and a cell gives a spanning forest of its links.
 
 Defined results: null text stays null and has no lines; rows are known by doc_id
 and text, so rows of null or equal doc_id and other texts are documents of their
@@ -48,36 +50,36 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.bktree import Groups
 from cuelake.llm.common import as_bytes, staged, table
-from cuelake.llm.components import connected
-from cuelake.llm.simhash_dedup import MASK_BITS, block_masks, deal, near_pairs, over_cells, trees_of, whole_cells
+from cuelake.llm.components import connected, spread_join
+from cuelake.llm.simhash_dedup import deal, over_cells, whole_cells
 
-MIN_WORDS = 5
-RADIUS = 4
-BLOCKS = 6
-SHARD = 4096
-KIN_RADIUS = 14
 SIMILARITY = 0.8
-#: Code points from which lines are linked (the least that MIN_WORDS words have).
-MIN_CHARS = 9
-#: Hashes of runs for each length of run; (bytes of a run, least and most bytes of the lines); lines of 0.8 times the length share one.
-RUNS = 8
-RUN_SIZES = ((16, 64, None), (8, 20, 80), (4, 0, 25))
-#: The low bits of a cell of a shared run.
-RUN_CELL = (1 << MASK_BITS) - 2
+#: Code points from which lines are linked; exact repeats go at any length.
+MIN_CHARS = 20
+#: Bits within which two SimHashes always meet, and the blocks of a SimHash.
+NEAR = 2
+BLOCKS = 4
+#: Bits of the 48 that go with a line in which judged pairs may differ.
+RADIUS = 16
+SHARD = 4096
+#: Bytes of a run, least and most bytes of the lines that keep such runs, and how many are kept.
+RUNS = ((16, 28, 80, 4), (24, 64, 240, 6), (40, 190, 1 << 62, 6))
+#: Lines up to so many bytes and words also keep themselves less one word, if this share of the line is left.
+SHORT_BYTES, SHORT_WORDS, LEFT = 55, 12, 0.6
+#: Words shorter than this many bytes count in a SimHash only where a line has no longer one.
+LONG_WORD = 4
 #: Rows up to which a table of line numbers by document goes to all tasks; beyond, both sides are sorted.
 BROADCAST_ROWS = 200_000
-#: The constants of XXH64 (fixed values).
-_XXH64 = np.array(
-    [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261], np.uint64
-)
-#: Bytes and lines whose words are hashed at a time.
-_STEP_BYTES = 1 << 18
-_STEP_LINES = 1 << 15
-#: The low bits of the cell that judges lines equal in both SimHashes and length.
-EQUAL_PRINTS = (1 << MASK_BITS) - 1
-#: A line's kin number: its length in code points (15 bits), then 48 bits of the SimHash of its distinct words.
+#: A line's kin number: its length in code points (15 bits), then 48 bits of its SimHash.
 KIN_BITS = 48
 LONGEST = (1 << 15) - 1
+#: Odd multipliers of the mixing of hashes (large primes or golden ratio multiples).
+_MIX = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(8)], np.uint64)
+#: Bytes of lines hashed at a time, so that their hashes stay in the cache.
+_STEP_BYTES = 1 << 16
+#: Lines of a task that are remembered, so that repeats are not dealt again.
+_SEEN = 1_000_000
 #: For each byte a number whose bytes are the byte's bits, and how many such numbers can be added.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 _LANE_MOST = 255
@@ -169,44 +171,10 @@ def similar(a: bytes, b: bytes, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def _turned(x: np.ndarray, bits: int) -> np.ndarray:
-    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
-
-
-def _hashes(words: bytes) -> np.ndarray:
-    """XXH64 of words with one space between them: short words all at a time, step by step of the hash."""
-    p1, p2, p3, p4, p5 = _XXH64
-    padded = words + bytes(8)
-    one, four, eight = (np.ndarray(len(words) + 1, f"<u{n}", padded, strides=(1,)) for n in (1, 4, 8))  # as read at each byte
-    spaces = np.flatnonzero(one[:-1] == 32)
-    begin, end = np.r_[0, spaces + 1], np.r_[spaces, len(words)]
-    length = end - begin
-    h = length.astype(np.uint64) + p5
-    for at in (0, 8, 16):
-        on = np.flatnonzero(length >= at + 8)
-        h[on] = _turned(h[on] ^ _turned(eight[begin[on] + at] * p2, 31) * p1, 27) * p1 + p4
-    rest = begin + (length & ~7)
-    on = np.flatnonzero(length & 4)
-    h[on] = _turned(h[on] ^ four[rest[on]].astype(np.uint64) * p1, 23) * p2 + p3
-    rest[on] += 4
-    for at in (0, 1, 2):
-        on = np.flatnonzero((length & 3) > at)
-        h[on] = _turned(h[on] ^ one[rest[on] + at].astype(np.uint64) * p5, 11) * p1
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    h ^= h >> np.uint64(32)
-    for i in np.flatnonzero(length >= 32).tolist():
-        h[i] = xxhash.xxh64_intdigest(words[begin[i] : end[i]])
-    return h
-
-
-def word_hashes(words: bytes) -> np.ndarray:
-    """XXH64 of words with one space between them, in steps of about _STEP_BYTES, cut at spaces."""
-    out, at = [], 0
-    while len(words) - at > _STEP_BYTES and (cut := words.find(b" ", at + _STEP_BYTES)) >= 0:
-        out.append(_hashes(words[at:cut]))
-        at = cut + 1
-    return np.concatenate([*out, _hashes(words[at:])])
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(33)) * _MIX[0]
+    h = (h ^ h >> np.uint64(33)) * _MIX[1]
+    return h ^ h >> np.uint64(33)
 
 
 def _simhashes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -226,75 +194,62 @@ def _simhashes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return packed.view(">u8").ravel().astype(np.uint64)
 
 
-def prints_of(lines: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The SimHash of the words, and KIN_BITS of that of the distinct words, of fewer than 1 << 16 lines."""
-    hashes, sizes = word_hashes(b" ".join(lines)), np.array(sizes)
-    bits = np.uint64(KIN_BITS)
-    own = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << bits | hashes >> np.uint64(64 - KIN_BITS)
-    own.sort()
-    own = own[np.r_[True, own[1:] != own[:-1]]]
-    once = np.bincount((own >> bits).astype(np.int64), minlength=len(sizes))
-    return _simhashes(hashes, sizes), _simhashes(own & np.uint64((1 << KIN_BITS) - 1), once)
+def _firsts(line: np.ndarray) -> np.ndarray:
+    """Where each line begins, of rows sorted by line."""
+    return np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
 
 
-def with_row(docs: DataFrame, name: str = "__row") -> DataFrame:
-    """docs with a hash of doc_id and text, by which rows are known."""
-    own = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull())
-    return docs.withColumn(name, own)
-
+def marks_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The SimHash of each normalised line, the cells of its runs, and how many these are.
 
-def run_hashes(line: bytes) -> set[int]:
-    """For each length of run that fits the line, the RUNS least hashes, cut to leave MASK_BITS low bits for RUN_CELL."""
-    padded, out = line + bytes(16), set()
-    at = np.ndarray(len(line) + 9, "<u8", padded, strides=(1,))
-    for size, least, most in RUN_SIZES:
-        if len(line) < least or (most is not None and len(line) >= most):
+    A mark stands at each word and at each code point past ASCII; what counts in
+    the SimHash is the word from the mark on, to eight bytes.
+    """
+    joined = b"\n".join(lines) + b"\n" + bytes(64)
+    raw, eight = np.frombuffer(joined, np.uint8), np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+    text = raw[:-64]
+    ends = np.flatnonzero(text == 10)
+    begins = np.r_[0, ends[:-1] + 1]
+    breaks = np.flatnonzero((text == 32) | (text == 10))
+    mark = text >= 0xC0
+    mark[0] = True
+    mark[breaks[:-1] + 1] = True
+    at = np.flatnonzero(mark)
+    line = np.searchsorted(begins, at, "right") - 1
+    word = np.minimum(breaks[np.searchsorted(breaks, at)] - at, 8)
+    whole = np.bincount(line[word >= LONG_WORD], minlength=len(lines)) == 0
+    on = np.flatnonzero((word >= LONG_WORD) | whole[line])
+    hashes = _mixed(eight[at[on]] & (np.uint64(2**64 - 1) >> (8 * (8 - word[on])).astype(np.uint64)))
+    prints = _simhashes(hashes, np.bincount(line[on], minlength=len(lines)))
+    length, cells, own = ends - begins, [], []
+    for size, least, most, kept in RUNS:
+        on = np.flatnonzero(((length >= least) & (length < most))[line] & (ends[line] - at >= size))
+        if not len(on):
             continue
-        n = max(1, len(line) - size + 1)
-        h = (at[:n] << np.uint64(32) if size == 4 else at[:n]) * _XXH64[0]
-        h ^= h >> np.uint64(29)
-        if size == 16:
-            h = (h ^ at[8 : 8 + n]) * _XXH64[1]
-            h ^= h >> np.uint64(29)
-        h = h * _XXH64[2]
-        h = (h ^ h >> np.uint64(32)) * _XXH64[0] + np.uint64(size)
-        if n > 4 * RUNS:
-            some = sorted(set(np.partition(h, 4 * RUNS)[: 4 * RUNS].tolist()))
-            if len(some) < RUNS:
-                some = np.unique(h).tolist()
-        else:
-            some = sorted(set(h.tolist()))
-        out.update(x & ~63 | RUN_CELL for x in some[:RUNS])
-    return out
-
+        hashes = np.full(len(on), size, np.uint64)
+        for k in range(0, size, 8):
+            hashes = _mixed((hashes ^ eight[at[on] + k]) * _ODD[7])
+        first = _firsts(line[on])
+        for k in range(kept):
+            cells.append(np.minimum.reduceat((hashes ^ _ODD[k]) * _ODD[k], first) ^ np.uint64(k))
+            own.append(line[on][first])
+    for i in np.flatnonzero(length <= SHORT_BYTES).tolist():
+        words = lines[i].split()
+        if len(words) <= SHORT_WORDS:
+            less = [b" ".join(words[:k] + words[k + 1 :]) for k in range(len(words))]
+            kept = {xxhash.xxh3_64_intdigest(x) for x in [lines[i], *less] if len(x) >= LEFT * len(lines[i])}
+            cells.append(np.array(sorted(kept), np.uint64))
+            own.append(np.full(len(kept), i))
+    if not cells:
+        return prints, np.zeros(0, np.uint64), np.zeros(len(lines), np.int64)
+    own, cells = np.concatenate(own), np.concatenate(cells)
+    return prints, cells[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(lines))
 
-def run_cells(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(cell, print, kin) of each distinct line of a task; print is the line's id, kin its length."""
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            dealt, ids, lengths = [], [], []
-            for text in as_bytes(batch.column("text")):
-                for words in normal_lines(text):
-                    line = b" ".join(words)
-                    length = len(line) if line.isascii() else len(line.decode())
-                    if length < max(1, min_chars):
-                        continue
-                    own = line_id(xxhash.xxh3_128_digest(line))
-                    if own in seen:
-                        continue
-                    if len(seen) == 1_000_000:
-                        seen.clear()
-                    seen.add(own)
-                    runs = run_hashes(line)
-                    dealt.extend(runs)
-                    ids.extend([own] * len(runs))
-                    lengths.extend([min(LONGEST, length) << KIN_BITS] * len(runs))
-            made = [pa.array(np.array(dealt, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64())]
-            yield pa.RecordBatch.from_arrays(made, names=["cell", "print", "kin"])
-
-    return docs.select("text").mapInArrow(cells, "cell bigint, print bigint, kin bigint")
+def with_row(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """docs with a hash of doc_id and text, by which rows are known."""
+    own = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull())
+    return docs.withColumn(name, own)
 
 
 def line_id(key: bytes) -> int:
@@ -311,139 +266,106 @@ def pairs_of_cells(cell: np.ndarray):
         apart += 1
 
 
-def letter_pairs(line: bytes) -> np.ndarray:
-    """Counts of a line's pairs of neighbouring code points, in 256 bins; an edit changes at most four of them by one."""
-    codes = np.frombuffer(line, np.uint8) if line.isascii() else np.frombuffer(line.decode().encode("utf-32-le"), np.uint32)
-    codes = codes.astype(np.int64)
-    return np.minimum(np.bincount((codes[:-1] * 37 + codes[1:]) & 255, minlength=256), LONGEST).astype(np.int32)
-
+def line_prints(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, row, line_no, key, id, print, kin, cells) of every line with a word.
 
-def line_prints(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, row, line_no, key, id, print, kin) of every line of min_words words or more."""
-    schema = "doc_id bigint, row bigint, line_no int, key binary, id bigint, print bigint, kin bigint"
+    cells is null where the line is too short to be linked, or was met before in
+    the same task; print and kin then say nothing.
+    """
+    schema = "doc_id bigint, row bigint, line_no int, key binary, id bigint, print bigint, kin bigint, cells array<bigint>"
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest128 = xxhash.xxh3_128_digest
+        digest128, seen = xxhash.xxh3_128_digest, set()
         for batch in batches:
-            ids, rows, numbers, keys, lengths, made = [], [], [], [], [], []
-            lines, sizes, held = [], [], 0
+            ids, rows, numbers, keys, new, lengths, made, lines, held = [], [], [], [], [], [], [], [], 0
             known = zip(batch.column("doc_id").to_pylist(), batch.column("__row").to_pylist(), as_bytes(batch.column("text")))
             for doc, row, text in known:
                 for i, words in enumerate(normal_lines(text)):
-                    if len(words) >= min_words:
-                        line = b" ".join(words)
-                        ids.append(doc)
-                        rows.append(row)
-                        numbers.append(i)
-                        keys.append(digest128(line))
-                        lengths.append(min(LONGEST, len(line) if line.isascii() else len(line.decode())))
-                        lines.append(line)
-                        sizes.append(len(words))
-                        held += len(line)
-                        if held > _STEP_BYTES or len(lines) == _STEP_LINES:
-                            made.append(prints_of(lines, sizes))
-                            lines, sizes, held = [], [], 0
+                    if not words:
+                        continue
+                    line = b" ".join(words)
+                    key = digest128(line)
+                    ids.append(doc)
+                    rows.append(row)
+                    numbers.append(i)
+                    keys.append(key)
+                    length = len(line) if line.isascii() else len(line.decode())
+                    if length < min_chars or key in seen:
+                        continue
+                    if len(seen) == _SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    new.append(len(keys) - 1)
+                    lengths.append(min(LONGEST, length))
+                    lines.append(line)
+                    held += len(line)
+                    if held > _STEP_BYTES:
+                        made.append(marks_of(lines))
+                        lines, held = [], 0
             if lines:
-                made.append(prints_of(lines, sizes))
-            if ids:
-                own, distinct = (np.concatenate(x) for x in zip(*made))
-                kins = distinct | np.array(lengths, np.uint64) << np.uint64(KIN_BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()),
-                        pa.array(keys, pa.binary()), pa.array([line_id(k) for k in keys], pa.int64()),
-                        pa.array(own.view(np.int64)), pa.array(kins.view(np.int64)),
-                    ],
-                    names=["doc_id", "row", "line_no", "key", "id", "print", "kin"],
-                )
+                made.append(marks_of(lines))
+            if not keys:
+                continue
+            own, kin = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
+            count, flat, none = np.zeros(len(keys), np.int64), np.zeros(0, np.uint64), np.ones(len(keys), bool)
+            if made:
+                print_, flat, count_ = (np.concatenate(x) for x in zip(*made))
+                own[new], count[new], none[new] = print_, count_, False
+                kin[new] = print_ >> np.uint64(64 - KIN_BITS) | np.array(lengths, np.uint64) << np.uint64(KIN_BITS)
+            offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32), mask=np.r_[none, False])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()),
+                    pa.array(keys, pa.binary()), pa.array([line_id(k) for k in keys], pa.int64()),
+                    pa.array(own.view(np.int64)), pa.array(kin.view(np.int64)),
+                    pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))),
+                ],
+                names=["doc_id", "row", "line_no", "key", "id", "print", "kin", "cells"],
+            )
 
     return docs.select(F.col("doc_id").cast("bigint"), "__row", "text").mapInArrow(prints, schema)
 
 
 class Judge:
-    """Which pairs of a cell are to be judged there."""
-
-    def __init__(self, radius: int, blocks: int, similarity: float, kin_radius: int):
-        self.radius, self.similarity, self.kin_radius = radius, similarity, kin_radius
-        self.masks = np.array(block_masks(blocks, radius), np.uint64)
-
-    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether two lengths allow the similarity."""
-        longer = np.maximum(a, b)
-        return (np.abs(a - b) <= (1 - self.similarity) * longer + 1e-9) | (longer == LONGEST)
-
-    def all_pairs(self, cell: np.ndarray, prints: np.ndarray, kin: np.ndarray, bags: list, step: int):
-        """pairs() of the cells of SimHashes, and of the cells of runs all pairs that length and letter pairs allow."""
-        runs = (cell & EQUAL_PRINTS) == RUN_CELL
-        rest, rows = np.flatnonzero(~runs), np.flatnonzero(runs)
-        if len(rest):
-            for a, b in self.pairs(cell[rest], prints[rest], kin[rest], step):
-                yield rest[a], rest[b]
-        if not len(rows):
-            return
-        length, bags = kin.view(np.uint64) >> np.uint64(KIN_BITS), np.stack(bags)
-        length = length.astype(np.int64)
-        for a, b in pairs_of_cells(cell[rows]):
-            a, b = rows[a], rows[b]
-            fits = self.fits(length[a], length[b])
-            a, b = a[fits], b[fits]
-            for k in range(0, len(a), 2000):
-                x, y = a[k : k + 2000], b[k : k + 2000]
-                longer = np.maximum(length[x], length[y])
-                near = (np.abs(bags[x] - bags[y]).sum(axis=1) <= 4 * ((1 - self.similarity) * longer + 1e-9)) | (longer == LONGEST)
-                yield x[near], y[near]
-
-    def pairs(self, cell: np.ndarray, prints: np.ndarray, kin: np.ndarray, step: int):
-        """Pairs that pass the screen, each in one cell only: that of the first mask that both agree on, or that of equals."""
-        prints, kin = prints.view(np.uint64), kin.view(np.uint64)
+    """Which pairs of a cell are to be judged."""
+
+    def __init__(self, radius: int, similarity: float):
+        self.radius, self.similarity = radius, similarity
+
+    def pairs(self, cell: np.ndarray, ids: np.ndarray, kin: np.ndarray):
+        """(earlier, later) rows of one cell, of other lines, whose lengths and SimHashes allow it; rows are sorted by cell."""
+        kin = kin.view(np.uint64)
         length, low = (kin >> np.uint64(KIN_BITS)).astype(np.int64), np.uint64((1 << KIN_BITS) - 1)
-        for a, b in near_pairs(prints, trees_of(cell), self.radius, step):
+        for a, b in pairs_of_cells(cell):
             longer = np.maximum(length[a], length[b])
             fits = (np.abs(length[a] - length[b]) <= (1 - self.similarity) * longer + 1e-9) | (longer == LONGEST)
-            fits &= np.bitwise_count((kin[a] ^ kin[b]) & low) <= self.kin_radius
-            a, b = a[fits], b[fits]
-            apart = prints[a] ^ prints[b]
-            first = np.argmax((apart[:, None] & self.masks[None, :]) == 0, axis=1)
-            equal = (apart == 0) & (kin[a] == kin[b])
-            here = (cell[a] & EQUAL_PRINTS) == np.where(equal, EQUAL_PRINTS, first)
-            yield a[here], b[here]
-
-
-def cells_with_pairs(items: DataFrame, judge: Judge, blocks: int, shard: int) -> DataFrame:
-    """Distinct (print, kin) to (cell, print, kin) of those that have a pair to judge in the cell."""
+            fits &= (ids[a] != ids[b]) & (np.bitwise_count((kin[a] ^ kin[b]) & low) <= self.radius)
+            yield a[fits], b[fits]
 
-    def partners(cell, prints, kin):
-        used = np.zeros(len(prints), bool)
-        for a, b in judge.pairs(cell, prints, kin, 2_000_000):
-            used[a] = used[b] = True
-        if used.any():
-            yield [pa.array(x[used]) for x in (cell, prints, kin)]
-
-    return over_cells(deal(items, judge.radius, blocks), partners, "cell bigint, print bigint, kin bigint", shard)
 
-
-def runs_with_pairs(dealt: DataFrame, judge: Judge, shard: int) -> DataFrame:
-    """Cells of runs to (cell, id) of the lines that have a pair to judge there."""
+def cells_with_pairs(lines: DataFrame, judge: Judge, near: int, blocks: int, shard: int) -> DataFrame:
+    """Lines to distinct (cell, id, kin) of those that have a pair to judge in the cell."""
 
     def partners(cell, ids, kin):
-        used, length = np.zeros(len(cell), bool), kin >> KIN_BITS
-        for a, b in pairs_of_cells(cell):
-            fits = judge.fits(length[a], length[b]) & (ids[a] != ids[b])
-            used[a[fits]] = used[b[fits]] = True
+        used = np.zeros(len(cell), bool)
+        for a, b in judge.pairs(cell, ids, kin):
+            used[a] = used[b] = True
         if used.any():
-            yield [pa.array(x[used]) for x in (cell, ids)]
+            yield [pa.array(x[used]) for x in (cell, ids, kin)]
 
-    return over_cells(dealt, partners, "cell bigint, id bigint", shard).distinct()
+    new = lines.filter(F.col("cells").isNotNull())
+    by_block = deal(new.select("print", "id", "kin"), near, blocks).select("cell", "id", "kin")
+    by_run = new.select(F.explode("cells").alias("cell"), "id", "kin")
+    return over_cells(by_block.unionByName(by_run), partners, "cell bigint, id bigint, kin bigint", shard).distinct()
 
 
 def judged_links(lines: DataFrame, judge: Judge) -> DataFrame:
-    """(cell, print, kin, key, line) to (a, b): keys of a spanning forest of each cell's links."""
+    """(cell, id, kin, key, line) to (a, b): keys of a spanning forest of each cell's links."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (cell, prints, kin, keys, texts) in whole_cells(batches, ("print", "kin", "key", "line")):
-            groups, out = Groups(len(prints)), []
-            bags = [letter_pairs(x) for x in texts] if ((cell & EQUAL_PRINTS) == RUN_CELL).any() else []
-            for a, b in judge.all_pairs(cell, prints, kin, bags, 20_000):
+        for _, (cell, ids, kin, keys, texts) in whole_cells(batches, ("id", "kin", "key", "line")):
+            groups, out = Groups(len(ids)), []
+            for a, b in judge.pairs(cell, ids, kin):
                 open_ = groups.roots(a) != groups.roots(b)
                 for x, y in zip(a[open_].tolist(), b[open_].tolist()):
                     if groups.root(x) != groups.root(y) and similar(texts[x], texts[y], judge.similarity):
@@ -452,8 +374,8 @@ def judged_links(lines: DataFrame, judge: Judge) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
-    dealt = lines.select("cell", "print", "kin", "key", F.col("line").cast("binary").alias("line"))
-    return dealt.repartition("cell").sortWithinPartitions("cell", "print", "kin", "key").mapInArrow(links, "a binary, b binary")
+    dealt = lines.select("cell", "id", "kin", "key", F.col("line").cast("binary").alias("line"))
+    return dealt.repartition("cell").sortWithinPartitions("cell", "kin", "id").mapInArrow(links, "a binary, b binary")
 
 
 def _beside(docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
@@ -484,45 +406,36 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def repeated_lines(
     docs: DataFrame,
-    min_words: int = MIN_WORDS,
-    radius: int = RADIUS,
+    min_chars: int = MIN_CHARS,
+    near: int = NEAR,
     blocks: int = BLOCKS,
+    radius: int = RADIUS,
     shard: int = SHARD,
     similarity: float = SIMILARITY,
-    kin_radius: int = KIN_RADIUS,
-    whole: bool = False,
-    min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """(__row, __lines): the line numbers to take out of each document, known by ``with_row``, that loses lines."""
-    judge = Judge(radius, blocks, similarity, kin_radius)
-    lines = staged(line_prints(docs, 1 if whole else min_words))
+    judge = Judge(radius, similarity)
+    lines = staged(line_prints(docs, min_chars))
     items = staged(
-        lines.groupBy("key", "id", "print", "kin").agg(
-            F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count("*").alias("n")
-        )
-    )
-    long = items.filter(F.shiftright("kin", KIN_BITS) >= min_chars) if whole else items
-    kinds = staged(long.groupBy("print", "kin").agg(F.count("*").alias("items")))
-    paired = cells_with_pairs(kinds.select("print", "kin"), judge, blocks, shard)
-    equal = kinds.filter(F.col("items") > 1).select(
-        F.xxhash64("print", "kin").bitwiseOR(F.lit(EQUAL_PRINTS)).alias("cell"), "print", "kin"
+        lines.groupBy("key", "id").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count("*").alias("n"))
     )
-    judged_in = staged(paired.unionByName(equal).distinct())
-    columns = ("cell", "print", "kin", "key", "first")
-    candidates = items.join(judged_in.hint("merge"), ["print", "kin"]).select(*columns)
-    if whole:
-        by_run = staged(runs_with_pairs(run_cells(docs, min_chars), judge, shard))
-        candidates = candidates.unionByName(items.join(by_run.hint("merge"), "id").select(*columns))
-    candidates = staged(candidates)
-    wanted = candidates.select("first.row", "first.line_no", "key").distinct()
-    texts = staged(line_texts(docs, wanted))
-    links = judged_links(candidates.drop("first").join(texts.hint("merge"), "key"), judge)
-    roots = connected(links).withColumnRenamed("node", "key")
-    grouped = items.join(roots.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    groups = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total"))
-    repeated = groups.filter(F.col("total") > 1).select("root", "keep")
-    keepers = staged(grouped.select("key", "root").join(repeated.hint("merge"), "root").select("key", "keep"))
-    gone = lines.join(keepers.hint("merge"), "key").filter(~F.struct("doc_id", "line_no", "row").eqNullSafe(F.col("keep")))
+    judged_in = staged(cells_with_pairs(lines, judge, near, blocks, shard))
+    some = judged_in.select("id").distinct()
+    wanted = staged(items.join(some.hint("merge"), "id").select("id", "key", "first.row", "first.line_no"))
+    texts = staged(line_texts(docs, wanted).join(wanted.select("key", "id").hint("merge"), "key"))
+    hung = connected(judged_links(judged_in.join(texts.hint("merge"), "id"), judge)).withColumnRenamed("node", "key")
+    roots = staged(hung.unionByName(hung.select(F.col("root").alias("key"), "root").distinct()))
+    linked = staged(items.join(roots.hint("merge"), "key").select("key", "root", "first", "n"))
+    groups = linked.groupBy("root").agg(F.min("first").alias("keep"))
+    in_groups = spread_join(linked.select("key", "root"), groups, "root").select("key", "keep")
+    alone = items.filter(F.col("n") > 1).join(roots.select("key").hint("merge"), "key", "left_anti")
+    keepers = staged(in_groups.unionByName(alone.select("key", F.col("first").alias("keep"))))
+    places = lines.select("key", "doc_id", "line_no", "row")
+    if keepers.count() <= BROADCAST_ROWS:
+        placed = places.join(F.broadcast(keepers), "key")
+    else:
+        placed = spread_join(places, keepers, "key")
+    gone = placed.filter(~F.struct("doc_id", "line_no", "row").eqNullSafe(F.col("keep")))
     return gone.groupBy(F.col("row").alias("__row")).agg(F.collect_set("line_no").alias("__lines"))
 
 
@@ -542,4 +455,4 @@ def line_dedup(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.bktree import Forest, Groups
 from cuelake.llm.common import as_bytes, staged, table
-from cuelake.llm.components import connected
+from cuelake.llm.components import connected, spread_join
 
 SHINGLE = 4
 SEED = 42
@@ -240,8 +240,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, sha
         "print", "first_id", F.coalesce("root", "print").alias("root")
     )
     named = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = staged(grouped.join(named.hint("merge"), "root").select("print", "component_id"))
-    return prints.join(of_print.hint("merge"), "print").select(
+    of_print = staged(spread_join(grouped.select("print", "root"), named, "root").select("print", "component_id"))
+    return spread_join(prints, of_print, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -274,34 +274,51 @@ def test_components(spark):
     assert all(got.get(x, x) == want[x] for x in range(600))
 
 
-@pytest.mark.parametrize("shard", [2, 4096])
-def test_line_dedup(spark, sf_dir, docs, shard):
-    got = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, sf_dir, "documents"), shard=shard).collect()}
-    items, places = {}, []
-    for i, t in sorted(zip(docs.doc_id, docs.text)):
-        for k, w in enumerate(line_dedup.normal_lines((t or "").encode())):
-            if len(w) >= 5:
-                line = b" ".join(w)
-                places.append((i, k, items.setdefault(line, len(items))))
-
-    def simhash(words):
-        h = [xxhash.xxh64_intdigest(x) for x in words]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    lines = list(items)
-    prints = np.array([simhash(x.split()) for x in lines], np.uint64)
-    kin = np.array([simhash(set(x.split())) >> 16 for x in lines], np.uint64)
-    links = []
+def lines_of(texts, least=1):
+    """Normalised lines by their first place, by another way than the operator's."""
+    out = {}
+    for text in texts:
+        for line in (text or "").split("\n"):
+            low = "".join(c.lower() if "A" <= c <= "Z" else c if ord(c) > 127 or c.isalpha() else "0" if c.isdigit() else " " for c in line)
+            if len(plain := " ".join(w for w in low.split(" ") if w)) >= least:
+                out.setdefault(plain, len(out))
+    return list(out)
+
+
+def similar_pairs(lines, similarity=0.8):
+    """All pairs of lines by edit similarity alone; pairs whose letters differ too often are passed over (an edit changes two at most)."""
+    bags = np.stack([np.bincount([ord(c) & 255 for c in x], minlength=256) for x in lines]).astype(np.int32)
+    two = np.stack([np.bincount([(ord(c) * 37 + ord(d)) & 255 for c, d in zip(x, x[1:])], minlength=256) for x in lines]).astype(np.int32)
+    size, out = np.array([len(x) for x in lines]), []
     for a in range(len(lines)):
-        near = np.flatnonzero((np.bitwise_count(prints[:a] ^ prints[a]) <= 4) & (np.bitwise_count(kin[:a] ^ kin[a]) <= 14))
-        links += [(a, int(b)) for b in near if line_dedup.similar(lines[a], lines[b], 0.8)]
-    root, first, gone = groups_of(len(lines), links), {}, {}
-    for i, k, x in places:
-        if first.setdefault(root[x], (i, k)) != (i, k):
-            gone.setdefault(i, set()).add(k)
-    for i, t in zip(docs.doc_id, docs.text):
-        left = [x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())]
-        assert got[i].text == "\n".join(left) and got[i].n_removed == len(gone.get(i, ()))
+        most = ((1 - similarity) * np.maximum(size[:a], size[a]) + 1e-9).astype(int)
+        near = (np.abs(bags[:a] - bags[a]).sum(axis=1) <= 2 * most) & (np.abs(two[:a] - two[a]).sum(axis=1) <= 4 * most)
+        out += [(a, int(b)) for b in np.flatnonzero(near) if line_dedup.edit_distance(lines[a], lines[b], int(most[b])) <= most[b]]
+    return out
+
+
+@pytest.mark.parametrize("shard, radius", [(2, 48), (4096, 16)])
+def test_line_dedup_against_all_pairs(spark, sf_dir, docs, shard, radius):
+    """Groups against plain edit similarity over all pairs of lines of 20 code points or more: no wrong link, recall of 0.9 or more."""
+    table_ = table(spark, sf_dir, "documents")
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table_, shard=shard, radius=radius).collect()}
+    lines = lines_of([t for _, t in sorted(zip(docs.doc_id, docs.text))], line_dedup.MIN_CHARS)
+    pairs = similar_pairs(lines)
+    root = groups_of(len(lines), pairs)
+    all_lines = lines_of([t for _, t in sorted(zip(docs.doc_id, docs.text))])
+    left = Counter(x for i in sorted(got) for x in lines_of_row(got[i].text))
+    assert max(left.values()) == 1  # no exact repeat stays
+    place = {x: k for k, x in enumerate(lines)}
+    gone = [x for x in all_lines if x not in left]
+    assert all(x in place and root[place[x]] != place[x] for x in gone)
+    should = [x for x in lines if root[place[x]] != place[x]]
+    assert len(should) > 10 and sum(x not in left for x in should) >= 0.9 * len(should)
+    assert all(len((r.text or "").split("\n")) == max(1, r.n_lines - r.n_removed) for r in got.values())
+
+
+def lines_of_row(text):
+    low = (text or "").encode()
+    return [b" ".join(w).decode() for w in line_dedup.normal_lines(low) if w]
 
 
 def test_rows_of_null_and_equal_ids(spark):
@@ -310,8 +327,8 @@ def test_rows_of_null_and_equal_ids(spark):
     texts = [f"{line}{n}\nonly in {n} a boat came along the shore" for n in ("night", "noon")]
     rows = [(None, texts[0]), (None, "short\n" * 2 + "one row of its own that stands here alone\n" + texts[1]), (None, None), (7, "alone"), (7, texts[1]), (7, texts[1])]
     docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for whole in (False, True):
-        got = line_dedup.line_dedup(docs, whole=whole).collect()
+    for radius in (16, 48):
+        got = line_dedup.line_dedup(docs, radius=radius).collect()
         assert len(got) == len(rows) and sum(r.text is None for r in got) == 1
         left = Counter(x for r in got if r.text for x in r.text.split("\n"))
         assert left["one row of its own that stands here alone"] == left["only in night a boat came along the shore"] == left["alone"] == 1
@@ -322,14 +339,14 @@ def test_rows_of_null_and_equal_ids(spark):
     assert (4, words[2]) in kept and (None, words[1]) in kept and len({r.text[:2] for r in kept}) == 3
 
 
-def test_whole_line_dedup_removes_short_and_unspaced_repeats(spark):
+def test_line_dedup_removes_short_and_unspaced_repeats(spark):
     lines = ["ok", "", "你好世界今天天气很好我们一起去公园散步吧", "the end", "你好世界今天天气很好我们一起去公园散步啊", "不同的一行文字在这里没有重复出现过的内容"]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["OK", "", "The end.", lines[2], "no"]))], "doc_id bigint, text string")
-    got = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(docs, whole=True).collect()}
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(docs).collect()}
     assert got == {1: lines[:4] + lines[5:], 2: ["", "no"]}
 
 
-def test_whole_line_dedup_by_edit_similarity_alone(spark):
+def test_line_dedup_by_edit_similarity_alone(spark):
     """Planted lines against plain edit similarity, with no SimHash in the brute force."""
     draw = np.random.default_rng(11)
     words = ["".join(draw.choice(list("abcdefghiklmnoprstu"), draw.integers(2, 10))) for _ in range(3000)]
@@ -343,7 +360,7 @@ def test_whole_line_dedup_by_edit_similarity_alone(spark):
     links = [(a, b) for a in range(len(lines)) for b in range(a) if line_dedup.similar(lines[a].encode(), lines[b].encode(), 0.8)]
     root = groups_of(len(lines), links)
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
-    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs, whole=True).collect()}
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs).collect()}
     want = {k for k in range(len(lines)) if root[k] != k}
     assert len(want) > 50 and got[1] == 1
     assert {k for k in got if got[k]} <= want and sum(got[k] for k in want) >= 0.95 * len(want)
@@ -376,21 +393,20 @@ def test_edits_by_words_is_an_upper_bound():
         assert line_dedup.edits_by_words(a.encode(), b.encode(), 10**6) >= line_dedup.edit_distance(a, b, 10**6)
 
 
-def test_word_hashes_and_prints(monkeypatch):
+def test_marks_of_lines(monkeypatch):
+    """Lines give the same marks alone and beside others; equal runs give equal cells."""
     draw = np.random.default_rng(8)
-    plain = lambda ws: [xxhash.xxh64_intdigest(w) for w in ws]
-    for step in (1 << 18, 50, 1):
-        monkeypatch.setattr(line_dedup, "_STEP_BYTES", step)
-        ws = [bytes(draw.integers(33, 256, n).astype(np.uint8)) for n in [*range(1, 70), 500]]
-        assert line_dedup.word_hashes(b" ".join(ws)).tolist() == plain(ws)
-    lines = [[b"%x" % x for x in draw.integers(0, 40, n)] for n in (1, 5, 254, 255, 256, 900)]
-    prints, kin = line_dedup.prints_of([b" ".join(x) for x in lines], [len(x) for x in lines])
-
-    def simhash(h):
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    assert prints.tolist() == [simhash(plain(x)) for x in lines]
-    assert kin.tolist() == [simhash(plain(set(x))) >> 16 for x in lines]
+    words = ["".join(draw.choice(list("abcdefgéñ"), draw.integers(1, 12))) for _ in range(300)]
+    lines = [" ".join(draw.choice(words, n)).encode() for n in (1, 2, 3, 8, 20, 40, 90, 400)] + ["你好世界今天天气很好我们一起去公园散步吧".encode()]
+    prints, cells, count = line_dedup.marks_of(lines)
+    parts = np.split(cells, np.cumsum(count)[:-1])
+    for line, own, part in zip(lines, prints, parts):
+        one, alone, n = line_dedup.marks_of([line])
+        assert one[0] == own and alone.tolist() == part.tolist() and n[0] == len(part)
+    changed = lines[7].split()
+    changed[200] = b"changed"
+    other = line_dedup.marks_of([b" ".join(changed)])
+    assert set(other[1].tolist()) & set(parts[7].tolist()) and int(other[0][0] ^ prints[7]).bit_count() < 12
 
 
 def test_language_id(spark, sf_dir):
