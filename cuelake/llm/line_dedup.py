@@ -40,6 +40,7 @@ columns pass through unless they carry a result's name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +61,7 @@ MIN_CHARS = 20
 NEAR = 2
 BLOCKS = 4
 #: Bits of the 48 that go with a line in which judged pairs may differ.
-RADIUS = 16
+RADIUS = 12
 SHARD = 4096
 #: Bytes of a run, least and most bytes of the lines that keep such runs, and how many are kept.
 RUNS = ((16, 28, 80, 4), (24, 64, 240, 6), (40, 190, 1 << 62, 6))
@@ -78,6 +79,8 @@ _MIX = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(8)], np.uint64)
 #: Bytes of lines hashed at a time, so that their hashes stay in the cache.
 _STEP_BYTES = 1 << 16
+#: Pairs whose edits are counted at a time.
+_STEP_PAIRS = 20_000
 #: Lines of a task that are remembered, so that repeats are not dealt again.
 _SEEN = 1_000_000
 #: For each byte a number whose bytes are the byte's bits, and how many such numbers can be added.
@@ -154,21 +157,107 @@ def edits_by_words(a: bytes, b: bytes, most: int) -> int:
     return edits
 
 
-def similar(a: bytes, b: bytes, similarity: float) -> bool:
-    """Edit similarity of two normalised lines in UTF-8, by code points.
+def _middles(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    """a and b without the words that both begin and end with."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    apart = x[:n] != y[:n]
+    head = int(apart.argmax()) if apart.any() else n
+    head = max(0, a.rfind(b" ", 0, head) + 1) if head < max(len(a), len(b)) else head
+    apart = x[len(x) - n + head :][::-1] != y[len(y) - n + head :][::-1]
+    tail = int(apart.argmax()) if apart.any() else n - head
+    at = a.find(b" ", len(a) - tail)
+    tail = len(a) - at if at >= 0 else 0
+    return a[head : len(a) - tail], b[head : len(b) - tail]
 
-    Most near copies differ in a few words: an alignment of words bounds their
-    edits from above (in bytes, so in code points too); only where it allows
-    more than the most edits are the edits counted.
+
+def _within(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most ``most``, for pairs whose a need about equally many 64-bit words.
+
+    Codes are below the number of distinct codes.  All pairs advance together,
+    one code of b at a time; a pair leaves when the codes left cannot save it.
+    """
+    size_a, size_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    width, kinds = int(-(-size_a.max() // 64)), 1 + max(int(x.max()) for x in (*a, *b))
+    pair, at = np.repeat(np.arange(len(a)), size_a), np.arange(size_a.sum()) - np.repeat(np.cumsum(size_a) - size_a, size_a)
+    places = np.zeros(len(a) * kinds * width, np.uint64)
+    np.add.at(places, (pair * kinds + np.concatenate(a)) * width + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    places = places.reshape(len(a), kinds, width)
+    codes = np.zeros((len(a), size_b.max()), np.int64)
+    codes[np.repeat(np.arange(len(b)), size_b), np.arange(size_b.sum()) - np.repeat(np.cumsum(size_b) - size_b, size_b)] = np.concatenate(b)
+    up, down = np.full((width, len(a)), 2**64 - 1, np.uint64), np.zeros((width, len(a)), np.uint64)
+    last, score, who = np.zeros((width, len(a)), np.uint64), size_a.copy(), np.arange(len(a))
+    last[(size_a - 1) >> 6, who] = np.uint64(1) << ((size_a - 1) & 63).astype(np.uint64)
+    ends = np.flatnonzero(last.any(axis=1)).tolist()
+    one, top = np.uint64(1), np.uint64(63)
+    out = np.zeros(len(a), bool)
+    for j in range(codes.shape[1]):
+        ended = size_b[who] <= j
+        if j % 16 == 0 or ended.any():
+            out[who[ended & (score <= most[who])]] = True
+            open_ = ~ended & (score - (size_b[who] - j) <= most[who])
+            if not open_.any():
+                return out
+            if not open_.all():
+                who, score, up, down, last = who[open_], score[open_], up[:, open_], down[:, open_], last[:, open_]
+        here = places[who, codes[who, j]]
+        plus, minus = np.ones(len(who), np.uint64), np.zeros(len(who), np.uint64)  # what enters a word from the one below
+        for w in range(width):
+            p, m, eq = up[w], down[w], here[:, w]
+            vertical = eq | m
+            eq = eq | minus
+            across = (((eq & p) + p) ^ p) | eq
+            right, left = m | ~(across | p), p & across
+            if w in ends:
+                score = score + ((right & last[w]) != 0) - ((left & last[w]) != 0)
+            right_in, left_in = right << one | plus, left << one | minus
+            plus, minus = right >> top, left >> top
+            up[w], down[w] = left_in | ~(vertical | right_in), right_in & vertical
+    out[who[score <= most[who]]] = True
+    return out
+
+
+def similar(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
+    """Whether the edit similarity of each pair of normalised lines in UTF-8, by code points, is high enough.
+
+    Pairs are counted together where there are enough of about one length, else one by one.
     """
+    out, left = np.zeros(len(a), bool), {}
+    for i, (x, y) in enumerate(zip(a, b)):
+        if not (x.isascii() and y.isascii()):
+            x, y = x.decode(), y.decode()
+        most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+        x, y = (x, y) if len(x) >= len(y) else (y, x)
+        if len(x) - len(y) > most:
+            continue
+        words = -(-len(x) // 64)
+        left.setdefault(words if words <= 4 else 1 << round(4 * math.log2(words)), []).append((i, x, y, most))
+    for rows in left.values():
+        width = max(-(-len(x) // 64) for _, x, _, _ in rows)
+        if len(rows) < 10 * width:
+            for i, x, y, most in rows:
+                out[i] = edit_distance(x, y, most) <= most
+            continue
+        for k in range(0, len(rows), 2048):
+            part = rows[k : k + 2048]
+            as_codes = [np.frombuffer(t, np.uint8) if isinstance(t, bytes) else np.frombuffer(t.encode("utf-32-le"), np.uint32) for _, x, y, _ in part for t in (x, y)]
+            kinds, flat = np.unique(np.concatenate(as_codes), return_inverse=True)
+            if len(kinds) * width * len(part) > 1 << 23:  # a large alphabet
+                for i, x, y, most in part:
+                    out[i] = edit_distance(x, y, most) <= most
+                continue
+            numbered = np.split(flat, np.cumsum([len(c) for c in as_codes])[:-1])
+            out[[i for i, *_ in part]] = _within(numbered[::2], numbered[1::2], np.array([m for *_, m in part]))
+    return out
+
+
+def surely_similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """True where an alignment of words shows the similarity (in bytes, so in code points too); most near copies are found by it."""
     plain = a.isascii() and b.isascii()
     longest = max(len(a), len(b)) if plain else max(len(a.decode()), len(b.decode()))
     most = int((1 - similarity) * longest + 1e-9)
-    if edits_by_words(a, b, most) <= most:
-        return True
-    if not plain:
-        a, b = a.decode(), b.decode()
-    return edit_distance(a, b, most) <= most
+    a, b = _middles(a, b)
+    return max(len(a), len(b)) <= most or edits_by_words(a, b, most) <= most
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -344,14 +433,19 @@ class Judge:
 
 
 def cells_with_pairs(lines: DataFrame, judge: Judge, near: int, blocks: int, shard: int) -> DataFrame:
-    """Lines to distinct (cell, id, kin) of those that have a pair to judge in the cell."""
+    """Lines to distinct (cell, id, kin) of those that have a pair to judge; a cell is here a set of lines that such pairs connect."""
 
     def partners(cell, ids, kin):
-        used = np.zeros(len(cell), bool)
+        groups, used = Groups(len(cell)), np.zeros(len(cell), bool)
         for a, b in judge.pairs(cell, ids, kin):
             used[a] = used[b] = True
+            groups.join(a, b)
         if used.any():
-            yield [pa.array(x[used]) for x in (cell, ids, kin)]
+            # Rows are renamed to their set: lines that meet in several cells are judged in one.
+            root = groups.roots(np.arange(len(cell)))
+            sums = np.zeros(len(cell), np.uint64)
+            np.add.at(sums, root, _mixed(ids.view(np.uint64) ^ _ODD[0]))
+            yield [pa.array(x[used]) for x in (sums[root].view(np.int64), ids, kin)]
 
     new = lines.filter(F.col("cells").isNotNull())
     by_block = deal(new.select("print", "id", "kin"), near, blocks).select("cell", "id", "kin")
@@ -359,18 +453,40 @@ def cells_with_pairs(lines: DataFrame, judge: Judge, near: int, blocks: int, sha
     return over_cells(by_block.unionByName(by_run), partners, "cell bigint, id bigint, kin bigint", shard).distinct()
 
 
+def in_steps(pairs, groups: Groups):
+    """Pairs not connected yet, about _STEP_PAIRS at a time."""
+    held = [[], []]
+    for a, b in pairs:
+        open_ = groups.roots(a) != groups.roots(b)
+        held[0] += a[open_].tolist()
+        held[1] += b[open_].tolist()
+        if len(held[0]) >= _STEP_PAIRS:
+            yield held
+            held = [[], []]
+    if held[0]:
+        yield held
+
+
 def judged_links(lines: DataFrame, judge: Judge) -> DataFrame:
     """(cell, id, kin, key, line) to (a, b): keys of a spanning forest of each cell's links."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (cell, ids, kin, keys, texts) in whole_cells(batches, ("id", "kin", "key", "line")):
             groups, out = Groups(len(ids)), []
+
+            def linked(x, y, groups=groups, out=out, keys=keys):
+                groups.join_one(x, y)
+                out.append((keys[x], keys[y]))
+
             for a, b in judge.pairs(cell, ids, kin):
                 open_ = groups.roots(a) != groups.roots(b)
                 for x, y in zip(a[open_].tolist(), b[open_].tolist()):
-                    if groups.root(x) != groups.root(y) and similar(texts[x], texts[y], judge.similarity):
-                        groups.join_one(x, y)
-                        out.append((keys[x], keys[y]))
+                    if groups.root(x) != groups.root(y) and surely_similar(texts[x], texts[y], judge.similarity):
+                        linked(x, y)
+            for x, y in in_steps(judge.pairs(cell, ids, kin), groups):
+                for i in np.flatnonzero(similar([texts[i] for i in x], [texts[i] for i in y], judge.similarity)).tolist():
+                    if groups.root(x[i]) != groups.root(y[i]):
+                        linked(x[i], y[i])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
