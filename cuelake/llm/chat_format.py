@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import table
@@ -92,8 +92,44 @@ def fold(events) -> Iterator[tuple[str, str]]:
 
 
 def events_of(messages: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as an event log."""
-    return messages.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
+    """A log, as a chat server would leave it, whose final messages are the given ones (conv_id, turn, role, text).
+
+    Each message, by its number in the conversation, was sent whole; or streamed
+    as three deltas; or sent with other words and edited; or streamed with other
+    words, answered by a later turn, and then regenerated, which drops that
+    answer.
+    """
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    said, size = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    third = F.floor(size / 3).cast("int")
+
+    def event(kind, text, role=False, after=0):
+        return F.struct(
+            F.lit(kind).alias("kind"), F.try_add(F.col("turn"), F.lit(after)).alias("turn"),
+            (F.col("role") if role else F.lit(None).cast("string")).alias("role"), text.cast("string").alias("text"),
+        )
+
+    deltas = [event("delta", F.substring(said, F.lit(1), third)), event("delta", F.substring(said, third + 1, third)), event("delta", F.substring(said, 2 * third + 1, size))]
+    wrong, none = F.concat(F.lit("no, wait: "), F.reverse(said)), F.lit(None)
+    logs = (
+        F.array(event("message", F.col("text"), True)),
+        F.array(event("message", none, True), *deltas),
+        F.array(event("message", wrong, True), event("edit", said)),
+        F.array(
+            event("message", none, True), event("delta", wrong), event("message", F.lit("an answer to words that are gone"), True, 1),
+            event("regenerate", none), *deltas,
+        ),
+    )
+    # A null or the last turn has none after it, so no answer to drop.
+    later = F.coalesce(F.col("turn") < F.lit(2**63 - 1), F.lit(False))
+    way = F.when(later, F.pmod(F.xxhash64("conv_id", "__number"), F.lit(len(logs)))).otherwise(0)
+    log = F.when(way == 0, logs[0])
+    for k, made in enumerate(logs[1:], 1):
+        log = log.when(way == k, made)
+    rows = messages.select("conv_id", "turn", "role", "text", number.alias("__number"))
+    return rows.select("conv_id", "__number", F.posexplode(log).alias("__at", "__e")).select(
+        "conv_id", (F.col("__number") * 16 + F.col("__at")).cast("bigint").alias("seq"), "__e.kind", "__e.turn", "__e.role", "__e.text"
+    )
 
 
 def format_chats(events: DataFrame) -> DataFrame:

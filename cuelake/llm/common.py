@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in local tests, a folder is made.
+    Only where that setting is absent and the master is local, as in tests, a folder is made.
     """
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not given:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(given)
     return given.rstrip("/")

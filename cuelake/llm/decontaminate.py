@@ -20,8 +20,9 @@ and an item counts as well if at least OVERLAP of the shingles of its whole
 text stand there, whatever its last sentence.  Texts too short for a shingle
 are compared as a whole word sequence.
 
-The index goes to tasks in shards of at most SHARD_WORDS words, each read from
-the item table by its share of the hash range; a table of tests that fits one
+Document frequencies and the mean length are counted over all items, however
+many shards there are.  The index goes to tasks in shards of at most SHARD_WORDS
+words, each read from the item table by its share of the hash range; a table of tests that fits one
 shard makes one pass over the documents, larger ones a pass for each shard.
 Documents never move between tasks, so hot passages and long texts add only
 their own length.
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import as_bytes, table
+from cuelake.llm.common import as_bytes, staged, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -75,15 +76,18 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
 class Index:
     """Postings of a shard of items, and their shingles."""
 
-    def __init__(self, items: list[tuple], whole: bool = False):
-        """items: (item_id, question, answer) with a word in either; whole: its whole text verifies an item too."""
+    def __init__(self, items: list[tuple], whole: bool = False, totals: tuple[int, float, dict] | None = None):
+        """items: (item_id, question, answer) with a word in either; whole: its whole text verifies an item too.
+
+        totals: number and mean length of all items, and how many of them have each term; from these items if absent.
+        """
         self.ids = [i for i, _, _ in items]
         parts = [(tokens(q.encode()), tokens(a.encode())) for _, q, a in items]
         words = [q + a for q, a in parts]
         self.longest = max((len(w) for w in words), default=1)
         self.parts = [[(len(p), shingles(p)) for p in pair if p] for pair in parts]
         self.wholes = [(len(w), shingles(w)) for w in words] if whole else None
-        mean = sum(map(len, words)) / max(1, len(words))
+        n_items, mean, having = totals or (len(items), sum(map(len, words)) / max(1, len(words)), None)
         counts: dict[bytes, list[tuple[int, int]]] = {}
         for n, w in enumerate(words):
             own: dict[bytes, int] = {}
@@ -95,7 +99,8 @@ class Index:
         self.terms = {x: t for t, x in enumerate(counts)}
         self.postings, impacts = [], []
         for x, found in counts.items():
-            idf = math.log(1 + (len(items) - len(found) + 0.5) / (len(found) + 0.5))
+            df = having[x] if having is not None else len(found)
+            idf = math.log(1 + (n_items - df + 0.5) / (df + 0.5))
             at = np.array([n for n, _ in found])
             tf = np.array([c for _, c in found], float)
             length = np.array([len(words[n]) for n in at])
@@ -214,6 +219,25 @@ class Index:
         return out
 
 
+def item_terms(items: DataFrame) -> DataFrame:
+    """(shard, term, words) of each distinct term of each item with a word; words is the item's length, on its first term only."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards, found, lengths = [], [], []
+            for shard, q, a in zip(batch.column("shard").to_pylist(), as_bytes(batch.column("question")), as_bytes(batch.column("answer"))):
+                words = tokens(q + b" " + a)
+                for k, x in enumerate(sorted(set(words))):
+                    shards.append(shard)
+                    found.append(x)
+                    lengths.append(None if k else len(words))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shards, pa.int32()), pa.array(found, pa.binary()), pa.array(lengths, pa.int64())], names=["shard", "term", "words"]
+            )
+
+    return items.mapInArrow(terms, "shard int, term binary, words bigint")
+
+
 RESULT = "item_id bigint, score double, question_overlap double, answer_overlap double"
 
 
@@ -234,6 +258,10 @@ def contaminated(
     chars = texts.agg(F.sum(F.length(F.concat_ws(" ", "question", "answer")))).first()[0] or 0
     shards = max(1, math.ceil(chars / 6 / shard_words))
     own = F.pmod(F.xxhash64("item_id", "question"), F.lit(shards))
+    if shards > 1:
+        terms = staged(item_terms(texts.select(own.cast("int").alias("shard"), "question", "answer")))
+        n_items, mean = terms.agg(F.count("words"), F.avg("words")).first()
+        having = staged(terms.groupBy("term").agg(F.count("*").alias("items")))
     schema = f"doc_id bigint, {RESULT}"
     read = docs.select(F.col("doc_id").cast("bigint"), "text")
     out = None
@@ -242,8 +270,13 @@ def contaminated(
         pairs = [(r.item_id, *((r.question or "", r.answer or "") if split else question_and_answer(r.question or ""))) for r in rows]
         held = spark.sparkContext.broadcast([p for p in pairs if tokens((p[1] + " " + p[2]).encode())])
 
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value, whole=not split)
+        totals = None
+        if shards > 1:  # the terms of one shard, so no more than SHARD_WORDS
+            mine = having.join(terms.filter(F.col("shard") == shard).select("term").hint("merge"), "term", "left_semi")
+            totals = spark.sparkContext.broadcast((n_items, mean, {bytes(r.term): r.items for r in mine.collect()}))
+
+        def search(batches: Iterator[pa.RecordBatch], held=held, totals=totals) -> Iterator[pa.RecordBatch]:
+            index = Index(held.value, whole=not split, totals=totals.value if totals else None)
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):

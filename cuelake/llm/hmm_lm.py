@@ -10,10 +10,8 @@ class's symbol probability times its smoothed share of the class, so that a
 text has an exact probability.
 
 Training is Baum-Welch: each task runs scaled forward and backward recursions
-over its texts and gives expected counts, which Spark sums.  START_ROUNDS
-rounds run over about START_TEXTS texts (a hash sample) to leave the random
-start; FULL_ROUNDS rounds then run over all training texts, and the last of
-these alone sets the model.
+over its texts and gives expected counts, which Spark sums.  Each of ROUNDS
+rounds runs over all training texts.
 
 The HEAD most frequent words go to every task (a fixed bound).  Rarer words of
 a text leave as (word, times) rows, meet their counts in a sort-merge join on
@@ -37,16 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import as_bytes, crc_mod, sample_by_hash, staged, table
+from cuelake.llm.common import as_bytes, crc_mod, staged, table
 
 STATES = 4
 OWN = 512
 CLASSES = 64
 HEAD = 1 << 18
 SMOOTH = 0.1
-START_TEXTS = 1_500
-START_ROUNDS = 10
-FULL_ROUNDS = 2
+ROUNDS = 5
 SEED = 10
 #: Entries of a task's word counter, and tokens of a recursion, at a time.
 _WORDS = 400_000
@@ -293,12 +289,9 @@ def baum_welch_round(encoded: DataFrame, model: Model) -> Model:
     return Model.of_counts(first, move.reshape(states, states), say.reshape(states, symbols))
 
 
-def train(encoded: DataFrame, texts: int, symbols: int, states: int = STATES) -> Model:
+def train(encoded: DataFrame, symbols: int, states: int = STATES, rounds: int = ROUNDS) -> Model:
     model = Model.start(states, symbols)
-    few = sample_by_hash(encoded, START_TEXTS, texts, "doc_id", "symbols")
-    for _ in range(START_ROUNDS):
-        model = baum_welch_round(few, model)
-    for _ in range(FULL_ROUNDS):
+    for _ in range(rounds):
         model = baum_welch_round(encoded, model)
     return model
 
@@ -309,7 +302,7 @@ def score_texts(docs: DataFrame, states: int = STATES, own: int = OWN, classes:
     counts = staged(word_counts(learned_from, classes))
     words = vocabulary(counts, learned_from.count(), own, classes, head)
     encoded = staged(encode(docs, words))
-    model = train(encoded.filter(~F.col("held_out")), words.texts, words.symbols, states)
+    model = train(encoded.filter(~F.col("held_out")), words.symbols, states)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, base double, score double"
     keep = ["rid", "doc_id", "held_out", "n_tokens", "head_known", "base"]

@@ -20,6 +20,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,14 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import crc_mod, sample_by_hash, table
+from cuelake.llm.common import crc_mod, table
 
 SAMPLE = 300
 DICTIONARY = 64_000
 PIECE = 2_000
 LEVEL = 9
 MARGIN = 0.02
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Code points that count as word characters but are no letters, such as superscripts, fractions and Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters(text: str) -> str:
@@ -45,18 +48,18 @@ def letters(text: str) -> str:
 def dictionaries(labelled: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
     """(lang, text) rows to a dictionary for each language."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    out = {}
-    for lang, n in sorted(counts.items()):
-        mine = sample_by_hash(known.filter(F.col("lang") == lang), sample, n, "doc_id", "text")
-        rows = mine.select("text", F.xxhash64("doc_id", "text").alias("h")).filter(F.length("text") <= size)
-        parts, held = [], 0
-        for r in sorted(rows.collect(), key=lambda r: (r.h, r.text)):
-            part = letters(r.text).encode()
-            if held + len(part) <= size:
-                parts.append(part)
-                held += len(part) + 1
-        out[lang] = b" ".join(parts)
+    # One row a language: the share of its texts that makes the sample, in hashes from 0 to 2**63.
+    shares = known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*") * F.lit(2.0**63)).alias("cut"))
+    hashed = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).filter(F.length("text") <= size)
+    mine = hashed.join(F.broadcast(shares), "lang").filter(F.col("h").bitwiseAND(F.lit(2**63 - 1)) < F.col("cut"))
+    parts: dict[str, list[bytes]] = {r.lang: [] for r in shares.select("lang").collect()}
+    held = dict.fromkeys(parts, 0)
+    for r in sorted(mine.collect(), key=lambda r: (r.lang, r.h, r.text)):
+        part = letters(r.text).encode()
+        if held[r.lang] + len(part) <= size:
+            parts[r.lang].append(part)
+            held[r.lang] += len(part) + 1
+    out = {lang: b" ".join(found) for lang, found in sorted(parts.items())}
     return out
 
 

@@ -50,6 +50,8 @@ TEMPLATES = (
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("free software", "gnu general public license")),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "conditions are met")),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", ("mozilla public license",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("this software for any purpose", "hereby granted")),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
     ("cc", "this work is licensed under a creative commons attribution license", ("creative commons",)),
 )
 #: Words that are not indexed.
@@ -57,6 +59,8 @@ FUNCTION_WORDS = frozenset("a an and any are as at by can following for form for
 #: Words of each template to look up.
 RARE = 12
 NEAR = 4
+#: A start is packed with its template into one number: template * TEMPLATE + SHIFT + start.
+TEMPLATE, SHIFT = 1 << 40, 1 << 20
 LEAST_SHARE = 0.6
 
 
@@ -109,7 +113,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base_phrases=BASE_PHRASES
             x
             for w in vocabulary
             if postings[w]
-            for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("template"), F.lit(i).alias("at")) for t, i in postings[w]]))
+            for x in (F.lit(w), F.array(*[F.lit(t * TEMPLATE + SHIFT - i).cast("bigint") for t, i in postings[w]]))
         ]
     )
     template_words = F.array(*[_texts(text.split()) for _, text, _ in templates])
@@ -141,23 +145,19 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base_phrases=BASE_PHRASES
     def starts_of(word):
         at = F.filter(places, lambda i: F.get(words, i) == word)
         return F.flatten(
-            F.transform(at, lambda i: F.transform(postings_map[word], lambda p: F.struct(p["template"].alias("template"), (i - p["at"]).alias("start"))))
+            F.transform(at, lambda i: F.transform(postings_map[word], lambda p: i.cast("bigint") + p))
         )
 
     looked_up = F.array_distinct(
         F.flatten(F.array(*[F.slice(F.array_intersect(_texts(own), F.col("__present")), 1, rare) for own in by_rarity if own]))
     )
-    lists = F.transform(looked_up, starts_of)
-    agreed = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(2), F.size("__lists")),
-                lambda j: F.array_intersect(F.element_at("__lists", j), F.flatten(F.slice("__lists", F.lit(1), j - 1))),
-            )
-        )
-    )
+    # A start counts once for a word, however many places of the word point to it; starts of two words stand twice.
+    starts = F.sort_array(F.flatten(F.transform(looked_up, lambda w: F.array_distinct(starts_of(w)))))
+    agreed = F.array_distinct(F.filter("__starts", lambda x, i: F.get(F.col("__starts"), i + 1) == x))
 
-    def judged(c):
+    def judged(packed):
+        at = F.floor(packed / F.lit(TEMPLATE)).cast("int")
+        c = {"template": at, "start": (packed - at.cast("bigint") * F.lit(TEMPLATE) - F.lit(SHIFT)).cast("int")}
         text = F.element_at(template_words, c["template"] + 1)
         begin = F.greatest(c["start"] - NEAR, F.lit(0))
         near = F.concat(F.lit(" "), F.array_join(F.slice(words, begin + 1, F.size(text) + 2 * NEAR), " "), F.lit(" "))
@@ -166,10 +166,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base_phrases=BASE_PHRASES
         share = F.size(same).cast("double") / F.size(text)
         return F.struct(c["template"].alias("template"), c["start"].alias("start"), F.when(verified, share).otherwise(F.lit(0.0)).alias("share"))
 
-    none = "array<struct<template:int,start:int>>"
     out = present.withColumn("__bases", F.array(*[base_starts(p) for p, _ in base_phrases]))
-    out = out.withColumn("__lists", F.when(F.size("__present") > 1, lists))
-    out = out.withColumn("__agreed", F.when(F.size("__lists") > 1, agreed).otherwise(F.array().cast(none)))
+    out = out.withColumn("__starts", F.when(F.size("__present") > 1, starts))
+    out = out.withColumn("__agreed", F.when(F.size("__starts") > 1, agreed).otherwise(F.array().cast("array<bigint>")))
     out = out.withColumn("found", F.filter(F.transform("__agreed", judged), lambda c: c["share"] >= LEAST_SHARE))
     base_named = F.flatten(
         F.array(*[F.when(F.size(F.get("__bases", F.lit(i))) > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for i, (_, label) in enumerate(base_phrases)])
@@ -187,7 +186,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base_phrases=BASE_PHRASES
             "score",
             F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("found", lambda c: c["share"])), F.lit(0.0))),
         )
-        .drop("__words", "__present", "__bases", "__lists", "__agreed")
+        .drop("__words", "__present", "__bases", "__starts", "__agreed")
     )
 
 

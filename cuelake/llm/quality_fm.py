@@ -2,8 +2,9 @@
 
 Inputs of a text: how often each of BUCKETS hashed words occurs in it (as a
 share of its words, square-rooted), and structure statistics (shares of letter
-case, digits, symbols and spaces, lengths, repeated words, repeated lines) cut
-into steps.  The score is a logistic of
+case, digits, symbols and spaces, lengths, repeated words, repeated lines) and
+metadata (the size that the table states, and how far it is from the text's own)
+cut into steps; label, language, source and id are never among them.  The score is a logistic of
 
     b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
@@ -16,7 +17,7 @@ is fitted there by Adam on mini-batches with fixed seeds.  Scoring reads every
 text whole, in one pass with no shuffle.
 
 Defined results: null and empty texts have only the intercept and the steps of
-zero statistics; rows with a null label are not learned from; with no labelled
+zero statistics; a null or absent n_chars is a step of its own; rows with a null label are not learned from; with no labelled
 row every score is 0.5; with one class only, the share of that class; equal
 rows get equal rows; an empty table gives an empty result; other columns are
 ignored.
@@ -56,6 +57,8 @@ STEPS = {
     "next_repeats": (0.002, 0.02, 0.05, 0.2, 0.5),
     "line_words": (3, 6, 12, 25, 50, 100),
     "repeated_lines": (0.01, 0.1, 0.3, 0.6),
+    "stated_chars": (-0.5, 3, 4, 5, 6, 7, 8, 9, 10),
+    "stated_apart": (-1e-9, 1e-9, 0.1),
 }
 _CLASS = {
     "upper": list(range(65, 91)),
@@ -72,8 +75,8 @@ for _name, _ends in STEPS.items():
 INPUTS = _at
 
 
-def inputs(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The places and values of a text's inputs that are not zero."""
+def inputs(text: bytes, stated: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The places and values of a text's inputs that are not zero; stated is the size in code points that the table gives."""
     words = text.lower().split()
     n, size = len(words), max(1, len(text))
     raw = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
@@ -87,6 +90,8 @@ def inputs(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         "top_word": times.max() / n if n else 0,
         "next_repeats": float((hashes[1:] == hashes[:-1]).mean()) if n > 1 else 0,
         "line_words": n / max(1, len(lines)),
+        "stated_chars": -1 if stated is None else np.log(max(1, stated)),
+        "stated_apart": 0 if stated is None else np.log(max(1, stated)) - np.log(max(1, size if text.isascii() else len(text.decode()))),
         "repeated_lines": 1 - len(set(lines)) / len(lines) if lines else 0,
     } | {name: raw[members].sum() / size for name, members in _CLASS.items()}
     places = [_FIRST[name] + int(np.searchsorted(ends, said[name])) for name, ends in STEPS.items()]
@@ -100,11 +105,16 @@ class Machine:
         self.bias, self.weights, self.factors = bias, weights, factors
         self.squares = (factors**2).sum(axis=1)
 
-    def score(self, places: np.ndarray, values: np.ndarray) -> float:
-        sums = values @ self.factors[places]
-        pairs = (sums @ sums - (values**2) @ self.squares[places]) / 2
-        z = self.bias + values @ self.weights[places] + pairs
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Scores of texts by their inputs, of which each has some, all at a time."""
+        if not texts:
+            return np.zeros(0)
+        first = np.cumsum([0, *(len(p) for p, _ in texts[:-1])])
+        places, values = (np.concatenate(x) for x in zip(*texts))
+        sums = np.add.reduceat(values[:, None] * self.factors[places], first, axis=0)
+        own = np.add.reduceat(values**2 * self.squares[places], first)
+        z = self.bias + np.add.reduceat(values * self.weights[places], first) + ((sums**2).sum(axis=1) - own) / 2
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = SEED) -> Machine:
@@ -145,15 +155,20 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = SEED) ->
     return Machine(bias, theta[:, 0].copy(), theta[:, 1:].copy())
 
 
+def _stated(df: DataFrame, name: str = "stated"):
+    """The size that the table states, null where it has none."""
+    return (F.col("n_chars") if "n_chars" in df.columns else F.lit(None)).cast("bigint").alias(name)
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
-    """(doc_id, text, label) rows to a machine."""
+    """(doc_id, text, label), and n_chars if there is one, to a machine."""
     known = labelled.filter(F.col("label").isNotNull())
     chosen = sample_by_hash(known, sample, known.select("doc_id").count(), "doc_id")
     schema = "doc_id bigint, label int, places array<int>, shares array<double>"
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [inputs(t) for t in as_bytes(batch.column("text"))]
+            both = [inputs(t, n) for t, n in zip(as_bytes(batch.column("text")), batch.column("stated").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -164,7 +179,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
                 names=["doc_id", "label", "places", "shares"],
             )
 
-    read = chosen.select(F.col("doc_id").cast("bigint"), F.col("label").cast("int"), "text")
+    read = chosen.select(F.col("doc_id").cast("bigint"), F.col("label").cast("int"), "text", _stated(chosen))
     rows = read.mapInArrow(made, schema).toPandas()
     triples = sorted(zip(rows.doc_id, rows.label, rows.places, rows.shares), key=lambda r: (r[0], r[1], len(r[2])))
     return fit([(np.asarray(p, np.int64), np.asarray(v), int(y)) for _, y, p, v in triples])
@@ -173,13 +188,14 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
 def classify(docs: DataFrame, machine: Machine, pass_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """pass_columns of every document, score and predicted."""
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    read = docs.select(*pass_columns, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1]) + ", score double, predicted int"
+    read = docs.select(*pass_columns, F.col("text").alias("__text"), _stated(docs, "__stated"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-2]) + ", score double, predicted int"
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = held.value.score
         for batch in batches:
-            out = np.array([score(*inputs(t)) for t in as_bytes(batch.column("__text"))], float)
+            sizes = batch.column("__stated").to_pylist()
+            out = score([inputs(t, n) for t, n in zip(as_bytes(batch.column("__text")), sizes)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(pass_columns))] + [pa.array(out), pa.array((out >= 0.5).astype(np.int32))],
                 names=[*pass_columns, "score", "predicted"],
@@ -189,11 +205,11 @@ def classify(docs: DataFrame, machine: Machine, pass_columns: tuple[str, ...] =
 
 
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     fold = crc_mod(F.col("doc_id"), 3)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(fold != 1)
     # The labels are sampled before texts are fetched; at most about SAMPLE of them meet the documents.
     known = labels.filter(F.col("label").isNotNull())
     few = sample_by_hash(known, SAMPLE, known.count(), "doc_id")
     machine = learn(docs.join(F.broadcast(few), "doc_id"))
-    return classify(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), machine, ("doc_id", "held_out"))
+    return classify(docs.select("doc_id", (fold == 1).alias("held_out"), "text", "n_chars"), machine, ("doc_id", "held_out"))

@@ -3,13 +3,18 @@
 Two histograms describe a text: its character classes (by code point) and its
 use of a language's commonest words (the listed words, one bin each, and all
 other words together).  The reference of a language is the sum of the
-histograms of all its documents.  A document is rejected if the Jensen-Shannon
+histograms of all its other documents, each of which weighs alike (its counts
+are taken in millionths).  A document is rejected if the Jensen-Shannon
 distance (base 2, 0 to 1) of either histogram to its language's reference is
 above a bound, which is wider for short texts, whose histograms are noisy;
 texts below a least size skip that test.
 
 Base rules (word count and repeated 8-word windows) come first.
 
+A reference of fewer than MIN_REFERENCE other documents says too little; the one
+over all languages then stands in for it, and where that too is small the test
+is skipped.
+
 One pass sums the references (a few hundred counts for each language, combined
 in each task before the shuffle), one pass scores.  No row moves between tasks.
 
@@ -49,6 +54,9 @@ CHAR_BOUND = (0.22, 0.6)
 WORD_BOUND = (0.19, 0.9)
 MIN_CHARS = 100
 MIN_HISTOGRAM_WORDS = 30
+#: Documents a reference needs, and what each weighs in it.
+MIN_REFERENCE = 5
+UNIT = 1_000_000
 
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "beyond_ascii")
 _SENTENCE = b".,;:!?'\"()-"
@@ -127,6 +135,11 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def _alike(counts: np.ndarray) -> np.ndarray:
+    """Counts in millionths of their sum; nothing for nothing."""
+    return counts * UNIT // max(1, int(counts.sum()))
+
+
 def _distance(counts: np.ndarray, reference: np.ndarray) -> float:
     if not counts.sum() or not reference.sum():
         return 0.0
@@ -156,9 +169,9 @@ def references(docs: DataFrame, common_words: dict[str, list[str]] = COMMON_WORD
             for lang, text in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text"))):
                 classes, _, _, hashes = _text_counts(text)
                 for name in {lang, None}:
-                    add((name, None, "char"), classes)
+                    add((name, None, "char"), _alike(classes))
                 for own in listed:
-                    bins = _word_bins(hashes, *listed[own], len(common_words[own]))
+                    bins = _alike(_word_bins(hashes, *listed[own], len(common_words[own])))
                     for name in {lang, None} if lang == own else {None}:
                         add((name, own, "word"), bins)
         rows = [(*key, i, int(n)) for key, counts in total.items() for i, n in enumerate(counts)]
@@ -203,8 +216,31 @@ def quality_rules(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, reference = _listed(common_words), shared.value
-        nearest = [(own, (own, own, "word")) for own in listed if reference.get((own, own, "word"), np.zeros(1)).sum()]
-        nearest = nearest or [(own, (None, own, "word")) for own in listed]
+        least = (MIN_REFERENCE - 0.5) * UNIT
+        none = np.zeros(1)
+        nearest = [own for own in listed if reference.get((own, own, "word"), none).sum() >= least]
+
+        def distance(own, lang, *kind):
+            """The distance of counts to the reference of lang, else to that of all; the own text is in both."""
+            share = _alike(own)
+            for name in (lang, None):
+                if (name, *kind) in reference:
+                    rest = reference[(name, *kind)] - share
+                    if rest.sum() >= least:
+                        return _distance(own, rest)
+            return 0.0
+
+        def word_distance(hashes, lang):
+            def of(own, name):
+                counts = _word_bins(hashes, *listed[own], len(common_words[own]))
+                if name is not None and name != lang:  # another language's reference, without the own text
+                    return _distance(counts, reference[(name, own, "word")])
+                return distance(counts, name, own, "word")
+
+            if lang in listed:
+                return of(lang, lang)
+            return min([of(own, own) for own in nearest] or [of(own, None) for own in listed])
+
         for batch in batches:
             rows = []
             for lang, text in zip(batch.column("__lang").to_pylist(), as_bytes(batch.column("__text"))):
@@ -213,10 +249,9 @@ def quality_rules(
                 failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
                 by_char = by_word = 0.0
                 if classes.sum() >= MIN_CHARS:
-                    by_char = _distance(classes, reference[(lang if (lang, None, "char") in reference else None, None, "char")])
+                    by_char = distance(classes, lang, None, "char")
                 if listed and n >= MIN_HISTOGRAM_WORDS:
-                    lists = [(lang, (lang, lang, "word"))] if lang in listed else nearest
-                    by_word = min(_distance(_word_bins(hashes, *listed[own], len(common_words[own])), reference[of]) for own, of in lists)
+                    by_word = word_distance(hashes, lang)
                 far = by_char > char_bound[0] + char_bound[1] / max(1, classes.sum()) ** 0.5
                 far = far or by_word > word_bound[0] + word_bound[1] / max(1, n) ** 0.5
                 kept = not failed and not far

@@ -110,6 +110,37 @@ def test_license_several_in_one_file(spark):
         assert {f.template for f in r.found if f.share == 1} >= set(want)
 
 
+def test_license_long_file(spark):
+    """Cost in proportion to the licence words of one row; labels, score and places as computed apart."""
+    text = "license software " * 50_000 + license_scan.TEMPLATES[6][1]
+    r = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (r.n_words, r.labels, r.score) == (100_000 + len(license_scan.TEMPLATES[6][1].split()), "bsd", 1.0)
+    draw, rows = np.random.default_rng(6), []
+    for i in range(120):
+        words = []
+        for t in draw.choice(len(license_scan.TEMPLATES), int(draw.integers(0, 4))):
+            own = license_scan.TEMPLATES[t][1].split()
+            for k in draw.choice(len(own), int(draw.integers(0, 5)), replace=False):
+                own[k] = "changed"
+            words += ["z"] * int(draw.integers(0, 9)) + own
+        rows.append((i, " ".join(words + ["z"])))
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string"), rare=99).collect()}
+    vocabulary = set(license_scan._vocabulary(license_scan.TEMPLATES, license_scan.BASE_PHRASES))
+    for i, text in rows:
+        w, found, bases = text.split(), set(), {label for p, label in license_scan.BASE_PHRASES if f" {p} " in f" {text} "}
+        for t, (label, template, keys) in enumerate(license_scan.TEMPLATES):
+            own = template.split()
+            for start in range(-len(own), len(w)):
+                hits = [x for k, x in enumerate(own) if 0 <= start + k < len(w) and w[start + k] == x]
+                begin = max(0, start - license_scan.NEAR)
+                near = f" {' '.join(w[begin : begin + len(own) + 2 * license_scan.NEAR])} "
+                if len(set(hits) & vocabulary) > 1 and len(hits) / len(own) >= license_scan.LEAST_SHARE and all(f" {k} " in near for k in keys):
+                    found.add((t, start, len(hits) / len(own)))
+        assert {(f.template, f.start, f.share) for f in got[i].found} == found
+        assert got[i].labels == ",".join(sorted(bases | {license_scan.TEMPLATES[t][0] for t, _, _ in found}))
+        assert got[i].score == (1.0 if bases else max((s for *_, s in found), default=0.0))
+
+
 def test_decontaminate(spark, sf_dir, docs):
     got = {(r.doc_id, r.item_id) for r in decontaminate.op2_decontaminate(spark, sf_dir).collect()}
     items = table(spark, sf_dir, "benchmark").toPandas()
@@ -136,6 +167,40 @@ def test_decontaminate_by_whole_items(spark, sf_dir):
     assert want and want <= {(r.doc_id, r.item_id) for r in found.collect()}
 
 
+def test_decontaminate_against_all_items(spark, sf_dir, docs):
+    """Every passage against every item by the same scores and overlaps, in one shard and in many."""
+    items = table(spark, sf_dir, "benchmark").toPandas()
+    pairs = [(i, *decontaminate.question_and_answer(t)) for i, t in zip(items.item_id, items.text)]
+    index = decontaminate.Index(pairs, whole=True)
+    terms = {i: set(decontaminate.tokens(t.encode())) for i, t in zip(items.item_id, items.text)}
+    impact = {(n, t): w for t in range(len(index.terms)) for n, w in zip(index.postings[t].tolist(), index.impacts[t].tolist())}
+    names = list(index.terms)
+    by_item = [{x: impact[n, index.terms[x]] for x in terms[i]} for n, i in enumerate(index.ids)]
+    assert set(names) == set().union(*terms.values())
+    want = set()
+    for d, text in zip(docs.doc_id, docs.text):
+        words = decontaminate.tokens((text or "").encode())
+        step = index.longest
+        for start in range(0, max(1, len(words) - step), step):
+            part = words[start : start + 2 * step]
+            have, runs = set(part), decontaminate.shingles(part)
+            for n, i in enumerate(index.ids):
+                if sum(w for x, w in by_item[n].items() if x in have) < decontaminate.THRESHOLD:
+                    continue
+
+                def share(own, part=part, runs=runs):
+                    if len(own) >= 5:
+                        return len(decontaminate.shingles(own) & runs) / len(decontaminate.shingles(own))
+                    return float(any(part[k : k + len(own)] == own for k in range(len(part))))
+
+                parts = [decontaminate.tokens(x.encode()) for x in pairs[n][1:]]
+                if min(share(x) for x in parts if x) >= 0.8 or share(parts[0] + parts[1]) >= 0.8:
+                    want.add((d, i))
+    for shard_words in (decontaminate.SHARD_WORDS, 300):
+        got = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shard_words=shard_words)
+        assert want and {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_wand_finds_all_above_threshold():
     draw = np.random.default_rng(1)
     words = [f"w{i}" for i in range(60)]
@@ -163,7 +228,8 @@ def test_pairs_in_linear_time():
     places, values = np.array([1, 5, 9, 4100]), np.array([0.5, 0.2, 0.1, 1.0])
     z = m.bias + values @ m.weights[places]
     z += sum(values[i] * values[j] * (m.factors[places[i]] @ m.factors[places[j]]) for i in range(4) for j in range(i))
-    assert abs(m.score(places, values) - 1 / (1 + np.exp(-z))) < 1e-12
+    other = (np.array([7, 4101]), np.array([1.0, 1.0]))
+    assert abs(m.score([(places, values), other])[0] - 1 / (1 + np.exp(-z))) < 1e-12
 
 
 def test_mixing_meets_targets(spark, sf_dir):
@@ -198,6 +264,52 @@ def test_quality_rules(spark, sf_dir, docs):
     assert kept[kept.quality == 0].kept.mean() < 0.1
 
 
+def test_quality_rules_distances(spark):
+    """Distances and verdict of a small table, with references computed anew for each document."""
+    draw = np.random.default_rng(4)
+    words = {"en": quality_rules.COMMON_WORDS["en"], "de": quality_rules.COMMON_WORDS["de"]}
+    rows = []
+    for i in range(40):
+        lang = [None, "en", "de", "xx"][int(draw.integers(0, 4))] if i < 38 else "solo"
+        own = [*words["de" if lang == "de" else "en"], *(f"w{k}" for k in range(30))]
+        rows.append((i, lang, " ".join(draw.choice(own, int(draw.integers(10, 90)))) + ("!#$" * 60 if i % 9 == 0 else "")))
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, lang string, text string")).collect()}
+    classes = {i: quality_rules._text_counts(t.encode())[0] for i, _, t in rows}
+
+    def alike(counts):
+        return {k: v * 1_000_000 // sum(counts.values()) for k, v in counts.items()} if sum(counts.values()) else {}
+
+    def distance(own, others):
+        if len(others) < 5:
+            return None
+        total = Counter()
+        for o in others:
+            total.update(alike(o))
+        n, m, out = sum(own.values()), sum(total.values()), 0.0
+        for k in set(own) | set(total):
+            p, q = own.get(k, 0) / n, total.get(k, 0) / m
+            out += sum(x * np.log2(2 * x / (p + q)) for x in (p, q) if x)
+        return max(0.0, out / 2) ** 0.5
+
+    def bins(text, own):
+        listed = {f: w for w in quality_rules.COMMON_WORDS[own] for f in (w, w.capitalize())}
+        return Counter(listed.get(w, "") for w in text.split())
+
+    for i, lang, text in rows:
+        char = {k: Counter(dict(enumerate(map(int, c)))) for k, c in classes.items()}
+        same = [char[k] for k, other, _ in rows if k != i and other == lang and lang is not None]
+        want = distance(char[i], same)
+        want = distance(char[i], [char[k] for k, _, _ in rows if k != i]) if want is None else want
+        want = 0.0 if len(text) < quality_rules.MIN_CHARS else want
+        assert abs(got[i].char_distance - want) < 1e-6
+        lists = [lang] if lang in ("en", "de") else ["en", "de"]
+        by_word = [distance(bins(text, x), [bins(t, x) for k, other, t in rows if k != i and other == x]) for x in lists]
+        by_word = 0.0 if len(text.split()) < quality_rules.MIN_HISTOGRAM_WORDS else min(by_word)
+        assert abs(got[i].word_distance - by_word) < 1e-6
+        far = got[i].char_distance > 0.22 + 0.6 / len(text) ** 0.5 or got[i].word_distance > 0.19 + 0.9 / len(text.split()) ** 0.5
+        assert got[i].kept == (not got[i].base_failed and not far)
+
+
 def test_quality_rules_without_language(spark, sf_dir):
     base = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents").select("doc_id", "lang", "text")
     labels = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "labels")
@@ -229,6 +341,20 @@ def test_chat_events(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_log_of_finished_turns(spark, sf_dir):
+    """The query's log holds deltas, edits and regenerations, and its fold gives the table back."""
+    given = table(spark, sf_dir, "conversations").unionByName(
+        spark.createDataFrame([(-1, None, "user", None), (-1, None, "user", None), (-1, 2**63 - 1, "assistant", "é"), (-1, 3, None, ""), (None, 1, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
+    )
+    log = chat_format.events_of(given)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert min(kinds.get(k, 0) for k in ("message", "delta", "edit", "regenerate")) > 10 and kinds["message"] > given.count()
+    want = {}
+    for r in sorted(given.collect(), key=lambda r: (r.turn is not None, r.turn or 0, r.role or "", r.text or "")):
+        want.setdefault(r.conv_id, []).append((r.role or "", r.text or ""))
+    assert {r.conv_id: chat_format.read_back(r.formatted) for r in chat_format.format_chats(log).collect()} == want
+
+
 def groups_of(n, links):
     parent = list(range(n))
 
@@ -418,6 +544,14 @@ def test_language_id(spark, sf_dir):
     assert (sure.lang_pred == sure.lang).mean() > 0.98
 
 
+def test_language_letters(spark):
+    assert language_id.letters("²½ Ⅷ 12 _") == "" and language_id.letters("Éa² b½ª") == "éa b ª"
+    known = {"en": b"the cat of the house", "de": b"die katze und das haus"}
+    rows = [(1, "½²"), (2, "the cat of the house and the cat"), (3, None)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string"), known).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == ["und", "en", "und"]
+
+
 def test_hmm_against_all_paths():
     from itertools import product
 
