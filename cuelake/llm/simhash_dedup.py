@@ -52,9 +52,11 @@ MASK_BITS = 6
 _STEP = 1 << 15
 
 
-def text_print(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text in UTF-8."""
+def text_print(text: bytes, shingle: int = SHINGLE, least: int = 1) -> int:
+    """The fingerprint of one text in UTF-8; words under ``least`` bytes count only where there is no longer one."""
     words = text.lower().split()
+    if least > 1:
+        words = [w for w in words if len(w) >= least] or words
     if not words:
         return 0
     joined = b" ".join(words)
@@ -73,12 +75,12 @@ def text_print(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(values)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, least: int = 1) -> DataFrame:
     """(doc_id, print) of every document; print is the fingerprint as a signed 64-bit number."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((text_print(t, shingle) for t in as_bytes(batch.column("text"))), np.uint64, batch.num_rows)
+            made = np.fromiter((text_print(t, shingle, least) for t in as_bytes(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], names=["doc_id", "print"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(prints, "doc_id bigint, print bigint")
@@ -231,9 +233,9 @@ def links(items: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: i
     return over_cells(deal(items, radius, blocks), forests, "a bigint, b bigint", shard)
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD, shingle: int = SHINGLE) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD, shingle: int = SHINGLE, least: int = 1) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
-    prints = staged(fingerprints(docs, shingle))
+    prints = staged(fingerprints(docs, shingle, least))
     items = staged(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")))
     roots = connected(links(items.select("print"), radius, blocks, shard))
     grouped = items.join(roots.withColumnRenamed("node", "print").hint("merge"), "print", "left").select(

@@ -423,7 +423,7 @@ def similar_pairs(lines, similarity=0.8):
     return out
 
 
-@pytest.mark.parametrize("shard, radius", [(2, 48), (4096, 16)])
+@pytest.mark.parametrize("shard, radius", [(2, 48), (4096, line_dedup.RADIUS)])
 def test_line_dedup_against_all_pairs(spark, sf_dir, docs, shard, radius):
     """Groups against plain edit similarity over all pairs of lines of 20 code points or more: no wrong link, recall of 0.9 or more."""
     table_ = table(spark, sf_dir, "documents")
@@ -453,7 +453,7 @@ def test_rows_of_null_and_equal_ids(spark):
     texts = [f"{line}{n}\nonly in {n} a boat came along the shore" for n in ("night", "noon")]
     rows = [(None, texts[0]), (None, "short\n" * 2 + "one row of its own that stands here alone\n" + texts[1]), (None, None), (7, "alone"), (7, texts[1]), (7, texts[1])]
     docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for radius in (16, 48):
+    for radius in (line_dedup.RADIUS, 48):
         got = line_dedup.line_dedup(docs, radius=radius).collect()
         assert len(got) == len(rows) and sum(r.text is None for r in got) == 1
         left = Counter(x for r in got if r.text for x in r.text.split("\n"))
@@ -598,6 +598,26 @@ def test_hmm_lm(spark, sf_dir, docs):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_pipeline_near_copies(spark):
+    """Copies whose five-word shingles are similar by 0.8 or more go, other texts stay."""
+    draw = np.random.default_rng(12)
+    words = ["".join(draw.choice(list("abcdefghiklmnoprstu"), draw.integers(2, 10))) for _ in range(4000)]
+    rows, copies = [], 0
+    for i in range(150):
+        one = list(draw.choice(words, int(draw.integers(150, 500)))) + ["the", "of", "and", "to"] * 40
+        draw.shuffle(one)
+        rows.append((2 * i, " ".join(one)))
+        if i % 2:
+            for k in draw.choice(len(one), int(len(one) * draw.uniform(0.002, 0.022)), replace=False):
+                one[k] = str(draw.choice(words))
+            rows.append((2 * i + 1, " ".join(one)))
+            copies += 1
+    docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept
+    assert sum(i not in kept for i, _ in rows if i % 2) >= 0.9 * copies
+
+
 def test_pipeline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     before = docs.count()
@@ -606,8 +626,8 @@ def test_pipeline(spark, sf_dir):
         assert docs.columns == list(corpus_pipeline.COLUMNS), name
         assert 0 < docs.count() <= before, name
         before = docs.count()
-    groups = simhash_dedup.near_groups(docs)
-    assert groups.select("component_id").distinct().count() == before
+    groups = simhash_dedup.near_groups(docs, **corpus_pipeline.NEAR_COPY)
+    assert groups.select("component_id").distinct().count() == before, "near copies are left"
     assert decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).isEmpty()
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert mixed.agg(F.sum("words")).first()[0] > 0
