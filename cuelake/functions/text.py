@@ -11,35 +11,89 @@ from cuelake.functions.timecode import div
 
 #: Phrases that recognisers make up in silence.
 MADE_UP_PHRASES = (
+    "ghiền mì gõ",
+    "đăng ký kênh",
+    "subscribe cho kênh",
+    "nhấn chuông thông báo",
+    "cảm ơn các bạn đã xem",
+    "hẹn gặp lại các bạn",
+    "đừng quên like",
+    "đừng quên đăng ký",
     "thanks for watching",
     "thank you for watching",
-    "please subscribe",
-    "like and subscribe",
-    "don't forget to subscribe",
+    "subscribe to my channel",
+    "see you next time",
     "see you in the next video",
-    "subtitles by",
-    "transcribed by",
+    "don't forget to subscribe",
+    "like and subscribe",
+    "[music]",
+    "[applause]",
+    "[laughter]",
+    "♪",
+    "♫",
+    "ご視聴ありがとうございました",
+    "字幕",
+    "다음 영상에서",
 )
 #: Codes and names of languages, then the translation model's codes.
 LANGUAGES = (
-    ("en", "English", "eng_Latn"),
     ("vi", "Vietnamese", "vie_Latn"),
+    ("en", "English", "eng_Latn"),
     ("zh", "Chinese", "zho_Hans"),
     ("ja", "Japanese", "jpn_Jpan"),
     ("ko", "Korean", "kor_Hang"),
     ("fr", "French", "fra_Latn"),
     ("de", "German", "deu_Latn"),
     ("es", "Spanish", "spa_Latn"),
-    ("it", "Italian", "ita_Latn"),
     ("pt", "Portuguese", "por_Latn"),
     ("ru", "Russian", "rus_Cyrl"),
+    ("th", "Thai", "tha_Thai"),
+    ("id", "Indonesian", "ind_Latn"),
+    ("ar", "Arabic", "arb_Arab"),
+    ("hi", "Hindi", "hin_Deva"),
+    ("bn", "Bengali", "ben_Beng"),
+    ("ms", "Malay", "zsm_Latn"),
+    ("tl", "Filipino", "tgl_Latn"),
+    ("my", "Burmese", "mya_Mymr"),
+    ("km", "Khmer", "khm_Khmr"),
+    ("lo", "Lao", "lao_Laoo"),
+    ("it", "Italian", "ita_Latn"),
     ("nl", "Dutch", "nld_Latn"),
     ("pl", "Polish", "pol_Latn"),
+    ("uk", "Ukrainian", "ukr_Cyrl"),
+    ("cs", "Czech", "ces_Latn"),
+    ("sv", "Swedish", "swe_Latn"),
+    ("da", "Danish", "dan_Latn"),
+    ("fi", "Finnish", "fin_Latn"),
+    ("no", "Norwegian", "nob_Latn"),
+    ("el", "Greek", "ell_Grek"),
     ("tr", "Turkish", "tur_Latn"),
-    ("ar", "Arabic", "arb_Arab"),
-    ("hi", "Hindi", "hin_Deva"),
-    ("th", "Thai", "tha_Thai"),
-    ("id", "Indonesian", "ind_Latn"),
+    ("he", "Hebrew", "heb_Hebr"),
+    ("fa", "Persian", "pes_Arab"),
+    ("hu", "Hungarian", "hun_Latn"),
+    ("ro", "Romanian", "ron_Latn"),
+    ("bg", "Bulgarian", "bul_Cyrl"),
+    ("hr", "Croatian", "hrv_Latn"),
+    ("sk", "Slovak", "slk_Latn"),
+    ("sl", "Slovenian", "slv_Latn"),
+    ("lt", "Lithuanian", "lit_Latn"),
+    ("lv", "Latvian", "lvs_Latn"),
+    ("et", "Estonian", "est_Latn"),
+    ("ca", "Catalan", "cat_Latn"),
+    ("gl", "Galician", "glg_Latn"),
+    ("eu", "Basque", "eus_Latn"),
+    ("af", "Afrikaans", "afr_Latn"),
+    ("sw", "Swahili", "swh_Latn"),
+    ("ta", "Tamil", "tam_Taml"),
+    ("te", "Telugu", "tel_Telu"),
+    ("ur", "Urdu", "urd_Arab"),
+    ("ne", "Nepali", "npi_Deva"),
+    ("si", "Sinhala", "sin_Sinh"),
+    ("ka", "Georgian", "kat_Geor"),
+    ("az", "Azerbaijani", "azj_Latn"),
+    ("uz", "Uzbek", "uzn_Latn"),
+    ("kk", "Kazakh", "kaz_Cyrl"),
+    ("mn", "Mongolian", "khk_Cyrl"),
 )
 MIN_MEAN_PROBABILITY = 0.35
 MAX_TOKEN_SHARE, LEAST_TOKENS = 0.55, 5

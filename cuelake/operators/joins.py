@@ -243,7 +243,7 @@ def untranslated(segments: DataFrame, translations: DataFrame, langs: list[str])
     """Every (segment, language) without a non-empty translation."""
     wanted = segments.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
     done = translations.filter(F.coalesce("text", F.lit("")) != "").select("media_id", "seg_no", "lang")
-    return wanted.join(done, ["media_id", "seg_no", "lang"], "left_anti")
+    return wanted.join(done.hint("merge"), ["media_id", "seg_no", "lang"], "left_anti")
 
 
 def track_drift(video: DataFrame, audio: DataFrame, clips: int = 4) -> DataFrame:

@@ -32,7 +32,7 @@ def translate(segments: DataFrame, provider: Callable[[list[str]], list[str]], l
         ask, "media_id bigint, batch_no bigint, n_lines bigint, response string"
     )
     lines = parsed_responses(answered)
-    return batched.select("media_id", "ord", "batch_no", "in_batch").join(lines, ["media_id", "batch_no", "in_batch"]).select(
+    return batched.select("media_id", "ord", "batch_no", "in_batch").join(lines.hint("merge"), ["media_id", "batch_no", "in_batch"]).select(
         "media_id", F.col("ord").alias("seg_no"), F.lit(lang).alias("lang"), "text"
     )
 

@@ -72,7 +72,7 @@ def split_translation(pieces: DataFrame, translations: DataFrame) -> DataFrame:
     n_words = F.size(T.words(F.col("text")))
     parent = Window.partitionBy("media_id", "parent_no")
     rows = pieces.withColumn("__words", n_words).withColumn("__all", F.sum("__words").over(parent)).withColumn("__pieces", F.count("*").over(parent))
-    joined = rows.join(translations.select("media_id", F.col("seg_no").alias("parent_no"), "lang", F.col("text").alias("whole")), ["media_id", "parent_no"])
+    joined = rows.join(translations.select("media_id", F.col("seg_no").alias("parent_no"), "lang", F.col("text").alias("whole")).hint("merge"), ["media_id", "parent_no"])
     target = joined.withColumn("__target", T.words(F.col("whole"))).withColumn(
         "__take", F.greatest(F.lit(1), F.floor(F.col("__words") / F.greatest(F.col("__all"), F.lit(1)) * F.size("__target") + 0.5)).cast("int")
     )

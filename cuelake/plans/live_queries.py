@@ -92,7 +92,7 @@ query("t16_graduated", "SELECT * FROM (SELECT media_id AS session_id, ord AS lin
 query("t17_drafts", "SELECT media_id AS session_id, seg_no // 2 AS index, 'xx' AS lang, arg_max(text, seg_no) AS text FROM word_lists WHERE len(ws) >= 4 GROUP BY 1, 2")(
     lambda s: L.drafts_to_translate(s.select(F.col("media_id").alias("session_id"), F.floor(F.col("seg_no") / 2).cast("bigint").alias("index"), F.lit("xx").alias("lang"), "text", F.col("seg_no").alias("cycle")))
 )
-query("t12_rolling_context", "SELECT media_id AS session_id, seg_no AS line_no, coalesce(right(string_agg(text, ' ') OVER (PARTITION BY media_id ORDER BY seg_no ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING), 400), '') AS context FROM segments")(
+query("t12_rolling_context", "SELECT media_id AS session_id, seg_no AS line_no, coalesce(right(string_agg(text, ' ') OVER (PARTITION BY media_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 400), '') AS context FROM segments")(
     lambda s: L.rolling_context(s.select(F.col("media_id").alias("session_id"), F.col("seg_no").alias("line_no"), "text")).select("session_id", "line_no", "context")
 )
 query("t13_resumed", "SELECT media_id AS session_id, ord, start_ms + media_id * 1000 AS start_ms, end_ms + media_id * 1000 AS end_ms FROM segments")(

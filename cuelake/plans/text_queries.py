@@ -117,15 +117,20 @@ over("events", "w21_window_tags", """SELECT event_id, to_timestamp(k * 600) AT T
 query("p6_drop_blank", "SELECT media_id, ord, CAST(len(list_filter(ws, lambda w: trim(w) <> '')) AS INT) AS n_words FROM word_lists WHERE trim(text) <> ''")(
     lambda s: P.drop_blank(s.withColumn("words", F.transform(F.split("text", r"\s+"), lambda w: F.struct(w.alias("word"))))).select("media_id", "ord", F.size("words").alias("n_words"))
 )
-over("documents", "f7_made_up", "SELECT doc_id, contains(lower(text), 'thanks for watching') OR contains(lower(text), 'please subscribe') OR contains(lower(text), 'the the') AS hit FROM documents")(
-    lambda t: t.select("doc_id", T.contains_made_up(F.col("text"), ("thanks for watching", "please subscribe", "the the")).alias("hit"))
+#: Fixed values, beside those of the functions under test: made-up phrases, and languages with names and codes.
+PHRASES_SQL = """['ghiền mì gõ', 'đăng ký kênh', 'subscribe cho kênh', 'nhấn chuông thông báo', 'cảm ơn các bạn đã xem', 'hẹn gặp lại các bạn', 'đừng quên like', 'đừng quên đăng ký', 'thanks for watching', 'thank you for watching', 'subscribe to my channel', 'see you next time', 'see you in the next video', 'don''t forget to subscribe', 'like and subscribe', '[music]', '[applause]', '[laughter]', '♪', '♫', 'ご視聴ありがとうございました', '字幕', '다음 영상에서']"""
+LANGUAGES_SQL = """(VALUES ('vi', 'Vietnamese', 'vie_Latn'), ('en', 'English', 'eng_Latn'), ('zh', 'Chinese', 'zho_Hans'), ('ja', 'Japanese', 'jpn_Jpan'), ('ko', 'Korean', 'kor_Hang'), ('fr', 'French', 'fra_Latn'), ('de', 'German', 'deu_Latn'), ('es', 'Spanish', 'spa_Latn'), ('pt', 'Portuguese', 'por_Latn'), ('ru', 'Russian', 'rus_Cyrl'), ('th', 'Thai', 'tha_Thai'), ('id', 'Indonesian', 'ind_Latn'), ('ar', 'Arabic', 'arb_Arab'), ('hi', 'Hindi', 'hin_Deva'), ('bn', 'Bengali', 'ben_Beng'), ('ms', 'Malay', 'zsm_Latn'), ('tl', 'Filipino', 'tgl_Latn'), ('my', 'Burmese', 'mya_Mymr'), ('km', 'Khmer', 'khm_Khmr'), ('lo', 'Lao', 'lao_Laoo'), ('it', 'Italian', 'ita_Latn'), ('nl', 'Dutch', 'nld_Latn'), ('pl', 'Polish', 'pol_Latn'), ('uk', 'Ukrainian', 'ukr_Cyrl'), ('cs', 'Czech', 'ces_Latn'), ('sv', 'Swedish', 'swe_Latn'), ('da', 'Danish', 'dan_Latn'), ('fi', 'Finnish', 'fin_Latn'), ('no', 'Norwegian', 'nob_Latn'), ('el', 'Greek', 'ell_Grek'), ('tr', 'Turkish', 'tur_Latn'), ('he', 'Hebrew', 'heb_Hebr'), ('fa', 'Persian', 'pes_Arab'), ('hu', 'Hungarian', 'hun_Latn'), ('ro', 'Romanian', 'ron_Latn'), ('bg', 'Bulgarian', 'bul_Cyrl'), ('hr', 'Croatian', 'hrv_Latn'), ('sk', 'Slovak', 'slk_Latn'), ('sl', 'Slovenian', 'slv_Latn'), ('lt', 'Lithuanian', 'lit_Latn'), ('lv', 'Latvian', 'lvs_Latn'), ('et', 'Estonian', 'est_Latn'), ('ca', 'Catalan', 'cat_Latn'), ('gl', 'Galician', 'glg_Latn'), ('eu', 'Basque', 'eus_Latn'), ('af', 'Afrikaans', 'afr_Latn'), ('sw', 'Swahili', 'swh_Latn'), ('ta', 'Tamil', 'tam_Taml'), ('te', 'Telugu', 'tel_Telu'), ('ur', 'Urdu', 'urd_Arab'), ('ne', 'Nepali', 'npi_Deva'), ('si', 'Sinhala', 'sin_Sinh'), ('ka', 'Georgian', 'kat_Geor'), ('az', 'Azerbaijani', 'azj_Latn'), ('uz', 'Uzbek', 'uzn_Latn'), ('kk', 'Kazakh', 'kaz_Cyrl'), ('mn', 'Mongolian', 'khk_Cyrl')) AS languages(lang, name, code)"""
+
+
+over("documents", "f7_made_up", f"WITH p AS (SELECT {PHRASES_SQL} AS ps) SELECT doc_id, len(list_filter(ps, lambda x: contains(lower(concat(text, ' So ', ps[CAST(doc_id % 46 + 1 AS INT)])), x))) > 0 AS hit FROM documents, p")(
+    lambda t: t.select("doc_id", T.contains_made_up(F.concat("text", F.lit(" So "), F.coalesce(F.get(F.array(*[F.lit(p) for p in T.MADE_UP_PHRASES]), (F.col("doc_id") % 46).cast("int")), F.lit("")))).alias("hit"))
 )
-HALL = """, w AS (SELECT media_id, seg_no, word_no, word, prob * ((media_id % 5) + 1) / 4 AS p, trim(lower(word), '.,!?;:、，。') AS token FROM words),
+HALL = f""", w AS (SELECT media_id, seg_no, word_no, word, prob * ((media_id % 5) + 1) / 4 AS p, trim(lower(word), '.,!?;:、，。') AS token FROM words),
 x AS (SELECT *, token || ' ' || lead(token) OVER (PARTITION BY media_id, seg_no ORDER BY word_no) AS pair FROM w),
 m AS (SELECT media_id, seg_no, avg(p) AS mean, count(*) AS n, lower(string_agg(word, ' ' ORDER BY word_no)) AS joined FROM w GROUP BY 1, 2),
 a AS (SELECT media_id, seg_no, max(c) AS top FROM (SELECT media_id, seg_no, token, count(*) AS c FROM x GROUP BY ALL) GROUP BY 1, 2),
 b AS (SELECT media_id, seg_no, max(c) AS top2 FROM (SELECT media_id, seg_no, pair, count(*) AS c FROM x WHERE pair IS NOT NULL GROUP BY ALL) GROUP BY 1, 2)
-SELECT m.media_id, m.seg_no, (round(mean, 9) < 0.35 OR contains(joined, 'thanks for watching') OR (n >= 5 AND top / n > 0.55) OR (n >= 6 AND top2 / (n - 1) > 0.45)) AS bad
+SELECT m.media_id, m.seg_no, (round(mean, 9) < 0.35 OR len(list_filter({PHRASES_SQL}, lambda x: contains(joined, x))) > 0 OR (n >= 5 AND top / n > 0.55) OR (n >= 6 AND top2 / (n - 1) > 0.45)) AS bad
 FROM m JOIN a USING (media_id, seg_no) LEFT JOIN b USING (media_id, seg_no)"""
 
 
@@ -197,12 +202,26 @@ over("pages", "f30_stems", r"SELECT page_id, regexp_replace(regexp_extract(url,
 over("documents", "f31_masked", "SELECT doc_id, CASE WHEN source = '' THEN '' WHEN length(source || doc_id || 'key') < 9 THEN '...' ELSE left(source || doc_id || 'key', 4) || '...' || right(source || doc_id || 'key', 4) END AS masked FROM documents")(
     lambda t: t.select("doc_id", T.masked(F.concat("source", F.col("doc_id").cast("string"), F.lit("key"))).alias("masked"))
 )
-over("documents", "j13_languages", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END AS target_name, CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' ELSE 'eng_Latn' END AS target_code, 'vie_Latn' AS source_code, upper(lang) AS tag FROM documents")(
-    lambda t: J.language_names(t.withColumn("source_lang", F.lit("auto"))).select("doc_id", "target_name", "target_code", "source_code", F.upper("lang").alias("tag"))
+over("documents", "j13_languages", f"""WITH codes AS (SELECT list(lang ORDER BY lang) AS cs FROM {LANGUAGES_SQL}),
+d AS (SELECT doc_id, coalesce(cs[CAST(doc_id % 60 + 1 AS INT)], 'xx') AS t, CASE WHEN doc_id % 2 = 0 THEN 'auto' ELSE lang END AS s FROM documents, codes)
+SELECT doc_id, coalesce(a.name, t) AS target_name, coalesce(a.code, 'eng_Latn') AS target_code,
+       CASE WHEN s = 'auto' THEN CASE WHEN t = 'vi' THEN 'eng_Latn' ELSE 'vie_Latn' END ELSE coalesce(b.code, 'eng_Latn') END AS source_code, upper(t) AS tag
+FROM d LEFT JOIN {LANGUAGES_SQL.replace('AS languages', 'AS a')} ON a.lang = t LEFT JOIN {LANGUAGES_SQL.replace('AS languages', 'AS b')} ON b.lang = s""")(
+    lambda t: J.language_names(
+        t.select(
+            "doc_id", F.when(F.col("doc_id") % 2 == 0, "auto").otherwise(F.col("lang")).alias("source_lang"),
+            F.coalesce(F.get(F.array(*[F.lit(x) for x in sorted(x for x, _, _ in T.LANGUAGES)]), (F.col("doc_id") % 60).cast("int")), F.lit("xx")).alias("lang"),
+        )
+    ).select("doc_id", "target_name", "target_code", "source_code", F.upper("lang").alias("tag"))
 )
-over("documents", "u7_languages_left", "SELECT unnest(['vi','zh','ja','ko','it','pt','ru','nl','pl','tr','ar','hi','th','id']) AS lang")(
+over("documents", "u7_languages_left", f"SELECT lang FROM {LANGUAGES_SQL} WHERE lang NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL)")(
     lambda t: U.languages_left(J.languages(t.sparkSession), t.select("lang"))
 )
+over("pages", "io3_media_kind", "SELECT page_id, e, CASE WHEN lower(e) IN ('mp4', 'mov', 'mkv', 'avi', 'mxf', 'webm', 'flv', 'wmv', 'm4v') THEN 'video' WHEN lower(e) IN ('wav', 'mp3') THEN 'audio' ELSE 'other' END AS kind FROM (SELECT page_id, ['mp4', 'MOV', 'mkv', 'avi', 'mxf', 'webm', 'flv', 'wmv', 'm4v', 'mpg', 'wav', 'mp3', 'txt'][CAST(page_id % 13 + 1 AS INT)] AS e FROM pages)")(
+    lambda t: t.select("page_id", F.get(F.array(*[F.lit(x) for x in "mp4 MOV mkv avi mxf webm flv wmv m4v mpg wav mp3 txt".split()]), (F.col("page_id") % 13).cast("int")).alias("e")).select(
+        "page_id", "e", R.media_kind(F.concat("page_id", F.lit("."), F.col("e"))).alias("kind")
+    )
+)
 over("conversations", "f38_control", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN NULL ELSE 'fr' END AS language, turn * 100 AS offset_ms FROM conversations")(
     lambda t: t.withColumn(
         "m", R.parse_control(F.format_string('{"action": "start", "language": "%s", "offset_ms": %d}', F.when(F.col("turn") % 2 == 0, "auto").otherwise("fr"), F.col("turn") * 100))

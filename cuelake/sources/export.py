@@ -96,21 +96,34 @@ def output_name(path: Column, kind: str, lang: Column | None = None) -> Column:
     return F.concat(stem(path), F.lit({"original": "_original.srt", "cut": "_cut.srt", "edit": "_edit.xml", "text": ".txt"}[kind]))
 
 
-def dedupe_names(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """(file_id, path) to names that clash neither with each other nor with existing ones: stem, then stem_1, stem_2, ..."""
-    named = files.withColumn("base", basename(F.col("path"))).withColumn("taken", F.lit(0).cast("bigint"))
-    if existing is not None:
-        taken = existing.groupBy(F.regexp_replace(F.regexp_replace("name", r"\.[^.]+$", ""), r"_\d+$", "").alias("s"), F.regexp_extract("name", r"(\.[^.]+)?$", 0).alias("e")).agg(F.count("*").alias("n"))
-        named = (
-            named.withColumn("s", F.regexp_replace("base", r"\.[^.]+$", "")).withColumn("e", F.regexp_extract("base", r"(\.[^.]+)?$", 0))
-            .join(taken, ["s", "e"], "left").withColumn("taken", F.coalesce("n", F.lit(0))).drop("s", "e", "n")
-        )
-    place = F.row_number().over(Window.partitionBy("base").orderBy("file_id")) - 1 + F.col("taken")
-    suffix = F.when(place == 0, "").otherwise(F.concat(F.lit("_"), place.cast("string")))
-    return named.select(
-        "file_id",
-        F.concat(F.regexp_replace("base", r"\.[^.]+$", ""), suffix, F.regexp_extract("base", r"(\.[^.]+)?$", 0)).alias("name"),
-    )
+def dedupe_names(files: DataFrame, existing: DataFrame | None = None, most_rounds: int = 50) -> DataFrame:
+    """(file_id, path) to names that clash neither with each other nor with existing ones: stem, then stem_1, stem_2, ...
+
+    Files of one name take numbers in order of file_id.  Where files of two stems
+    ask for one name, or it exists, the first (an existing one before all) has
+    it and the other stem passes over that number; this is done again until no
+    name is asked for twice, in as many rounds as names clash in a chain.
+    """
+    own = Window.partitionBy("stem", "ext").orderBy("file_id")
+    base = basename(F.col("path"))
+    placed = files.select(
+        "file_id", F.regexp_replace(base, r"\.[^.]+$", "").alias("stem"), F.regexp_extract(base, r"(\.[^.]+)?$", 0).alias("ext")
+    ).withColumn("place", F.row_number().over(own) - 1)
+    blocked = placed.select("stem", "ext", F.col("place").alias("number")).limit(0)
+    for _ in range(most_rounds):
+        passed = blocked.groupBy("stem", "ext").agg(F.array_sort(F.collect_set("number")).alias("passed"))
+        number = F.aggregate(F.coalesce("passed", F.array().cast("array<int>")), F.col("place"), lambda n, b: F.when(b <= n, n + 1).otherwise(n))
+        suffix = F.when(F.col("number") == 0, "").otherwise(F.concat(F.lit("_"), F.col("number").cast("string")))
+        named = placed.join(passed.hint("merge"), ["stem", "ext"], "left").withColumn("number", number).withColumn("name", F.concat("stem", suffix, "ext"))
+        asked = named.select("name", F.struct(F.lit(1).alias("new"), "file_id").alias("who"))
+        if existing is not None:
+            asked = asked.unionByName(existing.select("name", F.struct(F.lit(0).alias("new"), F.lit(None).cast(files.schema["file_id"].dataType).alias("file_id")).alias("who")))
+        clashes = asked.groupBy("name").agg(F.min("who").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
+        lost = named.join(clashes.hint("merge"), "name").filter((F.col("first.new") == 0) | (F.col("first.file_id") != F.col("file_id"))).select("stem", "ext", "number").distinct()
+        if lost.isEmpty():
+            return named.select("file_id", "name")
+        blocked = blocked.unionByName(lost).distinct()
+    raise RuntimeError(f"names still clash after {most_rounds} rounds")
 
 
 def write_text(rendered: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from cuelake import schema
 from cuelake.functions.timecode import half_up, seconds_to_ms
 
 #: File extensions by kind.
-VIDEO = ("mp4", "mov", "mkv", "avi", "webm", "m4v", "mpg", "mpeg", "wmv")
+VIDEO = ("mp4", "mov", "mkv", "avi", "mxf", "webm", "flv", "wmv", "m4v")
 AUDIO = ("wav", "mp3", "m4a", "aac", "flac", "ogg", "opus", "aiff", "wma")
 
 

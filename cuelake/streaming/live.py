@@ -236,10 +236,20 @@ def session_summary(finals: DataFrame) -> DataFrame:
 
 
 def rolling_context(finals: DataFrame, n: int = 400) -> DataFrame:
-    """The last characters said before each line."""
-    before = Window.partitionBy("session_id").orderBy("line_no").rowsBetween(-40, -1)
-    said = F.array_join(F.collect_list("text").over(before), " ")
-    return finals.withColumn("context", F.right(said, F.lit(n)))
+    """The last n characters said before each line, lines joined by a space.
+
+    Lines stand at their offset in characters, so a frame of n characters holds
+    every line that begins within reach, however short; the one before those
+    may reach into it with its end.
+    """
+    order = Window.partitionBy("session_id").orderBy("line_no")
+    size = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") + 1)
+    placed = finals.withColumn("__at", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+    at = Window.partitionBy("session_id").orderBy("__at")
+    begun = F.collect_list("text").over(at.rangeBetween(-(n + 1), -1))
+    before = F.last("text", ignorenulls=True).over(at.rangeBetween(Window.unboundedPreceding, -(n + 2)))
+    said = F.array_join(F.concat(F.filter(F.array(before), lambda t: t.isNotNull()), begun), " ")
+    return placed.withColumn("context", F.right(said, F.lit(n))).drop("__at")
 
 
 def resumed(rows: DataFrame, offsets: DataFrame) -> DataFrame:

@@ -77,6 +77,9 @@ def test_logs_and_names(spark):
     files = spark.createDataFrame([(1, "/a/x.srt"), (2, "/b/x.srt"), (3, "/b/y.srt")], "file_id bigint, path string")
     taken = spark.createDataFrame([("y.srt",)], "name string")
     assert spans(E.dedupe_names(files, taken), "name") == [("x.srt",), ("x_1.srt",), ("y_1.srt",)]
+    files = spark.createDataFrame([(i, p) for i, p in enumerate(["a.srt", "a.srt", "a_1.srt", "b_1", "b", "b", "b"])], "file_id bigint, path string")
+    got = {r.file_id: r.name for r in E.dedupe_names(files).collect()}
+    assert [got[i] for i in range(7)] == ["a.srt", "a_1.srt", "a_1_1.srt", "b_1", "b", "b_2", "b_3"]
 
 
 def test_files_round_trip(spark, tmp_path):
