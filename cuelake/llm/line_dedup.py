@@ -79,16 +79,13 @@ _MIX = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(8)], np.uint64)
 #: Bytes of lines hashed at a time, so that their hashes stay in the cache.
 _STEP_BYTES = 1 << 16
-#: Pairs whose edits are counted at a time.
-_STEP_PAIRS = 20_000
+#: Pairs whose edits are counted at a time, at first and at most.
+_FIRST_PAIRS, _STEP_PAIRS = 1 << 10, 1 << 14
 #: Lines of a task that are remembered, so that repeats are not dealt again.
 _SEEN = 1_000_000
 #: For each byte a number whose bytes are the byte's bits, and how many such numbers can be added.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 _LANE_MOST = 255
-#: Words to pass on either side where two lines part, nearest first.
-_STEPS = sorted(((p, q) for p in range(5) for q in range(5) if p + q), key=lambda s: (s[0] + s[1], abs(s[0] - s[1])))
-
 _NORMAL = bytes(
     c if c >= 0x80 or 97 <= c <= 122 or c == 10 else c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 for c in range(256)
 )
@@ -134,29 +131,6 @@ def edit_distance(a: bytes | str, b: bytes | str, most: int) -> int:
     return score
 
 
-def edits_by_words(a: bytes, b: bytes, most: int) -> int:
-    """An upper bound of the edit distance of two lines, from one alignment of their words; stops above ``most``.
-
-    Where the words part, the nearest place at which two words agree again is
-    taken, and what lies before it counts as rewritten.
-    """
-    x, y = a.split(), b.split()
-    i, j, edits = 0, 0, 0
-    while edits <= most:
-        while i < len(x) and j < len(y) and x[i] == y[j]:
-            i, j = i + 1, j + 1
-        if i == len(x) or j == len(y):
-            return edits + sum(map(len, x[i:])) + len(x[i:]) + sum(map(len, y[j:])) + len(y[j:])
-        for p, q in _STEPS:
-            if x[i + p : i + p + 2] == y[j + q : j + q + 2]:
-                break
-        else:
-            p, q = 1, 1
-        edits += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
-        i, j = min(i + p, len(x)), min(j + q, len(y))
-    return edits
-
-
 def _middles(a: bytes, b: bytes) -> tuple[bytes, bytes]:
     """a and b without the words that both begin and end with."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -220,16 +194,22 @@ def _within(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.nd
 def similar(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
     """Whether the edit similarity of each pair of normalised lines in UTF-8, by code points, is high enough.
 
-    Pairs are counted together where there are enough of about one length, else one by one.
+    Words that both begin and end with are left aside.  Edits are counted for many
+    pairs together where there are enough of about one length, else one by one.
     """
     out, left = np.zeros(len(a), bool), {}
     for i, (x, y) in enumerate(zip(a, b)):
-        if not (x.isascii() and y.isascii()):
+        plain = x.isascii() and y.isascii()
+        most = int((1 - similarity) * (max(len(x), len(y)) if plain else max(len(x.decode()), len(y.decode()))) + 1e-9)
+        x, y = _middles(x, y)
+        if not plain:
             x, y = x.decode(), y.decode()
-        most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
         x, y = (x, y) if len(x) >= len(y) else (y, x)
         if len(x) - len(y) > most:
             continue
+        if len(x) <= most or not y:  # rewriting the middle takes no more edits
+            out[i] = True
+            continue
         words = -(-len(x) // 64)
         left.setdefault(words if words <= 4 else 1 << round(4 * math.log2(words)), []).append((i, x, y, most))
     for rows in left.values():
@@ -251,15 +231,6 @@ def similar(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
     return out
 
 
-def surely_similar(a: bytes, b: bytes, similarity: float) -> bool:
-    """True where an alignment of words shows the similarity (in bytes, so in code points too); most near copies are found by it."""
-    plain = a.isascii() and b.isascii()
-    longest = max(len(a), len(b)) if plain else max(len(a.decode()), len(b.decode()))
-    most = int((1 - similarity) * longest + 1e-9)
-    a, b = _middles(a, b)
-    return max(len(a), len(b)) <= most or edits_by_words(a, b, most) <= most
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(33)) * _MIX[0]
     h = (h ^ h >> np.uint64(33)) * _MIX[1]
@@ -453,44 +424,66 @@ def cells_with_pairs(lines: DataFrame, judge: Judge, near: int, blocks: int, sha
     return over_cells(by_block.unionByName(by_run), partners, "cell bigint, id bigint, kin bigint", shard).distinct()
 
 
-def in_steps(pairs, groups: Groups):
-    """Pairs not connected yet, about _STEP_PAIRS at a time."""
-    held = [[], []]
+class Common:
+    """Which pairs of rows have no lesser cell in common than the one they stand in, from the sorted cells of each row's line."""
+
+    def __init__(self, cell: np.ndarray, sets: list):
+        width = max(map(len, sets))
+        self.cell, self.none = cell, np.iinfo(np.int64).max
+        self.sets = np.full((len(sets), width), self.none)
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        rows = np.repeat(np.arange(len(sets)), sizes)
+        self.sets[rows, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.concatenate(sets)
+
+    def first_here(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), bool)
+        for k in range(0, len(a), 1 << 14):
+            x, y, here = self.sets[a[k : k + (1 << 14)]], self.sets[b[k : k + (1 << 14)]], self.cell[a[k : k + (1 << 14)]]
+            x = np.where(x < here[:, None], x, self.none)
+            for column in range(x.shape[1]):
+                own = x[:, column]
+                out[k : k + (1 << 14)] &= ~((y == own[:, None]).any(axis=1) & (own < self.none))
+        return out
+
+
+def in_steps(pairs):
+    """Pairs some at a time, few at first, so that what they connect is known before the rest is taken."""
+    held, most = [[], []], _FIRST_PAIRS
     for a, b in pairs:
-        open_ = groups.roots(a) != groups.roots(b)
-        held[0] += a[open_].tolist()
-        held[1] += b[open_].tolist()
-        if len(held[0]) >= _STEP_PAIRS:
+        held[0] += a.tolist()
+        held[1] += b.tolist()
+        if len(held[0]) >= most:
             yield held
-            held = [[], []]
+            held, most = [[], []], min(2 * most, _STEP_PAIRS)
     if held[0]:
         yield held
 
 
 def judged_links(lines: DataFrame, judge: Judge) -> DataFrame:
-    """(cell, id, kin, key, line) to (a, b): keys of a spanning forest of each cell's links."""
+    """(cell, id, kin, sets, key, line) to (a, b): keys of a forest of each cell's links; a pair is judged in the least cell of both."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (cell, ids, kin, keys, texts) in whole_cells(batches, ("id", "kin", "key", "line")):
-            groups, out = Groups(len(ids)), []
-
-            def linked(x, y, groups=groups, out=out, keys=keys):
-                groups.join_one(x, y)
-                out.append((keys[x], keys[y]))
-
-            for a, b in judge.pairs(cell, ids, kin):
-                open_ = groups.roots(a) != groups.roots(b)
-                for x, y in zip(a[open_].tolist(), b[open_].tolist()):
-                    if groups.root(x) != groups.root(y) and surely_similar(texts[x], texts[y], judge.similarity):
-                        linked(x, y)
-            for x, y in in_steps(judge.pairs(cell, ids, kin), groups):
+        for _, (cell, ids, kin, sets, keys, texts) in whole_cells(batches, ("id", "kin", "sets", "key", "line")):
+            groups, common, out = Groups(len(ids)), Common(cell, sets), []
+
+            def pairs(cell=cell, ids=ids, kin=kin, common=common, groups=groups):
+                for a, b in judge.pairs(cell, ids, kin):
+                    open_ = groups.roots(a) != groups.roots(b)
+                    a, b = a[open_], b[open_]
+                    here = common.first_here(a, b)
+                    yield a[here], b[here]
+
+            for x, y in in_steps(pairs()):
+                open_ = groups.roots(np.array(x)) != groups.roots(np.array(y))
+                x, y = np.array(x)[open_].tolist(), np.array(y)[open_].tolist()
                 for i in np.flatnonzero(similar([texts[i] for i in x], [texts[i] for i in y], judge.similarity)).tolist():
                     if groups.root(x[i]) != groups.root(y[i]):
-                        linked(x[i], y[i])
+                        groups.join_one(x[i], y[i])
+                        out.append((keys[x[i]], keys[y[i]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
-    dealt = lines.select("cell", "id", "kin", "key", F.col("line").cast("binary").alias("line"))
+    dealt = lines.select("cell", "id", "kin", "sets", "key", F.col("line").cast("binary").alias("line"))
     return dealt.repartition("cell").sortWithinPartitions("cell", "kin", "id").mapInArrow(links, "a binary, b binary")
 
 
@@ -536,9 +529,9 @@ def repeated_lines(
         lines.groupBy("key", "id").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count("*").alias("n"))
     )
     judged_in = staged(cells_with_pairs(lines, judge, near, blocks, shard))
-    some = judged_in.select("id").distinct()
-    wanted = staged(items.join(some.hint("merge"), "id").select("id", "key", "first.row", "first.line_no"))
-    texts = staged(line_texts(docs, wanted).join(wanted.select("key", "id").hint("merge"), "key"))
+    some = judged_in.groupBy("id").agg(F.array_sort(F.collect_set("cell")).alias("sets"))
+    wanted = staged(items.join(some.hint("merge"), "id").select("id", "key", "sets", "first.row", "first.line_no"))
+    texts = staged(line_texts(docs, wanted).join(wanted.select("key", "id", "sets").hint("merge"), "key"))
     hung = connected(judged_links(judged_in.join(texts.hint("merge"), "id"), judge)).withColumnRenamed("node", "key")
     roots = staged(hung.unionByName(hung.select(F.col("root").alias("key"), "root").distinct()))
     linked = staged(items.join(roots.hint("merge"), "key").select("key", "root", "first", "n"))

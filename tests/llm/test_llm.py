@@ -472,6 +472,11 @@ def test_line_dedup_removes_short_and_unspaced_repeats(spark):
     assert got == {1: lines[:4] + lines[5:], 2: ["", "no"]}
 
 
+def one_pair(a, b):
+    most = int(0.2 * max(len(a), len(b)) + 1e-9)
+    return line_dedup.edit_distance(a, b, most) <= most
+
+
 def test_line_dedup_by_edit_similarity_alone(spark):
     """Planted lines against plain edit similarity, with no SimHash in the brute force."""
     draw = np.random.default_rng(11)
@@ -483,7 +488,7 @@ def test_line_dedup_by_edit_similarity_alone(spark):
         for k in draw.choice(n, changed, replace=False):
             two[k] = str(draw.choice(words))
         lines += [" ".join(one), " ".join(two)]
-    links = [(a, b) for a in range(len(lines)) for b in range(a) if line_dedup.similar(lines[a].encode(), lines[b].encode(), 0.8)]
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if one_pair(lines[a], lines[b])]
     root = groups_of(len(lines), links)
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
     got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs).collect()}
@@ -506,17 +511,20 @@ def test_edit_distance():
         assert got == row[-1] if row[-1] <= most else got > most
 
 
-def test_edits_by_words_is_an_upper_bound():
-    draw = np.random.default_rng(7)
-    words = ["a", "bb", "abc", "é", "dddd", "ab", "ñandú"]
-    for _ in range(1000):
-        x = list(draw.choice(words, draw.integers(1, 12)))
-        y = list(x)
-        for _ in range(draw.integers(0, 5)):
-            k = int(draw.integers(0, len(y) + 1))
-            y[k : k + int(draw.integers(0, 2))] = list(draw.choice(words, draw.integers(0, 2)))
-        a, b = " ".join(x), " ".join(y)
-        assert line_dedup.edits_by_words(a.encode(), b.encode(), 10**6) >= line_dedup.edit_distance(a, b, 10**6)
+def test_similar_pairs_together():
+    """Edits counted for many pairs together against one pair at a time, over lengths of one word of bits and of many."""
+    draw, a, b = np.random.default_rng(7), [], []
+    for n in (5, 30, 64, 65, 130, 300, 900):
+        for _ in range(100):
+            one = draw.choice(list("abcd é "), n)
+            two = one.copy()
+            for k in draw.integers(0, n, draw.integers(0, max(2, n // 2))):
+                two[k] = draw.choice(list("abcdé"))
+            a.append(" ".join("".join(one).split()).encode())
+            b.append(" ".join("".join(two[int(draw.integers(0, 3)) :]).split()).encode())
+    most = [int(0.2 * max(len(x.decode()), len(y.decode())) + 1e-9) for x, y in zip(a, b)]
+    want = [line_dedup.edit_distance(x.decode(), y.decode(), m) <= m for x, y, m in zip(a, b, most)]
+    assert line_dedup.similar(a, b, 0.8).tolist() == want and 50 < sum(want) < 650
 
 
 def test_marks_of_lines(monkeypatch):
