@@ -61,7 +61,7 @@ MIN_CHARS = 20
 NEAR = 2
 BLOCKS = 4
 #: Bits of the 48 that go with a line in which judged pairs may differ.
-RADIUS = 9
+RADIUS = 12
 SHARD = 4096
 #: Bytes of a run, least and most bytes of the lines that keep such runs, and how many are kept.
 RUNS = ((16, 28, 80, 4), (24, 64, 240, 6), (40, 190, 1 << 62, 6))
