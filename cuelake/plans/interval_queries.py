@@ -34,11 +34,11 @@ def cuts_of(s: DataFrame) -> DataFrame:
 
 
 def times_of(s: DataFrame) -> DataFrame:
-    """Seven times in each second segment."""
-    return s.filter("ord % 2 = 0").select("media_id", F.explode(F.sequence("start_ms", "end_ms", F.lit(977).cast("bigint"))).alias("t")).distinct()
+    """Times in every segment, 977 ms apart."""
+    return s.select("media_id", F.explode(F.sequence("start_ms", "end_ms", F.lit(977).cast("bigint"))).alias("t")).distinct()
 
 
-TIMES = ", times AS (SELECT DISTINCT media_id, unnest(generate_series(start_ms, end_ms, 977)) AS t FROM segments WHERE ord % 2 = 0)\n"
+TIMES = ", times AS (SELECT DISTINCT media_id, unnest(generate_series(start_ms, end_ms, 977)) AS t FROM segments)\n"
 
 
 def flagship(s: DataFrame) -> DataFrame:
@@ -279,8 +279,8 @@ query("w11_close_gaps", """, g AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OV
 m AS (SELECT *, max(gap) OVER (PARTITION BY media_id ORDER BY start_ms, ord ROWS UNBOUNDED PRECEDING) AS moves FROM g),
 e AS (SELECT media_id, ord, end_ms - start_ms AS len, CASE WHEN moves = 1 THEN max(CASE WHEN moves = 0 THEN end_ms END) OVER u + sum(CASE WHEN moves = 1 THEN end_ms - start_ms ELSE 0 END) OVER u ELSE end_ms END AS ne FROM m WINDOW u AS (PARTITION BY media_id ORDER BY start_ms, ord ROWS UNBOUNDED PRECEDING))
 SELECT media_id, ord, CAST(ne - len AS BIGINT) AS start_ms, CAST(ne AS BIGINT) AS end_ms FROM e""")(W.close_gaps)
-query("w12_numbering", "SELECT media_id, ord, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, ord) AS number FROM segments WHERE ord % 3 <> 1")(
-    lambda s: W.numbered(s.filter("ord % 3 <> 1")).select("media_id", "ord", "number")
+query("w12_numbering", "SELECT media_id, ord, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, ord) AS number FROM segments WHERE trim(text) <> ''")(
+    lambda s: W.numbered(P.speech_nonblank(s)).select("media_id", "ord", "number")
 )
 query("w13_speaker_labels", "SELECT media_id, speaker, concat('Speaker ', chr(CAST(65 + row_number() OVER (PARTITION BY media_id ORDER BY min(ord), speaker) - 1 AS INT))) AS label FROM segments GROUP BY 1, 2")(
     lambda s: W.speaker_labels(s).select("media_id", "speaker", F.concat(F.lit("Speaker "), F.char((65 + F.col("pos")).cast("int"))).alias("label"))
