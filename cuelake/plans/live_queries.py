@@ -18,7 +18,7 @@ def query(name: str, sql: str | None):
     def put(f):
         QUERIES[name] = lambda spark, sf_dir: f(I.segments(spark, sf_dir))
         if sql:
-            ORACLE_SQL[name] = CTE + sql
+            ORACLE_SQL[name] = CTE.replace("WITH base", "WITH RECURSIVE base", 1) + sql
         return f
 
     return put
@@ -59,6 +59,52 @@ def hypotheses(s: DataFrame) -> DataFrame:
     )
 
 
+def decoded(s: DataFrame, kind: str, dur_ms: int, probability: float = 0.9) -> DataFrame:
+    """One cycle for each turn that sees all its words, each eleventh unsure; the buffer ends 100 ms after the last."""
+    w = I.words(s).withColumn("session_id", F.col("media_id") * 1000 + F.col("seg_no"))
+    sure = F.when(F.col("word_no") % 11 == 10, 0.5).otherwise(probability)
+    item = F.struct("word_no", "word", "start_ms", (F.col("start_ms") + 10).alias("end_ms"), sure.alias("probability"))
+    held = w.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("ws"), F.max("start_ms").alias("last_ms"))
+    return held.select(
+        "session_id", F.lit(0).cast("bigint").alias("cycle"), (F.col("last_ms") + 110 - dur_ms).alias("buffer_start_ms"), F.lit(dur_ms).cast("bigint").alias("buffer_dur_ms"),
+        F.lit(kind).alias("kind"), F.transform("ws", lambda x: x.dropFields("word_no")).alias("words"), F.timestamp_millis(F.lit(0)).alias("event_ts"),
+    )
+
+
+def paused(s: DataFrame) -> DataFrame:
+    """A pause after each turn that sees all its words, then a stop that sees none."""
+    pause = decoded(s, "pause", 6000)
+    stop = pause.withColumn("cycle", F.lit(1).cast("bigint")).withColumn("kind", F.lit("stop")).withColumn("words", F.slice("words", 1, 0))
+    return pause.unionByName(stop)
+
+
+def finals(s: DataFrame) -> DataFrame:
+    """The text of each turn one second after its start, by a clock that starts at one minute (a stream's first watermark is zero)."""
+    return s.select(
+        F.col("media_id").alias("session_id"), F.col("seg_no").alias("index"), F.lit("xx").alias("lang"), "text", F.timestamp_millis(F.col("start_ms") + 61_000).alias("event_ts")
+    )
+
+
+def drafts(s: DataFrame) -> DataFrame:
+    """Translated drafts of the turns as they start: every third of another text, every fourth not translated."""
+    return finals(s).select(
+        "session_id", "index", "lang", F.when(F.col("index") % 3 == 1, F.concat("text", F.lit(" and"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("index") % 4 != 2, F.concat(F.lit("["), "text", F.lit("]"))).alias("cached"), (F.col("event_ts") - F.expr("INTERVAL 1 SECOND")).alias("event_ts"),
+    )
+
+
+#: Words of the sessions, their first unsure word, and the walk that closes lines.
+SPOKEN = ", spoken AS (SELECT media_id * 1000 + seg_no AS session_id, word_no, word, start_ms, start_ms + 10 AS end_ms, right(word, 1) IN ('.', '!', '?', '。', '？', '！') AS hard FROM words)"
+SURE = SPOKEN + """, ends AS (SELECT session_id, max(end_ms) + 100 AS buffer_end FROM spoken GROUP BY 1),
+sure AS (SELECT session_id, min(word_no) AS cut FROM spoken JOIN ends USING (session_id) WHERE word_no % 11 = 10 OR buffer_end - end_ms < 150 GROUP BY 1)"""
+WALK = """, walk AS (
+SELECT w.session_id, w.word_no, word, start_ms, end_ms, CAST(0 AS BIGINT) AS line_no, 1 AS n, CAST(hard AS INT) AS e, false AS closes FROM (SELECT * FROM spoken {only}) w WHERE w.word_no = 0
+UNION ALL
+SELECT session_id, word_no, word, start_ms, end_ms, line_no, n, e, CASE WHEN hard THEN e >= 2 ELSE n >= 28 END FROM (
+  SELECT w.session_id, w.word_no, w.word, w.start_ms, w.end_ms, w.hard, k.line_no + CAST(k.closes AS BIGINT) AS line_no,
+         CASE WHEN k.closes THEN 1 ELSE k.n + 1 END AS n, CASE WHEN k.closes THEN 0 ELSE k.e END + CAST(w.hard AS INT) AS e
+  FROM walk k JOIN (SELECT * FROM spoken {only}) w ON w.session_id = k.session_id AND w.word_no = k.word_no + 1))"""
+
 query("t1_utterances", None)(lambda s: L.utterances(frames(s)))
 query("t1_speech_sessions", """, f AS (SELECT DISTINCT media_id, unnest(range(CAST(ceil(start_ms / 30) AS BIGINT), CAST(ceil(end_ms / 30) AS BIGINT))) AS n FROM segments),
 o AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY media_id ORDER BY n) <= 12 THEN 0 ELSE 1 END AS opens FROM f),
@@ -71,9 +117,31 @@ query("t3_final_texts", r"SELECT media_id * 1000 + seg_no AS session_id, array_t
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("text")
     )
 )
+query("t4_sure_words", SURE + WALK.format(only="JOIN sure USING (session_id) WHERE word_no < cut") + """
+SELECT session_id, CASE WHEN bool_or(closes) THEN 'final' ELSE 'draft' END AS event, line_no, string_agg(word, ' ' ORDER BY word_no) AS text FROM walk GROUP BY session_id, line_no""")(
+    lambda s: L.live_transcript(decoded(s, "partial", 6000)).filter("event <> 'partial'").select("session_id", "event", "line_no", "text")
+)
+query("t5_forced_words", SPOKEN + WALK.format(only="") + """
+SELECT session_id, CASE WHEN bool_or(closes) THEN 'final' ELSE 'draft' END AS event, line_no, string_agg(word, ' ' ORDER BY word_no) AS text FROM walk GROUP BY session_id, line_no""")(
+    lambda s: L.live_transcript(decoded(s, "partial", 12_000, 0.5)).select("session_id", "event", "line_no", "text")
+)
+query("t6_lines", SPOKEN + WALK.format(only="") + """
+SELECT session_id, line_no, string_agg(word, ' ' ORDER BY word_no) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM walk GROUP BY session_id, line_no""")(
+    lambda s: L.live_transcript(hypotheses(s)).filter("event = 'final'").select("session_id", "line_no", "text", "start_ms", "end_ms")
+)
+query("t7_pause", SPOKEN + WALK.format(only="") + """
+SELECT session_id, CAST(CASE WHEN bool_or(closes) OR count(*) >= 8 THEN 0 ELSE 1 END AS BIGINT) AS cycle, line_no, string_agg(word, ' ' ORDER BY word_no) AS text FROM walk GROUP BY session_id, line_no""")(
+    lambda s: L.live_transcript(paused(s)).filter("event = 'final'").select("session_id", "cycle", "line_no", "text")
+)
 query("t9_live_events", None)(lambda s: L.live_transcript(hypotheses(s)))
-query("t20_session_summary", None)(lambda s: L.session_summary(L.live_transcript(hypotheses(s)).filter("event = 'final'")))
-query("j19_agreement", None)(lambda s: agreement(hypotheses(s)))
+query("t20_session_summary", SPOKEN + WALK.format(only="") + """
+SELECT session_id, count(DISTINCT line_no) AS n_lines, max(end_ms) AS duration_ms FROM walk GROUP BY session_id""")(lambda s: L.session_summary(L.live_transcript(hypotheses(s)).filter("event = 'final'")))
+query("j19_agreement", SPOKEN + """, sizes AS (SELECT session_id, count(*) AS n, CAST(greatest(ceil((count(*) - 6) / 3), 0) AS BIGINT) + 1 AS last FROM spoken GROUP BY 1),
+cycles AS (SELECT *, unnest(range(0, last + 1)) AS cycle FROM sizes),
+seen AS (SELECT *, CASE WHEN cycle = last THEN n ELSE least(n, 3 * cycle + 6) END AS now, least(n, 3 * cycle + 3) AS before FROM cycles),
+p AS (SELECT session_id, cycle, now, before, unnest(range(0, now)) AS pos, cycle = last AS stop FROM seen),
+bad AS (SELECT session_id, cycle, now, pos, pos >= before OR (NOT stop AND pos >= now - 3 AND (pos + cycle) % 11 = 0) <> (pos >= before - 3 AND (pos + cycle - 1) % 11 = 0) AS differs FROM p)
+SELECT session_id, cycle, CAST(CASE WHEN cycle = 0 THEN 0 ELSE coalesce(min(pos) FILTER (WHERE differs), now) END AS BIGINT) AS agreed FROM bad GROUP BY session_id, cycle, now""")(lambda s: agreement(hypotheses(s)))
 query("t2_cadence", """, n AS (SELECT media_id * 1000 + seg_no AS session_id, len(ws) AS c FROM word_lists WHERE len(ws) > 0),
 k AS (SELECT session_id, unnest(range(0, CAST(greatest(ceil((c - 6) / 3), 0) AS BIGINT) + 2)) AS cycle FROM n)
 SELECT session_id, CAST((cycle * 500) // 800 * 800 AS BIGINT) AS window_ms, max(cycle) AS cycle FROM k GROUP BY 1, 2""")(
@@ -92,6 +160,10 @@ query("t16_graduated", "SELECT * FROM (SELECT media_id AS session_id, ord AS lin
 query("t17_drafts", "SELECT media_id AS session_id, seg_no // 2 AS index, 'xx' AS lang, arg_max(text, seg_no) AS text FROM word_lists WHERE len(ws) >= 4 GROUP BY 1, 2")(
     lambda s: L.drafts_to_translate(s.select(F.col("media_id").alias("session_id"), F.floor(F.col("seg_no") / 2).cast("bigint").alias("index"), F.lit("xx").alias("lang"), "text", F.col("seg_no").alias("cycle")))
 )
+query("t18_drafts_of_finals", """, f AS (SELECT media_id AS session_id, seg_no AS index, 'xx' AS lang, text, start_ms FROM segments)
+SELECT session_id, index, lang, text, CASE WHEN index % 3 <> 1 AND index % 4 <> 2 THEN concat('[', text, ']') END AS reused FROM f""")(
+    lambda s: L.finals_with_drafts(finals(s), drafts(s)).drop("event_ts")
+)
 query("t12_rolling_context", "SELECT media_id AS session_id, seg_no AS line_no, coalesce(right(string_agg(text, ' ') OVER (PARTITION BY media_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 400), '') AS context FROM segments")(
     lambda s: L.rolling_context(s.select(F.col("media_id").alias("session_id"), F.col("seg_no").alias("line_no"), "text")).select("session_id", "line_no", "context")
 )

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from cuelake.functions.text import (
     CLINGS,
@@ -25,6 +26,7 @@ from cuelake.functions.text import (
     MAX_TOKEN_SHARE,
     MIN_MEAN_PROBABILITY,
     TOKEN_EDGES,
+    draft_key,
 )
 
 FRAME_MS = 30
@@ -36,6 +38,8 @@ SURE, SURE_TAIL_MS = 0.72, 150
 SENTENCES, MOST_WORDS, LEAST_PENDING = 2, 28, 8
 HARD = ".!?。？！"
 
+REVEALED = "session_id bigint, cycle bigint, new_words array<string>"
+GRADUATED = "session_id bigint, line_no bigint, start_ms bigint, left_at bigint"
 UTTERANCES = "session_id bigint, start_ms bigint, end_ms bigint, forced boolean"
 EVENTS = "session_id bigint, cycle bigint, event string, line_no bigint, text string, start_ms bigint, end_ms bigint"
 
@@ -211,16 +215,39 @@ def latest_actions(actions: DataFrame) -> DataFrame:
     return actions.groupBy("session_id").agg(F.max_by("action", "seq").alias("action"))
 
 
+def _new_words(session: int, rows: pd.DataFrame, state: dict) -> list[tuple]:
+    out = []
+    for cycle, words in zip(rows["cycle"].tolist(), rows["words"]):
+        known = state.get("known", 0)
+        if words is not None and len(words) > known:
+            out.append((session, cycle, list(words[known:])))
+            state["known"] = len(words)
+    return out
+
+
 def append_only(word_lists: DataFrame) -> DataFrame:
     """Only the words beyond those that the session has shown."""
+    if word_lists.isStreaming:
+        return _streamed(word_lists.select("session_id", "cycle", "words"), "cycle", _new_words, REVEALED)
     upto = Window.partitionBy("session_id").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
     known = F.coalesce(F.max(F.size("words")).over(upto), F.lit(0))
     new = word_lists.withColumn("known", known).filter(F.size("words") > F.col("known"))
     return new.select("session_id", "cycle", F.slice("words", F.col("known") + 1, F.size("words") - F.col("known")).alias("new_words"))
 
 
+def _left_box(session: int, rows: pd.DataFrame, state: dict) -> list[tuple]:
+    out = []
+    for line_no, start_ms in zip(rows["line_no"].tolist(), rows["start_ms"].tolist()):
+        if "held" in state:
+            out.append((session, *state["held"], start_ms))
+        state["held"] = [line_no, start_ms]
+    return out
+
+
 def graduated(lines: DataFrame) -> DataFrame:
-    """Lines that left the live box, and when: as the next one began."""
+    """Lines that left the live box, and when: as the next one began; a stream gives the columns of GRADUATED."""
+    if lines.isStreaming:
+        return _streamed(lines.select("session_id", "line_no", "start_ms"), "line_no", _left_box, GRADUATED)
     order = Window.partitionBy("session_id").orderBy("line_no")
     return lines.withColumn("left_at", F.lead("start_ms").over(order)).filter(F.col("left_at").isNotNull())
 
@@ -231,6 +258,49 @@ def drafts_to_translate(drafts: DataFrame, least_words: int = 4) -> DataFrame:
     return long_enough.groupBy("session_id", "index", "lang").agg(F.max_by("text", "cycle").alias("text"))
 
 
+def finals_with_drafts(finals: DataFrame, drafts: DataFrame, within: str = "60 seconds", late: str = "10 seconds") -> DataFrame:
+    """Finals, each with the translation that a draft of the same text got in the time before it; null without one.
+
+    finals: session_id, index, lang, text, event_ts; drafts the same with cached.
+    Of drafts with one text the earliest counts (in a stream the first to come).
+    In a stream a final with a match goes out at once, one without as soon as the
+    watermark shows that none can come.
+    """
+    key = ["session_id", "index", "lang", "text_key"]
+    ready = drafts.filter(F.coalesce("cached", F.lit("")) != "").withColumn("text_key", draft_key(F.col("text")))
+    if drafts.isStreaming:
+        ready = ready.withColumnRenamed("event_ts", "draft_ts").withWatermark("draft_ts", late)
+        ready = ready.select(*key, "draft_ts", F.col("cached").alias("reused")).dropDuplicatesWithinWatermark(key)
+    else:
+        ready = ready.groupBy(*key).agg(F.min(F.struct("event_ts", "cached")).alias("d"))
+        ready = ready.select(*key, F.col("d.event_ts").alias("draft_ts"), F.col("d.cached").alias("reused"))
+    said = finals.withWatermark("event_ts", late) if finals.isStreaming else finals
+    f, d = said.withColumn("text_key", draft_key(F.col("text"))).alias("f"), ready.alias("d")
+    same = F.expr(f"d.draft_ts BETWEEN f.event_ts - INTERVAL {within} AND f.event_ts")
+    for c in key:
+        same = same & (F.col(f"f.{c}") == F.col(f"d.{c}"))
+    return f.join(d, same, "left").select(*[f"f.{c}" for c in finals.columns], "d.reused")
+
+
+def on_batches(rows: DataFrame, call: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Run call(rows, batch_id) for every batch of a stream, until all that is there has been read.
+
+    A batch that failed is called again under the same number, so a call that
+    writes should write by that number (see ``by_batch``).
+    """
+    return rows.writeStream.foreachBatch(call).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def by_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A call for ``on_batches`` that writes each batch to a folder of its own; a repeated batch replaces itself."""
+    return lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the recent batches of a query left out because they came after the watermark."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+
+
 def session_summary(finals: DataFrame) -> DataFrame:
     return finals.groupBy("session_id").agg(F.count("*").alias("n_lines"), F.max("end_ms").alias("duration_ms"))
 

@@ -1,6 +1,7 @@
 """Streams give the rows of the batch form, in one trigger and in many."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuelake.plans import inputs as I
@@ -35,3 +36,58 @@ def test_utterances_and_sessions(spark, sf_dir, tmp_path):
     closed = drained(spark, L.speech_sessions(stream), "sess")
     whole = sorted(map(str, L.speech_sessions(rows).collect()))
     assert set(closed) <= set(whole)
+
+
+def in_files(df, path, order, n=3):
+    """df as n files, in order."""
+    rows = df.withColumn("__part", F.ntile(n).over(Window.orderBy(order)))
+    for k in range(1, n + 1):
+        rows.filter(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_reveal_and_graduation(spark, sf_dir, tmp_path):
+    s = I.segments(spark, sf_dir).filter("media_id < 20")
+    lists = s.select(F.col("media_id").alias("session_id"), F.col("ord").alias("cycle"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words"))
+    shown = L.append_only(in_files(lists, str(tmp_path / "w"), "cycle"))
+    assert drained(spark, shown, "shown") == sorted(map(str, L.append_only(lists).collect()))
+    lines = s.select(F.col("media_id").alias("session_id"), F.col("ord").alias("line_no"), "start_ms")
+    left = L.graduated(in_files(lines, str(tmp_path / "l"), "line_no"))
+    assert drained(spark, left, "left") == sorted(map(str, L.graduated(lines).collect()))
+
+
+def test_drafts_of_finals(spark, sf_dir, tmp_path):
+    s = I.segments(spark, sf_dir).filter("media_id < 20")
+    finals, drafts = Q.finals(s), Q.drafts(s)
+    want = [str(r) for r in L.finals_with_drafts(finals, drafts).collect()]
+    stream = L.finals_with_drafts(in_files(finals, str(tmp_path / "f"), "event_ts"), in_files(drafts, str(tmp_path / "d"), "event_ts"))
+    got = drained(spark, stream, "joined")
+    assert set(got) <= set(want) and len(got) == len(set(got))
+    assert {r for r in want if "reused=None" not in r} <= set(got)
+    assert any("reused=None" in r for r in got)
+
+
+def test_batches_and_late_rows(spark, sf_dir, tmp_path):
+    frames = Q.frames(I.segments(spark, sf_dir)).filter("session_id < 4")
+    stream, calls = in_files(frames, str(tmp_path / "f"), "event_ts"), []
+    write = L.by_batch(str(tmp_path / "out"))
+
+    def call(rows, batch_id):
+        calls.append(batch_id)
+        write(rows, batch_id)
+        write(rows, batch_id)  # a batch that is repeated
+
+    q = L.on_batches(L.utterances(stream), call, str(tmp_path / "c"))
+    assert q.awaitTermination(240)
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, L.utterances(frames).collect()))
+    assert calls == sorted(set(calls)) and len(calls) >= 3
+
+    speech = frames.filter("is_speech").limit(1).withColumn("event_ts", F.timestamp_millis(F.lit(0)))
+    newest = speech.withColumn("event_ts", F.timestamp_millis(F.lit(10_000_000)))
+    for rows in (newest, newest, speech):
+        rows.write.mode("append").parquet(str(tmp_path / "late"))
+    again = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
+    q = L.speech_sessions(again).writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    assert L.late_rows(q) == 1
