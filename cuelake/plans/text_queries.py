@@ -163,6 +163,18 @@ query("f16_compose", "SELECT media_id, seg_no, array_to_string(list_filter(regex
         "media_id", "seg_no", T.compose(F.transform("w", lambda x: x["word"])).alias("text")
     )
 )
+over("documents", "f17_compose_wide", r"""WITH w AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '[^\s,.!?;:)»”’%]+|[,.!?;:)»”’%]'), ' ') AS t FROM documents)
+SELECT doc_id, regexp_replace(t, ' ([,.!?;:…)»”''’%])', '\1', 'g') AS text FROM w WHERE t <> ''""")(
+    lambda t: t.select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\s,.!?;:)»”’%]+|[,.!?;:)»”’%]"), F.lit(0)).alias("w")).filter(F.size("w") > 0).select("doc_id", T.compose_wide(F.col("w")).alias("text"))
+)
+over("pages", "f29_labels", "SELECT page_id, CASE WHEN p < 26 THEN concat('Speaker ', chr(CAST(65 + p AS INTEGER))) ELSE concat('Speaker ', p + 1) END AS label FROM (SELECT page_id, page_id % 40 AS p FROM pages)")(
+    lambda t: t.select("page_id", T.label_of(F.col("page_id") % 40).alias("label"))
+)
+query("f28_requests", """, b AS (SELECT media_id, text, CAST(floor((row_number() OVER w - 1) / 3) AS BIGINT) AS batch_no, (row_number() OVER w - 1) % 3 + 1 AS k FROM segments WINDOW w AS (PARTITION BY media_id ORDER BY ord)),
+p AS (SELECT media_id, batch_no, string_agg(concat(k, '. ', CASE WHEN trim(text) = '' THEN '[EMPTY]' ELSE text END), chr(10) ORDER BY k) AS lines FROM b GROUP BY 1, 2)
+SELECT media_id, batch_no, concat('Translate the numbered lines from English to French. Answer with the same numbers, one line each.', chr(10), chr(10), lines) AS chat, concat('Translate to French:', chr(10), lines) AS plain FROM p""")(
+    lambda s: X.prompts(W.batches(s, 3)).select("media_id", "batch_no", *[T.prompt_for(F.lit("English"), F.lit("French"), F.col("prompt"), x).alias(x) for x in ("chat", "plain")])
+)
 over("documents", "f20_matches", "SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)tion')) AS BIGINT) AS n_matches FROM documents WHERE regexp_matches(text, '(?i)tion')")(
     lambda t: X.matches(t, " tion ", "doc_id")
 )
@@ -250,6 +262,11 @@ def silence_log(s: DataFrame) -> DataFrame:
     return R.parse_silence_log(whole.withColumnRenamed("duration_ms", "chunk_end_ms"))
 
 
+EXTENSIONS = "mp4 MOV mkv avi mxf webm flv wmv m4v wav mp3 m4a AAC flac ogg opus aiff wma mpg txt".split()
+over("pages", "io3_media_kind", f"""WITH e AS (SELECT page_id, lower({EXTENSIONS}[page_id % {len(EXTENSIONS)} + 1]) AS x FROM pages)
+SELECT page_id, CASE WHEN x IN ('mp4', 'mov', 'mkv', 'avi', 'mxf', 'webm', 'flv', 'wmv', 'm4v') THEN 'video' WHEN x IN ('wav', 'mp3', 'm4a', 'aac', 'flac', 'ogg', 'opus', 'aiff', 'wma') THEN 'audio' ELSE 'other' END AS kind FROM e""")(
+    lambda t: t.select("page_id", R.media_kind(F.concat(F.lit("/a.b/take."), F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("page_id") % len(EXTENSIONS) + 1).cast("int")))).alias("kind"))
+)
 over("pages", "io4_choose_source", "SELECT page_id % 7 AS group_id, arg_min(p, r * 1000000 + page_id) AS path FROM (SELECT page_id, concat('f', page_id, ['.mp4', '.txt', '.wav'][page_id % 3 + 1]) AS p, [1, 2, 0][page_id % 3 + 1] AS r FROM pages) GROUP BY 1")(
     lambda t: R.choose_source(t.select((F.col("page_id") % 7).alias("group_id"), F.col("page_id").alias("ord"), F.concat(F.lit("f"), F.col("page_id").cast("string"), F.element_at(F.array(F.lit(".mp4"), F.lit(".txt"), F.lit(".wav")), (F.col("page_id") % 3 + 1).cast("int"))).alias("path")))
 )
