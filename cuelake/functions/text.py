@@ -163,11 +163,11 @@ def is_hallucination(word_array: Column) -> Column:
 def _compose(word_array: Column, clings) -> Column:
     edge = F.array(*[F.lit(c) for c in clings])
 
-    def add(text, w):
-        joined = F.startswith(w, F.lit(" ")) | F.array_contains(edge, F.substring(w, 1, 1)) | (text == "")
-        return F.when(joined, F.concat(text, w)).otherwise(F.concat(text, F.lit(" "), w))
+    def spaced(w):
+        joined = F.startswith(w, F.lit(" ")) | F.array_contains(edge, F.substring(w, 1, 1))
+        return F.when(joined, w).otherwise(F.concat(F.lit(" "), w))
 
-    return F.trim(F.aggregate(word_array, F.lit(""), add))
+    return F.trim(F.array_join(F.transform(word_array, spaced), ""))
 
 
 def compose(word_array: Column) -> Column:

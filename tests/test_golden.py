@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cuelake import schema
 from cuelake.functions import text as T
 from cuelake.functions import timecode as C
 from cuelake.operators import joins as J
@@ -123,3 +124,26 @@ def test_committed_words_are_never_taken_back(cycles):
                 finals.append(event)
     assert [f[1] for f in finals] == list(range(len(finals)))
     assert all(a[4] <= b[3] for a, b in zip(finals, finals[1:]))
+
+
+def test_transcripts_with_words(spark, tmp_path):
+    rows = [
+        '{"media_id": 1, "ord": 0, "start": 0.5, "end": 2.0005, "text": "a b", "words": [{"word": "a", "start": 0.5, "end": 1.2345, "probability": 0.9}, {"word": " b", "start": 1.25, "end": 2.0}]}',
+        '{"media_id": 1, "ord": 1, "start": 3, "end": 4, "text": null}',
+    ]
+    (tmp_path / "t.json").write_text("\n".join(rows))
+    read = R.read_transcripts(spark, str(tmp_path / "t.json"))
+    assert spans(read, "ord", "start_ms", "end_ms", "text") == [(0, 500, 2001, "a b"), (1, 3000, 4000, None)]
+    want = [(0, 0, "a", 500, 1235, 0.9), (0, 1, " b", 1250, 2000, None)]
+    assert spans(R.words_of(read), "seg_no", "word_no", "word", "start_ms", "end_ms", "prob") == want
+
+
+def test_samples(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 16000, [1, -2]), (1, 1, 16000, [])], schema.SAMPLES).write.parquet(str(tmp_path / "s"))
+    assert spans(R.read_samples(spark, str(tmp_path / "s")), "chunk_no", "sample_rate", "samples") == [(0, 16000, [1, -2]), (1, 16000, [])]
+
+
+def test_compose_spacing(spark):
+    words = [["Hello", ",", " world", "!"], ["", "a", ""], [" a", "b"], []]
+    got = spark.createDataFrame([(w,) for w in words], "w array<string>").select(T.compose(F.col("w")).alias("t"))
+    assert [r["t"] for r in got.collect()] == ["Hello, world!", "a", "a b", ""]
