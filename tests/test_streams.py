@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cuelake.operators.aggregates import progress
 from cuelake.plans import inputs as I
 from cuelake.plans import live_queries as Q
 from cuelake.sources import readers as R
@@ -91,3 +92,20 @@ def test_batches_and_late_rows(spark, sf_dir, tmp_path):
     q = L.speech_sessions(again).writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(240)
     assert L.late_rows(q) == 1
+
+
+def test_running_results(spark, sf_dir, tmp_path):
+    """In update mode the last row of a key is the batch form's row."""
+    s = I.segments(spark, sf_dir).filter("media_id < 20")
+    actions = s.select(F.col("media_id").alias("session_id"), F.col("role").alias("action"), F.col("ord").alias("seq"))
+    drafts = s.select(F.col("media_id").alias("session_id"), F.floor(F.col("seg_no") / 2).cast("bigint").alias("index"), F.lit("xx").alias("lang"), "text", F.col("seg_no").alias("cycle"))
+    chunks = s.select("media_id", F.floor(F.col("ord") / 8).alias("chunk_no"), "end_ms")
+    for name, rows, order, keys, form in (
+        ("acts", actions, "seq", ["session_id"], L.latest_actions),
+        ("drafted", drafts, "cycle", ["session_id", "index", "lang"], L.drafts_to_translate),
+        ("running", chunks, "end_ms", ["media_id", "chunk_no"], progress),
+    ):
+        drained(spark, form(in_files(rows, str(tmp_path / name), order)), name, "update")
+        last = {tuple(r[k] for k in keys): r for r in spark.table(name).collect()}
+        assert sorted(map(str, last.values())) == sorted(map(str, form(rows).collect()))
+        assert spark.table(name).count() > len(last)
