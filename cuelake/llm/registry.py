@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cuelake.llm import chat_format, decontaminate, hmm_lm, language_id, license_scan, line_dedup, mixing, quality_fm, quality_rules, simhash_dedup
+from cuelake.llm import (
+    chat_format, decontaminate, hmm_lm, language_id, license_scan, line_dedup, merkle, mixing, quality_fm, quality_rules, simhash_dedup,
+)
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,9 +17,11 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_hmm_lm": hmm_lm.op10_hmm_lm,
+    "op13_merkle": merkle.op13_merkle,
 }
 #: None where SQL cannot express the query; tests/llm then holds it against a brute-force version.
 ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
