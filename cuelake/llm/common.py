@@ -54,6 +54,20 @@ def crc_mod_py(value, n: int) -> int:
     return zlib.crc32(("" if value is None else str(value)).encode()) % n
 
 
+def crc32_sql(texts: str) -> str:
+    """DuckDB SQL for (s, crc) of the ASCII texts s that a query selects, each once; a null counts as the empty text."""
+    return f"""
+    WITH RECURSIVE steps(s, place, reg, k) AS (
+      SELECT s, 1, CAST(4294967295 AS BIGINT), 0 FROM ({texts})
+      UNION ALL
+      SELECT s, CASE WHEN k = 8 THEN place + 1 ELSE place END,
+             CASE WHEN k = 0 THEN xor(reg, CAST(ascii(substr(coalesce(s, ''), place, 1)) AS BIGINT))
+                  WHEN reg % 2 = 1 THEN xor(reg // 2, CAST(3988292384 AS BIGINT)) ELSE reg // 2 END,
+             (k + 1) % 9
+      FROM steps WHERE k > 0 OR place <= length(coalesce(s, '')))
+    SELECT s, xor(reg, CAST(4294967295 AS BIGINT)) AS crc FROM steps WHERE k = 0 AND place = length(coalesce(s, '')) + 1"""
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A text column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -17,16 +17,18 @@ from cuelake.llm.common import staged
 SALTS = 1024
 
 
-def spread_join(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+def spread_join(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows joined with small, which has at most one row for a key, however many rows have one key.
 
+    how="left" keeps the rows whose key small lacks, if the key is not null.
+
     Rows of a key are dealt over SALTS parts by a hash of their other columns.
     The parts in use (at most SALTS for a key, combined in each task) fetch the
     small side's row, then rows meet their part.
     """
     others = [c for c in rows.columns if c != key]
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    parts = salted.select(key, "__salt").distinct().join(small.hint("merge"), key)
+    parts = salted.select(key, "__salt").distinct().join(small.hint("merge"), key, how)
     return salted.join(parts.hint("merge"), [key, "__salt"]).drop("__salt")
 
 

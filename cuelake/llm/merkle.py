@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from cuelake.llm.common import crc_mod, staged, table
+from cuelake.llm.common import crc32_sql, crc_mod, staged, table
 
 ARITY = 8
 STEP = 3
@@ -270,17 +270,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS tampered
-  FROM documents JOIN (
-    WITH RECURSIVE c(id, place, reg, k) AS (
-      SELECT id, 1, CAST(4294967295 AS BIGINT), 0 FROM (SELECT DISTINCT doc_id AS id FROM documents)
-      UNION ALL
-      SELECT id, CASE WHEN k = 8 THEN place + 1 ELSE place END,
-             CASE WHEN k = 0 THEN xor(reg, CAST(ascii(substr(coalesce(CAST(id AS VARCHAR), ''), place, 1)) AS BIGINT))
-                  WHEN reg % 2 = 1 THEN xor(reg // 2, CAST(3988292384 AS BIGINT)) ELSE reg // 2 END,
-             (k + 1) % 9
-      FROM c WHERE k > 0 OR place <= length(coalesce(CAST(id AS VARCHAR), '')))
-    SELECT id, xor(reg, CAST(4294967295 AS BIGINT)) AS crc FROM c WHERE k = 0 AND place = length(coalesce(CAST(id AS VARCHAR), '')) + 1) AS h
-  ON doc_id IS NOT DISTINCT FROM id),
+  FROM documents JOIN (CRC) ON CAST(doc_id AS VARCHAR) IS NOT DISTINCT FROM s),
 e AS (
   SELECT doc_id, lang, sha256(concat(
     coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
@@ -318,4 +308,4 @@ walk(doc_id, leaf, lang, subroot, top, upper, level, place, digest, proof) AS (
   WHERE w.upper < 2)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
 FROM walk, (SELECT nodes[1] AS root FROM tops WHERE len(nodes) = 1) WHERE upper = 2
-"""
+""".replace("CRC", crc32_sql("SELECT DISTINCT CAST(doc_id AS VARCHAR) AS s FROM documents"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cuelake.llm import (
-    chat_format, decontaminate, hmm_lm, language_id, license_scan, line_dedup, merkle, mixing, quality_fm, quality_rules, simhash_dedup,
+    chat_format, conversation_repair, decontaminate, hmm_lm, language_id, license_scan, line_dedup, merkle, mixing, quality_fm, quality_rules, simhash_dedup, warc,
 )
 
 QUERIES = {
@@ -17,11 +17,15 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_hmm_lm": hmm_lm.op10_hmm_lm,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_warc": warc.op12_warc,
     "op13_merkle": merkle.op13_merkle,
 }
 #: None where SQL cannot express the query; tests/llm then holds it against a brute-force version.
 ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
+    "op11_conversation_repair": conversation_repair.OP11_SQL,
+    "op12_warc": warc.OP12_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
