@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from cuelake.functions.timecode import div
 
@@ -110,6 +114,11 @@ def contains_made_up(text: Column, phrases=MADE_UP_PHRASES) -> Column:
     return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, p))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(" \t\n\r\f\v"))
+
+
 def bare_token(word: Column) -> Column:
     return F.btrim(F.lower(word), F.lit(TOKEN_EDGES))
 
@@ -146,11 +155,15 @@ def top_pair_share(tokens: Column) -> Column:
 
 
 def is_hallucination(word_array: Column) -> Column:
-    """Verdict on an array of structs with word and probability; none: false."""
+    """Verdict on an array of structs with word and probability; none: false.
+
+    Words are joined trimmed, with one space; null and empty ones have a probability but no text.
+    """
     n = F.size(word_array)
     mean = F.aggregate(word_array, F.lit(0.0), lambda s, w: s + F.coalesce(w["probability"], F.lit(0.0))) / n
-    joined = F.array_join(F.transform(word_array, lambda w: w["word"]), " ")
-    tokens = F.transform(word_array, lambda w: bare_token(w["word"]))
+    said = F.filter(word_array, lambda w: w["word"] != "")
+    joined = F.array_join(F.transform(said, lambda w: trimmed(w["word"])), " ")
+    tokens = F.transform(said, lambda w: bare_token(w["word"]))
     bad = (
         (mean < MIN_MEAN_PROBABILITY)
         | contains_made_up(joined)
@@ -164,19 +177,19 @@ def _compose(word_array: Column, clings) -> Column:
     edge = F.array(*[F.lit(c) for c in clings])
 
     def spaced(w):
-        joined = F.startswith(w, F.lit(" ")) | F.array_contains(edge, F.substring(w, 1, 1))
-        return F.when(joined, w).otherwise(F.concat(F.lit(" "), w))
+        return F.when(F.array_contains(edge, F.substring(w, 1, 1)), w).otherwise(F.concat(F.lit(" "), w))
 
-    return F.trim(F.array_join(F.transform(word_array, spaced), ""))
+    return F.array_join(F.transform(F.filter(word_array, lambda w: w != ""), spaced), "")
 
 
 def compose(word_array: Column) -> Column:
-    """Words to a text; marks and words that bring their own space are not spaced."""
-    return _compose(word_array, CLINGS)
+    """Words to a text; marks and words that bring their own space are not spaced, null and empty ones left out."""
+    return F.trim(_compose(word_array, (*CLINGS, " ")))
 
 
 def compose_wide(word_array: Column) -> Column:
-    return _compose(word_array, CLINGS_WIDE)
+    """The same with more marks; words keep the spaces they bring, and only the first stands without one before it."""
+    return F.regexp_replace(_compose(word_array, CLINGS_WIDE), "^ ", "")
 
 
 def sentences(text: Column) -> Column:
@@ -186,15 +199,28 @@ def sentences(text: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(text))
 
 
-def punctuation_pieces(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?<=[.!?;,。！？，；])\s*", -1), lambda p: F.trim(p) != "")
+#: Where a text is split at punctuation.
+_AFTER_MARK = re.compile(r"(?<=[.!?;,。！？，；])\s*", re.ASCII)
+
+
+def pieces_of(text: str, how: str, most_words: int) -> list[tuple[str, int, int]]:
+    """(piece, characters before it, characters up to its end) of a text split at punctuation or after so many words."""
+    if how == "punctuation":
+        parts = [p for p in _AFTER_MARK.split(text) if p.strip(" ")]
+    else:
+        w = [x for x in re.split(r"\s+", text, flags=re.ASCII) if x]
+        parts = [" ".join(w[i : i + most_words]) for i in range(0, max(len(w), 1), most_words)]
+    ends = list(accumulate(map(len, parts), initial=0))
+    return list(zip(parts, ends, ends[1:]))
+
 
+def pieces(text: Column, how: str, most_words: int = 6) -> Column:
+    """pieces_of as an array; expressions would split a text anew for each of its pieces."""
 
-def word_groups(text: Column, most: int) -> Column:
-    """Pieces of at most so many words."""
-    w = words(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(most))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, most), " "))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else pieces_of(t, how, most_words))
+
+    return F.pandas_udf(split, "array<struct<piece:string,before:bigint,after:bigint>>")(text)
 
 
 def quoted(query: str) -> str:
@@ -249,7 +275,7 @@ def label_of(pos: Column) -> Column:
 
 
 def prompt_line(number: Column, text: Column) -> Column:
-    return F.format_string("%d. %s", number, F.when(F.trim(text) == "", "[EMPTY]").otherwise(text))
+    return F.format_string("%d. %s", number, F.when(trimmed(text) == "", "[EMPTY]").otherwise(trimmed(text)))
 
 
 def parse_numbered(response: Column, n: Column) -> Column:
@@ -278,17 +304,46 @@ def parse_numbered(response: Column, n: Column) -> Column:
     return F.transform(picked, lambda t: F.when(t == "[EMPTY]", "").otherwise(t))
 
 
-def prompt_for(source_name: Column, target_name: Column, lines: Column, style: str = "chat") -> Column:
-    """The request for a batch of numbered lines."""
+def request_for(source_name: Column, target_name: Column, text: Column, style: str = "chat") -> Column:
+    """What to ask a provider, as a struct of a system message (null where the style has none) and a user message.
+
+    chat and roles ask for a batch of numbered lines, line and single for one text.
+    """
+    both = [F.lit(" from "), source_name, F.lit(" to "), target_name]
+    none = F.lit(None).cast("string")
     if style == "chat":
-        return F.concat(
-            F.lit("Translate the numbered lines from "), source_name, F.lit(" to "), target_name,
-            F.lit(". Answer with the same numbers, one line each.\n\n"), lines,
-        )
-    return F.concat(F.lit("Translate to "), target_name, F.lit(":\n"), lines)
+        system, user = none, [F.lit("Translate the numbered lines"), *both, F.lit(". Answer with the same numbers, one line each.\n\n"), text]
+    elif style == "roles":
+        system = F.concat(F.lit("You translate speech"), *both, F.lit(". Keep its meaning, tone and style, and let it sound like talk."))
+        user = [F.lit("Translate the numbered lines. Answer with the same numbers, one line each, and nothing else.\n\n"), text]
+    elif style == "line":
+        system, user = none, [F.lit("Translate to "), target_name, F.lit(". Answer with the translation only.\nText: "), text, F.lit("\nTranslation:")]
+    elif style == "single":
+        system = F.concat(F.lit("You are a translator. Translate the text"), *both, F.lit(" and answer with nothing but the translation."))
+        user = [text]
+    else:
+        raise ValueError(style)
+    return F.struct(system.alias("system"), F.concat(*user).alias("user"))
 
 
 def share_of_time(start: Column, end: Column, before: Column, total: Column) -> Column:
     """The time at which a share of a span ends, as a floor of the whole share."""
     return start + div((end - start) * before, F.greatest(total, F.lit(1)))
 
+
+@F.pandas_udf(ArrayType(StringType()))
+def dealt(counts: pd.Series, whole: pd.Series, words_: pd.Series) -> pd.Series:
+    """A text's words dealt to pieces by their word counts: half-up shares, at least one, what is left to the last; one piece has the text as it is."""
+
+    def deal(counts, whole, words):
+        if len(counts) == 1 or words is None:
+            return [whole] * len(counts)
+        total, begin, out = max(1, int(sum(counts))), 0, []
+        for n in counts:
+            take = max(1, int(np.floor(n / total * len(words) + 0.5)))
+            out.append(" ".join(words[begin : begin + take]))
+            begin += take
+        out[-1] = " ".join(words[begin - take :])
+        return out
+
+    return pd.Series([deal(*x) for x in zip(counts, whole, words_)])

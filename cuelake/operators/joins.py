@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import LANGUAGES, draft_key, word_key
 from cuelake.functions.timecode import div
+from cuelake.operators.scans import carried
 
 BIN_MS = 600_000
 
@@ -130,8 +131,8 @@ def bucket_segment(segments: DataFrame, media: DataFrame, n: int = 50) -> DataFr
         segments.select("media_id", F.col("end_ms").alias("t"), F.lit(None).cast("int").alias("bucket"), F.lit(0).alias("is_time"), "ord")
     )
     # A segment that ends at t has not ended after it: at equal t, times come before ends.
-    later = Window.partitionBy("media_id").orderBy(F.desc("t"), F.desc("is_time")).rowsBetween(Window.unboundedPreceding, 0)
-    first = rows.withColumn("least", F.min("ord").over(later)).filter("is_time = 1").select("media_id", "bucket", "t", F.col("least").alias("ord"))
+    first = carried(rows, "min", {"least": F.col("ord")}, F.col("t"), ("is_time",), descending=True).filter("is_time = 1")
+    first = first.select("media_id", "bucket", "t", F.col("least").alias("ord"))
     began = segments.select("media_id", "ord", "start_ms")
     return first.join(began.hint("merge"), ["media_id", "ord"], "left").select(
         "media_id", F.col("bucket").cast("bigint").alias("bucket"), F.when(F.col("start_ms") <= F.col("t"), F.col("ord")).alias("ord")
@@ -146,8 +147,7 @@ def segment_at(times: DataFrame, segments: DataFrame, open_ms: int = 30_000) ->
     rows = times.select("media_id", "t", F.lit(1).alias("is_time"), F.lit(None).cast("bigint").alias("ord")).unionByName(
         ended.select("media_id", F.col("start_ms").alias("t"), F.lit(0).alias("is_time"), "ord")
     )
-    upto = Window.partitionBy("media_id").orderBy("t", "is_time", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    begun = rows.withColumn("begun", F.last("ord", ignorenulls=True).over(upto)).filter("is_time = 1").select("media_id", "t", "begun")
+    begun = carried(rows, "last", {"begun": F.col("ord")}, F.col("t"), ("is_time", "ord")).filter("is_time = 1").select("media_id", "t", "begun")
     return _back_to(begun, within, "t").select("media_id", "t", F.coalesce("inside", "begun").alias("ord"))
 
 
@@ -167,20 +167,36 @@ def not_fully_cut(segments: DataFrame, cuts: DataFrame) -> DataFrame:
     return segments.join(gone.hint("merge"), ["media_id", "ord"], "left_anti")
 
 
-def removed_before(times: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Cut time that lies before each time; overlapping cuts count each.
+def cut_events(cuts: DataFrame) -> DataFrame:
+    """(media_id, t, opens, offset) of each start and end of a cut.
 
-    Whole cuts are summed by a running sum over cuts and times in one order; only cuts
-    around a time are joined.
+    With n and s the sums of opens and offset up to a time t, the cut time before t is t * n + s.
     """
-    rows = times.select("media_id", "t", F.lit(1).alias("is_time"), F.lit(0).cast("bigint").alias("length")).distinct().unionByName(
-        cuts.select("media_id", F.col("end_ms").alias("t"), F.lit(0).alias("is_time"), (F.col("end_ms") - F.col("start_ms")).alias("length"))
-    )
-    upto = Window.partitionBy("media_id").orderBy("t", "is_time").rowsBetween(Window.unboundedPreceding, 0)
-    whole = rows.withColumn("whole", F.sum("length").over(upto)).filter("is_time = 1").select("media_id", "t", "whole")
-    around = point_pairs(times.select("media_id", "t").distinct(), "t", cuts.select("media_id", "start_ms", "end_ms"), F.col("r.start_ms"), F.col("r.end_ms"))
-    part = around.groupBy("media_id", F.col("l.t").alias("t")).agg(F.sum(F.col("l.t") - F.col("r.start_ms")).alias("part"))
-    return _back_to(whole, part, "t").select("media_id", "t", (F.col("whole") + F.coalesce("part", F.lit(0))).cast("bigint").alias("removed_ms"))
+    start = F.struct(F.col("start_ms").alias("t"), F.lit(1).cast("bigint").alias("opens"), (-F.col("start_ms")).alias("offset"))
+    end = F.struct(F.col("end_ms").alias("t"), F.lit(-1).cast("bigint").alias("opens"), F.col("end_ms").alias("offset"))
+    return cuts.select("media_id", F.inline(F.array(start, end)))
+
+
+def removed_before(times: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Cut time that lies before each time; overlapping cuts count each."""
+    none = F.lit(0).cast("bigint")
+    rows = times.select("media_id", "t", none.alias("opens"), none.alias("offset"), F.lit(True).alias("asks")).distinct()
+    rows = rows.unionByName(cut_events(cuts).withColumn("asks", F.lit(False)))
+    both = carried(rows, "sum", {"n": F.col("opens"), "s": F.col("offset")}, F.col("t")).filter("asks")
+    return both.select("media_id", "t", (F.col("t") * F.col("n") + F.col("s")).alias("removed_ms"))
+
+
+def without_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows with new_start and new_end: their times less the cut time before them."""
+    none, event = F.lit(0).cast("bigint"), F.col("__event")
+    asked = rows.withColumns({"__a": F.col("start_ms"), "__b": F.col("end_ms"), "__opens": none, "__offset": none, "__event": F.lit(False)})
+    events = cut_events(cuts).select("media_id", F.col("t").alias("__a"), F.col("t").alias("__b"), F.col("opens").alias("__opens"), F.col("offset").alias("__offset"), F.lit(True).alias("__event"))
+    both = asked.unionByName(events, allowMissingColumns=True)
+    for edge, n, s in (("__a", "__n_a", "__s_a"), ("__b", "__n_b", "__s_b")):
+        both = carried(both, "sum", {n: F.col("__opens"), s: F.col("__offset")}, F.col(edge))
+    return both.filter(~event).withColumns({
+        "new_start": F.col("__a") - F.col("__a") * F.col("__n_a") - F.col("__s_a"), "new_end": F.col("__b") - F.col("__b") * F.col("__n_b") - F.col("__s_b")
+    }).drop("__a", "__b", "__opens", "__offset", "__event", "__n_a", "__s_a", "__n_b", "__s_b")
 
 
 def silent_clips(clips: DataFrame, regions: DataFrame, tol_ms: int = 200) -> DataFrame:
@@ -206,18 +222,19 @@ def languages(spark) -> DataFrame:
 
 
 def language_names(df: DataFrame, source: str = "source_lang", target: str = "lang") -> DataFrame:
-    """target_name, target_code and source_code; the dimension has a fixed few rows."""
+    """target_name, target_code, source_name and source_code; the dimension has a fixed few rows."""
     dim = languages(df.sparkSession)
     t = F.broadcast(dim.select(F.col("lang").alias(target), F.col("lang_name"), F.col("model_code")))
-    s = F.broadcast(dim.select(F.col("lang").alias(source), F.col("model_code").alias("source_model")))
+    s = F.broadcast(dim.select(F.col("lang").alias(source), F.col("lang_name").alias("source_lang_name"), F.col("model_code").alias("source_model")))
     auto = F.when(F.col(target) == "vi", "eng_Latn").otherwise("vie_Latn")
     return (
         df.join(t, target, "left")
         .join(s, source, "left")
         .withColumn("target_name", F.coalesce("lang_name", F.col(target)))
+        .withColumn("source_name", F.coalesce("source_lang_name", F.col(source)))
         .withColumn("target_code", F.coalesce("model_code", F.lit("eng_Latn")))
         .withColumn("source_code", F.when(F.col(source) == "auto", auto).otherwise(F.coalesce("source_model", F.lit("eng_Latn"))))
-        .drop("lang_name", "model_code", "source_model")
+        .drop("lang_name", "model_code", "source_model", "source_lang_name")
     )
 
 
@@ -257,9 +274,14 @@ def track_drift(video: DataFrame, audio: DataFrame, clips: int = 4) -> DataFrame
 
 
 def active_speakers(slices: DataFrame, diar: DataFrame) -> DataFrame:
-    """How many rows speak in each slice."""
-    pairs = overlap_pairs(slices, diar)
-    return pairs.groupBy("media_id", F.col("l.start_ms").alias("start_ms"), F.col("l.end_ms").alias("end_ms")).agg(F.count("*").alias("active"))
+    """How many rows speak in each slice: those that started before its end less those that ended by its start."""
+    asked = slices.select("media_id", F.col("end_ms").alias("a"), F.col("start_ms").alias("b"), F.lit(1).alias("asks"))
+    rows = asked.unionByName(diar.select("media_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), F.lit(0).alias("asks")))
+    one = (1 - F.col("asks")).cast("bigint")
+    # At equal times a slice's end comes before starts, and its start after ends.
+    started = carried(rows.withColumn("order", -F.col("asks")), "sum", {"started": one}, F.col("a"), ("order",))
+    both = carried(started, "sum", {"ended": one}, F.col("b"), ("asks",)).filter("asks = 1 AND started > ended")
+    return both.select("media_id", F.col("b").alias("start_ms"), F.col("a").alias("end_ms"), (F.col("started") - F.col("ended")).alias("active"))
 
 
 def agreement(hypotheses: DataFrame, within_ms: int = 500) -> DataFrame:

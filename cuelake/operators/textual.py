@@ -9,30 +9,25 @@ from cuelake.functions import text as T
 from cuelake.functions.timecode import div
 
 
-def _by_share(segments: DataFrame, pieces: Column) -> DataFrame:
+def _by_share(segments: DataFrame, how: str, most_words: int) -> DataFrame:
     """One row for each piece, timed by its share of characters; a single piece leaves the row as it is."""
-    out = segments.withColumn("__pieces", pieces).withColumn(
-        "__sizes", F.transform("__pieces", lambda p: F.length(p).cast("bigint"))
-    )
-    total = F.aggregate("__sizes", F.lit(0).cast("bigint"), lambda s, x: s + x)
-
-    def upto(i):
-        return F.aggregate(F.slice("__sizes", 1, i), F.lit(0).cast("bigint"), lambda s, x: s + x)
-
-    rows = out.withColumn("__total", total).select("*", F.posexplode("__pieces").alias("piece_no", "piece"))
-    rows = rows.withColumn("__before", upto(F.col("piece_no"))).withColumn("__after", upto(F.col("piece_no") + 1))
+    split = segments.withColumn("__pieces", T.pieces(F.col("text"), how, most_words))
+    count, total = F.size("__pieces").alias("__n"), F.element_at("__pieces", -1)["after"].alias("__total")
+    # An inner explode would filter by a second call of the split.
+    rows = split.select(*segments.columns, count, total, F.posexplode_outer("__pieces").alias("piece_no", "__piece")).filter(F.col("piece_no").isNotNull())
+    rows = rows.select(*segments.columns, "__n", "__total", "piece_no", F.col("__piece.piece").alias("piece"), F.col("__piece.before").alias("__before"), F.col("__piece.after").alias("__after"))
     start, end = F.col("start_ms"), F.col("end_ms")
     timed = rows.withColumn("new_start", T.share_of_time(start, end, F.col("__before"), F.col("__total"))).withColumn(
         "new_end", T.share_of_time(start, end, F.col("__after"), F.col("__total"))
     )
-    single = F.size("__pieces") <= 1
+    single = F.col("__n") <= 1
     return (
         timed.withColumn("text", F.when(single, F.col("text")).otherwise(F.trim("piece")))
         .withColumn("start_ms", F.col("new_start"))
         .withColumn("end_ms", F.col("new_end"))
         .withColumn("parent_no", F.col("ord"))
         .withColumn("piece_no", F.col("piece_no").cast("bigint"))
-        .drop("__pieces", "__sizes", "__total", "__before", "__after", "new_start", "new_end", "piece")
+        .drop("__n", "__total", "__before", "__after", "new_start", "new_end", "piece")
     )
 
 
@@ -56,10 +51,8 @@ def split_segments(segments: DataFrame, how: str = "natural", most_words: int =
     """Subtitle rows from segments: natural, word, punctuation or maxWords."""
     if how == "word":
         return split_words(segments)
-    if how == "punctuation":
-        return _by_share(segments, T.punctuation_pieces(F.col("text")))
-    if how == "maxWords":
-        return _by_share(segments, T.word_groups(F.col("text"), most_words))
+    if how in ("punctuation", "maxWords"):
+        return _by_share(segments, how, most_words)
     return segments.withColumn("parent_no", F.col("ord")).withColumn("piece_no", F.lit(0).cast("bigint"))
 
 
@@ -69,21 +62,14 @@ def split_translation(pieces: DataFrame, translations: DataFrame) -> DataFrame:
     Each takes at least one word, by half-up rounding; what is left goes to the
     last; a parent with one piece keeps the whole text.
     """
-    n_words = F.size(T.words(F.col("text")))
-    parent = Window.partitionBy("media_id", "parent_no")
-    rows = pieces.withColumn("__words", n_words).withColumn("__all", F.sum("__words").over(parent)).withColumn("__pieces", F.count("*").over(parent))
-    joined = rows.join(translations.select("media_id", F.col("seg_no").alias("parent_no"), "lang", F.col("text").alias("whole")).hint("merge"), ["media_id", "parent_no"])
-    target = joined.withColumn("__target", T.words(F.col("whole"))).withColumn(
-        "__take", F.greatest(F.lit(1), F.floor(F.col("__words") / F.greatest(F.col("__all"), F.lit(1)) * F.size("__target") + 0.5)).cast("int")
-    )
-    by_lang = Window.partitionBy("media_id", "parent_no", "lang").orderBy("piece_no")
-    placed = target.withColumn("__from", F.coalesce(F.sum("__take").over(by_lang.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    last = F.col("piece_no") == F.max("piece_no").over(Window.partitionBy("media_id", "parent_no", "lang"))
-    size = F.when(last, F.greatest(F.size("__target") - F.col("__from"), F.lit(0))).otherwise(F.col("__take"))
-    part = F.array_join(F.slice("__target", F.col("__from") + 1, size.cast("int")), " ")
-    return placed.withColumn("translation", F.when(F.col("__pieces") == 1, F.col("whole")).otherwise(part)).drop(
-        "__words", "__all", "__pieces", "__target", "__take", "__from", "whole"
+    counted = pieces.withColumn("__piece", F.struct("piece_no", F.size(T.words(F.col("text"))).alias("words"), F.struct(*pieces.columns).alias("row")))
+    parents = counted.groupBy("media_id", "parent_no").agg(F.array_sort(F.collect_list("__piece")).alias("__pieces"))
+    said = translations.select("media_id", F.col("seg_no").alias("parent_no"), "lang", F.col("text").alias("whole"))
+    dealt = parents.join(said.hint("merge"), ["media_id", "parent_no"]).select(
+        "lang", "__pieces", T.dealt(F.transform("__pieces", lambda p: p["words"]), F.col("whole"), T.words(F.col("whole"))).alias("__parts")
     )
+    rows = dealt.select("lang", F.explode(F.arrays_zip("__pieces", "__parts")).alias("__one"))
+    return rows.select("__one.__pieces.row.*", "lang", F.col("__one.__parts").alias("translation"))
 
 
 def matches(segments: DataFrame, query: str, *keys: str) -> DataFrame:

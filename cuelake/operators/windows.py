@@ -2,6 +2,7 @@
 
 Groups of consecutive rows are numbered by running sums of change flags, so
 Spark needs one shuffle on media_id for a whole chain of these operators.
+Chains, sweeps and numbers come from ``scans``, where no task sees a whole media.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.functions.text import label_of
 from cuelake.functions.timecode import div, frames
-from cuelake.operators.joins import overlap_pairs
+from cuelake.operators.scans import BEFORE_ALL, carried, fold_in_blocks, jump, jumps, lines, next_lines, sweep
 
 
 def in_order(*order: str):
@@ -43,21 +45,13 @@ def merge_turns(diar: DataFrame) -> DataFrame:
 
 def resolve_overlaps(diar: DataFrame) -> DataFrame:
     """One speaker at a time: in each slice between boundaries the latest to start, then the first listed, wins."""
-    edges = diar.select("media_id", F.explode(F.array("start_ms", "end_ms")).alias("t0")).distinct()
-    slices = edges.withColumn("t1", F.lead("t0").over(in_order("t0"))).filter(F.col("t1").isNotNull())
-    active = overlap_pairs(
-        slices.select("media_id", F.col("t0").alias("start_ms"), F.col("t1").alias("end_ms")),
-        diar.select("media_id", "start_ms", "end_ms", F.col("start_ms").alias("since"), "ord", "speaker"),
-    )
-    won = active.groupBy("media_id", F.col("l.start_ms").alias("start_ms"), F.col("l.end_ms").alias("end_ms")).agg(
-        F.max(F.struct(F.col("r.since").alias("since"), (-F.col("r.ord")).alias("o"), F.col("r.speaker").alias("speaker")))["speaker"].alias("speaker")
-    )
-    by_start = in_order("start_ms")
-    joined = (F.lag("speaker").over(by_start) == F.col("speaker")) & (F.lag("end_ms").over(by_start) == F.col("start_ms"))
-    marked = won.withColumn("joined", F.coalesce(joined, F.lit(False))).withColumn("island", _island(~F.col("joined"), by_start))
+    pieces = sweep(diar)
+    before = carried(pieces, "last", {"before": F.struct("speaker", "end_ms")}, F.col("start_ms"), exclusive=True)
+    opens = F.col("before").isNull() | ~F.col("before.speaker").eqNullSafe(F.col("speaker")) | (F.col("before.end_ms") != F.col("start_ms"))
+    marked = carried(before.withColumn("opens", opens.cast("bigint")).drop("before"), "sum", {"island": F.col("opens")}, F.col("start_ms"))
     return marked.groupBy("media_id", "island").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("speaker").alias("speaker")
-    ).select("media_id", F.col("island").cast("bigint").alias("ord"), "start_ms", "end_ms", "speaker")
+    ).select("media_id", F.col("island").alias("ord"), "start_ms", "end_ms", "speaker")
 
 
 def merge_silence(chunks: DataFrame, gap_ms: int = 100) -> DataFrame:
@@ -77,18 +71,21 @@ def merge_silence(chunks: DataFrame, gap_ms: int = 100) -> DataFrame:
 def dedupe_chunks(chunks: DataFrame, slack_ms: int = 100) -> DataFrame:
     """Speech of overlapping chunks: a row stays if it starts no earlier than the end of the last row that stayed, less the slack.
 
-    What stays depends on what stayed before, so each media's rows are folded
-    in list order inside an array expression.
+    A row without a start goes, one without an end ends at its start.
     """
-    row = F.struct("chunk_no", "ord", "start_ms", "end_ms", "text")
-    listed = chunks.groupBy("media_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    empty = F.filter("rows", lambda r: F.lit(False))
-
-    def step(kept, r):
-        fits = (F.size(kept) == 0) | (r["start_ms"] >= F.element_at(kept, -1)["end_ms"] - slack_ms)
-        return F.when(fits, F.concat(kept, F.array(r))).otherwise(kept)
-
-    return listed.select("media_id", F.inline(F.aggregate("rows", empty, step)))
+    timed = chunks.select("media_id", "chunk_no", "ord", "start_ms", F.coalesce("end_ms", "start_ms", F.lit(0)).alias("until_ms"), "end_ms", "text")
+
+    def kept(state, rows):
+        (threshold,) = state
+        for chunk_no, ord_, start, until, end, text in rows:
+            if start is not None and start >= threshold:
+                threshold = until - slack_ms
+                yield chunk_no, ord_, start, end, text
+
+    return fold_in_blocks(
+        timed, ("chunk_no", "ord"), ("start_ms", "until_ms"), ("chunk_no", "ord", "start_ms", "until_ms", "end_ms", "text"), [BEFORE_ALL],
+        lambda rows: jumps(rows, slack_ms), jump, kept, "chunk_no bigint, ord bigint, start_ms bigint, end_ms bigint, text string",
+    )
 
 
 def same_speaker_ranges(segments: DataFrame) -> DataFrame:
@@ -180,14 +177,16 @@ def close_gaps(clips: DataFrame, tol_ms: int = 20) -> DataFrame:
     )
 
 
-def numbered(segments: DataFrame, name: str = "number", *order: str) -> DataFrame:
-    return segments.withColumn(name, F.row_number().over(in_order(*(order or ("start_ms", "ord")))).cast("bigint"))
+def numbered(segments: DataFrame, name: str = "number", keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
+    """Places from 1 by start, then by row."""
+    return carried(segments, "sum", {name: F.lit(1).cast("bigint")}, F.col("start_ms"), ("ord",), keys=keys)
 
 
 def speaker_labels(segments: DataFrame) -> DataFrame:
-    """(media_id, speaker, pos) by first appearance, pos from 0."""
+    """(media_id, speaker, first_ord, pos, label) by first appearance, pos from 0: Speaker A to Z, then numbers."""
     seen = segments.groupBy("media_id", "speaker").agg(F.min("ord").alias("first_ord"))
-    return seen.withColumn("pos", F.row_number().over(in_order("first_ord", "speaker")) - 1)
+    placed = seen.withColumn("pos", F.row_number().over(in_order("first_ord", "speaker")) - 1)
+    return placed.withColumn("label", label_of(F.col("pos")))
 
 
 def visible_prefix(aligned: DataFrame) -> DataFrame:
@@ -207,28 +206,27 @@ def word_gaps(words: DataFrame) -> DataFrame:
 def group_lines(words: DataFrame, sentences: int = 2, most_words: int = 28, force: bool = True) -> DataFrame:
     """Lines of a transcript: closed after so many sentences, or at so many words on a word that ends none.
 
-    The count starts anew after each close, so each media's words are folded in
-    order inside an array expression; force gives what is left as a last line.
+    force gives what is left at the end as a last line.
     """
-    item = F.struct("seg_no", "word_no", F.regexp_like("word", F.lit(r"[.!?。？！]$")).alias("hard"))
-    listed = words.groupBy("media_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(
-        F.lit(1).alias("line"), F.lit(0).alias("held"), F.lit(0).alias("ends"), F.lit(False).alias("closed"),
-        F.array().cast("array<struct<seg_no:bigint,word_no:int,line:int>>").alias("out"),
+    marked = words.select("media_id", "seg_no", "word_no", F.regexp_like("word", F.lit(r"[.!?。？！]\s*$")).alias("hard"))
+
+    def placed(state, rows):
+        line, held, ends = state
+        for seg_no, word_no, hard in rows:
+            held, ends = held + 1, ends + bool(hard)
+            closes = ends >= sentences if hard else held >= most_words
+            yield seg_no, word_no, line, closes
+            if closes:
+                line, held, ends = line + 1, 0, 0
+
+    out = fold_in_blocks(
+        marked, ("seg_no", "word_no"), ("hard",), ("seg_no", "word_no", "hard"), [1, 0, 0], lambda rows: lines(rows, sentences, most_words),
+        lambda state, summary: next_lines(state, summary, sentences), placed, "seg_no bigint, word_no bigint, line_no bigint, closes boolean",
     )
-
-    def step(s, w):
-        line = F.when(s["closed"], s["line"] + 1).otherwise(s["line"])
-        held = F.when(s["closed"], 1).otherwise(s["held"] + 1)
-        ends = F.when(s["closed"], 0).otherwise(s["ends"]) + F.when(w["hard"], 1).otherwise(0)
-        closed = F.when(w["hard"], ends >= sentences).otherwise(held >= most_words)
-        new = F.struct(w["seg_no"].alias("seg_no"), w["word_no"].cast("int").alias("word_no"), line.alias("line"))
-        return F.struct(line.alias("line"), held.alias("held"), ends.alias("ends"), closed.alias("closed"), F.concat(s["out"], F.array(new)).alias("out"))
-
-    folded = listed.select("media_id", F.aggregate("items", start, step).alias("s"))
-    left = folded.select("media_id", F.col("s.line").alias("last"), F.col("s.closed").alias("last_closed"), F.inline("s.out"))
-    whole = left if force else left.filter((F.col("line") < F.col("last")) | F.col("last_closed"))
-    return whole.select("media_id", "seg_no", F.col("word_no").cast("bigint").alias("word_no"), F.col("line").cast("bigint").alias("line_no"))
+    if not force:
+        whole = out.groupBy("media_id", "line_no").agg(F.max("closes").alias("closed")).filter("closed").drop("closed")
+        out = out.join(whole.hint("merge"), ["media_id", "line_no"])
+    return out.select("media_id", "seg_no", "word_no", "line_no")
 
 
 def speaker_changes(turns: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ COLOURS = ("red", "green", "blue", "orange", "purple", "teal", "pink", "grey")
 
 def query(name: str, sql: str | None):
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: f(I.segments(spark, sf_dir))
         if sql:
             ORACLE_SQL[name] = CTE + sql
@@ -283,7 +285,7 @@ query("w12_numbering", "SELECT media_id, ord, row_number() OVER (PARTITION BY me
     lambda s: W.numbered(P.speech_nonblank(s)).select("media_id", "ord", "number")
 )
 query("w13_speaker_labels", "SELECT media_id, speaker, concat('Speaker ', chr(CAST(65 + row_number() OVER (PARTITION BY media_id ORDER BY min(ord), speaker) - 1 AS INT))) AS label FROM segments GROUP BY 1, 2")(
-    lambda s: W.speaker_labels(s).select("media_id", "speaker", F.concat(F.lit("Speaker "), F.char((65 + F.col("pos")).cast("int"))).alias("label"))
+    lambda s: W.speaker_labels(s).select("media_id", "speaker", "label")
 )
 query("w14_visible_prefix", """, a AS (SELECT s.media_id, s.seg_no, CASE WHEN coalesce(t.text, '') = '' THEN 1 ELSE 0 END AS missing FROM segments s LEFT JOIN (SELECT * FROM translations WHERE lang = 'xx') t USING (media_id, seg_no)),
 b AS (SELECT *, coalesce(sum(missing) OVER (PARTITION BY media_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a)

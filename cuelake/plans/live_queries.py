@@ -16,6 +16,8 @@ ORACLE_SQL: dict = {}
 
 def query(name: str, sql: str | None):
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: f(I.segments(spark, sf_dir))
         if sql:
             ORACLE_SQL[name] = CTE.replace("WITH base", "WITH RECURSIVE base", 1) + sql
@@ -72,10 +74,13 @@ def decoded(s: DataFrame, kind: str, dur_ms: int, probability: float = 0.9) -> D
 
 
 def paused(s: DataFrame) -> DataFrame:
-    """A pause after each turn that sees all its words, then a stop that sees none."""
+    """A pause after each turn that sees all its words, then a made-up hypothesis in a pause, then another in a stop."""
     pause = decoded(s, "pause", 6000)
-    stop = pause.withColumn("cycle", F.lit(1).cast("bigint")).withColumn("kind", F.lit("stop")).withColumn("words", F.slice("words", 1, 0))
-    return pause.unionByName(stop)
+    end = F.element_at("words", -1)["end_ms"]
+    thanks = F.array(*[F.struct(F.lit(w).alias("word"), (end + k).alias("start_ms"), (end + k + 5).alias("end_ms"), F.lit(0.9).alias("probability")) for k, w in enumerate(("Thanks", " for", " watching"))])
+    later = pause.withColumn("words", thanks)
+    again = later.withColumn("cycle", F.lit(1).cast("bigint"))
+    return pause.unionByName(again).unionByName(later.withColumn("cycle", F.lit(2).cast("bigint")).withColumn("kind", F.lit("stop")))
 
 
 def finals(s: DataFrame) -> DataFrame:
@@ -105,7 +110,19 @@ SELECT session_id, word_no, word, start_ms, end_ms, line_no, n, e, CASE WHEN har
          CASE WHEN k.closes THEN 1 ELSE k.n + 1 END AS n, CASE WHEN k.closes THEN 0 ELSE k.e END + CAST(w.hard AS INT) AS e
   FROM walk k JOIN (SELECT * FROM spoken {only}) w ON w.session_id = k.session_id AND w.word_no = k.word_no + 1))"""
 
-query("t1_utterances", None)(lambda s: L.utterances(frames(s)))
+query("t1_utterances", """, f AS (SELECT DISTINCT media_id, unnest(range(CAST(ceil(start_ms / 30) AS BIGINT), CAST(ceil(end_ms / 30) AS BIGINT))) AS n FROM segments),
+runs AS (SELECT media_id, min(n) AS b, max(n) + 1 AS e FROM (SELECT media_id, n, n - row_number() OVER (PARTITION BY media_id ORDER BY n) AS island FROM f) GROUP BY media_id, island),
+gaps AS (SELECT media_id, e AS b, coalesce(lead(b) OVER (PARTITION BY media_id ORDER BY b), CAST(floor(duration_ms / 30) AS BIGINT) + 1) AS e FROM runs JOIN media USING (media_id)),
+m AS (SELECT media_id, list({'b': runs.b, 'e': runs.e} ORDER BY runs.b) AS speech, any_value(quiet) AS quiet, any_value(n) AS n FROM runs JOIN (
+  SELECT media_id, list({'b': b, 'e': e} ORDER BY b) AS quiet, max(e) AS n FROM gaps GROUP BY 1) USING (media_id) GROUP BY 1),
+-- an utterance starts where six frames in a row are speech, and ends at the twelfth quiet frame or its 400th
+u AS (SELECT media_id, CAST(0 AS BIGINT) AS p, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS last, false AS forced FROM m
+  UNION ALL
+  SELECT media_id, least(quiet_end, s + 399) + 1, s, least(quiet_end, s + 399), quiet_end > s + 399 FROM (
+    SELECT media_id, s, n, coalesce(list_min(list_transform(list_filter(quiet, lambda q: q.b > s AND q.e - q.b >= 12), lambda q: q.b + 11)), n + 1000) AS quiet_end FROM (
+      SELECT u.media_id, quiet, n, list_min(list_transform(list_filter(speech, lambda r: r.e - greatest(r.b, p) >= 6), lambda r: greatest(r.b, p))) AS s FROM u JOIN m USING (media_id)))
+  WHERE s IS NOT NULL AND least(quiet_end, s + 399) < n)
+SELECT media_id AS session_id, s * 30 AS start_ms, (last + 1) * 30 AS end_ms, forced FROM u WHERE s IS NOT NULL""")(lambda s: L.utterances(frames(s)))
 query("t1_speech_sessions", """, f AS (SELECT DISTINCT media_id, unnest(range(CAST(ceil(start_ms / 30) AS BIGINT), CAST(ceil(end_ms / 30) AS BIGINT))) AS n FROM segments),
 o AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY media_id ORDER BY n) <= 12 THEN 0 ELSE 1 END AS opens FROM f),
 i AS (SELECT *, sum(opens) OVER (PARTITION BY media_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS island FROM o)
@@ -130,7 +147,7 @@ SELECT session_id, line_no, string_agg(word, ' ' ORDER BY word_no) AS text, min(
     lambda s: L.live_transcript(hypotheses(s)).filter("event = 'final'").select("session_id", "line_no", "text", "start_ms", "end_ms")
 )
 query("t7_pause", SPOKEN + WALK.format(only="") + """
-SELECT session_id, CAST(CASE WHEN bool_or(closes) OR count(*) >= 8 THEN 0 ELSE 1 END AS BIGINT) AS cycle, line_no, string_agg(word, ' ' ORDER BY word_no) AS text FROM walk GROUP BY session_id, line_no""")(
+SELECT session_id, CAST(CASE WHEN bool_or(closes) OR count(*) >= 8 THEN 0 ELSE 2 END AS BIGINT) AS cycle, line_no, string_agg(word, ' ' ORDER BY word_no) AS text FROM walk GROUP BY session_id, line_no""")(
     lambda s: L.live_transcript(paused(s)).filter("event = 'final'").select("session_id", "cycle", "line_no", "text")
 )
 query("t9_live_events", None)(lambda s: L.live_transcript(hypotheses(s)))

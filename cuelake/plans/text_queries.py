@@ -28,6 +28,8 @@ def query(name: str, sql: str | None):
     """A query over the derived segments."""
 
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: f(I.segments(spark, sf_dir))
         if sql:
             ORACLE_SQL[name] = CTE + sql
@@ -40,6 +42,8 @@ def over(table: str, name: str, sql: str | None):
     """A query over a given table."""
 
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: f(I.table(spark, sf_dir, table))
         if sql:
             ORACLE_SQL[name] = sql
@@ -125,9 +129,10 @@ LANGUAGES_SQL = """(VALUES ('vi', 'Vietnamese', 'vie_Latn'), ('en', 'English', '
 over("documents", "f7_made_up", f"WITH p AS (SELECT {PHRASES_SQL} AS ps) SELECT doc_id, len(list_filter(ps, lambda x: contains(lower(concat(text, ' So ', ps[CAST(doc_id % 46 + 1 AS INT)])), x))) > 0 AS hit FROM documents, p")(
     lambda t: t.select("doc_id", T.contains_made_up(F.concat("text", F.lit(" So "), F.coalesce(F.get(F.array(*[F.lit(p) for p in T.MADE_UP_PHRASES]), (F.col("doc_id") % 46).cast("int")), F.lit("")))).alias("hit"))
 )
-HALL = f""", w AS (SELECT media_id, seg_no, word_no, word, prob * ((media_id % 5) + 1) / 4 AS p, trim(lower(word), '.,!?;:、，。') AS token FROM words),
-x AS (SELECT *, token || ' ' || lead(token) OVER (PARTITION BY media_id, seg_no ORDER BY word_no) AS pair FROM w),
-m AS (SELECT media_id, seg_no, avg(p) AS mean, count(*) AS n, lower(string_agg(word, ' ' ORDER BY word_no)) AS joined FROM w GROUP BY 1, 2),
+HALL = f""", w AS (SELECT media_id, seg_no, word_no, CASE WHEN word_no % 13 = 12 THEN '' ELSE concat(CASE WHEN word_no % 3 = 1 THEN ' ' ELSE '' END, CASE WHEN seg_no % 17 = 5 AND word_no < 3 THEN ['Thanks', 'for', 'watching'][word_no + 1] ELSE word END, CASE WHEN word_no % 5 = 1 THEN ' ' ELSE '' END) END AS word, prob * ((media_id % 5) + 1) / 4 AS p FROM words),
+t AS (SELECT *, trim(lower(word), '.,!?;:、，。') AS token FROM w WHERE word <> ''),
+x AS (SELECT *, token || ' ' || lead(token) OVER (PARTITION BY media_id, seg_no ORDER BY word_no) AS pair FROM t),
+m AS (SELECT media_id, seg_no, avg(p) AS mean, count(*) FILTER (word <> '') AS n, lower(string_agg(trim(word), ' ' ORDER BY word_no) FILTER (word <> '')) AS joined FROM w GROUP BY 1, 2),
 a AS (SELECT media_id, seg_no, max(c) AS top FROM (SELECT media_id, seg_no, token, count(*) AS c FROM x GROUP BY ALL) GROUP BY 1, 2),
 b AS (SELECT media_id, seg_no, max(c) AS top2 FROM (SELECT media_id, seg_no, pair, count(*) AS c FROM x WHERE pair IS NOT NULL GROUP BY ALL) GROUP BY 1, 2)
 SELECT m.media_id, m.seg_no, (round(mean, 9) < 0.35 OR len(list_filter({PHRASES_SQL}, lambda x: contains(joined, x))) > 0 OR (n >= 5 AND top / n > 0.55) OR (n >= 6 AND top2 / (n - 1) > 0.45)) AS bad
@@ -136,7 +141,11 @@ FROM m JOIN a USING (media_id, seg_no) LEFT JOIN b USING (media_id, seg_no)"""
 
 @query("f9_hallucination", HALL)
 def hallucination(s: DataFrame) -> DataFrame:
+    thanks = F.get(F.array(F.lit("Thanks"), F.lit("for"), F.lit("watching")), F.col("word_no").cast("int"))
+    said = F.when((F.col("seg_no") % 17 == 5) & (F.col("word_no") < 3), thanks).otherwise(F.col("word"))
+    spaced = F.concat(F.when(F.col("word_no") % 3 == 1, " ").otherwise(""), said, F.when(F.col("word_no") % 5 == 1, " ").otherwise(""))
     w = I.words(s).withColumn("probability", F.col("prob") * ((F.col("media_id") % 5) + 1) / 4)
+    w = w.withColumn("word", F.when(F.col("word_no") % 13 == 12, "").otherwise(spaced))
     held = w.groupBy("media_id", "seg_no").agg(F.array_sort(F.collect_list(F.struct("word_no", "word", "probability"))).alias("words"))
     return held.select("media_id", "seg_no", T.is_hallucination(F.col("words")).alias("bad"))
 
@@ -165,15 +174,21 @@ query("f16_compose", "SELECT media_id, seg_no, array_to_string(list_filter(regex
 )
 over("documents", "f17_compose_wide", r"""WITH w AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '[^\s,.!?;:)»”’%]+|[,.!?;:)»”’%]'), ' ') AS t FROM documents)
 SELECT doc_id, regexp_replace(t, ' ([,.!?;:…)»”''’%])', '\1', 'g') AS text FROM w WHERE t <> ''""")(
-    lambda t: t.select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\s,.!?;:)»”’%]+|[,.!?;:)»”’%]"), F.lit(0)).alias("w")).filter(F.size("w") > 0).select("doc_id", T.compose_wide(F.col("w")).alias("text"))
+    lambda t: t.select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\s,.!?;:)»”’%]+|[,.!?;:)»”’%]"), F.lit(0)).alias("w")).filter(F.size("w") > 0).select("doc_id", T.compose_wide(F.flatten(F.transform("w", lambda w: F.array(w, F.lit(""))))).alias("text"))
 )
 over("pages", "f29_labels", "SELECT page_id, CASE WHEN p < 26 THEN concat('Speaker ', chr(CAST(65 + p AS INTEGER))) ELSE concat('Speaker ', p + 1) END AS label FROM (SELECT page_id, page_id % 40 AS p FROM pages)")(
     lambda t: t.select("page_id", T.label_of(F.col("page_id") % 40).alias("label"))
 )
 query("f28_requests", """, b AS (SELECT media_id, text, CAST(floor((row_number() OVER w - 1) / 3) AS BIGINT) AS batch_no, (row_number() OVER w - 1) % 3 + 1 AS k FROM segments WINDOW w AS (PARTITION BY media_id ORDER BY ord)),
 p AS (SELECT media_id, batch_no, string_agg(concat(k, '. ', CASE WHEN trim(text) = '' THEN '[EMPTY]' ELSE text END), chr(10) ORDER BY k) AS lines FROM b GROUP BY 1, 2)
-SELECT media_id, batch_no, concat('Translate the numbered lines from English to French. Answer with the same numbers, one line each.', chr(10), chr(10), lines) AS chat, concat('Translate to French:', chr(10), lines) AS plain FROM p""")(
-    lambda s: X.prompts(W.batches(s, 3)).select("media_id", "batch_no", *[T.prompt_for(F.lit("English"), F.lit("French"), F.col("prompt"), x).alias(x) for x in ("chat", "plain")])
+SELECT media_id, batch_no, CAST(NULL AS VARCHAR) AS chat_system, concat('Translate the numbered lines from English to French. Answer with the same numbers, one line each.', chr(10), chr(10), lines) AS chat_user,
+  'You translate speech from English to French. Keep its meaning, tone and style, and let it sound like talk.' AS roles_system,
+  concat('Translate the numbered lines. Answer with the same numbers, one line each, and nothing else.', chr(10), chr(10), lines) AS roles_user FROM p""")(
+    lambda s: X.prompts(W.batches(s, 3)).select("media_id", "batch_no", *[T.request_for(F.lit("English"), F.lit("French"), F.col("prompt"), x)[part].alias(f"{x}_{part}") for x in ("chat", "roles") for part in ("system", "user")])
+)
+query("f28_single_requests", """SELECT media_id, ord, CAST(NULL AS VARCHAR) AS line_system, concat('Translate to French. Answer with the translation only.', chr(10), 'Text: ', text, chr(10), 'Translation:') AS line_user,
+  'You are a translator. Translate the text from English to French and answer with nothing but the translation.' AS single_system, text AS single_user FROM segments""")(
+    lambda s: s.select("media_id", "ord", *[T.request_for(F.lit("English"), F.lit("French"), F.col("text"), x)[part].alias(f"{x}_{part}") for x in ("line", "single") for part in ("system", "user")])
 )
 over("documents", "f20_matches", "SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)tion')) AS BIGINT) AS n_matches FROM documents WHERE regexp_matches(text, '(?i)tion')")(
     lambda t: X.matches(t, " tion ", "doc_id")
@@ -229,11 +244,6 @@ FROM d LEFT JOIN {LANGUAGES_SQL.replace('AS languages', 'AS a')} ON a.lang = t L
 over("documents", "u7_languages_left", f"SELECT lang FROM {LANGUAGES_SQL} WHERE lang NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL)")(
     lambda t: U.languages_left(J.languages(t.sparkSession), t.select("lang"))
 )
-over("pages", "io3_media_kind", "SELECT page_id, e, CASE WHEN lower(e) IN ('mp4', 'mov', 'mkv', 'avi', 'mxf', 'webm', 'flv', 'wmv', 'm4v') THEN 'video' WHEN lower(e) IN ('wav', 'mp3') THEN 'audio' ELSE 'other' END AS kind FROM (SELECT page_id, ['mp4', 'MOV', 'mkv', 'avi', 'mxf', 'webm', 'flv', 'wmv', 'm4v', 'mpg', 'wav', 'mp3', 'txt'][CAST(page_id % 13 + 1 AS INT)] AS e FROM pages)")(
-    lambda t: t.select("page_id", F.get(F.array(*[F.lit(x) for x in "mp4 MOV mkv avi mxf webm flv wmv m4v mpg wav mp3 txt".split()]), (F.col("page_id") % 13).cast("int")).alias("e")).select(
-        "page_id", "e", R.media_kind(F.concat("page_id", F.lit("."), F.col("e"))).alias("kind")
-    )
-)
 over("conversations", "f38_control", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN NULL ELSE 'fr' END AS language, turn * 100 AS offset_ms FROM conversations")(
     lambda t: t.withColumn(
         "m", R.parse_control(F.format_string('{"action": "start", "language": "%s", "offset_ms": %d}', F.when(F.col("turn") % 2 == 0, "auto").otherwise("fr"), F.col("turn") * 100))
@@ -310,16 +320,17 @@ query("f18_split_translation", SUBS.replace("\\\\", "\\"))(
 
 
 def shouting(prompts_: list[str]) -> list[str]:
-    """A stand-in provider: the numbered lines in brackets."""
+    """A stand-in provider: the numbered lines in brackets after the first sentence of the request."""
     out = []
     for p in prompts_:
-        body = p.split("\n\n", 1)[1]
-        out.append("\n".join(f"{line.split('. ', 1)[0]}. <{line.split('. ', 1)[1]}>" for line in body.split("\n") if ". " in line))
+        head, body = p.split("\n\n", 1)
+        said = head.split(".")[0]
+        out.append("\n".join(f"{line.split('. ', 1)[0]}. {said}: <{line.split('. ', 1)[1]}>" for line in body.split("\n") if ". " in line))
     return out
 
 
-query("x1_translate", r", l AS (SELECT media_id, seg_no, regexp_replace(text, '\s+', ' ', 'g') AS t FROM segments) SELECT media_id, seg_no, 'fr' AS lang, concat('<', t, '>') AS text FROM l")(
-    lambda s: translate(s.withColumn("text", F.regexp_replace("text", r"\s+", " ")), shouting, "fr")
+query("x1_translate", r", l AS (SELECT media_id, seg_no, regexp_replace(text, '\s+', ' ', 'g') AS t FROM segments) SELECT media_id, seg_no, 'fr' AS lang, concat('Translate the numbered lines from English to French: <', t, '>') AS text FROM l")(
+    lambda s: translate(s.withColumn("text", F.regexp_replace("text", r"\s+", " ")), lambda: shouting, "fr", source="en")
 )
 
 
@@ -330,5 +341,5 @@ def every_tenth_second(frame):
 
 
 query("x2_apply_model", ", c AS (SELECT media_id, chunk_no, chunk_no * 60000 AS s, least(chunk_no * 60000 + 65000, duration_ms) AS e FROM media, range(1000) r(chunk_no) WHERE chunk_no * 60000 <= duration_ms - 1) SELECT media_id, chunk_no, t AS start_ms, least(t + 10000, e) AS end_ms FROM (SELECT *, unnest(range(s, e, 10000)) AS t FROM c)")(
-    lambda s: apply_model(I.media(s), every_tenth_second, "media_id bigint, chunk_no bigint, start_ms bigint, end_ms bigint", 60_000)
+    lambda s: apply_model(I.media(s), lambda: every_tenth_second, "media_id bigint, chunk_no bigint, start_ms bigint, end_ms bigint", 60_000)
 )

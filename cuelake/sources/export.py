@@ -8,12 +8,8 @@ from pyspark.sql import functions as F
 from cuelake.functions.text import basename, stem
 from cuelake.functions.timecode import srt_time
 from cuelake.operators.filters import speech_nonblank
-from cuelake.operators.joins import not_fully_cut, removed_before
-
-
-def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
-    order = Window.partitionBy("media_id", *keys).orderBy("start_ms", "ord")
-    return rows.withColumn("number", F.row_number().over(order).cast("bigint"))
+from cuelake.operators.joins import not_fully_cut, without_cuts
+from cuelake.operators.windows import numbered
 
 
 def _joined(rows: DataFrame, line: Column, sep: str, *keys: str) -> DataFrame:
@@ -28,7 +24,7 @@ def _srt(rows: DataFrame, *keys: str) -> DataFrame:
         F.col("number").cast("string"), F.lit("\n"), srt_time(F.col("start_ms")), F.lit(" --> "), srt_time(F.col("end_ms")),
         F.lit("\n"), F.col("text"), F.lit("\n"),
     )
-    return _joined(_numbered(rows, *keys), block, "\n", *keys)
+    return _joined(numbered(rows, keys=("media_id", *keys)), block, "\n", *keys)
 
 
 def srt_original(segments: DataFrame) -> DataFrame:
@@ -43,13 +39,8 @@ def srt_live(segments: DataFrame) -> DataFrame:
 
 def shifted(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """Times with the cut time before them taken out; rows left with no length go."""
-    times = rows.select("media_id", F.explode(F.array("start_ms", "end_ms")).alias("t")).distinct()
-    gone = removed_before(times, cuts)
-    at_start = gone.select("media_id", F.col("t").alias("start_ms"), F.col("removed_ms").alias("rs"))
-    at_end = gone.select("media_id", F.col("t").alias("end_ms"), F.col("removed_ms").alias("re"))
-    both = rows.join(at_start.hint("merge"), ["media_id", "start_ms"]).join(at_end.hint("merge"), ["media_id", "end_ms"])
-    moved = both.withColumn("start_ms", F.col("start_ms") - F.col("rs")).withColumn("end_ms", F.col("end_ms") - F.col("re"))
-    return moved.filter(F.col("end_ms") > F.col("start_ms")).drop("rs", "re")
+    moved = without_cuts(rows, cuts).drop("start_ms", "end_ms").withColumnsRenamed({"new_start": "start_ms", "new_end": "end_ms"})
+    return moved.filter(F.col("end_ms") > F.col("start_ms"))
 
 
 def srt_after_cuts(segments: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -65,7 +56,7 @@ def srt_translated(segments: DataFrame, translations: DataFrame, cuts: DataFrame
 
 
 def txt(segments: DataFrame) -> DataFrame:
-    return _joined(_numbered(speech_nonblank(segments)), F.trim("text"), "\n")
+    return _joined(numbered(speech_nonblank(segments)), F.trim("text"), "\n")
 
 
 def xml_escaped(text: Column) -> Column:

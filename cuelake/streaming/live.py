@@ -1,8 +1,14 @@
 """Live sessions: utterances from frames, agreed words from successive hypotheses, lines from words.
 
 Each operator has a step on one session's state.  Streams run it through
-``applyInPandasWithState`` keyed by session_id; the batch forms run the same
-step over a session's rows in order, so both give the same rows.
+``transformWithStateInPandas`` keyed by session_id, with typed states; the batch
+forms run the same step over a session's rows in order, so both give the same
+rows.
+
+A session ends with its stop, or when it has been silent for longer than
+``silent_ms`` of event time: a timer then drops its state, with what it held, as
+the end of a connection without a stop does.  A row that comes after such a
+silence begins a new session under the old name, in streams and batches alike.
 """
 
 from __future__ import annotations
@@ -10,11 +16,12 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cuelake.functions.text import (
     CLINGS,
@@ -36,6 +43,7 @@ MAX_BUFFER_MS = 12_000
 AGREE_MS = 500
 SURE, SURE_TAIL_MS = 0.72, 150
 SENTENCES, MOST_WORDS, LEAST_PENDING = 2, 28, 8
+LEAST_STOP_MS = 400
 HARD = ".!?。？！"
 
 REVEALED = "session_id bigint, cycle bigint, new_words array<string>"
@@ -46,9 +54,11 @@ EVENTS = "session_id bigint, cycle bigint, event string, line_no bigint, text st
 
 def utterance_step(state: dict, frame_no: int, is_speech: bool) -> list[tuple[int, int, bool]]:
     """(start_ms, end_ms, forced) of an utterance that this frame ends."""
-    if state.get("start") is None:
+    if "start" not in state:
         state["run"] = state.get("run", 0) + 1 if is_speech else 0
-        if state["run"] == ONSET_FRAMES:
+        if not state["run"]:
+            del state["run"]
+        elif state["run"] == ONSET_FRAMES:
             state.update(start=frame_no - ONSET_FRAMES + 1, quiet=0, run=0)
         return []
     state["quiet"] = 0 if is_speech else state["quiet"] + 1
@@ -56,8 +66,8 @@ def utterance_step(state: dict, frame_no: int, is_speech: bool) -> list[tuple[in
     ended, forced = state["quiet"] == END_FRAMES, length >= MAX_BUFFER_MS
     if not (ended or forced):
         return []
-    out = [(state["start"] * FRAME_MS, (frame_no + 1) * FRAME_MS, not ended)]
-    state.update(start=None, quiet=0, run=0)
+    out = [(state.pop("start") * FRAME_MS, (frame_no + 1) * FRAME_MS, not ended)]
+    del state["quiet"], state["run"]
     return out
 
 
@@ -67,7 +77,7 @@ def _key(word: str) -> str:
 
 def _compose(words: list[str]) -> str:
     out = ""
-    for w in words:
+    for w in filter(None, words):
         out += w if not out or w.startswith(" ") or w[:1] in CLINGS else f" {w}"
     return out.strip()
 
@@ -76,10 +86,10 @@ def made_up(words: list[tuple]) -> bool:
     """The verdict of functions.text.is_hallucination on (word, start, end, probability) tuples."""
     if not words:
         return False
-    tokens = [w.lower().strip(TOKEN_EDGES) for w, *_ in words]
+    tokens = [w.lower().strip(TOKEN_EDGES) for w, *_ in words if w]
     pairs = list(zip(tokens, tokens[1:]))
     top = lambda xs: Counter(xs).most_common(1)[0][1] / len(xs)
-    joined = " ".join(w for w, *_ in words).lower()
+    joined = " ".join(w.strip() for w, *_ in words if w).lower()
     return (
         sum(p or 0.0 for *_, p in words) / len(words) < MIN_MEAN_PROBABILITY
         or any(p in joined for p in MADE_UP_PHRASES)
@@ -101,11 +111,19 @@ def live_step(state: dict, cycle: int, kind: str, buffer_end_ms: int, buffer_dur
     """(event, line_no, text, start_ms, end_ms) of one decode cycle: partial, pause or stop.
 
     state: last_end of what is committed, the tail of the cycle before, pending
-    words of the open line, the number of lines, and the last draft shown.
+    words of the open line, the number of lines, and the last draft shown.  A
+    made-up hypothesis gives no words: a partial cycle passes without a trace, a
+    pause or stop still closes what is pending.  A pause shows the open line
+    again, or clears the display if there is none.  A stop takes words only from
+    a buffer of LEAST_STOP_MS or more, closes every line and leaves no state.
     """
     pending, out = state.setdefault("pending", []), []
-    if kind == "partial" and made_up(words):
+    unreal = made_up(words)
+    if kind == "partial" and (unreal or not words):
         return out
+    heard = kind != "stop" or buffer_dur_ms >= LEAST_STOP_MS
+    if unreal or not heard:
+        words = []
     if skip_recommitted:
         words = [w for w in words if w[1] >= state.get("last_end", 0)]
     n = agreed(state.get("tail", []), words)
@@ -121,37 +139,63 @@ def live_step(state: dict, cycle: int, kind: str, buffer_end_ms: int, buffer_dur
         state["last_end"] = committed[-1][2]
 
     def close():
-        out.append(("final", state.get("lines", 0), _compose([w[0] for w in pending]), pending[0][1], pending[-1][2]))
-        state["lines"] = state.get("lines", 0) + 1
+        text = _compose([w[0] for w in pending])
+        if text:
+            out.append(("final", state.get("lines", 0), text, pending[0][1], pending[-1][2]))
+            state["lines"] = state.get("lines", 0) + 1
+            state["draft"] = ""
         pending.clear()
 
+    ends = sum(p[0].strip()[-1:] in HARD for p in pending if p[0].strip())
     for w in committed:
         pending.append(list(w))
-        hard = w[0].strip()[-1:] in HARD and w[0].strip() != ""
-        ends = sum(p[0].strip()[-1:] in HARD for p in pending if p[0].strip())
+        hard = w[0].strip() != "" and w[0].strip()[-1:] in HARD
+        ends += hard
         if (hard and ends >= SENTENCES) or (not hard and len(pending) >= MOST_WORDS):
             close()
+            ends = 0
     if pending and (kind == "stop" or (kind == "pause" and len(pending) >= LEAST_PENDING)):
         close()
+    if kind == "pause":
+        state["draft"] = ""
     draft = _compose([w[0] for w in pending])
-    if draft != state.get("draft", ""):
+    if draft and draft != state.get("draft", ""):
         state["draft"] = draft
-        if draft:
-            out.append(("draft", state.get("lines", 0), draft, pending[0][1], pending[-1][2]))
+        out.append(("draft", state.get("lines", 0), draft, pending[0][1], pending[-1][2]))
     tail = state["tail"]
-    if tail or state.get("shown"):
-        out.append(("partial", state.get("lines", 0), _compose([w[0] for w in tail]), tail[0][1] if tail else None, tail[-1][2] if tail else None))
-    state["shown"] = bool(tail)
+    shown = " ".join(w[0].strip() for w in tail).strip()
+    if shown:
+        out.append(("partial", state.get("lines", 0), shown, tail[0][1], tail[-1][2]))
+    elif not out if kind == "partial" else heard and not pending:
+        out.append(("partial", state.get("lines", 0), "", None, None))
+    if kind == "stop":
+        state.clear()
     return out
 
 
-def _frame_rows(session: int, rows: pd.DataFrame, state: dict) -> list[tuple]:
-    return [(session, *u) for n, s in zip(rows["frame_no"].tolist(), rows["is_speech"].tolist()) for u in utterance_step(state, n, bool(s))]
+def _ended(state: dict, at: int, silent_ms: int) -> None:
+    """Empty the state of a session that has been silent for too long; keep the time of its latest row."""
+    if at - state.get("seen", at) > silent_ms:
+        state.clear()
+    state["seen"] = max(at, state.get("seen", at))
 
 
-def _cycle_rows(session: int, rows: pd.DataFrame, state: dict) -> list[tuple]:
+def _millis(times: pd.Series) -> list[int]:
+    return (times.astype("datetime64[us]").astype("int64") // 1000).tolist()
+
+
+def _frame_rows(session: int, rows: pd.DataFrame, state: dict, silent_ms: int) -> list[tuple]:
     out = []
-    for r in rows.itertuples(index=False):
+    for frame_no, is_speech, at in zip(rows["frame_no"].tolist(), rows["is_speech"].tolist(), _millis(rows["event_ts"])):
+        _ended(state, at, silent_ms)
+        out += [(session, *u) for u in utterance_step(state, frame_no, bool(is_speech))]
+    return out
+
+
+def _cycle_rows(session: int, rows: pd.DataFrame, state: dict, silent_ms: int) -> list[tuple]:
+    out = []
+    for r, at in zip(rows.itertuples(index=False), _millis(rows["event_ts"])):
+        _ended(state, at, silent_ms)
         words = [(w["word"], int(w["start_ms"]), int(w["end_ms"]), w["probability"]) for w in r.words]
         made = live_step(state, r.cycle, r.kind, r.buffer_start_ms + r.buffer_dur_ms, r.buffer_dur_ms, words)
         out += [(session, r.cycle, *e) for e in made]
@@ -163,35 +207,97 @@ def _pandas(rows: list[tuple], schema: str) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in ("start_ms", "end_ms") if c in out})
 
 
-def _streamed(df: DataFrame, order: str, fold, schema: str) -> DataFrame:
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(order)
-        out = fold(key[0], rows, held)
-        state.update((json.dumps(held),))
-        yield _pandas(out, schema)
-
-    return df.groupBy("session_id").applyInPandasWithState(step, schema, "state string", "append", "NoTimeout")
+WORDS = "word string, start_ms bigint, end_ms bigint, probability double"
+#: The states of each operator: single values, then lists of tuples.
+FRAME_STATE = ("seen bigint, start bigint, run bigint, quiet bigint", {})
+LIVE_STATE = ("seen bigint, last_end bigint, lines bigint, draft string", {"pending": WORDS, "tail": WORDS})
+KNOWN_STATE = ("seen bigint, known bigint", {})
+HELD_STATE = ("seen bigint, held_line bigint, held_start bigint", {})
+
+
+class _Session(StatefulProcessor):
+    """A fold over the rows of each session, its dictionary kept as a value state and list states."""
+
+    def __init__(self, order: str, fold, schema: str, states: tuple[str, dict[str, str]], silent_ms: int | None):
+        self.order, self.fold, self.schema, self.states, self.silent_ms = order, fold, schema, states, silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.states[0])
+        self.lists = {name: handle.getListState(name, schema) for name, schema in self.states[1].items()}
+        self.names = [f.split()[0] for f in self.states[0].split(", ")]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = dict(zip(self.names, self.value.get())) if self.value.exists() else {}
+        held = {k: v for k, v in held.items() if v is not None}
+        for name, state in self.lists.items():
+            if state.exists():
+                held[name] = [tuple(x) for x in state.get()]
+        out = self.fold(key[0], pd.concat(list(rows)).sort_values(self.order), held)
+        self._forget()
+        if set(held) - {"seen"}:
+            self.value.update(tuple(held.get(name) for name in self.names))
+            for name, state in self.lists.items():
+                if held.get(name):
+                    state.put([tuple(x) for x in held[name]])
+            if self.silent_ms is not None:
+                self.handle.registerTimer(held["seen"] + self.silent_ms + 1)
+        yield _pandas(out, self.schema)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget()
+        yield _pandas([], self.schema)
+
+    def _forget(self) -> None:
+        self.value.clear()
+        for state in self.lists.values():
+            state.clear()
+        for timer in list(self.handle.listTimers()) if self.silent_ms is not None else []:
+            self.handle.deleteTimer(timer)
+
+    def close(self) -> None:
+        pass
+
+
+def _streamed(df: DataFrame, order: str, fold, schema: str, states: tuple, silent_ms: int | None, late: str) -> DataFrame:
+    # Typed states need this store.
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = silent_ms is not None
+    rows = df.withWatermark("event_ts", late) if timed else df
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_Session(order, fold, schema, states, silent_ms), outputStructType=schema, outputMode="Append",
+        timeMode="EventTime" if timed else "None",
+    )
 
 
 def _batch(df: DataFrame, order: str, fold, schema: str) -> DataFrame:
-    def whole(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def whole(key, rows):
         return _pandas(fold(key[0], rows.sort_values(order), {}), schema)
 
     return df.groupBy("session_id").applyInPandas(whole, schema)
 
 
-def utterances(frames: DataFrame) -> DataFrame:
+#: A session is over after an hour without a row.
+SILENT_MS = 3_600_000
+LATE = "10 seconds"
+
+
+def utterances(frames: DataFrame, silent_ms: int = SILENT_MS, late: str = LATE) -> DataFrame:
     """Utterances of each session; rows of one trigger are taken in frame order."""
-    run = _streamed if frames.isStreaming else _batch
-    return run(frames.select("session_id", "frame_no", "is_speech"), "frame_no", _frame_rows, UTTERANCES)
+    read = frames.select("session_id", "frame_no", "is_speech", "event_ts")
+    fold = partial(_frame_rows, silent_ms=silent_ms)
+    if frames.isStreaming:
+        return _streamed(read, "frame_no", fold, UTTERANCES, FRAME_STATE, silent_ms, late)
+    return _batch(read, "frame_no", fold, UTTERANCES)
 
 
-def live_transcript(hypotheses: DataFrame) -> DataFrame:
+def live_transcript(hypotheses: DataFrame, silent_ms: int = SILENT_MS, late: str = LATE) -> DataFrame:
     """final, draft and partial events of each session."""
-    run = _streamed if hypotheses.isStreaming else _batch
-    read = hypotheses.select("session_id", "cycle", "kind", "buffer_start_ms", "buffer_dur_ms", "words")
-    return run(read, "cycle", _cycle_rows, EVENTS)
+    read = hypotheses.select("session_id", "cycle", "kind", "buffer_start_ms", "buffer_dur_ms", "words", "event_ts")
+    fold = partial(_cycle_rows, silent_ms=silent_ms)
+    if hypotheses.isStreaming:
+        return _streamed(read, "cycle", fold, EVENTS, LIVE_STATE, silent_ms, late)
+    return _batch(read, "cycle", fold, EVENTS)
 
 
 def speech_sessions(frames: DataFrame, gap: str = "360 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -228,7 +334,7 @@ def _new_words(session: int, rows: pd.DataFrame, state: dict) -> list[tuple]:
 def append_only(word_lists: DataFrame) -> DataFrame:
     """Only the words beyond those that the session has shown."""
     if word_lists.isStreaming:
-        return _streamed(word_lists.select("session_id", "cycle", "words"), "cycle", _new_words, REVEALED)
+        return _streamed(word_lists.select("session_id", "cycle", "words"), "cycle", _new_words, REVEALED, KNOWN_STATE, None, LATE)
     upto = Window.partitionBy("session_id").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
     known = F.coalesce(F.max(F.size("words")).over(upto), F.lit(0))
     new = word_lists.withColumn("known", known).filter(F.size("words") > F.col("known"))
@@ -238,16 +344,16 @@ def append_only(word_lists: DataFrame) -> DataFrame:
 def _left_box(session: int, rows: pd.DataFrame, state: dict) -> list[tuple]:
     out = []
     for line_no, start_ms in zip(rows["line_no"].tolist(), rows["start_ms"].tolist()):
-        if "held" in state:
-            out.append((session, *state["held"], start_ms))
-        state["held"] = [line_no, start_ms]
+        if "held_line" in state:
+            out.append((session, state["held_line"], state["held_start"], start_ms))
+        state.update(held_line=line_no, held_start=start_ms)
     return out
 
 
 def graduated(lines: DataFrame) -> DataFrame:
     """Lines that left the live box, and when: as the next one began; a stream gives the columns of GRADUATED."""
     if lines.isStreaming:
-        return _streamed(lines.select("session_id", "line_no", "start_ms"), "line_no", _left_box, GRADUATED)
+        return _streamed(lines.select("session_id", "line_no", "start_ms"), "line_no", _left_box, GRADUATED, HELD_STATE, None, LATE)
     order = Window.partitionBy("session_id").orderBy("line_no")
     return lines.withColumn("left_at", F.lead("start_ms").over(order)).filter(F.col("left_at").isNotNull())
 
