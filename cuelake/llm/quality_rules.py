@@ -19,10 +19,12 @@ One pass sums the references (a few hundred counts for each language, combined
 in each task before the shuffle), one pass scores.  No row moves between tasks.
 
 Defined results: null and empty texts have no words and fail the word count;
-null languages use the character reference over all languages; null languages
-and those with no word list are judged by the nearest of all lists, each against
-the reference of its language or, where the table has no text of any listed
-language, against the sum of its bins over all documents; equal rows get equal rows;
+null languages use the character reference over all languages; a language without
+a word list, and the documents without a language, get a list of the words that
+are commonest in their own documents, if these are LEARN_FROM or more; null
+languages and those without a list are judged by the nearest of all lists, each against the reference of its language or, where the table has
+no text of any listed language, against the sum of its bins over all documents;
+equal rows get equal rows;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -32,12 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import as_bytes, table
+from cuelake.llm.common import as_bytes, staged, table
 
-#: Very common words of each language.
+#: Very common words of some languages; lists of others are learned from the table.
 COMMON_WORDS = {
     "en": "the of and to in a is that for it was on are as with be by at this from".split(),
     "fr": "de la le et les des en un du une que est pour qui dans par plus au sur avec".split(),
@@ -57,6 +59,14 @@ MIN_HISTOGRAM_WORDS = 30
 #: Documents a reference needs, and what each weighs in it.
 MIN_REFERENCE = 5
 UNIT = 1_000_000
+#: A language without a list learns one from so many documents or more: of the words in this share of them, the commonest.
+LEARN_FROM = 30
+SHARE = 0.2
+TOP_WORDS = 20
+MOST_GIVEN = 0.5
+#: What the names of learned lists begin with.
+LEARNED = "learned:"
+BROADCAST_ROWS = 200_000
 
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "beyond_ascii")
 _SENTENCE = b".,;:!?'\"()-"
@@ -83,14 +93,60 @@ _SPACE_BYTES = [32, 9, 10, 11, 12, 13]
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(REPEAT_WINDOW)], dtype=np.uint64)
 
 
-def _listed(common_words: dict[str, list[str]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """By language, the sorted hashes of its words, as written and capitalised, and their bins."""
-    out = {}
-    for lang, words in common_words.items():
-        pairs = {hash(form.encode()): i for i, w in enumerate(words) for form in (w, w.capitalize())}
-        keys = np.array(sorted(pairs), dtype=np.int64)
-        out[lang] = keys, np.array([pairs[int(k)] for k in keys])
-    return out
+class WordLists:
+    """Word lists with the hashes of all their words, as written and capitalised."""
+
+    def __init__(self, common_words: dict[str, list[str]]):
+        self.names = list(common_words)
+        self.sizes = [len(words) for words in common_words.values()]
+        self.width = max(self.sizes, default=0)
+        places = {
+            (hash(form.encode()), k): k * self.width + i
+            for k, words in enumerate(common_words.values()) for i, w in enumerate(words) for form in (w, w.capitalize())
+        }
+        order = sorted(places)
+        self.keys, self.places = np.array([h for h, _ in order], np.int64), np.array([places[x] for x in order], np.int64)
+
+    def bins(self, hashes: np.ndarray) -> dict[str, np.ndarray]:
+        """For each list the counts of its words, then of all others."""
+        first = np.searchsorted(self.keys, hashes)
+        hit = np.flatnonzero(self.keys[np.minimum(first, len(self.keys) - 1)] == hashes) if len(self.keys) else np.zeros(0, np.int64)
+        first, times = first[hit], np.searchsorted(self.keys, hashes[hit], "right") - first[hit]
+        at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        counts = np.bincount(self.places[at], minlength=len(self.names) * self.width).reshape(len(self.names), -1)
+        return {name: np.append(counts[k, :size], len(hashes) - counts[k, :size].sum()) for k, (name, size) in enumerate(zip(self.names, self.sizes))}
+
+
+def group_of(lang: str | None, lists) -> str | None:
+    """The name of a language's word list: itself if it is listed, else that of its learned list, else itself."""
+    learned = LEARNED + (lang or "")
+    return learned if lang not in lists and learned in lists else lang
+
+
+def learned_words(docs: DataFrame, common_words: dict[str, list[str]], least: int = LEARN_FROM) -> dict[str, list[str]]:
+    """Lists of the commonest words of the languages that have none, and of the documents without a language.
+
+    A language needs ``least`` documents, and a word a share SHARE of them; the
+    TOP_WORDS in most documents are taken.  Documents whose common words are
+    mostly those of given lists are no language of their own but a mixture of
+    listed ones, and get no list.  The driver gets these words alone.
+    """
+    other = docs.filter(F.col("lang").isNull() | ~F.col("lang").isin(list(common_words)))
+    sizes = staged(other.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(F.count("*").alias("n")).filter(F.col("n") >= least))
+    n_groups = sizes.count()
+    if not n_groups:
+        return {}
+    said = F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
+    words = other.select(F.coalesce("lang", F.lit("")).alias("of"), F.explode(said).alias("word")).filter(F.col("word") != "")
+    counts = words.groupBy("of", "word").agg(F.count("*").alias("docs")).filter(F.col("docs") >= SHARE * least)
+    side = F.broadcast(sizes) if n_groups <= BROADCAST_ROWS else sizes.hint("merge")
+    place = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("docs"), "word"))
+    common = counts.join(side, "of").filter(F.col("docs") >= SHARE * F.col("n")).withColumn("place", place).filter(F.col("place") <= TOP_WORDS)
+    out: dict[str, list[str]] = {}
+    for r in common.orderBy("of", "place").collect():
+        out.setdefault(LEARNED + r["of"], []).append(r["word"])
+    given = {w for words in common_words.values() for w in words}
+    return {name: words for name, words in out.items() if sum(w in given for w in words) <= MOST_GIVEN * len(words)}
 
 
 def _text_counts(text: bytes) -> tuple[np.ndarray, int, int, np.ndarray]:
@@ -103,15 +159,6 @@ def _text_counts(text: bytes) -> tuple[np.ndarray, int, int, np.ndarray]:
     return classes[: len(CLASSES)], chars - int(raw[_SPACE_BYTES].sum()), int(raw[_SYMBOL_BYTES].sum()), hashes
 
 
-def _word_bins(hashes: np.ndarray, keys: np.ndarray, bins: np.ndarray, n: int) -> np.ndarray:
-    at = np.searchsorted(keys, hashes)
-    at[at == len(keys)] = 0
-    hit = keys[at] == hashes
-    counts = np.bincount(bins[at[hit]], minlength=n + 1)
-    counts[n] = len(hashes) - int(hit.sum())
-    return counts
-
-
 def repeated_words(hashes: np.ndarray, window: int = REPEAT_WINDOW) -> int:
     """Words that lie in a window of words found twice or more."""
     n = len(hashes) - window + 1
@@ -154,12 +201,12 @@ def references(docs: DataFrame, common_words: dict[str, list[str]] = COMMON_WORD
     """Sums over all documents: (lang, words_of, kind, bin, n).
 
     lang is null where the row stands for all languages; words_of is the word
-    list that kind 'word' was counted with.
+    list that kind 'word' was counted with, and lang then the name of that list.
     """
     schema = "lang string, words_of string, kind string, bin int, n bigint"
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = _listed(common_words)
+        listed = WordLists(common_words)
         total: dict[tuple, np.ndarray] = {}
 
         def add(key, counts):
@@ -170,10 +217,10 @@ def references(docs: DataFrame, common_words: dict[str, list[str]] = COMMON_WORD
                 classes, _, _, hashes = _text_counts(text)
                 for name in {lang, None}:
                     add((name, None, "char"), _alike(classes))
-                for own in listed:
-                    bins = _alike(_word_bins(hashes, *listed[own], len(common_words[own])))
-                    for name in {lang, None} if lang == own else {None}:
-                        add((name, own, "word"), bins)
+                group = group_of(lang, common_words)
+                for own, counts in listed.bins(hashes).items():
+                    for name in {own, None} if own == group else {None}:
+                        add((name, own, "word"), _alike(counts))
         rows = [(*key, i, int(n)) for key, counts in total.items() for i, n in enumerate(counts)]
         if rows:
             yield pa.RecordBatch.from_arrays(
@@ -205,6 +252,7 @@ def quality_rules(
     table make rows, so their number is that of languages.
     """
     spark = docs.sparkSession
+    common_words = common_words | learned_words(docs, common_words) if common_words else common_words
     found: dict[tuple, dict[int, int]] = {}
     for r in references(docs, common_words).collect():
         found.setdefault((r.lang, r.words_of, r.kind), {})[r.bin] = r.n
@@ -215,10 +263,10 @@ def quality_rules(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:n_pass]) + ", " + RESULT
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, reference = _listed(common_words), shared.value
+        listed, reference = WordLists(common_words), shared.value
         least = (MIN_REFERENCE - 0.5) * UNIT
         none = np.zeros(1)
-        nearest = [own for own in listed if reference.get((own, own, "word"), none).sum() >= least]
+        nearest = [own for own in listed.names if reference.get((own, own, "word"), none).sum() >= least]
 
         def distance(own, lang, *kind):
             """The distance of counts to the reference of lang, else to that of all; the own text is in both."""
@@ -231,15 +279,16 @@ def quality_rules(
             return 0.0
 
         def word_distance(hashes, lang):
+            group, counts = group_of(lang, common_words), listed.bins(hashes)
+
             def of(own, name):
-                counts = _word_bins(hashes, *listed[own], len(common_words[own]))
-                if name is not None and name != lang:  # another language's reference, without the own text
-                    return _distance(counts, reference[(name, own, "word")])
-                return distance(counts, name, own, "word")
+                if name is not None and name != group:  # another language's reference, without the own text
+                    return _distance(counts[own], reference[(name, own, "word")])
+                return distance(counts[own], name, own, "word")
 
-            if lang in listed:
-                return of(lang, lang)
-            return min([of(own, own) for own in nearest] or [of(own, None) for own in listed])
+            if lang is not None and group in common_words:
+                return of(group, group)
+            return min([of(own, own) for own in nearest] or [of(own, None) for own in listed.names])
 
         for batch in batches:
             rows = []
@@ -250,7 +299,7 @@ def quality_rules(
                 by_char = by_word = 0.0
                 if classes.sum() >= MIN_CHARS:
                     by_char = distance(classes, lang, None, "char")
-                if listed and n >= MIN_HISTOGRAM_WORDS:
+                if listed.names and n >= MIN_HISTOGRAM_WORDS:
                     by_word = word_distance(hashes, lang)
                 far = by_char > char_bound[0] + char_bound[1] / max(1, classes.sum()) ** 0.5
                 far = far or by_word > word_bound[0] + word_bound[1] / max(1, n) ** 0.5
