@@ -7,9 +7,10 @@ the smallest sum of sizes is predicted.  The margin is the share of bytes by
 which the second smallest is larger; below MARGIN the prediction is marked as
 rejected.
 
-Fitting takes about SAMPLE texts of each language, chosen by a hash of text and
-id, and the first of them in hash order up to DICTIONARY bytes, each text
-whole.  That is the only bounded part: every text is encoded whole.
+Fitting takes about SAMPLE texts of each of the MOST_LANGUAGES most frequent
+languages, chosen by a hash of text and id, and the first of them in hash order
+up to DICTIONARY bytes; of a long text it takes the first DICTIONARY code
+points.  That is the only bounded part: every text is encoded whole.
 
 Defined results: text that is null or has no letter gets ``und`` with score 0;
 so does every text if no language was learned; rows without a language are not
@@ -20,7 +21,6 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,39 +28,43 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import crc_mod, table
+from cuelake.llm.common import crc_mod, staged, table
 
 SAMPLE = 300
 DICTIONARY = 64_000
 PIECE = 2_000
 LEVEL = 9
 MARGIN = 0.02
-#: Code points that count as word characters but are no letters, such as superscripts, fractions and Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+#: Languages that are learned, the most frequent first.
+MOST_LANGUAGES = 1_000
+_PLAIN = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> str:
     """Lower case, with one space for each run of other things than letters."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    plain = _PLAIN.sub(" ", text.lower())
+    if not plain.replace(" ", "").isalpha():
+        # Some word characters are no letters, such as superscripts, fractions and Roman numerals.
+        plain = " ".join("".join(c if c.isalpha() else " " for c in plain).split())
+    return plain.strip()
 
 
-def dictionaries(labelled: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
+def dictionaries(labelled: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY, languages: int = MOST_LANGUAGES) -> dict[str, bytes]:
     """(lang, text) rows to a dictionary for each language."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # One row a language: the share of its texts that makes the sample, in hashes from 0 to 2**63.
-    shares = known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*") * F.lit(2.0**63)).alias("cut"))
-    hashed = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).filter(F.length("text") <= size)
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    shares = staged(counts.select("lang", (F.lit(float(sample)) / F.col("count") * F.lit(2.0**63)).alias("cut")))
+    hashed = known.select("lang", F.left("text", F.lit(size)).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     mine = hashed.join(F.broadcast(shares), "lang").filter(F.col("h").bitwiseAND(F.lit(2**63 - 1)) < F.col("cut"))
-    parts: dict[str, list[bytes]] = {r.lang: [] for r in shares.select("lang").collect()}
-    held = dict.fromkeys(parts, 0)
+    parts: dict[str, list[bytes]] = {}
+    held: dict[str, int] = {}
     for r in sorted(mine.collect(), key=lambda r: (r.lang, r.h, r.text)):
-        part = letters(r.text).encode()
-        if held[r.lang] + len(part) <= size:
+        parts.setdefault(r.lang, [])
+        if part := letters(r.text).encode()[: max(0, size - held.get(r.lang, 0))]:
             parts[r.lang].append(part)
-            held[r.lang] += len(part) + 1
-    out = {lang: b" ".join(found) for lang, found in sorted(parts.items())}
-    return out
+            held[r.lang] = held.get(r.lang, 0) + len(part) + 1
+    return {lang: b" ".join(found) for lang, found in sorted(parts.items())}
 
 
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
