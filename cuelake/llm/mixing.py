@@ -106,38 +106,39 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat
     taken and the training time in [0, 1].  Needs doc_id, text and source;
     columns with the added names are replaced.
     """
+    # The text is part of the key, so that rows without an id, or of one id, don't all have one.
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
     sized = (
-        docs.withColumn("size", word_count(F.col("text")))
-        .withColumn("order_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-        .withColumn("src", source_key(F.col("source")))
-        .withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
+        docs.drop("source_size", "weight", "target", "taken", "copies")
+        .withColumn("size", word_count(F.col("text")))
+        .withColumn("order_key", F.md5(named.cast("binary")))
+        .withColumn("__src", source_key(F.col("source")))
+        .withColumn("__bucket", F.substring("order_key", 1, BUCKET_DIGITS))
     )
-    buckets = sized.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
-    targets = source_targets(
-        buckets.groupBy("src").agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats
-    )
-    upto = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = sized.groupBy("__src", "__bucket").agg(F.sum("size").alias("__bucket_size"))
+    totals = buckets.groupBy(F.col("__src").alias("src")).agg(F.sum("__bucket_size").alias("source_size"))
+    targets = source_targets(totals, weights, max_repeats).withColumnRenamed("src", "__src")
+    upto = Window.partitionBy("__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)))
-        .drop("bucket_size")
-        .join(targets.hint("merge"), "src")
+        buckets.withColumn("__bucket_start", F.coalesce(F.sum("__bucket_size").over(upto), F.lit(0)))
+        .drop("__bucket_size")
+        .join(targets.hint("merge"), "__src")
     )
     inside = (
-        Window.partitionBy("src", "bucket")
+        Window.partitionBy("__src", "__bucket")
         .orderBy("order_key", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = (
-        sized.drop("source_size", "weight", "target", "taken", "copies", "bucket_start")
-        .withColumn("in_bucket", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(offsets.hint("merge"), ["src", "bucket"])
-        .withColumn("start", F.col("bucket_start") + F.col("in_bucket"))
-        .withColumn("wanted", F.floor("target").cast("bigint"))
+        sized.withColumn("__in_bucket", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .join(offsets.hint("merge"), ["__src", "__bucket"])
+        .withColumn("__start", F.col("__bucket_start") + F.col("__in_bucket"))
+        .withColumn("__wanted", F.floor("target").cast("bigint"))
     )
     copies = []
     for copy in range(max_repeats):
-        at = F.col("start") + F.lit(copy) * F.col("source_size")
-        words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("wanted") - at)).cast("bigint")
+        at = F.col("__start") + F.lit(copy) * F.col("source_size")
+        words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__wanted") - at)).cast("bigint")
         share = F.when(F.col("target") > 0, at.cast("double") / F.col("target"))
         time = demand_time(F.col("weight"), share, schedules)
         copies.append(F.struct(F.lit(copy).alias("copy"), words.alias("words"), time.alias("position")))
@@ -146,7 +147,7 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat
     return (
         placed.withColumn("copies", made)
         .withColumn("taken", taken)
-        .drop("src", "bucket", "in_bucket", "bucket_start", "start", "wanted")
+        .drop("__src", "__bucket", "__in_bucket", "__bucket_start", "__start", "__wanted")
     )
 
 
@@ -173,7 +174,7 @@ OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('=' || source, '~') AS src,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h
   FROM documents),
 s AS (
   SELECT src, CAST(sum(size) AS BIGINT) AS source_size,
