@@ -403,6 +403,12 @@ class Judge:
             yield a[fits], b[fits]
 
 
+def one_row_a_line(lines: DataFrame) -> DataFrame:
+    """What is dealt to cells: each task gives a line once, and the rows of all tasks become one, however often the line stands."""
+    kept = [F.first(c).alias(c) for c in ("print", "kin", "cells")]
+    return lines.filter(F.col("cells").isNotNull()).groupBy("id").agg(*kept)
+
+
 def cells_with_pairs(lines: DataFrame, judge: Judge, near: int, blocks: int, shard: int) -> DataFrame:
     """Lines to distinct (cell, id, kin) of those that have a pair to judge; a cell is here a set of lines that such pairs connect."""
 
@@ -418,7 +424,7 @@ def cells_with_pairs(lines: DataFrame, judge: Judge, near: int, blocks: int, sha
             np.add.at(sums, root, _mixed(ids.view(np.uint64) ^ _ODD[0]))
             yield [pa.array(x[used]) for x in (sums[root].view(np.int64), ids, kin)]
 
-    new = lines.filter(F.col("cells").isNotNull())
+    new = one_row_a_line(lines)
     by_block = deal(new.select("print", "id", "kin"), near, blocks).select("cell", "id", "kin")
     by_run = new.select(F.explode("cells").alias("cell"), "id", "kin")
     return over_cells(by_block.unionByName(by_run), partners, "cell bigint, id bigint, kin bigint", shard).distinct()

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -640,3 +641,88 @@ def test_pipeline(spark, sf_dir):
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert mixed.agg(F.sum("words")).first()[0] > 0
     assert corpus_pipeline.run(spark, sf_dir).count() == mixed.count()
+
+
+def test_identify_against_a_plain_loop(spark, docs):
+    """Whole results of the language operator, text by text and dictionary by dictionary."""
+    known = {"de": b"der die das und nicht ein haus", "en": b"the of and house is not a", "fr": b"le la les et une maison pas"}
+    rows = docs.head(120)[["doc_id", "text"]]
+    rows.loc[len(rows)] = [-1, "x\u00b2 \u2167 1a_b"]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows), known, piece=500).collect()}
+    for doc_id, text in rows.itertuples(index=False):
+        only = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        plain = " ".join(only).encode()
+        if not plain:
+            assert tuple(got[doc_id])[1:] == ("und", 0.0, 0.0, True)
+            continue
+        n = max(1, round(len(plain) / 500))
+        sizes = []
+        for lang, content in known.items():
+            made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            tool = zstandard.ZstdCompressor(dict_data=made, level=language_id.LEVEL, write_content_size=False, write_checksum=False)
+            sizes.append((sum(len(tool.compress(plain[len(plain) * i // n : len(plain) * (i + 1) // n])) for i in range(n)), lang))
+        (best, lang), (second, _) = sorted(sizes)[:2]
+        gap = (second - best) / second
+        assert tuple(got[doc_id])[1:] == (lang, pytest.approx(1 - 0.5 / (1 + 20 * gap)), pytest.approx(gap), gap < language_id.MARGIN)
+
+
+def test_language_of_long_texts_only(spark):
+    polish = "szczebrzeszyn chrząszcz brzmi w trzcinie i nie jest to łatwe do powiedzenia dla wszystkich " * 1_000
+    rows = [(k, f"{k} {polish}", "pl") for k in range(5)] + [(10 + k, "the house of the man is not here and the dog is away " * 20, "en") for k in range(5)]
+    known = language_id.dictionaries(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert set(known) == {"en", "pl"} and 60_000 < len(known["pl"]) <= language_id.DICTIONARY
+    asked = spark.createDataFrame([(1, "nie jest to łatwe do powiedzenia"), (2, "the dog is not away")], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(asked, known).collect()} == {1: "pl", 2: "en"}
+
+
+def test_a_line_that_all_tasks_see(spark):
+    """A footer dealt by many tasks stands once in its cells."""
+    footer = "all rights reserved by the owner of this site and its partners 2021"
+    rows = spark.createDataFrame([(k, f"own text number {k} of this page\n{footer}") for k in range(200)], "doc_id bigint, text string").repartition(60)
+    lines = line_dedup.line_prints(line_dedup.with_row(rows), line_dedup.MIN_CHARS)
+    kept = line_dedup.one_row_a_line(lines)
+    assert kept.groupBy("id").count().filter("count > 1").count() == 0
+    assert lines.filter(F.col("cells").isNotNull()).groupBy("id").count().agg(F.max("count")).first()[0] > 20
+    assert line_dedup.line_dedup(rows).agg(F.sum("n_removed")).first()[0] >= 199
+
+
+def test_quality_rules_learn_a_language(spark, sf_dir):
+    """Clean texts of a language without a list stay, named or not; junk goes."""
+    passage = (
+        "w lesie rosną wysokie drzewa i ptaki śpiewają od rana do wieczora a dzieci bawią się na łące która jest pełna kwiatów nie ma tam nikogo kto "
+        "by im przeszkadzał więc mogą biegać do woli i zbierać jagody które potem niosą do domu na obiad a babcia robi z nich ciasto"
+    ).split()
+    draw = np.random.default_rng(11)
+    base = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    for lang in ("pl", None):
+        clean = [(10**6 + k, lang, " ".join(draw.permutation(passage)[:50]).capitalize() + ".") for k in range(40)]
+        junk = [(2 * 10**6 + k, lang, " ".join("".join(draw.choice(list("abcdefghijklmnop"), int(draw.integers(3, 9)))) for _ in range(200))) for k in range(9)]
+        rows = base.unionByName(spark.createDataFrame(clean + junk, base.schema))
+        words = quality_rules.learned_words(rows, quality_rules.COMMON_WORDS)
+        assert list(words) == [quality_rules.LEARNED + (lang or "")] and len(words[quality_rules.LEARNED + (lang or "")]) == 20
+        docs_with = Counter(w for _, _, t in clean for w in set(t.lower().split()))
+        least = sorted(docs_with.values(), reverse=True)[19]
+        assert all(docs_with[w] >= least for w in words[quality_rules.LEARNED + (lang or "")])
+        got = {r.doc_id: r.kept for r in quality_rules.quality_rules(rows).collect()}
+        assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk)
+
+
+def test_bins_of_all_lists_at_once():
+    lists = quality_rules.COMMON_WORDS | {"none": []}
+    words = "The the De la la und x Y el El of".split()
+    bins = quality_rules.WordLists(lists).bins(np.array([hash(w.encode()) for w in words], np.int64))
+    for name, own in lists.items():
+        counts = Counter(w.lower() if w.lower() in own and w in (w.lower(), w.capitalize()) else "" for w in words)
+        assert bins[name].tolist() == [counts[w] for w in own] + [counts[""]]
+    assert quality_rules.WordLists({}).bins(np.array([1, 2], np.int64)) == {}
+
+
+def test_mixing_rows_without_ids_and_clashing_columns(spark):
+    """Rows of null and equal ids have keys of their own; columns with the names of helpers pass through."""
+    extra = ("src", "bucket", "start", "wanted", "in_bucket", "bucket_start")
+    rows = [(None if k % 2 else 7, f"text number {k} of the table", "ab"[k % 2], *([f"own {k}"] * len(extra))) for k in range(40)]
+    got = mixing.curriculum(spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"{c} string" for c in extra)))
+    found = got.collect()
+    assert len({r.order_key for r in found}) == 40
+    assert sorted(tuple(r[c] for c in ("doc_id", "text", "source", *extra)) for r in found if r.doc_id) == sorted(r for r in rows if r[0])
+    assert all(r.src == f"own {r.text.split()[2]}" for r in found)
