@@ -2,11 +2,14 @@
 
 Interval joins put both sides into time bins, so the join keys are (media_id,
 bin) and a very long media spreads over many groups; a pair that shares several
-bins is kept in the first only.
+bins is kept in the first only.  Bins are counted before a join, and dense ones
+are cut into parts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,25 +18,52 @@ from cuelake.functions.timecode import div
 from cuelake.operators.scans import carried
 
 BIN_MS = 600_000
+#: A bin in which more rows begin is cut into parts, so that its rows spread over tasks and meet fewer of each other.
+DENSE = 50_000
+BROADCAST_ROWS = 200_000
 
 
 def _as_struct(df: DataFrame, name: str) -> DataFrame:
     return df.select("media_id", F.struct(*df.columns).alias(name))
 
 
-def _binned(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
-    """end: the last millisecond of the row that counts."""
-    low, high = div(F.greatest(start, F.lit(0)), width), div(F.greatest(end, start, F.lit(0)), width)
-    return df.withColumn("low_bin", low).withColumn("bin", F.explode(F.sequence(low, high)))
+def dense_bins(starts: list[DataFrame], width: int) -> DataFrame | None:
+    """(media_id, bin, part_ms) of the bins in which more than DENSE of the given (media_id, at) rows begin, to be cut into parts; None if there is none.
+
+    A few such bins go to all tasks of the joins that follow, many are joined by shuffles.
+    """
+    rows = reduce(DataFrame.unionByName, starts).select("media_id", div(F.greatest("at", F.lit(0)), width).alias("bin"))
+    parts = F.least(F.lit(width), F.ceil(F.count("*") / DENSE) * 4)
+    found = rows.groupBy("media_id", "bin").agg(F.count("*").alias("n"), F.ceil(width / parts).cast("bigint").alias("part_ms")).filter(F.col("n") > DENSE).drop("n")
+    few = found.limit(BROADCAST_ROWS + 1).collect()
+    if not few:
+        return None
+    return F.broadcast(rows.sparkSession.createDataFrame(few, found.schema)) if len(few) <= BROADCAST_ROWS else found.hint("merge")
+
+
+def _binned(df: DataFrame, start: Column, end: Column, width: int, dense: DataFrame | None) -> DataFrame:
+    """Rows in each bin, and each part of a dense bin, that they touch.  end: the last millisecond of the row that counts."""
+    low, high = F.greatest(start, F.lit(0)), F.greatest(end, start, F.lit(0))
+    out = df.withColumn("bin", F.explode(F.sequence(div(low, width), div(high, width))))
+    if dense is None:
+        return out.withColumns({"part_ms": F.lit(width), "part": F.lit(0).cast("bigint")})
+    begin = F.col("bin") * width
+    met = out.join(dense, ["media_id", "bin"], "left").withColumn("part_ms", F.coalesce("part_ms", F.lit(width)))
+    first, last = div(F.greatest(low - begin, F.lit(0)), F.col("part_ms")), div(F.least(high - begin, F.lit(width - 1)), F.col("part_ms"))
+    return met.withColumn("part", F.explode(F.sequence(first, last)))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, how: str = "inner", bin_ms: int = BIN_MS) -> DataFrame:
     """(media_id, l, r): pairs of rows that share time; with how='left' rows of l without partner too."""
     ls, rs = _as_struct(left, "l"), _as_struct(right, "r")
-    lb = _binned(ls, F.col("l.start_ms"), F.col("l.end_ms") - 1, bin_ms).withColumnRenamed("low_bin", "l_low")
-    rb = _binned(rs, F.col("r.start_ms"), F.col("r.end_ms") - 1, bin_ms).withColumnRenamed("low_bin", "r_low")
-    both = lb.join(rb.hint("merge"), ["media_id", "bin"]).filter(
-        (F.col("bin") == F.greatest("l_low", "r_low"))
+    dense = dense_bins([df.select("media_id", F.col("start_ms").alias("at")) for df in (left, right)], bin_ms)
+    lb = _binned(ls, F.col("l.start_ms"), F.col("l.end_ms") - 1, bin_ms, dense)
+    rb = _binned(rs, F.col("r.start_ms"), F.col("r.end_ms") - 1, bin_ms, dense).drop("part_ms")
+    # Of the parts that a pair shares, it is kept in that of the later start.
+    later = F.greatest("l.start_ms", "r.start_ms", F.lit(0))
+    both = lb.join(rb.hint("merge"), ["media_id", "bin", "part"]).filter(
+        (F.col("bin") == div(later, bin_ms))
+        & (F.col("part") == div(later - F.col("bin") * bin_ms, F.col("part_ms")))
         & (F.col("l.start_ms") < F.col("r.end_ms"))
         & (F.col("r.start_ms") < F.col("l.end_ms"))
     ).select("media_id", "l", "r")
@@ -50,9 +80,10 @@ def point_pairs(points: DataFrame, at: str, intervals: DataFrame, start: Column,
     start and end are expressions over ``r``.
     """
     ls, rs = _as_struct(points, "l"), _as_struct(intervals, "r")
-    lb = ls.withColumn("bin", div(F.greatest(F.col(f"l.{at}"), F.lit(0)), bin_ms))
-    rb = _binned(rs, start, end - 1, bin_ms).drop("low_bin")
-    return lb.join(rb.hint("merge"), ["media_id", "bin"]).filter(
+    dense = dense_bins([points.select("media_id", F.col(at).alias("at")), rs.select("media_id", start.alias("at"))], bin_ms)
+    lb = _binned(ls, F.col(f"l.{at}"), F.col(f"l.{at}"), bin_ms, dense).drop("part_ms")
+    rb = _binned(rs, start, end - 1, bin_ms, dense).drop("part_ms")
+    return lb.join(rb.hint("merge"), ["media_id", "bin", "part"]).filter(
         (F.col(f"l.{at}") >= start) & (F.col(f"l.{at}") < end)
     ).select("media_id", "l", "r")
 

@@ -25,3 +25,4 @@ HYPOTHESES = (
     f"words {WORDS}, event_ts timestamp"
 )
 CONTROL = "action string, language string, offset_ms bigint, targets array<string>"
+MESSAGE = "session_id bigint, action string, language string, model string, time_offset double, audio string, _corrupt string"

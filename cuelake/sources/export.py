@@ -19,12 +19,25 @@ def _joined(rows: DataFrame, line: Column, sep: str, *keys: str) -> DataFrame:
     )
 
 
-def _srt(rows: DataFrame, *keys: str) -> DataFrame:
-    block = F.concat(
+def _srt_block() -> Column:
+    return F.concat(
         F.col("number").cast("string"), F.lit("\n"), srt_time(F.col("start_ms")), F.lit(" --> "), srt_time(F.col("end_ms")),
         F.lit("\n"), F.col("text"), F.lit("\n"),
     )
-    return _joined(numbered(rows, keys=("media_id", *keys)), block, "\n", *keys)
+
+
+def _srt(rows: DataFrame, *keys: str) -> DataFrame:
+    return _joined(numbered(rows, keys=("media_id", *keys)), _srt_block(), "\n", *keys)
+
+
+def srt_file_rows(rows: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """(name, number, line) of subtitle files for ``files.save``: timed rows with text, and a name for each media (and other keys).
+
+    The lines of a file make the content that the subtitle functions give, but no row holds a whole file.
+    """
+    placed = numbered(rows, keys=("media_id", *keys)).join(names.hint("merge"), ["media_id", *keys])
+    line = F.concat(F.when(F.col("number") > 1, "\n").otherwise(""), _srt_block())
+    return placed.select("name", "number", line.alias("line"))
 
 
 def srt_original(segments: DataFrame) -> DataFrame:

@@ -118,3 +118,45 @@ def parse_control(message: Column) -> Column:
     """A control message; language auto is null."""
     made = F.from_json(message, schema.CONTROL)
     return made.withField("language", F.nullif(made["language"], F.lit("auto")))
+
+
+ACTIONS = ("start", "stop")
+
+
+def read_messages_stream(spark: SparkSession, source: str, **options: str) -> DataFrame:
+    """Raw messages as a stream: lines of the files of a folder, or with source="kafka" (and its options) the values of a topic."""
+    if source == "kafka":
+        return spark.readStream.format("kafka").options(**options).load().select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("event_ts"))
+    return spark.readStream.format("text").options(**options).load(source).select("value", F.col("_metadata.file_modification_time").alias("event_ts"))
+
+
+def parsed_messages(raw: DataFrame) -> DataFrame:
+    """value and event_ts, the parsed message, and why it is bad (null for a good one).
+
+    A message is a control with a known action, or audio with a session and PCM
+    samples of two bytes in base64.  ``good`` and ``bad`` tell them apart; bad ones keep their value.
+    """
+    m = F.from_json(F.col("value"), schema.MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = raw.withColumn("m", m)
+    pcm = F.try_to_binary(F.col("m.audio"), F.lit("base64"))
+    reason = (
+        F.when(F.col("m").isNull() | F.col("m._corrupt").isNotNull(), "no JSON object of this form")
+        .when(F.col("m.session_id").isNull(), "no session")
+        .when(F.col("m.action").isNull() & F.col("m.audio").isNull(), "neither action nor audio")
+        .when(F.col("m.action").isNotNull() & ~F.col("m.action").isin(*ACTIONS), "unknown action")
+        .when(F.col("m.audio").isNotNull() & (pcm.isNull() | (F.octet_length(pcm) % 2 != 0)), "no PCM in base64")
+    )
+    made = F.struct(
+        F.col("m.session_id").alias("session_id"), F.col("m.action").alias("action"), F.nullif(F.col("m.language"), F.lit("auto")).alias("language"),
+        F.coalesce("m.model", F.lit("base")).alias("model"), F.coalesce("m.time_offset", F.lit(0.0)).alias("time_offset"), pcm.alias("pcm"),
+    )
+    return rows.select("value", "event_ts", F.when(reason.isNull(), made).alias("message"), reason.alias("reason"))
+
+
+def good(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("reason").isNull()).select("event_ts", "message.*")
+
+
+def bad(parsed: DataFrame) -> DataFrame:
+    """Messages that could not be taken, for a table of their own."""
+    return parsed.filter(F.col("reason").isNotNull()).select("event_ts", "value", "reason")

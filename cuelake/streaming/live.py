@@ -218,8 +218,8 @@ HELD_STATE = ("seen bigint, held_line bigint, held_start bigint", {})
 class _Session(StatefulProcessor):
     """A fold over the rows of each session, its dictionary kept as a value state and list states."""
 
-    def __init__(self, order: str, fold, schema: str, states: tuple[str, dict[str, str]], silent_ms: int | None):
-        self.order, self.fold, self.schema, self.states, self.silent_ms = order, fold, schema, states, silent_ms
+    def __init__(self, order: str, fold, schema: str, states: tuple[str, dict[str, str]], silent_ms: int | None, whole_key: bool = False):
+        self.order, self.fold, self.schema, self.states, self.silent_ms, self.whole_key = order, fold, schema, states, silent_ms, whole_key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -233,7 +233,7 @@ class _Session(StatefulProcessor):
         for name, state in self.lists.items():
             if state.exists():
                 held[name] = [tuple(x) for x in state.get()]
-        out = self.fold(key[0], pd.concat(list(rows)).sort_values(self.order), held)
+        out = self.fold(key if self.whole_key else key[0], pd.concat(list(rows)).sort_values(self.order), held)
         self._forget()
         if set(held) - {"seen"}:
             self.value.update(tuple(held.get(name) for name in self.names))
@@ -259,9 +259,13 @@ class _Session(StatefulProcessor):
         pass
 
 
-def _streamed(df: DataFrame, order: str, fold, schema: str, states: tuple, silent_ms: int | None, late: str) -> DataFrame:
-    # Typed states need this store.
+def _use_typed_states(df: DataFrame) -> None:
+    """Typed states need this store."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _streamed(df: DataFrame, order: str, fold, schema: str, states: tuple, silent_ms: int | None, late: str) -> DataFrame:
+    _use_typed_states(df)
     timed = silent_ms is not None
     rows = df.withWatermark("event_ts", late) if timed else df
     return rows.groupBy("session_id").transformWithStateInPandas(
@@ -270,6 +274,13 @@ def _streamed(df: DataFrame, order: str, fold, schema: str, states: tuple, silen
     )
 
 
+def session_fold(df: DataFrame, keys: tuple[str, ...], order: str, fold, schema: str, value: str) -> DataFrame:
+    """A stream's fold(key, rows, held) by keys, held being a dictionary of the value state's fields."""
+    _use_typed_states(df)
+    processor = _Session(order, fold, schema, (value, {}), None, whole_key=True)
+    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+
+
 def _batch(df: DataFrame, order: str, fold, schema: str) -> DataFrame:
     def whole(key, rows):
         return _pandas(fold(key[0], rows.sort_values(order), {}), schema)
@@ -358,10 +369,13 @@ def graduated(lines: DataFrame) -> DataFrame:
     return lines.withColumn("left_at", F.lead("start_ms").over(order)).filter(F.col("left_at").isNotNull())
 
 
+def long_enough(drafts: DataFrame, least_words: int = 4) -> DataFrame:
+    return drafts.filter(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= least_words)
+
+
 def drafts_to_translate(drafts: DataFrame, least_words: int = 4) -> DataFrame:
-    """The latest draft of each line and language with words enough."""
-    long_enough = drafts.filter(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= least_words)
-    return long_enough.groupBy("session_id", "index", "lang").agg(F.max_by("text", "cycle").alias("text"))
+    """The latest draft of each line and language with words enough; ``changes.draft_changes`` gives a stream's superseded ones too."""
+    return long_enough(drafts, least_words).groupBy("session_id", "index", "lang").agg(F.max_by("text", "cycle").alias("text"))
 
 
 def finals_with_drafts(finals: DataFrame, drafts: DataFrame, within: str = "60 seconds", late: str = "10 seconds") -> DataFrame:

@@ -146,3 +146,26 @@ def test_a_model_is_made_once_in_a_worker(spark, tmp_path):
         assert got.filter(F.col("text") != F.concat(F.lit("line "), F.col("seg_no"))).count() == 0
     workers = open(made).read().split()
     assert len(workers) == len(set(workers))
+
+
+@pytest.mark.parametrize("dense", [2, 50_000])
+def test_interval_joins_in_dense_bins(spark, monkeypatch, dense):
+    monkeypatch.setattr(J, "DENSE", dense)
+    rng = random.Random(dense)
+
+    def spans(n):
+        return [(m, k, (s := rng.choice([rng.randrange(-20, 3_000), 700])), s + rng.choice([0, 1, 40, 900])) for m in range(3) for k in range(n)]
+
+    left, right = spans(40), spans(25)
+    kind = "media_id bigint, ord bigint, start_ms bigint, end_ms bigint"
+    l, r = spark.createDataFrame(left, kind), spark.createDataFrame(right, kind)
+    want = sorted((*a, *b[1:]) for a in left for b in right if a[0] == b[0] and a[2] < b[3] and b[2] < a[3])
+    pairs = J.overlap_pairs(l, r, bin_ms=500).select("media_id", "l.ord", "l.start_ms", "l.end_ms", "r.ord", "r.start_ms", "r.end_ms")
+    assert sorted(map(tuple, pairs.collect())) == want
+    hits = J.point_pairs(l, "start_ms", r, F.col("r.start_ms") - 7, F.col("r.end_ms") + 3, bin_ms=500).select("media_id", "l.ord", "r.ord")
+    assert sorted(map(tuple, hits.collect())) == sorted((a[0], a[1], b[1]) for a in left for b in right if a[0] == b[0] and b[2] - 7 <= a[2] < b[3] + 3)
+    if dense == 2:
+        busy = J.dense_bins([l.select("media_id", F.col("start_ms").alias("at"))], 500)
+        assert busy.count() > 3 and busy.agg(F.max("part_ms")).first()[0] < 500
+    else:
+        assert J.dense_bins([l.select("media_id", F.col("start_ms").alias("at"))], 500) is None
