@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import LANGUAGES, draft_key, word_key
-from cuelake.functions.timecode import div
+from cuelake.functions.timecode import div, overlap_ms
 from cuelake.operators.scans import carried
 
 BIN_MS = 600_000
@@ -95,7 +95,7 @@ def _back_to(left: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
 def assign_max_overlap(segments: DataFrame, diar: DataFrame) -> DataFrame:
     """speaker of the largest single overlap, the first listed on ties; UNKNOWN without one."""
     pairs = overlap_pairs(segments.select("media_id", "ord", "start_ms", "end_ms"), diar)
-    shared = F.least("l.end_ms", "r.end_ms") - F.greatest("l.start_ms", "r.start_ms")
+    shared = overlap_ms(*(F.col(c) for c in ("l.start_ms", "l.end_ms", "r.start_ms", "r.end_ms")))
     best = pairs.groupBy("media_id", F.col("l.ord").alias("ord")).agg(
         F.max(F.struct(shared.alias("n"), (-F.col("r.ord")).alias("o"), F.col("r.speaker").alias("speaker")))["speaker"].alias("found")
     )
@@ -115,7 +115,7 @@ def assign_dominant(segments: DataFrame, diar: DataFrame) -> DataFrame:
 
 def overlap_sums(pairs: DataFrame) -> DataFrame:
     """(media_id, ord, speaker): time shared, and the first row that shares it."""
-    shared = F.least("l.end_ms", "r.end_ms") - F.greatest("l.start_ms", "r.start_ms")
+    shared = overlap_ms(*(F.col(c) for c in ("l.start_ms", "l.end_ms", "r.start_ms", "r.end_ms")))
     return pairs.groupBy("media_id", F.col("l.ord").alias("ord"), F.col("r.speaker").alias("speaker")).agg(
         F.sum(shared).alias("shared_ms"), F.min("r.ord").alias("first_ord")
     )
@@ -276,13 +276,16 @@ def align(segments: DataFrame, translations: DataFrame) -> DataFrame:
 
 
 def reuse_drafts(finals: DataFrame, drafts: DataFrame) -> DataFrame:
-    """Finals with the translation cached for a draft of the same text; null without one."""
+    """Finals with the translation cached for a draft of the same text; null without one.
+
+    Of drafts with one text the earliest counts, as in a stream; without event_ts the least translation.
+    """
     key = ["session_id", "index", "lang", "text_key"]
     cached = (
         drafts.filter(F.coalesce("cached", F.lit("")) != "")
         .withColumn("text_key", draft_key(F.col("text")))
         .groupBy(*key)
-        .agg(F.max("cached").alias("reused"))
+        .agg(F.min_by("cached", "event_ts" if "event_ts" in drafts.columns else "cached").alias("reused"))
     )
     return finals.withColumn("text_key", draft_key(F.col("text"))).join(cached, key, "left").drop("text_key")
 
