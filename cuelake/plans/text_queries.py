@@ -310,12 +310,12 @@ over("pages", "io16_output_names", "SELECT page_id, concat('v', page_id, '_origi
 SUBS = """, p AS (SELECT *, list_transform(range(0, greatest(len(ws), 1), 6), lambda i: array_to_string(list_slice(ws, i + 1, i + 6), ' ')) AS parts FROM word_lists),
 u AS (SELECT media_id, ord, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos FROM p),
 k AS (SELECT *, len(list_filter(string_split(part, ' '), lambda x: x <> '')) AS nw FROM u),
-t AS (SELECT k.*, tr.text AS whole, list_filter(regexp_split_to_array(tr.text, '\\s+'), lambda x: x <> '') AS tw, sum(nw) OVER (PARTITION BY k.media_id, k.ord) AS total FROM k JOIN translations tr ON tr.media_id = k.media_id AND tr.seg_no = k.ord AND tr.lang = 'yy'),
+t AS (SELECT k.*, tr.lang, tr.text AS whole, list_filter(regexp_split_to_array(tr.text, '\\s+'), lambda x: x <> '') AS tw, sum(nw) OVER (PARTITION BY k.media_id, k.ord, tr.lang) AS total FROM k JOIN translations tr ON tr.media_id = k.media_id AND tr.seg_no = k.ord),
 g AS (SELECT *, greatest(1, CAST(floor(nw / greatest(total, 1) * len(tw) + 0.5) AS BIGINT)) AS take FROM t),
-h AS (SELECT *, coalesce(sum(take) OVER (PARTITION BY media_id, ord ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM g)
-SELECT media_id, ord AS parent_no, pos AS piece_no, CASE WHEN n = 1 THEN whole WHEN pos = n - 1 THEN array_to_string(list_slice(tw, CAST(f + 1 AS BIGINT), len(tw)), ' ') ELSE array_to_string(list_slice(tw, CAST(f + 1 AS BIGINT), CAST(f + take AS BIGINT)), ' ') END AS translation FROM h"""
+h AS (SELECT *, coalesce(sum(take) OVER (PARTITION BY media_id, ord, lang ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM g)
+SELECT media_id, ord AS parent_no, pos AS piece_no, lang, CASE WHEN n = 1 THEN whole WHEN pos = n - 1 THEN array_to_string(list_slice(tw, CAST(f + 1 AS BIGINT), len(tw)), ' ') ELSE array_to_string(list_slice(tw, CAST(f + 1 AS BIGINT), CAST(f + take AS BIGINT)), ' ') END AS translation FROM h"""
 query("f18_split_translation", SUBS.replace("\\\\", "\\"))(
-    lambda s: X.split_translation(X.split_segments(s, "maxWords", 6), I.translations(s).filter("lang = 'yy'")).select("media_id", "parent_no", "piece_no", "translation")
+    lambda s: X.split_translation(X.split_segments(s, "maxWords", 6), I.translations(s)).select("media_id", "parent_no", "piece_no", "lang", "translation")
 )
 
 
