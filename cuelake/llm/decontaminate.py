@@ -6,8 +6,10 @@ in item order, cut into blocks with the greatest impact of each.  Impacts are
 BM25 term weights over the item's greatest score (that of a query with all its
 terms), so one threshold, a share of an item's own weight, holds for all items.
 
-Passages are windows of twice the longest item with half overlap, so a verbatim
-item always lies whole inside one.  Items stand in at most RANGES ranges; where
+Items are looked for by classes of their length (up to 64 words, then each eight
+times as long).  Passages are windows of twice a class's greatest length with
+half overlap, so a verbatim item always lies whole inside one, and what is found
+depends neither on the shard nor on the other items' lengths.  Items stand in at most RANGES ranges; where
 the greatest impacts of a passage's terms within a range sum to less than the
 threshold, no item of that range can score it.  This first pivot test of WAND
 is done for all passages and ranges of a text at once; what it leaves is
@@ -36,6 +38,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +55,8 @@ OVERLAP = 0.8
 BLOCK = 64
 RANGES = 32
 SHARD_WORDS = 2_000_000
+#: Half the words of the shortest passages.
+LEAST_HALF = 64
 
 _NORMAL = bytes(c if c >= 0x80 or 97 <= c <= 122 or 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _LAST_SENTENCE = re.compile(r"[.!?\n]\s*(?=[^.!?\n]*[.!?\n]*\s*$)")
@@ -76,15 +81,16 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
 class Index:
     """Postings of a shard of items, and their shingles."""
 
-    def __init__(self, items: list[tuple], whole: bool = False, totals: tuple[int, float, dict] | None = None):
+    def __init__(self, items: list[tuple], whole: bool = False, totals: tuple[int, float, dict] | None = None, longest: int | None = None):
         """items: (item_id, question, answer) with a word in either; whole: its whole text verifies an item too.
 
         totals: number and mean length of all items, and how many of them have each term; from these items if absent.
+        longest: half the words of a passage, from these items if absent.
         """
         self.ids = [i for i, _, _ in items]
         parts = [(tokens(q.encode()), tokens(a.encode())) for _, q, a in items]
         words = [q + a for q, a in parts]
-        self.longest = max((len(w) for w in words), default=1)
+        self.longest = longest or max((len(w) for w in words), default=1)
         self.parts = [[(len(p), shingles(p)) for p in pair if p] for pair in parts]
         self.wholes = [(len(w), shingles(w)) for w in words] if whole else None
         n_items, mean, having = totals or (len(items), sum(map(len, words)) / max(1, len(words)), None)
@@ -219,6 +225,25 @@ class Index:
         return out
 
 
+def length_class(words: int) -> int:
+    """Half the words of the passages in which an item of so many words is looked for, whatever other items there are."""
+    half = LEAST_HALF
+    while half < words:
+        half *= 8
+    return half
+
+
+def indexes(items: list[tuple], whole: bool, totals: tuple[int, float, dict] | None) -> list[Index]:
+    """An index for each length class of the items of a shard; terms weigh as totals, or else all these items, say."""
+    sizes = [tokens((q + " " + a).encode()) for _, q, a in items]
+    if totals is None:
+        totals = len(items), sum(map(len, sizes)) / max(1, len(items)), Counter(x for w in sizes for x in set(w))
+    classes: dict[int, list[tuple]] = {}
+    for item, words in zip(items, sizes):
+        classes.setdefault(length_class(len(words)), []).append(item)
+    return [Index(own, whole, totals, half) for half, own in sorted(classes.items())]
+
+
 def item_terms(items: DataFrame) -> DataFrame:
     """(shard, term, words) of each distinct term of each item with a word; words is the item's length, on its first term only."""
 
@@ -276,12 +301,13 @@ def contaminated(
             totals = spark.sparkContext.broadcast((n_items, mean, {bytes(r.term): r.items for r in mine.collect()}))
 
         def search(batches: Iterator[pa.RecordBatch], held=held, totals=totals) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value, whole=not split, totals=totals.value if totals else None)
+            found = indexes(held.value, not split, totals.value if totals else None)
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-                    for item, shares in index.text_hits(text, threshold, overlap).items():
-                        rows.append((doc, index.ids[item], *shares))
+                    for index in found:
+                        for item, shares in index.text_hits(text, threshold, overlap).items():
+                            rows.append((doc, index.ids[item], *shares))
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                     yield pa.RecordBatch.from_arrays(

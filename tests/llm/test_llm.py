@@ -178,10 +178,11 @@ def test_decontaminate_against_all_items(spark, sf_dir, docs):
     names = list(index.terms)
     by_item = [{x: impact[n, index.terms[x]] for x in terms[i]} for n, i in enumerate(index.ids)]
     assert set(names) == set().union(*terms.values())
+    assert {decontaminate.length_class(len(decontaminate.tokens(t.encode()))) for t in items.text} == {decontaminate.LEAST_HALF}
     want = set()
     for d, text in zip(docs.doc_id, docs.text):
         words = decontaminate.tokens((text or "").encode())
-        step = index.longest
+        step = decontaminate.length_class(index.longest)
         for start in range(0, max(1, len(words) - step), step):
             part = words[start : start + 2 * step]
             have, runs = set(part), decontaminate.shingles(part)
@@ -726,3 +727,26 @@ def test_mixing_rows_without_ids_and_clashing_columns(spark):
     assert len({r.order_key for r in found}) == 40
     assert sorted(tuple(r[c] for c in ("doc_id", "text", "source", *extra)) for r in found if r.doc_id) == sorted(r for r in rows if r[0])
     assert all(r.src == f"own {r.text.split()[2]}" for r in found)
+
+
+def test_decontaminate_items_of_all_lengths(spark):
+    """What is found of a short item depends neither on the long ones beside it nor on the shards."""
+    draw = np.random.default_rng(7)
+    words = [f"term{k}" for k in range(4_000)]
+    short, middle, long = (" ".join(draw.choice(words, n, replace=False)) for n in (20, 200, 1_000))
+    filler = " ".join(f"filler{k}" for k in range(300))
+    first, last = " ".join(short.split()[:10]), " ".join(short.split()[10:])
+    docs = [
+        (1, f"{filler} {short} {filler}"), (2, f"{filler} {first} {filler} {last} {filler}"), (3, f"{filler} {long} {filler}"), (4, f"{long[: len(long) // 2]} {filler}"),
+        (5, f"{middle} {filler}"), (6, f"{first} of {last}"),
+    ]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    tests = [(1, short), (2, middle), (3, long)]
+    alone = set()
+    for test in tests:
+        got = decontaminate.contaminated(rows, spark.createDataFrame([test], "item_id bigint, text string"))
+        alone |= {(r.doc_id, r.item_id) for r in got.collect()}
+    assert {(1, 1), (3, 3), (5, 2)} <= alone and not {(2, 1), (4, 3)} & alone
+    for shard_words in (decontaminate.SHARD_WORDS, 300, 20):
+        got = decontaminate.contaminated(rows, spark.createDataFrame(tests, "item_id bigint, text string"), shard_words=shard_words)
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == alone
