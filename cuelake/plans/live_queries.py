@@ -83,6 +83,21 @@ def paused(s: DataFrame) -> DataFrame:
     return pause.unionByName(again).unionByName(later.withColumn("cycle", F.lit(2).cast("bigint")).withColumn("kind", F.lit("stop")))
 
 
+def stopped(s: DataFrame) -> DataFrame:
+    """An unsure partial cycle of each turn, then a stop with the same words: heard for odd sessions, too short a buffer for even ones."""
+    seen = decoded(s, "partial", 6000, 0.5)
+    short = F.when(F.col("session_id") % 2 == 0, F.lit(200)).otherwise(F.lit(6000)).cast("bigint")
+    stop = seen.withColumn("cycle", F.lit(1).cast("bigint")).withColumn("kind", F.lit("stop")).withColumn("buffer_dur_ms", short)
+    return seen.unionByName(stop)
+
+
+def dropped(s: DataFrame) -> DataFrame:
+    """A made-up partial cycle with a full buffer, which would be committed by force, then one with the words of the turn."""
+    real = decoded(s, "partial", 12_000, 0.5)
+    thanks = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).cast("bigint").alias("start_ms"), F.lit(k + 1).cast("bigint").alias("end_ms"), F.lit(0.9).alias("probability")) for k, w in enumerate(("Thanks ", "for", " watching"))])
+    return real.withColumn("words", thanks).unionByName(real.withColumn("cycle", F.lit(1).cast("bigint")))
+
+
 def finals(s: DataFrame) -> DataFrame:
     """The text of each turn one second after its start, by a clock that starts at one minute (a stream's first watermark is zero)."""
     return s.select(
@@ -150,6 +165,21 @@ query("t7_pause", SPOKEN + WALK.format(only="") + """
 SELECT session_id, CAST(CASE WHEN bool_or(closes) OR count(*) >= 8 THEN 0 ELSE 2 END AS BIGINT) AS cycle, line_no, string_agg(word, ' ' ORDER BY word_no) AS text FROM walk GROUP BY session_id, line_no""")(
     lambda s: L.live_transcript(paused(s)).filter("event = 'final'").select("session_id", "cycle", "line_no", "text")
 )
+query("t8_stop", SPOKEN + WALK.format(only="WHERE session_id % 2 = 1") + """
+SELECT session_id, CAST(1 AS BIGINT) AS cycle, line_no, string_agg(word, ' ' ORDER BY word_no) AS text FROM walk GROUP BY session_id, line_no""")(
+    lambda s: L.live_transcript(stopped(s)).filter("event = 'final'").select("session_id", "cycle", "line_no", "text")
+)
+query("t10_pause_events", SPOKEN + WALK.format(only="") + """,
+lines AS (SELECT session_id, line_no, bool_or(closes) OR count(*) >= 8 AS closed, string_agg(word, ' ' ORDER BY word_no) AS text FROM walk GROUP BY session_id, line_no),
+sessions AS (SELECT session_id, count(*) AS n, bool_and(closed) AS all_closed FROM lines GROUP BY session_id)
+SELECT session_id, CAST(cycle AS BIGINT) AS cycle, 'draft' AS event, line_no, text FROM lines, (VALUES (0), (1)) AS v(cycle) WHERE NOT closed
+UNION ALL SELECT session_id, cycle, 'partial', n, '' FROM sessions, (VALUES (0), (1), (2)) AS v(cycle) WHERE all_closed OR cycle = 2""")(
+    lambda s: L.live_transcript(paused(s)).filter("event <> 'final'").select("session_id", "cycle", "event", "line_no", "text")
+)
+query("t11_dropped_cycle", SPOKEN + WALK.format(only="") + """
+SELECT session_id, CAST(1 AS BIGINT) AS cycle, CASE WHEN bool_or(closes) THEN 'final' ELSE 'draft' END AS event, line_no, string_agg(word, ' ' ORDER BY word_no) AS text FROM walk GROUP BY session_id, line_no""")(
+    lambda s: L.live_transcript(dropped(s)).select("session_id", "cycle", "event", "line_no", "text")
+)
 query("t9_live_events", None)(lambda s: L.live_transcript(hypotheses(s)))
 query("t20_session_summary", SPOKEN + WALK.format(only="") + """
 SELECT session_id, count(DISTINCT line_no) AS n_lines, max(end_ms) AS duration_ms FROM walk GROUP BY session_id""")(lambda s: L.session_summary(L.live_transcript(hypotheses(s)).filter("event = 'final'")))

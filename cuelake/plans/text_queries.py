@@ -19,6 +19,7 @@ from cuelake.plans.inputs import CTE
 from cuelake.plans.interval_queries import KEPT, cuts_of
 from cuelake.sources import export as E
 from cuelake.sources import readers as R
+from cuelake.sources import scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -343,3 +344,53 @@ def every_tenth_second(frame):
 query("x2_apply_model", ", c AS (SELECT media_id, chunk_no, chunk_no * 60000 AS s, least(chunk_no * 60000 + 65000, duration_ms) AS e FROM media, range(1000) r(chunk_no) WHERE chunk_no * 60000 <= duration_ms - 1) SELECT media_id, chunk_no, t AS start_ms, least(t + 10000, e) AS end_ms FROM (SELECT *, unnest(range(s, e, 10000)) AS t FROM c)")(
     lambda s: apply_model(I.media(s), lambda: every_tenth_second, "media_id bigint, chunk_no bigint, start_ms bigint, end_ms bigint", 60_000)
 )
+
+
+# --- files and messages
+query("io1_segments", "SELECT media_id, ord, start_ms, end_ms, type, text, language, speaker, CAST(NULL AS VARCHAR) AS speaker_label FROM segments")(
+    lambda s: R.read_segments(
+        s.sparkSession,
+        scratch.written(s.select("media_id", "ord", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "type", "text", "language", "speaker"), "json"),
+        "json",
+    )
+)
+
+
+def transcripts(s: DataFrame) -> DataFrame:
+    """Recogniser output of the turns as it stands in files: seconds and nested words."""
+    word = F.struct("word_no", "word", (F.col("start_ms") / 1000).alias("start"), ((F.col("start_ms") + 5) / 1000).alias("end"), F.col("prob").alias("probability"))
+    held = I.words(s).groupBy("media_id", F.col("seg_no").alias("ord")).agg(F.array_sort(F.collect_list(word)).alias("ws"))
+    rows = s.join(held.hint("merge"), ["media_id", "ord"])
+    return rows.select("media_id", "ord", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text", "language", F.transform("ws", lambda w: w.dropFields("word_no")).alias("words"))
+
+
+query("io2_transcript_words", "SELECT media_id, seg_no, word_no, word, start_ms, start_ms + 5 AS end_ms, prob FROM words")(
+    lambda s: R.words_of(R.read_transcripts(s.sparkSession, scratch.written(transcripts(s), "json")))
+)
+over("embeddings", "io5_samples", "SELECT CAST(label AS BIGINT) AS media_id, vec_id AS chunk_no, CAST(16000 AS INT) AS sample_rate, len(embedding) AS n, CAST(list_sum(list_transform(embedding, lambda x: trunc(CASE WHEN x < 0 THEN CAST(x AS DOUBLE) * 32768 ELSE CAST(x AS DOUBLE) * 32767 END))) AS BIGINT) AS total FROM embeddings")(
+    lambda t: R.read_samples(
+        t.sparkSession,
+        scratch.written(t.select(F.col("label").cast("bigint").alias("media_id"), F.col("vec_id").alias("chunk_no"), F.lit(16_000).alias("sample_rate"), C.pcm_encode(F.col("embedding")).alias("samples")), "parquet"),
+    ).select("media_id", "chunk_no", "sample_rate", F.size("samples").cast("bigint").alias("n"), F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+)
+
+
+def raw_messages(s: DataFrame) -> DataFrame:
+    """A message for each turn: starts, stops, audio, and five kinds of bad ones."""
+    n = F.col("seg_no") % 9
+    said = F.base64(F.encode(F.concat("role", F.lit("!"), F.when(F.length("role") % 2 == 0, "?").otherwise("")), "utf-8"))
+    fields = {"session_id": F.col("media_id"), "action": F.lit("start"), "language": F.when(n == 0, "auto").otherwise("fr")}
+    start = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    audio = F.to_json(F.struct(F.col("media_id").alias("session_id"), said.alias("audio")))
+    made = F.when(n <= 1, start).when(n == 2, F.replace(start, F.lit("start"), F.lit("stop"))).when(n == 3, audio)
+    made = made.when(n == 4, F.lit("no json")).when(n == 5, F.replace(start, F.lit("start"), F.lit("dance"))).when(n == 6, F.lit('{"action": "stop"}'))
+    made = made.when(n == 7, F.replace(audio, F.lit('"audio":"'), F.lit('"audio":"*'))).otherwise(F.lit("{}"))
+    return s.select("media_id", "seg_no", made.alias("value"), F.timestamp_millis("start_ms").alias("event_ts"))
+
+
+query("io8_messages", """SELECT media_id, seg_no, seg_no % 9 <= 3 AS good, CASE seg_no % 9 WHEN 0 THEN 'start' WHEN 1 THEN 'start' WHEN 2 THEN 'stop' END AS action,
+  CASE seg_no % 9 WHEN 1 THEN 'fr' WHEN 2 THEN 'fr' END AS language, CASE WHEN seg_no % 9 = 3 THEN len(role) + 1 + CASE WHEN len(role) % 2 = 0 THEN 1 ELSE 0 END END AS n_bytes FROM segments""")(
+    lambda s: R.parsed_messages(raw_messages(s), "media_id", "seg_no").select(
+        "media_id", "seg_no", F.col("reason").isNull().alias("good"), "message.action", "message.language", F.octet_length("message.pcm").cast("bigint").alias("n_bytes")
+    )
+)

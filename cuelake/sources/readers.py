@@ -130,8 +130,8 @@ def read_messages_stream(spark: SparkSession, source: str, **options: str) -> Da
     return spark.readStream.format("text").options(**options).load(source).select("value", F.col("_metadata.file_modification_time").alias("event_ts"))
 
 
-def parsed_messages(raw: DataFrame) -> DataFrame:
-    """value and event_ts, the parsed message, and why it is bad (null for a good one).
+def parsed_messages(raw: DataFrame, *keep: str) -> DataFrame:
+    """value and event_ts (and columns to keep), the parsed message, and why it is bad (null for a good one).
 
     A message is a control with a known action, or audio with a session and PCM
     samples of two bytes in base64.  ``good`` and ``bad`` tell them apart; bad ones keep their value.
@@ -150,7 +150,7 @@ def parsed_messages(raw: DataFrame) -> DataFrame:
         F.col("m.session_id").alias("session_id"), F.col("m.action").alias("action"), F.nullif(F.col("m.language"), F.lit("auto")).alias("language"),
         F.coalesce("m.model", F.lit("base")).alias("model"), F.coalesce("m.time_offset", F.lit(0.0)).alias("time_offset"), pcm.alias("pcm"),
     )
-    return rows.select("value", "event_ts", F.when(reason.isNull(), made).alias("message"), reason.alias("reason"))
+    return rows.select(*keep, "value", "event_ts", F.when(reason.isNull(), made).alias("message"), reason.alias("reason"))
 
 
 def good(parsed: DataFrame) -> DataFrame:
