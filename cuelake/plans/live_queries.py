@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cuelake.operators.joins import agreement
 from cuelake.plans import inputs as I
 from cuelake.plans.inputs import CTE
+from cuelake.sources import scratch
+from cuelake.streaming import changes as C
 from cuelake.streaming import live as L
 
 QUERIES: dict = {}
@@ -180,6 +182,28 @@ query("t11_dropped_cycle", SPOKEN + WALK.format(only="") + """
 SELECT session_id, CAST(1 AS BIGINT) AS cycle, CASE WHEN bool_or(closes) THEN 'final' ELSE 'draft' END AS event, line_no, string_agg(word, ' ' ORDER BY word_no) AS text FROM walk GROUP BY session_id, line_no""")(
     lambda s: L.live_transcript(dropped(s)).select("session_id", "cycle", "event", "line_no", "text")
 )
+
+
+def in_four_batches(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns as four micro-batches, one of them given twice, as after a failure: late rows, and the rows that were passed on and written."""
+    rows = s.select("media_id", "ord", "start_ms", F.timestamp_millis("start_ms").alias("event_ts"))
+    folder = scratch.folder(s.sparkSession)
+    split = C.apart_from_late(L.by_batch(f"{folder}/passed"), f"{folder}/late")
+    for batch_id in (0, 1, 1, 2, 3):
+        split(rows.filter(F.col("ord") % 4 == batch_id), batch_id)
+    late = C.late_rows_kept(s.sparkSession, f"{folder}/late", "media_id bigint, ord bigint, start_ms bigint, event_ts timestamp")
+    return late, s.sparkSession.read.schema("media_id bigint, ord bigint, start_ms bigint, batch_id bigint").parquet(f"{folder}/passed")
+
+
+MARKS = """, b AS (SELECT *, ord % 4 AS batch_id FROM segments),
+m AS (SELECT batch_id, max(max(start_ms)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 10000 AS mark FROM b GROUP BY batch_id)
+"""
+query("t21_late_rows", MARKS + "SELECT media_id, ord, batch_id, mark AS watermark_ms FROM b JOIN m USING (batch_id) WHERE start_ms < mark")(
+    lambda s: in_four_batches(s)[0].select("media_id", "ord", "batch_id", "watermark_ms")
+)
+query("x3_batches", MARKS + "SELECT media_id, ord, batch_id FROM b JOIN m USING (batch_id) WHERE mark IS NULL OR start_ms >= mark")(
+    lambda s: in_four_batches(s)[1].select("media_id", "ord", "batch_id")
+)
 query("t9_live_events", None)(lambda s: L.live_transcript(hypotheses(s)))
 query("t20_session_summary", SPOKEN + WALK.format(only="") + """
 SELECT session_id, count(DISTINCT line_no) AS n_lines, max(end_ms) AS duration_ms FROM walk GROUP BY session_id""")(lambda s: L.session_summary(L.live_transcript(hypotheses(s)).filter("event = 'final'")))

@@ -5,21 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(rows: DataFrame, fmt: str) -> str:
-    """The path to which rows were written.
-
-    It lies in spark.checkpoint.dir; only where that is not set and the master is local, as in tests, a folder is made.
-    """
-    spark = rows.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder's path in spark.checkpoint.dir; only where that is not set and the master is local, as in tests, one is made for it."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(given)
-    path = f"{given.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{given.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, fmt: str) -> str:
+    """The path to which rows were written."""
+    path = folder(rows.sparkSession)
     rows.write.format(fmt).save(path)
     return path
