@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelake.operators import joins as J
 from cuelake.operators import models as M
 from cuelake.operators import scans as S
+from cuelake.operators import sets as U
 from cuelake.operators import textual as X
 from cuelake.operators import windows as W
 
@@ -169,3 +170,11 @@ def test_interval_joins_in_dense_bins(spark, monkeypatch, dense):
         assert busy.count() > 3 and busy.agg(F.max("part_ms")).first()[0] < 500
     else:
         assert J.dense_bins([l.select("media_id", F.col("start_ms").alias("at"))], 500) is None
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 8])
+def test_last_characters_begin_with_the_space_between_rows(spark, n):
+    texts = {0: ["ab", "cde", "f", None, "ghij"], 1: ["", "", "k"], 2: [None, "lmn"]}
+    rows = [(m, k, t) for m, ts in texts.items() for k, t in enumerate(ts)]
+    got = U.last_characters(spark.createDataFrame(rows, "media_id bigint, ord bigint, text string"), n)
+    assert rows_of(got) == [(m, " ".join(t for t in ts if t is not None)[-n:]) for m, ts in texts.items()]
