@@ -11,6 +11,8 @@ from cuelake.operators import scans as S
 from cuelake.operators import sets as U
 from cuelake.operators import textual as X
 from cuelake.operators import windows as W
+from cuelake.plans import text_queries
+from tests import oracle
 
 
 def rows_of(df):
@@ -178,3 +180,16 @@ def test_last_characters_begin_with_the_space_between_rows(spark, n):
     rows = [(m, k, t) for m, ts in texts.items() for k, t in enumerate(ts)]
     got = U.last_characters(spark.createDataFrame(rows, "media_id bigint, ord bigint, text string"), n)
     assert rows_of(got) == [(m, " ".join(t for t in ts if t is not None)[-n:]) for m, ts in texts.items()]
+
+
+def test_levels_equal_to_the_threshold_and_frames_of_one_id(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, 1, [x, -0.1]) for k, x in enumerate([0.35, 0.35, 0.35, 0.35, 0.36, -0.35, 0.2, 0.1, 0.34])]
+    rows += [(k // 4, 2, [x]) for k, x in enumerate([0.4, 0.1, 0.2, 0.5] * 3)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    name = "w18_silence_runs"
+    oracle.check(spark, con, str(tmp_path), text_queries.QUERIES[name], text_queries.ORACLE_SQL[name])
+    assert text_queries.QUERIES[name](spark, str(tmp_path)).count() == 2  # of label 2, no run has four frames
