@@ -16,9 +16,10 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -71,10 +72,16 @@ def utterance_step(state: dict, frame_no: int, is_speech: bool) -> list[tuple[in
     return out
 
 
+@lru_cache(1 << 16)
 def _key(word: str) -> str:
     return word.strip().lower().strip(KEY_EDGES)
 
 
+@lru_cache(1 << 16)
+def _token(word: str) -> str:
+    return word.lower().strip(TOKEN_EDGES)
+
+
 def _compose(words: list[str]) -> str:
     out = ""
     for w in filter(None, words):
@@ -86,12 +93,13 @@ def made_up(words: list[tuple]) -> bool:
     """The verdict of functions.text.is_hallucination on (word, start, end, probability) tuples."""
     if not words:
         return False
-    tokens = [w.lower().strip(TOKEN_EDGES) for w, *_ in words if w]
+    said = [w[0] for w in words if w[0]]
+    tokens = list(map(_token, said))
     pairs = list(zip(tokens, tokens[1:]))
-    top = lambda xs: Counter(xs).most_common(1)[0][1] / len(xs)
-    joined = " ".join(w.strip() for w, *_ in words if w).lower()
+    top = lambda xs: max(Counter(xs).values()) / len(xs)
+    joined = " ".join(map(str.strip, said)).lower()
     return (
-        sum(p or 0.0 for *_, p in words) / len(words) < MIN_MEAN_PROBABILITY
+        sum(w[3] or 0.0 for w in words) / len(words) < MIN_MEAN_PROBABILITY
         or any(p in joined for p in MADE_UP_PHRASES)
         or (len(tokens) >= LEAST_TOKENS and top(tokens) > MAX_TOKEN_SHARE)
         or (len(tokens) >= LEAST_PAIR_TOKENS and top(pairs) > MAX_PAIR_SHARE)
@@ -202,6 +210,30 @@ def _cycle_rows(session: int, rows: pd.DataFrame, state: dict, silent_ms: int) -
     return out
 
 
+def _cycle_batches(batches: Iterator[pa.RecordBatch], silent_ms: int) -> Iterator[pa.RecordBatch]:
+    """The events of whole sessions, their rows in order; only the state of one session and one batch are held."""
+    kinds = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in EVENTS.split(", ")])
+    state: dict = {}
+    for batch in batches:
+        word, *others = batch.column("words").flatten().flatten()
+        word = word.dictionary_encode()
+        unlike = [*word.dictionary.to_pylist(), None]
+        word = [unlike[i] for i in word.indices.fill_null(-1).to_numpy().tolist()]
+        said = list(zip(word, *(x.to_pylist() if x.null_count else x.to_numpy().tolist() for x in others)))
+        sizes = batch.column("words").value_lengths().fill_null(0).to_pylist()
+        columns = [batch.column(c).to_pylist() for c in ("session_id", "cycle", "kind", "buffer_start_ms", "buffer_dur_ms", "at", "place")]
+        out, begin = [], 0
+        for session, cycle, kind, start_ms, dur_ms, at, place, size in zip(*columns, sizes):
+            if place == 1:
+                state.clear()
+            _ended(state, at, silent_ms)
+            words = said[begin : begin + size]
+            begin += size
+            out += [(session, cycle, *e) for e in live_step(state, cycle, kind, start_ms + dur_ms, dur_ms, words)]
+        columns = list(zip(*out)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+
 def _pandas(rows: list[tuple], schema: str) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
     return out.astype({c: "Int64" for c in ("start_ms", "end_ms") if c in out})
@@ -305,10 +337,13 @@ def utterances(frames: DataFrame, silent_ms: int = SILENT_MS, late: str = LATE)
 def live_transcript(hypotheses: DataFrame, silent_ms: int = SILENT_MS, late: str = LATE) -> DataFrame:
     """final, draft and partial events of each session."""
     read = hypotheses.select("session_id", "cycle", "kind", "buffer_start_ms", "buffer_dur_ms", "words", "event_ts")
-    fold = partial(_cycle_rows, silent_ms=silent_ms)
     if hypotheses.isStreaming:
-        return _streamed(read, "cycle", fold, EVENTS, LIVE_STATE, silent_ms, late)
-    return _batch(read, "cycle", fold, EVENTS)
+        return _streamed(read, "cycle", partial(_cycle_rows, silent_ms=silent_ms), EVENTS, LIVE_STATE, silent_ms, late)
+    # The window brings the rows of a session together and in order; a call for each session would cost more than its rows.
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("cycle"))
+    words = F.col("words").cast(f"array<struct<{WORDS.replace(' ', ':').replace(',:', ',')}>>")
+    rows = read.withColumn("words", words).withColumn("place", place).withColumn("at", F.unix_millis("event_ts")).drop("event_ts")
+    return rows.mapInArrow(partial(_cycle_batches, silent_ms=silent_ms), EVENTS)
 
 
 def speech_sessions(frames: DataFrame, gap: str = "360 milliseconds", late: str = "10 seconds") -> DataFrame:

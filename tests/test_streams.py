@@ -4,6 +4,7 @@ import datetime
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from cuelake.plans import inputs as I
 from cuelake.plans import live_queries as Q
 from cuelake.sources import readers as R
 from cuelake.streaming import live as L
+from tests import oracle
 
 
 def drained(spark, df, name, mode="append"):
@@ -252,3 +254,37 @@ def test_live_events_told_by_hand(spark):
     got = L.live_transcript(spark.createDataFrame(table, schema)).select("session_id", "cycle", "event", "line_no", "text").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert {"final", "draft", "partial"} == {e[2] for e in want}
+
+
+def test_live_fold_over_sessions_that_cross_batches(spark, sf_dir):
+    rows = Q.hypotheses(I.segments(spark, sf_dir)).filter("session_id < 9000")
+    held = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.session_id, r.cycle)):
+        state, words = held.setdefault(r.session_id, ({}, [])), [tuple(w) for w in r.words]
+        state[1].extend((r.cycle, *e) for e in L.live_step(state[0], r.cycle, r.kind, r.buffer_start_ms + r.buffer_dur_ms, r.buffer_dur_ms, words))
+    want = sorted((k, *e) for k, (_, events) in held.items() for e in events)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = L.live_transcript(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_parts_follow_the_words_of_all_cycles(spark, sf_dir, monkeypatch):
+    rows = I.segments(spark, sf_dir)
+    monkeypatch.setattr(Q, "TASK_ITEMS", 3000)
+    words = Q.hypotheses(rows).select(F.sum(F.size("words"))).first()[0]
+    assert 0.7 < Q.hypotheses(rows).rdd.getNumPartitions() / (words / 3000) < 1.6
+
+
+@pytest.mark.parametrize("name", "t3_final_texts t4_sure_words t5_forced_words t6_lines t7_pause t8_stop t10_pause_events t11_dropped_cycle t20_session_summary".split())
+def test_made_up_turns_in_sql(spark, tmp_path, name):
+    rng = random.Random(3)
+    turns = [" ".join(rng.choices(["of", "Of.", "the", "to!", "end"], [w, 3, 2, 2, 1], k=rng.randrange(1, 60))) for w in (2, 5, 12) for _ in range(25)]
+    turns += ["so Thanks for watching it.", "of of of of", "a b of of of of of of of of of of of of"]
+    rows = [(k // 3, k % 3, "user", t) for k, t in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    oracle.check(spark, con, str(tmp_path), Q.QUERIES[name], Q.ORACLE_SQL[name])
