@@ -193,3 +193,9 @@ def test_levels_equal_to_the_threshold_and_frames_of_one_id(spark, tmp_path):
     name = "w18_silence_runs"
     oracle.check(spark, con, str(tmp_path), text_queries.QUERIES[name], text_queries.ORACLE_SQL[name])
     assert text_queries.QUERIES[name](spark, str(tmp_path)).count() == 2  # of label 2, no run has four frames
+
+
+@pytest.mark.parametrize("name", ["f15_sentences", "f17_compose_wide"])
+def test_texts_are_searched_once(spark, sf_dir, name):
+    plan = text_queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
