@@ -288,3 +288,17 @@ def test_made_up_turns_in_sql(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     oracle.check(spark, con, str(tmp_path), Q.QUERIES[name], Q.ORACLE_SQL[name])
+
+
+def test_frames_of_overlapping_turns_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    turns = [(m, k, s := rng.randrange(0, 3_000), s + rng.randrange(0, 900)) for m in range(6) for k in range(m)]
+    monkeypatch.setattr(Q, "TASK_ITEMS", 100)
+    got = Q.frames(spark.createDataFrame(turns, "media_id bigint, ord bigint, start_ms bigint, end_ms bigint"))
+    want = []
+    for m in range(1, 6):
+        mine = [t for t in turns if t[0] == m]
+        n = (max(t[3] for t in mine) + 500) // 30 + 1
+        want += [(m, f, any(t[2] <= f * 30 < t[3] for t in mine)) for f in range(n)]
+    assert sorted((r.session_id, r.frame_no, r.is_speech) for r in got.collect()) == want
+    assert got.rdd.getNumPartitions() == len(want) // 100 + 1
