@@ -199,3 +199,9 @@ def test_levels_equal_to_the_threshold_and_frames_of_one_id(spark, tmp_path):
 def test_texts_are_searched_once(spark, sf_dir, name):
     plan = text_queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_translations_are_dealt_from_their_texts(spark):
+    rows = [([2, 1, 3], " a\tb  c\nd e\x0bf g h "), ([1, 1], None), ([4], " x  y "), ([1, 1], "")]
+    got = spark.createDataFrame(rows, "n array<int>, whole string").select(text_queries.T.dealt("n", "whole").alias("d")).collect()
+    assert [r.d for r in got] == [["a b", "c", "d e f g h"], [None, None], [" x  y "], ["", ""]]
