@@ -113,7 +113,7 @@ class WordLists:
         hit = np.flatnonzero(self.keys[np.minimum(first, len(self.keys) - 1)] == hashes) if len(self.keys) else np.zeros(0, np.int64)
         first, times = first[hit], np.searchsorted(self.keys, hashes[hit], "right") - first[hit]
         at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
-        counts = np.bincount(self.places[at], minlength=len(self.names) * self.width).reshape(len(self.names), -1)
+        counts = np.bincount(self.places[at], minlength=len(self.names) * self.width).reshape(len(self.names), self.width)
         return {name: np.append(counts[k, :size], len(hashes) - counts[k, :size].sum()) for k, (name, size) in enumerate(zip(self.names, self.sizes))}
 
 
