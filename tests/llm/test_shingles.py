@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 from cuelake.llm import shingles
 from cuelake.llm.common import staged
+from cuelake.llm.simhash_dedup import text_print
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, src string"
 
@@ -45,6 +46,34 @@ def test_near_copies_and_wrong_links(spark):
     assert sorted(r.doc_id for r in left) == [1, *range(1_000, 1_010)]
 
 
+def test_groups_against_all_pairs(spark):
+    """Texts of the same words in several orders have one SimHash; those alike to each other, but not to the first, are linked too."""
+    rng, near = random.Random(9), corpus_pipeline.NEAR_COPY
+    texts = [None, "", "!", "?!", "one", "One!", "one two"]
+    for _ in range(6):
+        words = [f"word{rng.randrange(60)}" for _ in range(40)]
+        for _ in range(3):
+            rng.shuffle(words)
+            for k in range(5):
+                text = list(words)
+                for at in rng.sample(range(40), k):
+                    text[at] = rng.choice([text[at - 1], f"other{rng.randrange(9)}"])
+                texts.append(" ".join(text) + rng.choice(["", "!"]))
+    prints = [text_print((t or "").encode(), near["shingle"], near["least"]) for t in texts]
+    root = list(range(len(texts)))
+    links = [(a, b) for b in root for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= near["radius"] and jaccard(texts[a], texts[b]) >= shingles.LINKED]
+    for _ in texts:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame([*enumerate(texts), (4, "one")], "__row bigint, text string")
+    got = shingles.verified_groups(docs, **near).collect()
+    assert sorted(map(tuple, got)) == [(i, r) for i, r in enumerate(root) if i != r]
+    heads = {}
+    for i, p in enumerate(prints):
+        heads.setdefault(p, i)
+    assert any(root[a] != root[heads[prints[a]]] for a, _ in links)  # such links were lost
+
+
 def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
     good = "the cat of the house and the dog in a garden is for that on as with be by at this " * 3
     rows = [
