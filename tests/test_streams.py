@@ -302,3 +302,15 @@ def test_frames_of_overlapping_turns_in_parts(spark, monkeypatch):
         want += [(m, f, any(t[2] <= f * 30 < t[3] for t in mine)) for f in range(n)]
     assert sorted((r.session_id, r.frame_no, r.is_speech) for r in got.collect()) == want
     assert got.rdd.getNumPartitions() == len(want) // 100 + 1
+
+
+@pytest.mark.parametrize("name", "t3_final_texts t4_sure_words t5_forced_words t6_lines t7_pause t8_stop t10_pause_events t11_dropped_cycle".split())
+def test_marks_that_cling_in_sql(spark, tmp_path, name):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)] + ["...", ", and", "'s", "’s", "? yes", ";", ": so.", "! no!"]
+    turns = [" ".join(rng.choices(words, k=n)) for n in (1, 2, 5, 9, 30, 70)] + ["... one two.", "? one. two. three ... four"]
+    rows = [(k // 3, k % 3, "user", t) for k, t in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    oracle.check(spark, con, str(tmp_path), Q.QUERIES[name], Q.ORACLE_SQL[name])
