@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,13 @@ def crc32_sql(texts: str) -> str:
     SELECT s, xor(reg, CAST(4294967295 AS BIGINT)) AS crc FROM steps WHERE k = 0 AND place = length(coalesce(s, '')) + 1"""
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of whole texts cut into parts, so that a worker holds what it makes of few of them at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A text column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -40,7 +40,6 @@ columns pass through unless they carry a result's name.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.bktree import Groups
-from cuelake.llm.common import as_bytes, staged, table
+from cuelake.llm.common import as_bytes, in_parts, staged, table
 from cuelake.llm.components import connected, spread_join
 from cuelake.llm.simhash_dedup import deal, over_cells, whole_cells
 
@@ -80,7 +79,10 @@ _ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(8)]
 #: Bytes of lines hashed at a time, so that their hashes stay in the cache.
 _STEP_BYTES = 1 << 16
 #: Pairs whose edits are counted at a time, at first and at most.
-_FIRST_PAIRS, _STEP_PAIRS = 1 << 10, 1 << 14
+_FIRST_PAIRS, _STEP_PAIRS = 1 << 12, 1 << 14
+#: Edits that each word of a band of the distance matrix holds; pairs that are counted together at least and at most;
+#: the time of one code of many pairs together, in that of one code of a single pair.
+BAND_EDITS, FEW_PAIRS, _BAND_PAIRS, _BAND_COST = 32, 16, 1 << 10, 20
 #: Lines of a task that are remembered, so that repeats are not dealt again.
 _SEEN = 1_000_000
 #: For each byte a number whose bytes are the byte's bits, and how many such numbers can be added.
@@ -145,59 +147,91 @@ def _middles(a: bytes, b: bytes) -> tuple[bytes, bytes]:
     return a[head : len(a) - tail], b[head : len(b) - tail]
 
 
-def _within(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
-    """Whether the edit distance of each pair is at most ``most``, for pairs whose a need about equally many 64-bit words.
+def _banded(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray, width: int) -> np.ndarray:
+    """The edit distance of each pair where it is at most ``most`` and BAND_EDITS * width - 1, else any number above either.
 
-    Codes are below the number of distinct codes.  All pairs advance together,
-    one code of b at a time; a pair leaves when the codes left cannot save it.
+    a is at least as long as b, and longer by no more edits than the band holds; pairs are sorted by falling length of b.
+    Only a band of ``width`` 64-bit words of each column is kept, which moves down a row at each code of b (Hyyro's
+    bit vectors).  All pairs advance together; a pair leaves when the cell of its end's diagonal is above its bound.
+    The last FEW_PAIRS of them are given back as -1, not counted.
     """
     size_a, size_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
-    width, kinds = int(-(-size_a.max() // 64)), 1 + max(int(x.max()) for x in (*a, *b))
-    pair, at = np.repeat(np.arange(len(a)), size_a), np.arange(size_a.sum()) - np.repeat(np.cumsum(size_a) - size_a, size_a)
-    places = np.zeros(len(a) * kinds * width, np.uint64)
-    np.add.at(places, (pair * kinds + np.concatenate(a)) * width + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-    places = places.reshape(len(a), kinds, width)
-    codes = np.zeros((len(a), size_b.max()), np.int64)
-    codes[np.repeat(np.arange(len(b)), size_b), np.arange(size_b.sum()) - np.repeat(np.cumsum(size_b) - size_b, size_b)] = np.concatenate(b)
-    up, down = np.full((width, len(a)), 2**64 - 1, np.uint64), np.zeros((width, len(a)), np.uint64)
-    last, score, who = np.zeros((width, len(a)), np.uint64), size_a.copy(), np.arange(len(a))
-    last[(size_a - 1) >> 6, who] = np.uint64(1) << ((size_a - 1) & 63).astype(np.uint64)
-    ends = np.flatnonzero(last.any(axis=1)).tolist()
-    one, top = np.uint64(1), np.uint64(63)
-    out = np.zeros(len(a), bool)
-    for j in range(codes.shape[1]):
-        ended = size_b[who] <= j
-        if j % 16 == 0 or ended.any():
-            out[who[ended & (score <= most[who])]] = True
-            open_ = ~ended & (score - (size_b[who] - j) <= most[who])
-            if not open_.any():
-                return out
-            if not open_.all():
-                who, score, up, down, last = who[open_], score[open_], up[:, open_], down[:, open_], last[:, open_]
-        here = places[who, codes[who, j]]
-        plus, minus = np.ones(len(who), np.uint64), np.zeros(len(who), np.uint64)  # what enters a word from the one below
-        for w in range(width):
-            p, m, eq = up[w], down[w], here[:, w]
-            vertical = eq | m
-            eq = eq | minus
-            across = (((eq & p) + p) ^ p) | eq
-            right, left = m | ~(across | p), p & across
-            if w in ends:
-                score = score + ((right & last[w]) != 0) - ((left & last[w]) != 0)
-            right_in, left_in = right << one | plus, left << one | minus
-            plus, minus = right >> top, left >> top
-            up[w], down[w] = left_in | ~(vertical | right_in), right_in & vertical
-    out[who[score <= most[who]]] = True
+    edits, kinds = BAND_EDITS * width - 1, 1 + max(int(x.max()) for x in (*a, *b))
+    low = 64 * width - 1 - edits  # bits of the first band that lie before the text
+    pair, at = np.repeat(np.arange(len(a)), size_a), np.arange(size_a.sum()) - np.repeat(np.cumsum(size_a) - size_a, size_a) + low
+    places = np.zeros(((int(size_b[0]) >> 6) + width + 2, len(a) * kinds), np.uint64)
+    np.add.at(places.reshape(-1), (at >> 6) * places.shape[1] + pair * kinds + np.concatenate(a), np.uint64(1) << (at & 63).astype(np.uint64))
+    codes = np.zeros((size_b[0], len(b)), np.int64)
+    codes[np.arange(size_b.sum()) - np.repeat(np.cumsum(size_b) - size_b, size_b), np.repeat(np.arange(len(b)), size_b)] = np.concatenate(b)
+    codes += np.arange(len(a)) * kinds
+    active = len(a) - np.searchsorted(size_b[::-1], np.arange(size_b[0]), "right")
+    first = ((1 << edits + 1) - 1) << low
+    up = np.repeat(np.array([first >> 64 * w & 2**64 - 1 for w in range(width)], np.uint64)[:, None], len(a), axis=1)
+    down, score, bound, who = np.zeros_like(up), size_a - size_b, np.minimum(most, edits), np.arange(len(a))
+    word, bit = (low + score) >> 6, ((low + score) & 63).astype(np.uint64)
+    out, whole, one, top = np.full(len(a), edits + 1), True, np.uint64(1), np.uint64(63)
+    for j, n in enumerate(active.tolist()):
+        n = n if whole else int(np.searchsorted(who, n))
+        if n < len(who):
+            out[who[n:]] = score[n:]
+            who, score, bound, word, bit, up, down = who[:n], score[:n], bound[:n], word[:n], bit[:n], up[:, :n], down[:, :n]
+        if j % 16 == 0 and (over := score > bound).any():
+            out[who[over]] = np.maximum(most[who[over]], edits) + 1
+            on, whole = np.flatnonzero(~over), False
+            who, score, bound, word, bit, up, down = who[on], score[on], bound[on], word[on], bit[on], up[:, on], down[:, on]
+        if not len(who):
+            return out
+        if len(who) < FEW_PAIRS and j % 16 == 0 and j + 64 < size_b[who[0]]:
+            break
+        here, past = places[j >> 6 : (j >> 6) + width + 1].take(codes[j, :n] if whole else codes[j, who], axis=1), np.uint64(j & 63)
+        equal = here[:-1] >> past | here[1:] << (top - past) << one
+        both = equal & up
+        added = both + up
+        if width > 1:
+            carry = added < up
+            for w in range(1, width):
+                added[w] += carry[w - 1]
+                carry[w] |= carry[w - 1] & (added[w] == 0)
+        level = (added ^ up) | equal | down
+        right, left = down | ~(level | up), level & up
+        score = score + ((level[word, np.arange(len(who))] >> bit & one) == 0)
+        below = level >> one
+        below[:-1] |= level[1:] << top
+        up, down = left | ~(below | right), below & right
+    else:
+        out[who] = score
+        return out
+    out[who] = -1
     return out
 
 
+def _codes(rows: list[tuple]) -> list[np.ndarray]:
+    """Both texts of each row (place, text, text, most) as numbers of their characters, counted from 0 in each row."""
+    texts = [np.frombuffer(t, np.uint8) if isinstance(t, bytes) else np.frombuffer(t.encode("utf-32-le"), np.uint32) for _, x, y, _ in rows for t in (x, y)]
+    sizes, flat = np.fromiter(map(len, texts), np.int64, len(texts)), np.concatenate(texts)
+    used = np.zeros(int(flat.max()) + 1, bool)
+    used[flat] = True
+    flat = (np.cumsum(used) - 1)[flat]
+    kinds, ends = int(used.sum()), np.cumsum(sizes)
+    out, step = [], max(1, (1 << 22) // kinds)
+    for k in range(0, len(rows), step):
+        n = min(step, len(rows) - k)
+        own = flat[ends[2 * k] - sizes[2 * k] : ends[2 * (k + n) - 1]] + kinds * np.repeat(np.arange(n), sizes[2 * k : 2 * (k + n)].reshape(-1, 2).sum(axis=1))
+        used = np.zeros(n * kinds + 1, bool)
+        used[own + 1] = True
+        before = np.cumsum(used, dtype=np.int32)
+        out.append(before[own + 1] - 1 - before[own // kinds * kinds])
+    return np.split(np.concatenate(out), ends[:-1])
+
+
 def similar(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
     """Whether the edit similarity of each pair of normalised lines in UTF-8, by code points, is high enough.
 
     Words that both begin and end with are left aside.  Edits are counted for many
-    pairs together where there are enough of about one length, else one by one.
+    pairs together, in a narrow band first and in twice as wide a one for those it
+    does not decide, down to few pairs, which are counted one by one.
     """
-    out, left = np.zeros(len(a), bool), {}
+    out, left = np.zeros(len(a), bool), []
     for i, (x, y) in enumerate(zip(a, b)):
         plain = x.isascii() and y.isascii()
         most = int((1 - similarity) * (max(len(x), len(y)) if plain else max(len(x.decode()), len(y.decode()))) + 1e-9)
@@ -210,24 +244,30 @@ def similar(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
         if len(x) <= most or not y:  # rewriting the middle takes no more edits
             out[i] = True
             continue
-        words = -(-len(x) // 64)
-        left.setdefault(words if words <= 4 else 1 << round(4 * math.log2(words)), []).append((i, x, y, most))
-    for rows in left.values():
-        width = max(-(-len(x) // 64) for _, x, _, _ in rows)
-        if len(rows) < 10 * width:
-            for i, x, y, most in rows:
-                out[i] = edit_distance(x, y, most) <= most
-            continue
-        for k in range(0, len(rows), 2048):
-            part = rows[k : k + 2048]
-            as_codes = [np.frombuffer(t, np.uint8) if isinstance(t, bytes) else np.frombuffer(t.encode("utf-32-le"), np.uint32) for _, x, y, _ in part for t in (x, y)]
-            kinds, flat = np.unique(np.concatenate(as_codes), return_inverse=True)
-            if len(kinds) * width * len(part) > 1 << 23:  # a large alphabet
-                for i, x, y, most in part:
-                    out[i] = edit_distance(x, y, most) <= most
+        left.append((i, x, y, most))
+    width, single = 1, []
+    while len(left) >= FEW_PAIRS:
+        edits = BAND_EDITS * width - 1
+        left.sort(key=lambda row: -len(row[2]))
+        fits = [row for row in left if len(row[1]) - len(row[2]) <= edits]
+        left = [row for row in left if len(row[1]) - len(row[2]) > edits]
+        while fits:
+            some = max(FEW_PAIRS, min(_BAND_PAIRS, (_BAND_PAIRS << 6) // (len(fits[0][2]) // 64 + width + 2)))
+            part, fits = fits[:some], fits[some:]
+            # The longest of them are counted alone where the others would wait for them.
+            sizes = np.array([0, *(len(y) for *_, y, _ in part[:FEW_PAIRS]), 0])
+            alone = int((np.cumsum(sizes)[:-1] + _BAND_COST * sizes[1:]).argmin())
+            single, part = single + part[:alone], part[alone:]
+            if not part:
                 continue
-            numbered = np.split(flat, np.cumsum([len(c) for c in as_codes])[:-1])
-            out[[i for i, *_ in part]] = _within(numbered[::2], numbered[1::2], np.array([m for *_, m in part]))
+            numbered, limits = _codes(part), np.array([m for *_, m in part])
+            counted = _banded(numbered[::2], numbered[1::2], limits, width)
+            out[[i for i, *_ in part]] = (counted >= 0) & (counted <= np.minimum(limits, edits))
+            left += [row for row, n in zip(part, counted.tolist()) if n > edits < row[3]]
+            single += [row for row, n in zip(part, counted.tolist()) if n < 0]
+        width *= 2
+    for i, x, y, most in single + left:
+        out[i] = edit_distance(x, y, most) <= most
     return out
 
 
@@ -336,7 +376,7 @@ def line_prints(docs: DataFrame, min_chars: int) -> DataFrame:
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest128, seen = xxhash.xxh3_128_digest, set()
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, rows, numbers, keys, new, lengths, made, lines, held = [], [], [], [], [], [], [], [], 0
             known = zip(batch.column("doc_id").to_pylist(), batch.column("__row").to_pylist(), as_bytes(batch.column("text")))
             for doc, row, text in known:
@@ -406,7 +446,7 @@ class Judge:
 def one_row_a_line(lines: DataFrame) -> DataFrame:
     """What is dealt to cells: each task gives a line once, and the rows of all tasks become one, however often the line stands."""
     kept = [F.first(c).alias(c) for c in ("print", "kin", "cells")]
-    return lines.filter(F.col("cells").isNotNull()).groupBy("id").agg(*kept)
+    return lines.filter(F.col("cells").isNotNull()).repartition("id").groupBy("id").agg(*kept)
 
 
 def cells_with_pairs(lines: DataFrame, judge: Judge, near: int, blocks: int, shard: int) -> DataFrame:
@@ -465,11 +505,13 @@ def in_steps(pairs):
         yield held
 
 
-def judged_links(lines: DataFrame, judge: Judge) -> DataFrame:
-    """(cell, id, kin, sets, key, line) to (a, b): keys of a forest of each cell's links; a pair is judged in the least cell of both."""
+def judged_links(lines: DataFrame, judge: Judge, node: str = "key") -> DataFrame:
+    """(cell, id, kin, sets, key, line) to (a, b): keys, or ids, of a forest of each cell's links; a pair is judged in the least cell of both."""
+    names, kind = ("id", "kin", "sets", "line") if node == "id" else ("id", "kin", "sets", "line", node), "bigint" if node == "id" else "binary"
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (cell, ids, kin, sets, keys, texts) in whole_cells(batches, ("id", "kin", "sets", "key", "line")):
+        for _, (cell, ids, kin, sets, texts, *keys) in whole_cells(batches, names):
+            nodes = keys[0] if keys else ids
             groups, common, out = Groups(len(ids)), Common(cell, sets), []
 
             def pairs(cell=cell, ids=ids, kin=kin, common=common, groups=groups):
@@ -485,12 +527,12 @@ def judged_links(lines: DataFrame, judge: Judge) -> DataFrame:
                 for i in np.flatnonzero(similar([texts[i] for i in x], [texts[i] for i in y], judge.similarity)).tolist():
                     if groups.root(x[i]) != groups.root(y[i]):
                         groups.join_one(x[i], y[i])
-                        out.append((keys[x[i]], keys[y[i]]))
+                        out.append((nodes[x[i]], nodes[y[i]]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if node == "id" else pa.binary()) for c in zip(*out)], names=["a", "b"])
 
-    dealt = lines.select("cell", "id", "kin", "sets", "key", F.col("line").cast("binary").alias("line"))
-    return dealt.repartition("cell").sortWithinPartitions("cell", "kin", "id").mapInArrow(links, "a binary, b binary")
+    dealt = lines.withColumn("line", F.col("line").cast("binary")).select("cell", *names)
+    return dealt.repartition("cell").sortWithinPartitions("cell", "kin", "id").mapInArrow(links, f"a {kind}, b {kind}")
 
 
 def _beside(docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
@@ -503,7 +545,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(row, line_no, key) to (key, line), the normalised lines."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             keys, lines = [], []
             for text, picks in zip(as_bytes(batch.column("text")), batch.column("__wanted").to_pylist()):
                 words = normal_lines(text)
@@ -538,12 +580,14 @@ def repeated_lines(
     some = judged_in.groupBy("id").agg(F.array_sort(F.collect_set("cell")).alias("sets"))
     wanted = staged(items.join(some.hint("merge"), "id").select("id", "key", "sets", "first.row", "first.line_no"))
     texts = staged(line_texts(docs, wanted).join(wanted.select("key", "id", "sets").hint("merge"), "key"))
-    hung = connected(judged_links(judged_in.join(texts.hint("merge"), "id"), judge)).withColumnRenamed("node", "key")
-    roots = staged(hung.unionByName(hung.select(F.col("root").alias("key"), "root").distinct()))
-    linked = staged(items.join(roots.hint("merge"), "key").select("key", "root", "first", "n"))
+    # Groups are of ids, which Spark sorts and hashes faster than keys, unless two of these lines share one.
+    node = "id" if wanted.groupBy("id").count().filter(F.col("count") > 1).isEmpty() else "key"
+    hung = connected(judged_links(judged_in.join(texts.hint("merge"), "id"), judge, node)).withColumnRenamed("node", node)
+    roots = staged(hung.unionByName(hung.select(F.col("root").alias(node), "root").distinct()))
+    linked = staged(items.join(roots.hint("merge"), node).select("key", "root", "first"))
     groups = linked.groupBy("root").agg(F.min("first").alias("keep"))
     in_groups = spread_join(linked.select("key", "root"), groups, "root").select("key", "keep")
-    alone = items.filter(F.col("n") > 1).join(roots.select("key").hint("merge"), "key", "left_anti")
+    alone = items.filter(F.col("n") > 1).join(roots.select(node).hint("merge"), node, "left_anti")
     keepers = staged(in_groups.unionByName(alone.select("key", F.col("first").alias("keep"))))
     places = lines.select("key", "doc_id", "line_no", "row")
     placed = spread_join(places, keepers, "key")

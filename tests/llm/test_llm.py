@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -16,7 +17,7 @@ import corpus_pipeline
 from cuelake.llm import (
     bktree, chat_format, decontaminate, hmm_lm, language_id, license_scan, line_dedup, mixing, quality_fm, quality_rules, registry, simhash_dedup,
 )
-from cuelake.llm.common import crc_mod, table
+from cuelake.llm.common import crc_mod, in_parts, table
 from cuelake.llm.components import connected
 from tests import oracle
 
@@ -529,6 +530,47 @@ def test_similar_pairs_together():
     assert line_dedup.similar(a, b, 0.8).tolist() == want and 50 < sum(want) < 650
 
 
+def test_bands_count_edits():
+    """Edits in a band are those of the whole matrix, or are said to be too many, at any width of the band."""
+    rng = np.random.default_rng(5)
+    for width in (1, 2, 3):
+        rows = []
+        for size in (1, 5, 31, 32, 33, 63, 64, 65, 96, 127, 128, 129, 300) * 4:
+            x = rng.integers(0, 4, size)
+            y = [int(c) for c in x]
+            for _ in range(rng.integers(0, 1 + size // 3)):
+                y[(k := int(rng.integers(0, len(y) + 1))) : k + int(rng.integers(0, 2))] = rng.integers(0, 4, int(rng.integers(0, 2))).tolist()
+            rows.append(sorted((x, np.array(y, np.int64)), key=len)[::-1])
+        rows = sorted(((x, y) for x, y in rows if len(y) and len(x) - len(y) < 32 * width), key=lambda r: -len(r[1]))
+        most = np.array([int(0.3 * len(x)) for x, _ in rows])
+        got = line_dedup._banded([x for x, _ in rows], [y for _, y in rows], most, width)
+        for (x, y), m, n in zip(rows, np.minimum(most, 32 * width - 1).tolist(), got.tolist()):
+            edits = line_dedup.edit_distance(bytes(x.tolist()), bytes(y.tolist()), m)
+            assert n == -1 or (n == edits if edits <= m else n > m)
+        assert 10 < (got >= 0).sum() and 5 < ((got >= 0) & (got <= most)).sum()
+
+
+def test_groups_of_lines_that_share_an_id(spark, monkeypatch):
+    """Linked lines of one id and other keys are told apart by their keys, and ids give the same groups as keys."""
+    same = "the committee met on monday to talk about the new harbour and its costs {}"
+    other = "a flock of {} geese crossed the frozen lake before anybody had seen the sun"
+    rows = [(i, line) for i, line in enumerate([same.format("today"), same.format("now"), other.format("wild"), other.format("grey")])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def removed():
+        return sorted(r.doc_id for r in line_dedup.line_dedup(docs).filter("n_removed = 1").collect())
+
+    assert removed() == [1, 3]
+    monkeypatch.setattr(line_dedup, "line_prints", lambda *a, plain=line_dedup.line_prints: plain(*a).withColumn("id", F.pmod("id", F.lit(3))))
+    assert set(removed()) <= {1, 3}
+
+
+def test_parts_of_batches():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["n"])
+    parts = list(in_parts(iter([batch, batch.slice(0, 0), batch.slice(0, 3)])))
+    assert [p.num_rows for p in parts] == [1000, 1000, 500, 3] and parts[1].column(0)[0].as_py() == 1000
+
+
 def test_marks_of_lines(monkeypatch):
     """Lines give the same marks alone and beside others; equal runs give equal cells."""
     draw = np.random.default_rng(8)
